@@ -40,7 +40,7 @@ def _lines() -> Column:
 
 
 def winnowed(docs: DataFrame, w: int) -> DataFrame:
-    """A row for each window: id, mark, at (counted line it starts at), fp, run (128-bit hash)."""
+    """A row for each window: id, mark, at and lines (its lines' places), fp, run (128-bit hash)."""
     lined = docs.where(F.col("text").contains("\n") | F.lit(w == 1)).select(
         F.coalesce(F.col("doc_id"), F.lit(FIRST)).alias("id"), F.xxhash64("text").alias("mark"), _lines().alias("l")
     )
@@ -49,56 +49,45 @@ def winnowed(docs: DataFrame, w: int) -> DataFrame:
     return lined.select("id", "mark", F.explode(windows).alias("x")).select(
         "id",
         "mark",
-        (F.col("x.i") - 1).alias("at"),
+        F.get("x.w.i", F.lit(0)).alias("at"),
+        F.col("x.w.i").alias("lines"),
         F.array_min("x.w.h").alias("fp"),
         F.xxhash64("x.w.h").alias("run_h"),
         F.xxhash64("x.w.g").alias("run_g"),
     )
 
 
-def repeated_runs(docs: DataFrame, min_lines: int) -> DataFrame:
-    """id, mark, at of every window whose run also starts earlier."""
-    seen = winnowed(docs, min_lines)
+def repeated_runs(seen: DataFrame) -> DataFrame:
+    """id, mark, lines of every window of ``seen`` whose run also starts earlier."""
     # a fingerprint's positions are those of its selecting windows; one window alone has no match
     shared = seen.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    near = seen.join(shared, "fp", "left_semi")
+    near = seen.join(shared.hint("merge"), "fp", "left_semi")
     first = near.groupBy("run_h", "run_g").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.where("n > 1").drop("n")
-    return near.join(first, ["run_h", "run_g"]).where(F.struct("id", "at") > F.col("first")).select("id", "mark", "at")
+    return near.join(first.hint("merge"), ["run_h", "run_g"]).where(F.struct("id", "at") > F.col("first")).select("id", "mark", "lines")
 
 
 def dedup_lines(docs: DataFrame, *, min_lines: int = 2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with text (what is left), n_lines and n_removed: a row for each input row."""
+    """``keep`` columns with text (what is left), n_lines and n_removed: a row for each input row.
+
+    The joins are partitioned at every size: what meets in them grows with the corpus.
+    """
     shelf = Shelf(docs.sparkSession, "lines")
-    found = repeated_runs(docs.select("doc_id", "text"), min_lines)
-    spans = shelf.put(found.groupBy("id", "mark").agg(F.sort_array(F.collect_set("at")).alias("spans")), "spans")
-    base = docs.select(
+    seen = shelf.put(winnowed(docs.select("doc_id", "text"), min_lines), "windows")
+    found = repeated_runs(seen).groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lost"))
+    lost = shelf.put(found, "lost")
+    shelf.drop(seen)
+    joined = docs.select(
         *[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)],
         F.coalesce(F.col("doc_id"), F.lit(FIRST)).alias("id"), F.xxhash64("text").alias("mark"), "text",
-    )
-    joined = base.join(spans, ["id", "mark"], "left")
-    gone = F.array_distinct(
-        F.flatten(F.transform("spans", lambda a: F.sequence(a, a + (min_lines - 1))))
-    )
-    counted = F.transform(_lines(), lambda s: s["i"])
-    out = joined.withColumn("lost", F.when(F.col("spans").isNull(), F.array().cast("array<int>")).otherwise(
-        F.transform(gone, lambda a: F.get(counted, a))
-    ))
-    left = F.array_join(
-        F.transform(
-            F.filter(
-                F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
-                lambda s: ~F.array_contains(F.col("lost"), s["i"]),
-            ),
-            lambda s: s["x"],
-        ),
-        "\n",
-    )
-    return out.select(
+    ).join(lost.hint("merge"), ["id", "mark"], "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("lost", i)), "\n")
+    breaks = F.length("text") - F.length(F.translate("text", "\n", ""))
+    return joined.select(
         *[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)],
-        F.when(F.col("spans").isNull(), F.col("text")).otherwise(left).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.size("lost").cast("long").alias("n_removed"),
+        F.when(F.col("lost").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
