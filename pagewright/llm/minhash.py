@@ -8,9 +8,11 @@ of its own (the same in all documents), so two sets agree in any bin with their
 *Buckets.* Each band of ``rows`` bins is a bucket. A pair of similarity s shares none with
 probability (1 - s**rows)**bands: 3e-5 at 0.8 and 2e-8 at 0.85 by default.
 *Stars.* A bucket links its least node, the hub, with the nodes that are not yet in the hub's
-component: a star, never all pairs. Links are confirmed on full sets; components are found anew;
-the hub leaves its bucket; and the rest goes on until every bucket lies in one component. Any two
-nodes of a bucket are thus compared or already connected.
+component: a star. Links are confirmed on full sets and components are found anew; hubs leave
+their buckets, and the next round has four times as many hubs a bucket, until every bucket lies in
+one component. Any two nodes of a bucket are thus compared or already connected, in rounds that
+grow with the logarithm of the largest bucket of unlike nodes. Before full sets are fetched,
+a pair whose signatures agree in over five standard deviations less than asked is let go.
 
 Null and wordless texts have empty sets, linked with nothing. Rows that share a doc_id are one
 node; rows of null doc_id are linked with nothing, and stay. Repeated rows are equal sets. Empty
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import Shelf, mix64, signed, slices, small_batches
@@ -129,24 +132,55 @@ def sketch(docs: DataFrame, *, shingle: int, bands: int, rows: int) -> DataFrame
     )
 
 
-def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """node (doc_id), set_a, set (array of shingle hashes) of (doc_id, text) rows."""
+def full_sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """node (doc_id), set_a, n, sig (low bytes of the signature) and set (shingle hashes)."""
 
     def run(batches):
         import pyarrow as pa
 
+        signer = Signer(bands, rows)
         for batch in batches:
             for part in slices(batch.column(1)):
                 sets = shingles(part.hashes(), part.word_at, shingle)
                 one, _ = _set_ids(sets)
+                filled = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
+                low = (mix64(signer.signatures(filled)) & np.uint64(255)).astype(np.uint8)
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, len(sets)), pa.array(signed(one)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat)))],
-                    ["node", "set_a", "set"],
+                    [
+                        batch.column(0).slice(part.first, len(sets)),
+                        pa.array(signed(one)),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([x.tobytes() for x in low], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat))),
+                    ],
+                    ["node", "set_a", "n", "sig", "set"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node bigint, set_a bigint, set array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "node bigint, set_a bigint, n bigint, sig binary, set array<bigint>")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, hub) whose sizes and signatures do not rule the similarity out."""
+    x = sets.select("node", F.col("n").alias("n1"), F.col("sig").alias("s1"))
+    y = sets.select(F.col("node").alias("hub"), F.col("n").alias("n2"), F.col("sig").alias("s2"))
+    both = pairs.join(x, "node").join(y, "hub").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+
+    def run(batches):
+        import pyarrow as pa
+
+        want = percent / 100
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), -1) for k in (3, 4))
+            n = np.minimum(batch.column(2).to_numpy(), a.shape[1])
+            least = want - 5 * np.sqrt(want * (1 - want) / np.maximum(n, 1))
+            ok = pa.array((a == b).mean(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["node", "hub"])
+
+    return both.select("node", "hub", F.greatest("n1", "n2").alias("n"), "s1", "s2").mapInArrow(run, "node bigint, hub bigint")
 
 
 def near_duplicates(
@@ -171,7 +205,7 @@ def near_duplicates(
     members = shelf.put(boxed.join(shared, "bucket"), "members")
     asked = members.select("node").distinct().join(first, "node")
     texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = full_sets(texts.join(asked.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
+    made = full_sets(texts.join(asked.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle, bands, rows)
     if repeated:  # of a node's rows, those that hold its set
         made = made.join(asked.select("node", "set_a"), ["node", "set_a"]).dropDuplicates(["node", "set_a"])
     sets = shelf.put(made, "sets")
@@ -182,39 +216,32 @@ def near_duplicates(
     )
     roots = components(shelf.put(links, "links"), shelf)
     roots = shelf.put(roots, "roots")
-    seed = True
+    hubs_now = 0  # in the first round a node asks its least hub alone, and no hub leaves
     while not members.isEmpty():
-        placed = (
-            members.join(roots, "node", "left")
-            .select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        )
-        mixed = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        held = shelf.put(placed.join(mixed.select("bucket", "hub"), "bucket"), "held")
+        placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+        place = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
+        held = shelf.put(placed.join(mixed, "bucket").withColumn("place", place), "held", collect_garbage=False)
         shelf.drop(members)
-        hubs = held.where("node = hub").select("bucket", F.col("root").alias("hub_root"))
-        rays = held.join(hubs, "bucket").where("root != hub_root")
-        if seed:  # most documents need one ray alone; the buckets keep their hubs for the next round
-            pairs = rays.groupBy("node").agg(F.min("hub").alias("hub"))
-            members = held.select("node", "bucket")
-        else:
-            pairs = rays.select("node", "hub").distinct()
-            members = held.where("node != hub").select("node", "bucket")
-        new = shelf.put(_confirmed(pairs, sets, percent), "confirmed")
-        members = shelf.put(members, "members")
-        shelf.drop(held)
+        hubs = held.where(F.col("place") <= max(1, hubs_now)).select("bucket", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+        rays = held.join(hubs, "bucket").where("root != hub_root and hub < node").select("node", "hub")
+        pairs = rays.distinct() if hubs_now else rays.groupBy("node").agg(F.min("hub").alias("hub"))
+        likely = shelf.put(_likely(pairs, sets, percent), "likely", collect_garbage=False)
+        new = shelf.put(_confirmed(likely, sets, percent), "confirmed")
+        members = shelf.put(held.where(F.col("place") > hubs_now).select("bucket", "node"), "members", collect_garbage=False)
+        shelf.drop(held, likely)
         if not new.isEmpty():
             # links between components found so far; only those meet again
-            old = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
             joined = (
-                new.join(roots.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), "a", "left")
-                .join(old, "b", "left")
+                new.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+                .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
                 .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
             )
             above = components(joined, shelf).select(F.col("node").alias("root"), F.col("root").alias("top"))
             every = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
             fresh = above.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
             roots = shelf.put(every.union(fresh), "roots")
-        seed = False
+        hubs_now = 4 * hubs_now or 1
     found = drawn_nodes.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
     return (
         drawn.select("doc_id", "n_shingles")
