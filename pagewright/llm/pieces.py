@@ -96,8 +96,8 @@ class Transducer:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.starts: dict[str, list[int]] = {}
-        self.prefixes = {t[:k] for t in model.id for k in range(1, len(t) + 1)}
+        #: the pieces' trie: every prefix of a piece, with the piece that ends there or -1
+        self.trie = {t[:k]: -1 for t in model.id for k in range(1, len(t) + 1)} | model.id
         self.follows: dict[int, bool] = {}
         pairs = {(a, b) for t in model.id for a, b in zip(t, t[1:], strict=False)}
         if any(b == SPACE != a for a, b in pairs):
@@ -164,20 +164,9 @@ class Transducer:
             known = self.follows[key] = self.merged(self.model.text[piece]) == [self.model.text[piece]]
         return known
 
-    def arcs(self, s: str, j: int) -> list[tuple[int, int]]:
-        """(end, piece) of pieces that start at j in s."""
-        out, ids, prefixes = [], self.model.id, self.prefixes
-        for e in range(j + 1, min(len(s), j + self.model.longest) + 1):
-            t = s[j:e]
-            if t not in prefixes:
-                break
-            k = ids.get(t)
-            if k is not None:
-                out.append((e, k))
-        return out
-
     def __call__(self, s: str) -> list[int]:
-        n = len(s)
+        n, longest, shift = len(s), self.model.longest, self.shift
+        walk, follows = self.trie.get, self.follows.get
         last: list[int | None] = [None] * (n + 1)  # the piece that the shortest path to a state ends in
         back = [0] * (n + 1)
         last[0] = -1
@@ -186,10 +175,19 @@ class Transducer:
             if a is None:
                 continue
             found = False
-            for e, k in self.arcs(s, j):
+            for e in range(j + 1, min(n, j + longest) + 1):  # the arcs that leave state j
+                k = walk(s[j:e])
+                if k is None:
+                    break
+                if k < 0:
+                    continue
                 found = found or e == j + 1
-                if last[e] is None and self.may_follow(a, k) and self.own(k):
-                    last[e], back[e] = k, j
+                if last[e] is None:
+                    ok = follows(a * shift + k) if a >= 0 else True
+                    if ok is None:
+                        ok = self.may_follow(a, k)
+                    if ok and self.own(k):
+                        last[e], back[e] = k, j
             if not found and last[j + 1] is None:
                 last[j + 1], back[j + 1] = -1, j
         out: list[int] = []
