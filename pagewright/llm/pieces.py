@@ -92,18 +92,63 @@ def default_model_path() -> str:
 
 
 class Transducer:
-    """The composed machine; ``__call__`` gives the shortest path's piece ids of one pre-token."""
+    """The composed machine; ``__call__`` gives the shortest path's piece ids of one pre-token.
+
+    The pieces' trie has a link from each state to that of its longest proper suffix, so the arcs
+    that end at a character are listed at the state that it leads to.
+    """
 
     def __init__(self, model: PieceModel):
         self.model = model
-        #: the pieces' trie: every prefix of a piece, with the piece that ends there or -1
-        self.trie = {t[:k]: -1 for t in model.id for k in range(1, len(t) + 1)} | model.id
+        self.shift = len(model.text) + 2
+        self._compile()
         self.follows: dict[int, bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        scores = [model.score[i] for t, i in model.id.items() if len(t) > 1]
+        self.ranked = len(set(scores)) == len(scores)
         pairs = {(a, b) for t in model.id for a, b in zip(t, t[1:], strict=False)}
         if any(b == SPACE != a for a, b in pairs):
             raise ValueError("pieces reach over a space; pre-tokens cannot be cut there")
         self.pattern = self._cuts(pairs)
-        self.shift = len(model.text) + 2
+
+    def _compile(self) -> None:
+        child: dict[int, int] = {}
+        above, piece = [(0, 0)], [-1]  # of each state: its parent and character; the piece that ends there
+        depth = [0]
+        for t, i in self.model.id.items():
+            at = 0
+            for c in map(ord, t):
+                below = child.get(at << 21 | c)
+                if below is None:
+                    below = child[at << 21 | c] = len(piece)
+                    above.append((at, c))
+                    depth.append(depth[at] + 1)
+                    piece.append(-1)
+                at = below
+            piece[at] = i
+        self.child, self.suffix = child, [0] * len(piece)
+        #: state -> (length, piece) of the pieces that end there, longest first
+        self.arcs: list[tuple[tuple[int, int], ...]] = [()] * len(piece)
+        for state in sorted(range(1, len(piece)), key=depth.__getitem__):
+            parent, c = above[state]
+            if parent:
+                self.suffix[state] = self._next(self.suffix[parent], c)
+            ends = self.arcs[self.suffix[state]]
+            self.arcs[state] = ((depth[state], piece[state]), *ends) if piece[state] >= 0 else ends
+        self.go = dict(child)
+
+    def _next(self, state: int, c: int) -> int:
+        while (below := self.child.get(state << 21 | c)) is None and state:
+            state = self.suffix[state]
+        return below or 0
+
+    def step(self, key: int) -> int:
+        """The state after ``key`` (state << 21 | character), kept in ``go``."""
+        if len(self.go) > 1_000_000:
+            self.go.clear()
+            self.go.update(self.child)
+        out = self.go[key] = self._next(key >> 21, key & 0x1FFFFF)
+        return out
 
     @staticmethod
     def _cuts(pairs: set[tuple[str, str]]) -> re.Pattern:
@@ -143,62 +188,93 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def may_follow(self, a: int, b: int) -> bool:
-        """Whether piece b after piece a costs 0; -1 stands for a start or a fallback character."""
-        if a < 0 or b < 0:
-            return True
-        key = a * self.shift + b
-        known = self.follows.get(key)
-        if known is None:
-            x, y = self.model.text[a], self.model.text[b]
-            if len(self.follows) > 400_000:
-                self.follows.clear()
-            known = self.follows[key] = self.merged(x + y) == [x, y]
-        return known
-
-    def own(self, piece: int) -> bool:
-        """Whether a piece's own string merges to it."""
-        key = -piece - 1
-        known = self.follows.get(key)
-        if known is None:
-            known = self.follows[key] = self.merged(self.model.text[piece]) == [self.model.text[piece]]
-        return known
+    def split(self, s: str) -> tuple[str, str] | None:
+        """The two parts of a piece's last merge; None if its string does not merge to it, or if a
+        part ranks below it (merges are then not in order of rank)."""
+        if s in self.halves:
+            return self.halves[s]
+        ids, score = self.model.id, self.model.score
+        parts, out = list(s), None
+        while len(parts) > 1:
+            if len(parts) == 2:
+                out = (parts[0], parts[1])
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                k = ids.get(parts[i] + parts[i + 1])
+                if k is not None and (best is None or score[k] > best):
+                    best, at = score[k], i
+            if at < 0:
+                out = None
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if out and any(len(x) > 1 and (score[ids[x]] <= score[ids[s]] or not self.split(x)) for x in out):
+            out = None
+        self.halves[s] = out
+        return out
+
+    def _apart(self, x: str, y: str) -> bool:
+        """Whether the strings of two pieces merge to just these two. From the last merge back to the
+        first, no pair over the border may outrank the merge that parted it."""
+        ids, score = self.model.id, self.model.score
+        if not self.ranked or any(len(t) > 1 and not self.split(t) for t in (x, y)):
+            return self.merged(x + y) == [x, y]
+        limit, left = float("-inf"), True
+        while True:
+            k = ids.get(x + y)
+            if k is not None and (score[k] > limit or (score[k] == limit and not left)):
+                return False
+            one = score[ids[x]] if len(x) > 1 else float("inf")
+            two = score[ids[y]] if len(y) > 1 else float("inf")
+            left = one < two  # the later merge; of equal ones the right one is later
+            limit = one if left else two
+            if limit == float("inf"):
+                return True
+            if left:
+                x = self.split(x)[1]
+            else:
+                y = self.split(y)[0]
+
+    def may_follow(self, before: int, piece: int) -> bool:
+        """Whether a piece costs 0 after ``before``: a piece + 1, or 0 for a start or a fallback character."""
+        if len(self.follows) > 400_000:
+            self.follows.clear()
+        y = self.model.text[piece]
+        ok = self._apart(self.model.text[before - 1], y) if before else self.merged(y) == [y]
+        self.follows[before * self.shift + piece] = ok
+        return ok
 
     def __call__(self, s: str) -> list[int]:
-        n, longest, shift = len(s), self.model.longest, self.shift
-        walk, follows = self.trie.get, self.follows.get
-        last: list[int | None] = [None] * (n + 1)  # the piece that the shortest path to a state ends in
-        back = [0] * (n + 1)
-        last[0] = -1
-        for j in range(n):
-            a = last[j]
-            if a is None:
-                continue
-            found = False
-            for e in range(j + 1, min(n, j + longest) + 1):  # the arcs that leave state j
-                k = walk(s[j:e])
-                if k is None:
-                    break
-                if k < 0:
-                    continue
-                found = found or e == j + 1
-                if last[e] is None:
-                    ok = follows(a * shift + k) if a >= 0 else True
+        shift, arcs, ids = self.shift, self.arcs, self.model.id
+        go, follows = self.go.get, self.follows.get
+        last, back = [0], [0]  # of each state's shortest path: its last piece + 1 (0: none, -1: no path), and where that begins
+        state = 0
+        for e, c in enumerate(s, 1):
+            key = state << 21 | ord(c)
+            state = go(key)
+            if state is None:
+                state = self.step(key)
+            for k, piece in arcs[state]:  # the arcs that end here
+                before = last[e - k]
+                if before >= 0:
+                    ok = follows(before * shift + piece)
                     if ok is None:
-                        ok = self.may_follow(a, k)
-                    if ok and self.own(k):
-                        last[e], back[e] = k, j
-            if not found and last[j + 1] is None:
-                last[j + 1], back[j + 1] = -1, j
+                        ok = self.may_follow(before, piece)
+                    if ok:
+                        last.append(piece + 1)
+                        back.append(e - k)
+                        break
+            else:
+                last.append(0 if c not in ids and last[e - 1] >= 0 else -1)
+                back.append(e - 1)
         out: list[int] = []
-        e = n
+        e = len(s)
         while e > 0:
-            if last[e] is None:
-                raise ValueError(f"no path through {s!r}")
             if last[e] < 0:
-                out.extend(self.model.byte_id[x] for x in reversed(s[back[e] : e].encode()))
+                raise ValueError(f"no path through {s!r}")
+            if last[e]:
+                out.append(last[e] - 1)
             else:
-                out.append(last[e])
+                out.extend(self.model.byte_id[x] for x in reversed(s[back[e] : e].encode()))
             e = back[e]
         return out[::-1]
 

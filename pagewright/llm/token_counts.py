@@ -21,7 +21,7 @@ from ._common import small_batches
 from .encoding import model_bytes
 from .pieces import PieceModel, Transducer
 
-MOST_NODES, LONGEST = 400_000, 64
+MOST_NODES, LONGEST = 1_000_000, 64
 _workers: dict[str, Trie] = {}
 
 
@@ -32,7 +32,7 @@ class Trie:
 
     def reset(self) -> None:
         self.child: dict[int, int] = {}
-        self.last, self.score, self.count = [-1], [0.0], [0]
+        self.last, self.score, self.count, self.state = [0], [0.0], [0], [0]
         self.terminal: dict[str, tuple[int, float]] = {}
 
     def count_of(self, s: str) -> tuple[int, float]:
@@ -49,37 +49,43 @@ class Trie:
 
     def _insert(self, s: str) -> tuple[int, float]:
         child, node, line = self.child, 0, [0]
-        for depth, c in enumerate(s, 1):
+        for c in s:
             key = node << 21 | ord(c)
             below = child.get(key)
             if below is None:
-                below = child[key] = self._grow(s[:depth], line)
+                below = child[key] = self._grow(c, line)
             node = below
             line.append(node)
         return self.count[node], self.score[node]
 
-    def _grow(self, prefix: str, line: list[int]) -> int:
+    def _grow(self, c: str, line: list[int]) -> int:
         """A new node: the arcs that end at it, over the forward values of its ancestors."""
-        machine, model = self.machine, self.machine.model
-        ids, last = model.id, self.last
-        n = len(prefix)
-        end = None
-        for k in range(min(n, model.longest), 0, -1):
-            piece = ids.get(prefix[n - k :])
-            if piece is None:
-                continue
+        machine, last, n = self.machine, self.last, len(line)
+        key = self.state[line[-1]] << 21 | ord(c)
+        state = machine.go.get(key)
+        if state is None:
+            state = machine.step(key)
+        follows, shift = machine.follows.get, machine.shift
+        end, score, count = -1, 0.0, 0
+        for k, piece in machine.arcs[state]:
             at = line[n - k]
-            if last[at] is not None and machine.may_follow(last[at], piece) and machine.own(piece):
-                end = (piece, self.score[at] + model.score[piece], self.count[at] + 1)
-                break
-        if end is None and prefix[-1] not in ids and last[line[-1]] is not None:  # byte fallback
+            before = last[at]
+            if before >= 0:
+                ok = follows(before * shift + piece)
+                if ok is None:
+                    ok = machine.may_follow(before, piece)
+                if ok:
+                    end, score, count = piece + 1, self.score[at] + machine.model.score[piece], self.count[at] + 1
+                    break
+        else:
             at = line[-1]
-            raw = prefix[-1].encode()
-            end = (-1, self.score[at] + sum(model.score[model.byte_id[x]] for x in raw), self.count[at] + len(raw))
-        piece, score, count = end or (None, 0.0, 0)
-        last.append(piece)
+            if c not in machine.model.id and last[at] >= 0:  # byte fallback
+                model, raw = machine.model, c.encode()
+                end, score, count = 0, self.score[at] + sum(model.score[model.byte_id[x]] for x in raw), self.count[at] + len(raw)
+        last.append(end)
         self.score.append(score)
         self.count.append(count)
+        self.state.append(state)
         return len(last) - 1
 
     @staticmethod
