@@ -41,27 +41,31 @@ def lines(pages: DataFrame) -> DataFrame:
     )
 
 
-def split_cells(lined: DataFrame) -> DataFrame:
-    """doc_id, page, line_seq, cell, x, text: a line cut where a gap exceeds max(18, 2 * size)."""
-    spans = lined.select("doc_id", "page", "line_seq", F.posexplode("spans").alias("pos", "s"))
-    w = W.partitionBy("doc_id", "page", "line_seq").orderBy("pos")
-    edge = F.lag(F.col("s.bounds.x") + F.col("s.bounds.width")).over(w)
-    cut = F.coalesce((F.col("s.bounds.x") - edge > F.greatest(F.lit(18.0), 2 * F.col("s.font_size"))).cast("int"), F.lit(0))
-    cells = spans.withColumn("cut", cut).withColumn("cell", F.sum("cut").over(w))
-    return cells.groupBy("doc_id", "page", "line_seq", "cell").agg(
-        F.min("s.bounds.x").alias("x"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s.text"))), lambda p: p["text"]), " ").alias("text"),
-    )
+def line_cells(spans: Column) -> Column:
+    """array<struct<x, text>>: a line's spans cut where a gap exceeds max(18, 2 * size)."""
 
+    def begins(s: Column, i: Column) -> Column:
+        before = F.get(spans, i - 1)["bounds"]
+        gap = s["bounds"]["x"] - (before["x"] + before["width"])
+        return (i == 0) | F.coalesce(gap > F.greatest(F.lit(18.0), 2 * s["font_size"]), F.lit(False))
 
-def table_runs(cells: DataFrame, *, min_columns: int = 2, min_rows: int = 2, tolerance: float = 16.0) -> DataFrame:
-    """doc_id, page, table_seq, line_seq, row and cells: consecutive lines with aligned cells.
+    starts = F.filter(F.transform(spans, lambda s, i: F.when(begins(s, i), i)), lambda i: i.isNotNull())
 
-    A run goes on while its lines have ``min_columns`` cells, each near one of the first row's.
-    """
-    rows = cells.groupBy("doc_id", "page", "line_seq").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("cells"))
-    page = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_seq", "cells"))).alias("rows"))
-    kind = page.schema["rows"].dataType.elementType.simpleString()
+    def cell(i: Column, k: Column) -> Column:
+        held = F.slice(spans, i + 1, F.coalesce(F.get(starts, k + 1), F.size(spans)) - i)
+        return F.struct(F.array_min(F.transform(held, lambda s: s["bounds"]["x"])).alias("x"), F.array_join(F.transform(held, lambda s: s["text"]), " ").alias("text"))
+
+    return F.transform(starts, cell)
+
+
+def split_cells(lined: DataFrame) -> DataFrame:
+    """doc_id, page, line_seq, cell, x, text: a row for each cell of each line; nothing is shuffled."""
+    cells = lined.select("doc_id", "page", "line_seq", F.posexplode(line_cells(F.col("spans"))).alias("cell", "c"))
+    return cells.select("doc_id", "page", "line_seq", "cell", "c.x", "c.text")
+
+
+def _runs(rows: Column, kind: str, min_columns: int, min_rows: int, tolerance: float) -> Column:
+    """Runs of a page's ``rows`` (array of line_seq and cells, in order)."""
     empty = F.array().cast(f"array<array<{kind}>>")
 
     def fold(runs: Column, r: Column) -> Column:
@@ -73,12 +77,37 @@ def table_runs(cells: DataFrame, *, min_columns: int = 2, min_rows: int = 2, tol
         wide = F.size(r["cells"]) >= min_columns
         return F.when(wide & joins, grown).when(wide, F.concat(runs, F.array(F.array(r)))).otherwise(runs)
 
-    runs = F.filter(F.aggregate("rows", empty, fold), lambda run: F.size(run) >= min_rows)
+    return F.filter(F.aggregate(rows, empty, fold), lambda run: F.size(run) >= min_rows)
+
+
+def _run_rows(page: DataFrame, min_columns: int, min_rows: int, tolerance: float) -> DataFrame:
+    kind = page.schema["rows"].dataType.elementType.simpleString()
+    runs = _runs(F.col("rows"), kind, min_columns, min_rows, tolerance)
     return page.select("doc_id", "page", F.posexplode(runs).alias("table_seq", "run")).select(
         "doc_id", "page", "table_seq", F.posexplode("run").alias("row", "r")
     ).select("doc_id", "page", "table_seq", "row", "r.line_seq", "r.cells")
 
 
+def table_runs(cells: DataFrame, *, min_columns: int = 2, min_rows: int = 2, tolerance: float = 16.0) -> DataFrame:
+    """doc_id, page, table_seq, line_seq, row and cells: consecutive lines with aligned cells.
+
+    A run goes on while its lines have ``min_columns`` cells, each near one of the first row's.
+    Cells are dealt by page once; ``page_tables`` starts from whole pages and needs no shuffle.
+    """
+    dealt = cells.repartition("doc_id", "page")
+    rows = dealt.groupBy("doc_id", "page", "line_seq").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("cells"))
+    page = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_seq", "cells"))).alias("rows"))
+    return _run_rows(page, min_columns, min_rows, tolerance)
+
+
+def page_tables(pages: DataFrame, *, min_columns: int = 2, min_rows: int = 2, tolerance: float = 16.0) -> DataFrame:
+    """``table_runs`` of the cells of ``lines`` of ``pages``, page by page inside its row."""
+    kind = pages.schema["spans"].dataType.elementType.simpleString()
+    lined = pages.select("doc_id", "page", group_rows(F.col("spans"), kind).alias("lined"))
+    rows = F.transform("lined", lambda spans, i: F.struct(i.alias("line_seq"), F.array_sort(line_cells(spans)).alias("cells")))
+    return _run_rows(lined.select("doc_id", "page", rows.alias("rows")), min_columns, min_rows, tolerance)
+
+
 def upper_median(c: str | Column) -> Column:
     """The upper middle value, never interpolated; null for no values."""
     held = F.array_sort(F.collect_list(c))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import SPAN
@@ -21,13 +20,15 @@ def span(seq: Column, text: Column, x: Column, y: Column, size: float = 10.0) ->
 
 def invoices(lineitem: DataFrame) -> DataFrame:
     """One page an order: a header row and a row for each line item, in three columns."""
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = lineitem.select(
-        F.col("l_orderkey").cast("string").alias("doc_id"), F.row_number().over(w).alias("n"),
-        F.col("l_partkey").cast("string").alias("a"), F.col("l_quantity").cast("int").cast("string").alias("b"),
-        F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("c"),
+    item = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
+        F.col("l_quantity").cast("int").cast("string").alias("quantity"),
     )
-    body = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "a", "b", "c"))).alias("r"))
+    # dealt by a number of its own: a page costs more than its few bytes let the optimiser expect
+    parts = int(lineitem.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    orders = lineitem.repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    row = F.transform("items", lambda r, i: F.struct((i + 1).alias("n"), r["l_partkey"].cast("string").alias("a"), r["quantity"].alias("b"), r["price"].cast("string").alias("c")))
+    body = orders.select(F.col("l_orderkey").cast("string").alias("doc_id"), row.alias("r"))
     head = F.array(F.struct(F.lit(0).alias("n"), F.lit("Item").alias("a"), F.lit("Qty").alias("b"), F.lit("Price").alias("c")))
     every = F.concat(head, F.col("r"))
     cells = F.flatten(

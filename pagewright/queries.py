@@ -34,7 +34,7 @@ _REVENUE = "SELECT l_orderkey::VARCHAR AS doc_id, sum(cast(l_extendedprice AS DE
 
 
 def _revenue(pages: DataFrame) -> DataFrame:
-    rows = structure.table_runs(structure.split_cells(structure.lines(pages)))
+    rows = structure.page_tables(pages)
     price = F.get("cells", F.lit(2))["text"]
     return rows.where(T.is_numeric_field(price)).groupBy("doc_id").agg(F.sum(price.cast("decimal(18,2)")).cast("double").alias("revenue"))
 

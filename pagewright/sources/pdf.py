@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schema import PAGES
 
 MAX_NESTING, MAX_DECODED, MAX_DEPTH = 128, 64 << 20, 128
-_WHITE, _DELIM = b"\x00\t\n\x0c\r ", b"()<>[]{}/%"
 
 
 class PdfError(Exception):
@@ -41,6 +40,13 @@ class Stream:
         self.head, self.raw = head, raw
 
 
+_GAP = re.compile(rb"(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)*")
+_REGULAR = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]*")
+_PLAIN = re.compile(rb"\(([^()\\]*)\)")
+_NUMBER = re.compile(rb"[+-]?(?=\.?\d)\d*(\.\d*)?")
+_REFERENCE = re.compile(rb"\s+(\d+)\s+R(?![A-Za-z0-9])")
+
+
 class Lexer:
     """Values of the PDF syntax from a byte string."""
 
@@ -48,16 +54,7 @@ class Lexer:
         self.data, self.at = data, at
 
     def skip(self) -> None:
-        d, n = self.data, len(self.data)
-        while self.at < n:
-            c = d[self.at]
-            if c in _WHITE:
-                self.at += 1
-            elif c == 0x25:
-                while self.at < n and d[self.at] not in b"\r\n":
-                    self.at += 1
-            else:
-                return
+        self.at = _GAP.match(self.data, self.at).end()
 
     def value(self, depth: int = 0):
         if depth > MAX_NESTING:
@@ -100,25 +97,24 @@ class Lexer:
             self.at += 1
             return Operator(c.decode())
         word = self._word(0)
-        if re.fullmatch(rb"[+-]?\d+", word):
-            if m := re.compile(rb"\s+(\d+)\s+R(?![A-Za-z0-9])").match(d, self.at):
+        if m := _NUMBER.fullmatch(word):
+            if m[1]:
+                return float(word)
+            if m := _REFERENCE.match(d, self.at):
                 self.at = m.end()
                 return Ref((int(word), int(m[1])))
             return int(word)
-        if re.fullmatch(rb"[+-]?(\d+\.\d*|\.\d+)", word):
-            return float(word)
         return {b"true": True, b"false": False, b"null": None}.get(word, Operator(word.decode("latin-1")))
 
     def _word(self, skip: int) -> bytes:
         start = self.at
-        self.at += skip
-        while self.at < len(self.data) and self.data[self.at] not in _WHITE and self.data[self.at] not in _DELIM:
-            self.at += 1
-        if self.at == start:
-            self.at += 1
+        self.at = max(_REGULAR.match(self.data, start + skip).end(), start + 1)
         return self.data[start : self.at]
 
     def _literal(self) -> bytes:
+        if m := _PLAIN.match(self.data, self.at):
+            self.at = m.end()
+            return m[1]
         d, out, depth = self.data, bytearray(), 1
         self.at += 1
         escapes = {0x6E: 10, 0x72: 13, 0x74: 9, 0x62: 8, 0x66: 12}
@@ -505,6 +501,10 @@ def extract(data: bytes) -> Iterator[dict]:
         yield {"page": number, "width": x1 - x0, "height": y1 - y0, "rotate": int(doc.resolve(node.get("Rotate")) or 0) % 360, "spans": text.spans, "error": None}
 
 
+#: A batch ends with the file that brings its pages and spans to this number.
+BATCH_WEIGHT = 5000
+
+
 def pages_of(files: DataFrame) -> DataFrame:
     """Page rows of (doc_id, content) rows; a file that fails gives one row with its error."""
 
@@ -517,14 +517,21 @@ def pages_of(files: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
+            out: list[dict] = []
+            weight = 0
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = []
+                held = len(out)
                 try:
                     out += ({"doc_id": name} | p for p in extract(content or b""))
                 except PdfError as e:
                     out.append({"doc_id": name, "error": {"code": e.code, "message": str(e)}})
                 except Exception as e:  # noqa: BLE001  damaged input shows in many ways
                     out.append({"doc_id": name, "error": {"code": "INVALID_PDF", "message": repr(e)[:200]}})
+                weight += sum(len(p.get("spans") or ()) + 1 for p in out[held:])
+                if weight >= BATCH_WEIGHT:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out, weight = [], 0
+            if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     return files.select("doc_id", "content").mapInArrow(run, PAGES)

@@ -61,3 +61,22 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(columns)
     rows = lambda data: sorted(data, key=str)
     assert rows(tuple(r) for r in got.select(*columns).collect()) == rows(want.fetchall())
+
+
+def test_lexer_edges():
+    v = pdf.Lexer(b"% note\r\n[.5 -.5 5. +7 (plain) (a(b)c) 4 0 R true x1]%end").value()
+    assert v == [0.5, -0.5, 5.0, 7, b"plain", b"a(b)c", pdf.Ref((4, 0)), True, "x1"]
+
+
+def test_page_tables_equal_table_runs(spark):
+    from pyspark.sql import functions as F
+
+    from pagewright.operators import structure
+    from pagewright.plans import layout
+
+    lineitem = spark.read.parquet(f"{SF}/lineitem.parquet")
+    pages = layout.invoices(lineitem).withColumn("spans", F.slice("spans", 1, 14))  # the last line has two cells
+    whole = structure.page_tables(pages)
+    dealt = structure.table_runs(structure.split_cells(structure.lines(pages))).select(whole.columns)
+    assert whole.exceptAll(dealt).isEmpty() and dealt.exceptAll(whole).isEmpty() and whole.count() > 1000
+    assert "Exchange" not in structure.page_tables(spark.createDataFrame(pages.limit(1).collect(), pages.schema))._jdf.queryExecution().executedPlan().toString()
