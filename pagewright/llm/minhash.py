@@ -210,12 +210,10 @@ def near_duplicates(
         made = made.join(asked.select("node", "set_a"), ["node", "set_a"]).dropDuplicates(["node", "set_a"])
     sets = shelf.put(made, "sets")
 
-    # rows of one doc_id with different sets: their nodes are one document
-    links = (
-        drawn_nodes.select("doc_id", "node").distinct().groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("a", "b")
-    )
-    roots = components(shelf.put(links, "links"), shelf)
-    roots = shelf.put(roots, "roots")
+    roots = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
+    if repeated:  # rows of one doc_id with different sets: their nodes are one document
+        ends = drawn_nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+        roots = shelf.put(components(ends.where("a != b").select("a", "b"), shelf), "roots")
     hubs_now = 0  # in the first round a node asks its least hub alone, and no hub leaves
     while not members.isEmpty():
         placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
