@@ -4,8 +4,9 @@ A task puts the distinct pre-tokens of its documents into a trie. A node is a pr
 the forward score of the prefix (summed unigram scores along its best path), the last piece of
 that path and the path's length, computed once from its ancestors when the node is made, however
 many pre-tokens run through it. A node where a pre-token ends is its terminal count. The pair
-weights of ``pieces`` hold, so counts equal the model library's. A trie of ``MOST_NODES`` nodes
-starts anew; pre-tokens longer than ``LONGEST`` take the transducer's own pass.
+weights of ``pieces`` hold, so counts equal the model library's. Texts are taken in parts of about
+``PART`` characters; before a part, a trie of over ``MOST_NODES`` nodes starts anew. Pre-tokens longer
+than ``LONGEST`` take the transducer's own pass and become a node of their own for that part.
 
 Null and empty texts have no tokens; rows are counted whole and alone, so repeated rows, ids and
 other columns play no part. Nothing is shuffled.
@@ -14,17 +15,34 @@ other columns play no part. Nothing is shuffled.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from ._common import small_batches
 from .encoding import model_bytes
 from .pieces import PieceModel, Transducer
 
-MOST_NODES, LONGEST = 1_000_000, 64
+MOST_NODES, LONGEST, PART = 1_000_000, 64, 1 << 20
 _workers: dict[str, Trie] = {}
 
 
+class Terminals(dict):
+    """Pre-token -> its node, inserted on first use."""
+
+    def __init__(self, trie: Trie):
+        super().__init__()
+        self.trie = trie
+
+    def __missing__(self, s: str) -> int:
+        if len(s) > LONGEST:
+            return self.trie.detached(s)
+        node = self[s] = self.trie.insert(s)
+        return node
+
+
 class Trie:
     def __init__(self, machine: Transducer):
         self.machine = machine
@@ -32,61 +50,67 @@ class Trie:
 
     def reset(self) -> None:
         self.child: dict[int, int] = {}
-        self.last, self.score, self.count, self.state = [0], [0.0], [0], [0]
-        self.terminal: dict[str, tuple[int, float]] = {}
-
-    def count_of(self, s: str) -> tuple[int, float]:
-        """(tokens, forward score) of a pre-token."""
-        got = self.terminal.get(s)
-        if got is None:
-            if len(s) > LONGEST:
-                ids = self.machine(s)
-                return len(ids), sum(self.machine.model.score[k] for k in ids)
-            if len(self.last) > MOST_NODES:
-                self.reset()
-            got = self.terminal[s] = self._insert(s)
-        return got
-
-    def _insert(self, s: str) -> tuple[int, float]:
-        child, node, line = self.child, 0, [0]
-        for c in s:
-            key = node << 21 | ord(c)
-            below = child.get(key)
+        self.last, self.score, self.count, self.state = array("i", [0]), array("d", [0.0]), array("q", [0]), array("i", [0])
+        self.terminal = Terminals(self)
+
+    def totals(self, texts: list[str]) -> Iterator[tuple[int, int, float]]:
+        """(pre-tokens, tokens, forward score) of each text."""
+        if len(self.last) > MOST_NODES:
+            self.reset()
+        node = self.terminal.__getitem__
+        ends = [np.fromiter(map(node, words), np.int64, len(words)) for words in map(self.machine.pretokens, texts)]
+        count, score = np.array(self.count), np.array(self.score)
+        for at in ends:
+            yield len(at), int(count[at].sum()), float(score[at].sum())
+
+    def detached(self, s: str) -> int:
+        ids = self.machine(s)
+        return self._add(-1, sum(self.machine.model.score[k] for k in ids), len(ids), 0)
+
+    def insert(self, s: str) -> int:
+        """The node of ``s``. A new node looks at the arcs that end at it, over the forward values of
+        its ancestors; the first arc that may follow is the path's."""
+        machine, child, last, states = self.machine, self.child, self.last, self.state
+        go, follows, arcs, shift, weight = machine.go.get, machine.follows.get, machine.arcs, machine.shift, machine.model.score
+        node, line = 0, [0]
+        for n, c in enumerate(s, 1):
+            code = ord(c)
+            below = child.get(node << 21 | code)
             if below is None:
-                below = child[key] = self._grow(c, line)
+                state = go(states[node] << 21 | code)
+                if state is None:
+                    state = machine.step(states[node] << 21 | code)
+                for k, piece in arcs[state]:
+                    at = line[n - k]
+                    before = last[at]
+                    if before >= 0:
+                        ok = follows(before * shift + piece)
+                        if ok is None:
+                            ok = machine.may_follow(before, piece)
+                        if ok:
+                            below = self._add(piece + 1, self.score[at] + weight[piece], self.count[at] + 1, state)
+                            break
+                else:
+                    below = self._fall_back(c, node, state)
+                child[node << 21 | code] = below
             node = below
             line.append(node)
-        return self.count[node], self.score[node]
-
-    def _grow(self, c: str, line: list[int]) -> int:
-        """A new node: the arcs that end at it, over the forward values of its ancestors."""
-        machine, last, n = self.machine, self.last, len(line)
-        key = self.state[line[-1]] << 21 | ord(c)
-        state = machine.go.get(key)
-        if state is None:
-            state = machine.step(key)
-        follows, shift = machine.follows.get, machine.shift
-        end, score, count = -1, 0.0, 0
-        for k, piece in machine.arcs[state]:
-            at = line[n - k]
-            before = last[at]
-            if before >= 0:
-                ok = follows(before * shift + piece)
-                if ok is None:
-                    ok = machine.may_follow(before, piece)
-                if ok:
-                    end, score, count = piece + 1, self.score[at] + machine.model.score[piece], self.count[at] + 1
-                    break
-        else:
-            at = line[-1]
-            if c not in machine.model.id and last[at] >= 0:  # byte fallback
-                model, raw = machine.model, c.encode()
-                end, score, count = 0, self.score[at] + sum(model.score[model.byte_id[x]] for x in raw), self.count[at] + len(raw)
-        last.append(end)
+        return node
+
+    def _fall_back(self, c: str, node: int, state: int) -> int:
+        """A node that no arc reaches: byte pieces for a character without a piece, else no path."""
+        model = self.machine.model
+        if c in model.id or self.last[node] < 0:
+            return self._add(-1, 0.0, 0, state)
+        raw = c.encode()
+        return self._add(0, self.score[node] + sum(model.score[model.byte_id[x]] for x in raw), self.count[node] + len(raw), state)
+
+    def _add(self, last: int, score: float, count: int, state: int) -> int:
+        self.last.append(last)
         self.score.append(score)
         self.count.append(count)
         self.state.append(state)
-        return len(last) - 1
+        return len(self.last) - 1
 
     @staticmethod
     def of(data: bytes) -> Trie:
@@ -97,6 +121,19 @@ class Trie:
         return _workers[key]
 
 
+def parts(texts: list[str | None]) -> Iterator[list[str]]:
+    """Texts, nulls as empty ones, in runs of about ``PART`` characters; a longer text is a run of its own."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text or "") > PART:
+            yield held
+            held, size = [], 0
+        held.append(text or "")
+        size += len(held[-1])
+    if held:
+        yield held
+
+
 def count_tokens(docs: DataFrame, *, model_path: str | None = None, id_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``id_columns``, n_pretokens, n_tokens and path_score: a row for each document."""
     spark = docs.sparkSession
@@ -110,16 +147,11 @@ def count_tokens(docs: DataFrame, *, model_path: str | None = None, id_columns:
 
         trie = Trie.of(shared.value)
         for batch in batches:
-            texts = [trie.machine.pretokens(t or "") for t in batch.column(k).to_pylist()]
-            # siblings come one after another in sorted order
-            counts = {s: trie.count_of(s) for s in sorted({s for words in texts for s in words})}
-            pairs = [[counts[s] for s in words] for words in texts]
+            told = [x for part in parts(batch.column(k).to_pylist()) for x in trie.totals(part)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(i) for i in range(k)],
-                    pa.array([len(x) for x in pairs], pa.int64()),
-                    pa.array([sum(p[0] for p in x) for x in pairs], pa.int64()),
-                    pa.array([float(sum(p[1] for p in x)) for x in pairs], pa.float64()),
+                    *[pa.array([x[i] for x in told], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
                 ],
                 [*id_columns, "n_pretokens", "n_tokens", "path_score"],
             )
