@@ -36,7 +36,7 @@ def shingles(h: np.ndarray, word_at: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each document of a slice."""
     n = len(h)
     run = h.copy()
-    for step in range(1, k):  # run[i] covers words i .. i + step
+    for step in range(1, min(k, n)):  # run[i] covers words i .. i + step
         run[: n - step] = run[: n - step] * _NEXT + h[step:]
     run = mix64(run)
     out = []

@@ -100,6 +100,13 @@ def test_minhash_odd_tables(spark, empty):
     assert all(r.kept for r in got if r.doc_id is None)
 
 
+@pytest.mark.parametrize("text", ["one", "one two", "one two three", "one two three four"])
+def test_minhash_of_a_slice_shorter_than_a_shingle(spark, text):
+    alone = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = minhash.near_duplicates(alone, shingle=5).collect()
+    assert [tuple(r) for r in got] == [(1, 1, 1, True)]
+
+
 def test_language_of_held_out_rows(spark):
     rng = random.Random(3)
     sounds = {"aa": ["ba", "be", "bi", "lo", "la"], "bb": ["tsch", "ung", "ver", "heit"], "cc": ["ñe", "ción", "que", "ar"]}
