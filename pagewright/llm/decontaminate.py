@@ -12,7 +12,8 @@ broadcast; further blocks are further passes over documents that carry their hit
 Words are maximal runs of [0-9a-z] and non-ASCII characters after A-Z is lower-cased. A window is
 ``n`` consecutive item words, or the whole of a shorter item; items without words are ignored.
 Null texts have no words. Rows are judged one by one, so repeated rows, ids and other columns
-play no part; no benchmark or an empty table gives no hits. Repeated items each count.
+play no part; no benchmark or an empty table gives no hits. Repeated items each count. Items
+without an id count as hits too and are one null, the last, among a document's items.
 """
 
 from __future__ import annotations
@@ -35,16 +36,21 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
+def _in_order(items: set[int | None]) -> list[int | None]:
+    """Ascending, a null last."""
+    return sorted(items, key=lambda x: (x is None, x or 0))
+
+
 class Windows:
     """Distinct windows of a block of items: term ids padded with -1, and the items of each."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], n: int):
-        seen: dict[tuple[bytes, ...], set[int]] = {}
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], n: int):
+        seen: dict[tuple[bytes, ...], set[int | None]] = {}
         for item, words in items:
             for i in range(max(1, len(words) - n + 1)):
                 seen.setdefault(tuple(words[i : i + n]), set()).add(item)
         self.words = list(seen)
-        self.items = [sorted(x) for x in seen.values()]
+        self.items = list(map(_in_order, seen.values()))
         vocabulary = sorted({w for t in seen for w in t})
         joined = np.frombuffer(b"".join(vocabulary), np.uint8)
         at = np.cumsum([0, *map(len, vocabulary)])
@@ -139,11 +145,11 @@ class Index:
                     break
 
 
-def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:
     block, held = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         words = words_of(row["text"])
-        if not words or row["item_id"] is None:
+        if not words:
             continue
         if block and held + len(words) > block_words:
             yield block
@@ -207,7 +213,7 @@ def _scan(shared, k: int):
                 old_spans, old_items = spans.to_pylist(), items.to_pylist()
                 for d, (hit, ids) in found.items():
                     old_spans[d] = merged([*hit, *[(x["start"], x["end"]) for x in old_spans[d]]])
-                    old_items[d] = sorted(ids.union(old_items[d]))
+                    old_items[d] = _in_order(ids.union(old_items[d]))
                 spans, items = pa.array(old_spans, spans.type), pa.array(old_items, items.type)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(k + 1)], pa.array(total), spans, items], batch.schema.names

@@ -261,6 +261,28 @@ def test_decontamination(spark, docs, rows):
     assert decontaminate.find_hits(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_benchmark_items_without_an_id_count(spark, tmp_path):
+    import duckdb
+
+    from pagewright.llm.queries import op6_decontaminate
+
+    w = [f"q{i}" for i in range(40)]
+    docs = [(1, " ".join(w[:20])), (2, " ".join(w[5:25])), (3, " ".join(w[20:])), (4, "no hit"), (5, None)]
+    items = [(None, " ".join(w[:15])), (None, " ".join(w[6:19])), (7, " ".join(w[5:19])), (-3, " ".join(w[22:36]))]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in op6_decontaminate(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(decontaminate.SQL).fetchall())
+    assert [r[2:4] for r in got] == [(19, 2), (14, 2), (14, 1), (0, 0), (0, 0)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for block_words in (1_000_000, 14):
+        found = decontaminate.find_hits(spark.createDataFrame(docs, "doc_id bigint, text string"), bench, block_words=block_words)
+        assert {r.doc_id: r.item_ids for r in found.collect()} == {1: [7, None], 2: [7, None], 3: [-3], 4: [], 5: []}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x x b y c"), (2, "c b a"), (3, "a b"), (4, None)], "doc_id bigint, text string")
     got = sorted((r.doc_id, r.at) for r in decontaminate.proximity_matches(docs, "A b, c", 3).collect())
