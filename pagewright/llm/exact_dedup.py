@@ -10,7 +10,9 @@ Only DataFrame functions. Three steps:
    already one node, so only distinct keys split a bucket. The directory has 2**max_depth
    cells at most, whatever the input, which is the size bound of its broadcast. Nodes are
    written to the shared folder, in ranges of buckets.
-3. *Owners.* Every document looks its node up by (bucket, key, digest).
+3. *Owners.* Every document goes through the directory to its bucket and looks its node up there
+   by (bucket, key, digest). The look-up is dealt by all three: a bucket may hold any number of
+   copies, so none is one task's.
 
 Null texts count as empty; repeated rows and ties follow "most code points, then smallest
 doc_id" (a null doc_id is last). Other columns are not read.
@@ -95,7 +97,8 @@ def exact_duplicates(docs: DataFrame, *, bucket_rows: int = 1_000_000, max_depth
         )
     )
     nodes = shelf.put(chained, "nodes")
-    owned = F.broadcast(directory(nodes, bucket_rows, max_depth))  # 2**max_depth rows at most
+    cells = shelf.put(directory(nodes, bucket_rows, max_depth), "directory")
+    owned = F.broadcast(cells)  # 2**max_depth rows at most
     cell = cell_of(F.col("key"), max_depth)
     index = shelf.put(
         nodes.withColumn("cell", cell)
@@ -111,8 +114,9 @@ def exact_duplicates(docs: DataFrame, *, bucket_rows: int = 1_000_000, max_depth
         F.sha2(normalised(F.col("text")), 256).alias("text_sha256"),
         F.xxhash64(normalised(F.col("text"))).alias("key"),
     )
+    asked = asked.withColumn("cell", cell).join(owned.select("cell", "bucket"), "cell")
     keep = F.when(F.col("keep_id") == unknown, F.lit(None)).otherwise(F.col("keep_id"))
-    return asked.join(index, ["key", "text_sha256"]).select(
+    return asked.join(index, ["bucket", "key", "text_sha256"]).select(
         "doc_id",
         keep.cast("long").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),

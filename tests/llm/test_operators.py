@@ -343,6 +343,20 @@ def test_exact(spark, docs, rows, empty):
     assert exact_dedup.exact_duplicates(empty).collect() == []
 
 
+def test_exact_looks_up_through_the_directory(spark, docs, rows, monkeypatch):
+    true = exact_dedup.directory
+    want = {tuple(r) for r in exact_dedup.exact_duplicates(docs, bucket_rows=3, max_depth=4).drop("bucket", "bucket_depth").collect()}
+    asked = exact_dedup.exact_duplicates(docs, bucket_rows=3, max_depth=4)
+    joins = [x for x in asked._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "text_sha256" in x]
+    assert len(joins) == 1 and all(x in joins[0] for x in ("bucket", "key"))
+    assert {tuple(r) for r in asked.drop("bucket", "bucket_depth").collect()} == want and len(want) == len(rows)
+    # buckets are the directory's: where it numbers them anew, documents follow it
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: true(*a).selectExpr("cell", "depth", "bucket + 1000 AS bucket"))
+    moved = exact_dedup.exact_duplicates(docs, bucket_rows=3, max_depth=4)
+    assert {tuple(r) for r in moved.drop("bucket", "bucket_depth").collect()} == want
+    assert min(r.bucket for r in moved.collect()) >= 1000
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
