@@ -1,4 +1,8 @@
-"""Substring dedup (3): relative Lempel-Ziv parsing against an index of every document.
+"""Substring dedup (3): equal blocks of words, and single windows beside them, against an index of every document.
+
+This takes the place of a relative Lempel-Ziv parse: no longest match is sought and no factor
+(source, position, length) is made. Blocks are cut by their content alone, so equal texts meet by
+a key, with no reference shared by all tasks.
 
 A window is ``window`` consecutive words. A word goes when a window that covers it has the words
 of a window that starts earlier (smaller doc_id, or same document and earlier start).
@@ -8,16 +12,15 @@ least hash, so equal windows choose equal phrases at equal offsets. The windows
 occurrence of a phrase are consecutive; together they are a *block* of text around it, and a
 document is its sequence of blocks. The index holds, for each phrase, the blocks around it.
 
-*Factors.* Parsing is greedy: a block whose whole content has an earlier block is a factor, with
-the earliest one as its source, and every word of it goes. A block that has no equal, but whose
-phrase also stands in other blocks, is where factors begin or end.
+*Equal blocks.* Every word of a block whose whole content has an earlier block goes. A block that
+has no equal, but whose phrase also stands in other blocks, is where repeats may begin or end.
 
-*Checks at factor boundaries.* Only those blocks' windows are compared one by one, by a 128-bit
+*Checks at their edges.* Only those blocks' windows are compared one by one, by a 128-bit
 hash. That is exact: the earliest start of a window lies in the earliest block of its content,
 and equal windows choose equal phrases.
 
 A task reports one block or window of a kind for each batch of documents, the earliest, so copies
-meet as one row a batch, however many there are. Documents meet their factors by (doc_id, hash of
+meet as one row a batch, however many there are. Documents meet their spans by (doc_id, hash of
 text). Rows with one doc_id are one document here (null: before all others); null texts have no
 words; texts shorter than a window stay. Words keep their case; kept words are joined by one
 space. Empty tables give empty results; other columns are not read.
