@@ -1,10 +1,10 @@
-"""Benchmark decontamination (6): a distributed positional inverted index of training tokens.
+"""Benchmark decontamination (6): positional postings of training tokens, made in each task.
 
-The index is partitioned by document: a task holds, for a slice of whole documents, the postings
-(term -> sorted positions) of every term that the test items use. A test window is looked up by
-its rarest term in that slice; its postings, shifted by the term's offset, are intersected with
-the other terms' offset-adjusted lists, and what survives is compared byte by byte. Nothing is
-shuffled, so no term, source or group of copies can make one task large.
+No index is stored: a task makes, for a slice of whole documents, the postings (term -> sorted
+positions) of every term that the test items use, and lets them go after the slice. A test window
+is looked up by its rarest term in that slice; its postings, shifted by the term's offset, are
+starts, at which the other terms' ids are looked up directly, and what survives is compared byte
+by byte. Nothing is shuffled, so no term, source or group of copies can make one task large.
 
 Test items come to the tasks in blocks of at most ``block_words`` words, the size bound of each
 broadcast; further blocks are further passes over documents that carry their hits along.
