@@ -1,13 +1,13 @@
-"""Line dedup (7, native): winnowing over line hashes; later repeated runs of lines go.
+"""Line dedup (7, native): windows of line hashes compared whole; later repeated runs of lines go.
 
 A document's lines are its text cut at newlines; lines of white space alone are never counted
 and always stay. A run is ``min_lines`` consecutive counted lines. A line is removed when a run
 that covers it also starts earlier (smaller doc_id, or same document and earlier line).
 
-1. *Winnow.* Of the hashes in every window of ``min_lines`` lines the leftmost least is
-   selected, so any shared run shares a selected fingerprint.
-2. *Join positions.* Fingerprints selected once in the whole corpus are dropped. The others
-   keep their windows: the match extended both ways from the fingerprint as far as a run reaches.
+1. *Windows.* Every window of ``min_lines`` lines is a row; the least of its lines' hashes is its
+   fingerprint, so equal windows have equal fingerprints.
+2. *Filter.* Windows whose fingerprint no other window has are dropped. Positions are not
+   joined and matches are not extended.
 3. *Compare.* Windows meet by a 128-bit hash of their lines; the earliest stays. Overlapping
    later windows are one longer removed run.
 
@@ -59,7 +59,7 @@ def winnowed(docs: DataFrame, w: int) -> DataFrame:
 
 def repeated_runs(seen: DataFrame) -> DataFrame:
     """id, mark, lines of every window of ``seen`` whose run also starts earlier."""
-    # a fingerprint's positions are those of its selecting windows; one window alone has no match
+    # a window alone with its fingerprint has no match
     shared = seen.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
     near = seen.join(shared.hint("merge"), "fp", "left_semi")
     first = near.groupBy("run_h", "run_g").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
