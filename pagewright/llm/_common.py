@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,17 +17,24 @@ from pyspark.sql import functions as F
 
 #: White space of every word and text rule here: space and 0x09 to 0x0D.
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _GOLD = 0x9E3779B97F4A7C15
 
 
 # ---------------------------------------------------------------- shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder under the warehouse where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return named
+    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a folder under the warehouse serves, if all executors see that: in local
+    mode, or in a store. A cluster with a machine's own warehouse folder is refused.
+    """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if not local and warehouse.split(":")[0] in ("file", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_shared"
 
 
 class Shelf:
@@ -102,7 +110,10 @@ def _odd(seed: int) -> int:
 
 
 class Poly:
-    """Polynomial hashing modulo 2**64 of any run of a sequence, from prefix sums."""
+    """Polynomial hashing modulo 2**64 of short runs of mixed word hashes, from prefix sums.
+
+    Not for bytes: two long sequences of two symbols can share such a hash for every base.
+    """
 
     def __init__(self, seed: int):
         self.base = _odd(seed)
@@ -128,9 +139,37 @@ class Poly:
         return (prefix[end] - prefix[start]) * self.down[start]
 
 
-#: One table of random-looking values a byte, so that bytes are not their own code.
-_BYTES = mix64(np.arange(256, dtype=np.uint64) * np.uint64(_GOLD) + np.uint64(17))
-_WORD, _WORD2 = Poly(101), Poly(202)
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+#: masks of the first 0 to 8 bytes of a little-endian number
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 256
+
+
+def hash_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit hashes of the words buf[start:end].
+
+    Eight bytes at a time go through a bijective mixer, so words of up to eight bytes and of one
+    length never share a hash; words over 256 bytes are hashed by BLAKE2b, one by one.
+    """
+    size = end - start
+    h = mix64(size.astype(np.uint64) * np.uint64(_GOLD) + np.uint64(_SEEDS[second]))
+    if not len(size):
+        return h
+    eight = np.lib.stride_tricks.as_strided(np.concatenate((buf, np.zeros(8, np.uint8))), (len(buf) + 1, 8), (1, 1))
+    todo = np.flatnonzero((size > 0) & (size <= _LONG))
+    at = 0
+    while len(todo):
+        chunk = eight[start[todo] + at].view("<u8").ravel().astype(np.uint64, copy=False)
+        left = size[todo] - at
+        h[todo] = mix64((h[todo] ^ (chunk & _FIRST[np.minimum(left, 8)])) * np.uint64(_GOLD | 1) + np.uint64(at))
+        at += 8
+        todo = todo[left > 8]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        told = blake2b(buf[start[k] : end[k]].tobytes(), digest_size=8, key=b"2" if second else b"1")
+        h[k] = int.from_bytes(told.digest(), "little")
+    return h
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
@@ -164,10 +203,7 @@ class Slice:
         self.word_at = np.searchsorted(self.start, offsets)
 
     def hashes(self, second: bool = False) -> np.ndarray:
-        poly = _WORD2 if second else _WORD
-        p = poly.prefix(_BYTES[self.buf])
-        h = poly.runs(p, self.start, self.end)
-        return mix64(h + (self.end - self.start).astype(np.uint64) * np.uint64(_GOLD))
+        return hash_words(self.buf, self.start, self.end, second)
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:

@@ -7,12 +7,17 @@ which keeps its least hash. An empty bin takes the value of the first filled bin
 of its own (the same in all documents), so two sets agree in any bin with their similarity.
 *Buckets.* Each band of ``rows`` bins is a bucket. A pair of similarity s shares none with
 probability (1 - s**rows)**bands: 3e-5 at 0.8 and 2e-8 at 0.85 by default.
-*Stars.* A bucket links its least node, the hub, with the nodes that are not yet in the hub's
-component: a star. Links are confirmed on full sets and components are found anew; hubs leave
-their buckets, and the next round has four times as many hubs a bucket, until every bucket lies in
-one component. Any two nodes of a bucket are thus compared or already connected, in rounds that
-grow with the logarithm of the largest bucket of unlike nodes. Before full sets are fetched,
-a pair whose signatures agree in over five standard deviations less than asked is let go.
+*Stars.* A bucket's hub is its member of greatest weight (the summed sizes of its buckets: a
+text in the middle of its group). A node is compared on full sets with the ``stars`` hubs that it
+shares most buckets with, at most, so there are ``stars`` pairs a node however large a bucket
+is. Confirmed pairs are components.
+*The rest.* Stars leave out links between two spokes. Where a bucket still holds more than one
+component, its nodes meet once more, exactly: elements of their sets are ordered by how few of
+these nodes hold them, and two sets of the asked similarity share an element among the first
+n - ceil(percent * n / 100) + 1 of each (a prefix filter with places). An element in one
+component alone makes no pair; otherwise nodes outside its largest component meet the others.
+Elements that many nodes hold come last, so a text that a third of all rows vary makes pairs
+only where their variations agree. Every pair is confirmed on full sets.
 
 Null and wordless texts have empty sets, linked with nothing. Rows that share a doc_id are one
 node; rows of null doc_id are linked with nothing, and stay. Repeated rows are equal sets. Empty
@@ -23,7 +28,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import Shelf, mix64, signed, slices, small_batches
@@ -132,19 +136,16 @@ def sketch(docs: DataFrame, *, shingle: int, bands: int, rows: int) -> DataFrame
     )
 
 
-def full_sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """node (doc_id), set_a, n, sig (low bytes of the signature) and set (shingle hashes)."""
+def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """node (doc_id), set_a, n and set (shingle hashes)."""
 
     def run(batches):
         import pyarrow as pa
 
-        signer = Signer(bands, rows)
         for batch in batches:
             for part in slices(batch.column(1)):
                 sets = shingles(part.hashes(), part.word_at, shingle)
                 one, _ = _set_ids(sets)
-                filled = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
-                low = (mix64(signer.signatures(filled)) & np.uint64(255)).astype(np.uint8)
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
@@ -152,39 +153,77 @@ def full_sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
                         batch.column(0).slice(part.first, len(sets)),
                         pa.array(signed(one)),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([x.tobytes() for x in low], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat))),
                     ],
-                    ["node", "set_a", "n", "sig", "set"],
+                    ["node", "set_a", "n", "set"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node bigint, set_a bigint, n bigint, sig binary, set array<bigint>")
-
-
-def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (node, hub) whose sizes and signatures do not rule the similarity out."""
-    x = sets.select("node", F.col("n").alias("n1"), F.col("sig").alias("s1"))
-    y = sets.select(F.col("node").alias("hub"), F.col("n").alias("n2"), F.col("sig").alias("s2"))
-    both = pairs.join(x, "node").join(y, "hub").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-
-    def run(batches):
-        import pyarrow as pa
+    return docs.select("doc_id", "text").mapInArrow(run, "node bigint, set_a bigint, n bigint, set array<bigint>")
+
+
+def star_pairs(members: DataFrame, stars: int) -> DataFrame:
+    """(node, hub): each node of ``members`` (bucket, node, n: the bucket's size) with the hubs of
+    most of its buckets."""
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = members.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    rays = members.join(hubs, "bucket").where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    # a node has as many hubs as bands at most
+    best = F.slice(F.sort_array(F.collect_list(F.struct("shared", "hub")), asc=False), 1, stars)
+    return rays.groupBy("node").agg(best.alias("best")).select("node", F.explode("best.hub").alias("hub"))
+
+
+def prefix_pairs(open_nodes: DataFrame, sets: DataFrame, shelf: Shelf, percent: int) -> DataFrame:
+    """(node, hub): pairs of ``open_nodes`` (node, root) of different roots that may be similar.
+
+    No pair of the asked similarity is left out.
+    """
+    held = open_nodes.join(sets, "node")
+    parts = held.select("node", "root", "set_a", "n", F.explode("set").alias("e"))
+    often = parts.groupBy("e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # elements of one node alone come first in its order and make no pair; only their number counts
+    listed = (
+        parts.join(often, "e")
+        .groupBy("node", "root", "set_a", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("l"))
+        .withColumn("alone", F.col("n") - F.size("l"))
+    )
+    prefix = F.expr(f"n - cast((n * {percent} + 99) div 100 as bigint) + 1")
+    postings = shelf.put(
+        listed.select("node", "root", "n", "alone", F.posexplode(F.slice("l", F.lit(1), F.greatest(F.lit(0), prefix - F.col("alone")).cast("int"))).alias("k", "x")).select(
+            "node", "root", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("x.e").alias("e")
+        ),
+        "postings",
+    )
+    by_root = postings.groupBy("e", "root").agg(F.count(F.lit(1)).alias("c"))
+    shared = by_root.groupBy("e").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    met = shelf.put(postings.join(shared.select("e", "major"), "e"), "met")
+    shelf.drop(postings)
+    one = met.where("root != major").select("e", "node", F.col("root").alias("r1"), F.col("n").alias("n1"), F.col("at").alias("at1"))
+    two = met.select("e", F.col("node").alias("hub"), F.col("root").alias("r2"), F.col("n").alias("n2"), F.col("at").alias("at2"), "major")
+    meets = (
+        f"r1 != r2 and (r2 = major or node < hub) and least(n1, n2) * 100 >= greatest(n1, n2) * {percent}"
+        f" and least(n1 - at1, n2 - at2) * {100 + percent} >= {percent} * (n1 + n2)"
+    )
+    return one.join(two, "e").where(meets).select("node", "hub").distinct()
 
-        want = percent / 100
-        for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), -1) for k in (3, 4))
-            n = np.minimum(batch.column(2).to_numpy(), a.shape[1])
-            least = want - 5 * np.sqrt(want * (1 - want) / np.maximum(n, 1))
-            ok = pa.array((a == b).mean(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["node", "hub"])
 
-    return both.select("node", "hub", F.greatest("n1", "n2").alias("n"), "s1", "s2").mapInArrow(run, "node bigint, hub bigint")
+def _joined(roots: DataFrame, links: DataFrame, shelf: Shelf) -> DataFrame:
+    """``roots`` (node, root) after ``links`` (a, b) have joined their components."""
+    if links.isEmpty():
+        return roots
+    ends = (
+        links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+        .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    )
+    above = components(ends, shelf).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    every = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = above.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return shelf.put(every.union(fresh), "roots")
 
 
 def near_duplicates(
-    docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 56, rows: int = 8
+    docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 56, rows: int = 8, stars: int = 3
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs``."""
     shelf = Shelf(docs.sparkSession, "minhash")
@@ -201,11 +240,11 @@ def near_duplicates(
     ).select("node", F.explode("buckets").alias("bucket"))
     if repeated:
         boxed = boxed.distinct()
-    shared = boxed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    shared = boxed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = shelf.put(boxed.join(shared, "bucket"), "members")
     asked = members.select("node").distinct().join(first, "node")
     texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = full_sets(texts.join(asked.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle, bands, rows)
+    made = full_sets(texts.join(asked.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
     if repeated:  # of a node's rows, those that hold its set
         made = made.join(asked.select("node", "set_a"), ["node", "set_a"]).dropDuplicates(["node", "set_a"])
     sets = shelf.put(made, "sets")
@@ -213,33 +252,15 @@ def near_duplicates(
     roots = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
     if repeated:  # rows of one doc_id with different sets: their nodes are one document
         ends = drawn_nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-        roots = shelf.put(components(ends.where("a != b").select("a", "b"), shelf), "roots")
-    hubs_now = 0  # in the first round a node asks its least hub alone, and no hub leaves
-    while not members.isEmpty():
-        placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-        place = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
-        held = shelf.put(placed.join(mixed, "bucket").withColumn("place", place), "held", collect_garbage=False)
-        shelf.drop(members)
-        hubs = held.where(F.col("place") <= max(1, hubs_now)).select("bucket", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-        rays = held.join(hubs, "bucket").where("root != hub_root and hub < node").select("node", "hub")
-        pairs = rays.distinct() if hubs_now else rays.groupBy("node").agg(F.min("hub").alias("hub"))
-        likely = shelf.put(_likely(pairs, sets, percent), "likely", collect_garbage=False)
-        new = shelf.put(_confirmed(likely, sets, percent), "confirmed")
-        members = shelf.put(held.where(F.col("place") > hubs_now).select("bucket", "node"), "members", collect_garbage=False)
-        shelf.drop(held, likely)
-        if not new.isEmpty():
-            # links between components found so far; only those meet again
-            joined = (
-                new.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-                .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-                .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-            )
-            above = components(joined, shelf).select(F.col("node").alias("root"), F.col("root").alias("top"))
-            every = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-            fresh = above.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-            roots = shelf.put(every.union(fresh), "roots")
-        hubs_now = 4 * hubs_now or 1
+        roots = _joined(roots, ends.where("a != b").select("a", "b"), shelf)
+    roots = _joined(roots, shelf.put(_confirmed(star_pairs(members, stars), sets, percent), "stars"), shelf)
+
+    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    left = shelf.put(placed.join(mixed, "bucket").select("node", "root").distinct(), "open")
+    shelf.drop(members)
+    rest = shelf.put(prefix_pairs(left, sets, shelf, percent), "rest")
+    roots = _joined(roots, shelf.put(_confirmed(rest, sets, percent), "confirmed"), shelf)
     found = drawn_nodes.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
     return (
         drawn.select("doc_id", "n_shingles")

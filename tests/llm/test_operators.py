@@ -375,3 +375,58 @@ def test_pipeline(spark, tmp_path):
     assert set(range(1, 40)) <= set(got) and got[0].text == rows[0][1]
     assert got[61].text == "fresh line of words here now"
     assert all(r.round_trip and r.n_tokens == len(r.token_ids) for r in got.values())
+
+
+def varied(n=300, words=60, seed=4):
+    """Variants of one text at mutual similarities on both sides of 0.8, and the text itself."""
+    rng = random.Random(seed)
+    base = [f"v{i}" for i in range(words)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        w = list(base)
+        for k in rng.sample(range(words), rng.choice([1, 2, 3, 4, 5, 6, 8])):
+            w[k] = rng.choice([f"x{rng.randrange(5)}", f"y{i}"])
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_minhash_of_a_large_group_makes_few_pairs(spark, monkeypatch):
+    rows = varied()
+    pairs = []
+    true = minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda p, *a: pairs.append(p.count()) or true(p, *a))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), shingle=2).collect()}
+    assert got == brute_components(sets_of(rows, 2))
+    assert len(set(got.values())) > 10
+    assert pairs[0] <= 3 * len(rows) and sum(pairs) < len(rows) ** 2 / 10
+
+
+def test_prefix_filter_alone_finds_every_link(spark):
+    from pagewright.llm._common import Shelf
+
+    rows = varied(120)
+    shelf = Shelf(spark, "test")
+    sets = minhash.full_sets(frame(spark, rows).select("doc_id", "text"), 2).cache()
+    alone = sets.selectExpr("node", "node as root")
+    links = minhash._confirmed(minhash.prefix_pairs(alone, sets, shelf, 80), sets, 80)
+    got = {tuple(sorted(r)) for r in links.collect()}
+    held = sets_of(rows, 2)
+    want = {(i, j) for i, _ in rows for j, _ in rows if i < j and 100 * len(held[i] & held[j]) >= 80 * len(held[i] | held[j])}
+    assert got == want and len(want) > 100
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [8, 9, 256, 257, 512, 4096])
+def test_words_that_share_polynomial_hashes_stay_apart(spark, n):
+    one, two = thue_morse(n), thue_morse(n, 1)
+    texts = [(1, " ".join([one] * 20)), (2, " ".join([two] * 20)), (3, " ".join(f"{two}{k}" for k in range(30))), (4, " ".join(f"{one}{k}" for k in range(30)))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts), shingle=2).collect()}
+    assert got == {i: i for i, _ in texts}
+    cut = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(frame(spark, texts)).collect()}
+    assert cut == {i: 0 for i, _ in texts}
+    bench = spark.createDataFrame([(1, " ".join([one] * 13 + [two]))], "item_id bigint, text string")
+    hits = {r.doc_id: sum(x.end - x.start for x in r.spans) for r in decontaminate.find_hits(frame(spark, texts), bench).collect()}
+    assert hits == {1: 20, 2: 0, 3: 0, 4: 0}
