@@ -89,6 +89,17 @@ def fold_of(doc_id: str | Column, k: int = 5) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % F.lit(k)
 
 
+def carry(docs: DataFrame, id_columns: tuple[str, ...]) -> tuple[tuple[str, ...], str, int, int, list[Column]]:
+    """How an Arrow stage takes ``id_columns`` along: the names, their DDL, their number, the
+    place of the text among the columns to select, and these. A text that is carried is not sent twice."""
+    names = tuple(id_columns)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    columns = [F.col(f"`{c}`") for c in names]
+    if "text" in names:
+        return names, ddl, len(names), names.index("text"), columns
+    return names, ddl, len(names), len(names), [*columns, F.col("text").alias("__text")]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, Shelf, Slice, slices, small_batches
+from ._common import LOWER, Shelf, Slice, carry, slices, small_batches
 
 GAPS = np.ones(256, bool)
 GAPS[0x30:0x3A] = GAPS[0x61:0x7B] = GAPS[0x80:] = False
@@ -170,34 +170,36 @@ def find_hits(
     spark = docs.sparkSession
     small_batches(spark)
     shelf = Shelf(spark, "hits")
-    k = len(id_columns)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_columns).schema)
-    schema = f"{kinds}, __text string, n_words bigint, spans {_SPANS}, item_ids array<bigint>"
+    id_columns, kinds, k, at_text, carried = carry(docs, id_columns)
+    kinds += ", __text string" * (at_text == k)
+    schema = f"{kinds}, n_words bigint, spans {_SPANS}, item_ids array<bigint>"
     out = docs.select(
-        *id_columns, F.col("text").alias("__text"), F.lit(0).cast("bigint").alias("n_words"),
+        *carried, F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast(_SPANS).alias("spans"), F.array().cast("array<bigint>").alias("item_ids"),
     )
     blocks = 0
     for block in item_blocks(benchmark, block_words):
         if blocks:
             out = shelf.put(out, "block")
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(Windows(block, n)), k), schema)
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(Windows(block, n)), at_text, len(carried)), schema)
         blocks += 1
     if not blocks:
-        out = out.mapInArrow(_scan(None, k), schema)
-    return out.drop("__text")
+        out = out.mapInArrow(_scan(None, at_text, len(carried)), schema)
+    return out.drop("__text") if at_text == k else out
 
 
-def _scan(shared, k: int):
+def _scan(shared, at_text: int, k: int):
+    """Adds a block's hits to rows of ``k`` carried columns, n_words, spans and item_ids."""
+
     def run(batches):
         import pyarrow as pa
 
         windows = shared.value if shared else None
         for batch in batches:
             total = np.zeros(len(batch), np.int64)
-            spans, items = batch.column(k + 2), batch.column(k + 3)
+            spans, items = batch.column(k + 1), batch.column(k + 2)
             found: dict[int, tuple[list, set]] = {}
-            for part in slices(batch.column(k), lower=True, limit=1 << 22, gaps=GAPS):
+            for part in slices(batch.column(at_text), lower=True, limit=1 << 20, gaps=GAPS):
                 total[part.first : part.first + len(part.offsets) - 1] = np.diff(part.word_at)
                 if windows is None or not len(part.start):
                     continue
@@ -216,7 +218,7 @@ def _scan(shared, k: int):
                     old_items[d] = _in_order(ids.union(old_items[d]))
                 spans, items = pa.array(old_spans, spans.type), pa.array(old_items, items.type)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(k + 1)], pa.array(total), spans, items], batch.schema.names
+                [*[batch.column(i) for i in range(k)], pa.array(total), spans, items], batch.schema.names
             )
 
     return run

@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._common import small_batches
+from ._common import carry, small_batches
 from .pieces import PieceModel, Transducer, default_model_path
 
 MOST_PATHS = 400_000
@@ -57,8 +57,7 @@ def encode(docs: DataFrame, *, model_path: str | None = None, ids: bool = True,
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model_bytes(model_path))  # the model file: half a MB
-    k = len(id_columns)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_columns).schema)
+    id_columns, kinds, k, at_text, carried = carry(docs, id_columns)
     schema = f"{kinds}, n_tokens bigint, ids_sha256 string, round_trip boolean" + ", token_ids array<int>" * ids
 
     def run(batches):
@@ -68,7 +67,7 @@ def encode(docs: DataFrame, *, model_path: str | None = None, ids: bool = True,
         machine, path = paths.machine, paths.__getitem__
         for batch in batches:
             n, digest, same, held = [], [], [], []
-            for text in batch.column(k).to_pylist():
+            for text in batch.column(at_text).to_pylist():
                 raw = b"".join(map(path, machine.pretokens(text or "")))
                 got = np.frombuffer(raw, "<i4")
                 n.append(len(got))
@@ -83,7 +82,7 @@ def encode(docs: DataFrame, *, model_path: str | None = None, ids: bool = True,
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, [*id_columns, "n_tokens", "ids_sha256", "round_trip", *["token_ids"] * ids])
 
-    return docs.select(*id_columns, docs["text"].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*carried).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, *, model_path: str | None = None, id_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

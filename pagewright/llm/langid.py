@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buffers, fold_of, small_batches
+from ._common import buffers, carry, fold_of, small_batches
 
 SLOTS_LOG2 = 20
 TRAIN_SLICE = 1 << 22
@@ -191,21 +191,21 @@ def predict(docs: DataFrame, model: Model, *, id_columns: tuple[str, ...] = ("do
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # grams of the bounded sample
-    told = docs.select(*id_columns, F.coalesce("text", F.lit("")).alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_columns).schema)
+    id_columns, schema, k, at_text, carried = carry(docs, id_columns)
+    letters_at = len(carried)
+    told = docs.select(*carried, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
     def run(batches):
         import pyarrow as pa
 
         model = shared.value
         price = Pricer(model)
-        k = len(id_columns)
         for batch in batches:
-            letters = batch.column(k + 1).to_numpy(zero_copy_only=False).astype(bool)
+            letters = batch.column(letters_at).to_numpy(zero_copy_only=False).astype(bool)
             n = len(letters)
             name, score, rate = np.full(n, "und", object), np.zeros(n), np.zeros(n)
             if model.langs:
-                for first, buf, offsets in pieces(batch.column(k)):
+                for first, buf, offsets in pieces(batch.column(at_text)):
                     bits = code_lengths(price, buf, offsets)
                     best = bits.argmin(axis=1)
                     gap = np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000))

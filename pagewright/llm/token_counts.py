@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._common import small_batches
+from ._common import carry, small_batches
 from .encoding import model_bytes
 from .pieces import PieceModel, Transducer
 
@@ -139,15 +139,14 @@ def count_tokens(docs: DataFrame, *, model_path: str | None = None, id_columns:
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model_bytes(model_path))  # the model file: half a MB
-    k = len(id_columns)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_columns).schema)
+    id_columns, kinds, k, at_text, carried = carry(docs, id_columns)
 
     def run(batches):
         import pyarrow as pa
 
         trie = Trie.of(shared.value)
         for batch in batches:
-            told = [x for part in parts(batch.column(k).to_pylist()) for x in trie.totals(part)]
+            told = [x for part in parts(batch.column(at_text).to_pylist()) for x in trie.totals(part)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(i) for i in range(k)],
@@ -156,4 +155,4 @@ def count_tokens(docs: DataFrame, *, model_path: str | None = None, id_columns:
                 [*id_columns, "n_pretokens", "n_tokens", "path_score"],
             )
 
-    return docs.select(*id_columns, docs["text"].alias("__text")).mapInArrow(run, f"{kinds}, n_pretokens bigint, n_tokens bigint, path_score double")
+    return docs.select(*carried).mapInArrow(run, f"{kinds}, n_pretokens bigint, n_tokens bigint, path_score double")
