@@ -430,3 +430,38 @@ def test_words_that_share_polynomial_hashes_stay_apart(spark, n):
     bench = spark.createDataFrame([(1, " ".join([one] * 13 + [two]))], "item_id bigint, text string")
     hits = {r.doc_id: sum(x.end - x.start for x in r.spans) for r in decontaminate.find_hits(frame(spark, texts), bench).collect()}
     assert hits == {1: 20, 2: 0, 3: 0, 4: 0}
+
+
+PIPELINE = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+CLASHING = (
+    "score n_words spans item_ids kept_id __text n_tokens token_ids lang_pred bits_per_byte ids_sha256 round_trip _c0 c0 id mark lost "
+    "bucket node hub root kept component_id n_lines n_removed __letters _n_tokens"
+).split()
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(i, "\n".join(" ".join(rng.choices(WORDS, k=9)) for _ in range(4)), rng.choice(["en", "de"]), "s", 1) for i in range(30)]
+    rows += [rows[3], rows[3], (None, rows[4][1], "en", "s", 0), (None, "null id text here", "en", "s", 0), (77, "", "en", "s", 0), (78, "x" * 1_000_000, "en", "s", 0)]
+    rows += [(79, " ".join(rng.choices(WORDS, k=150_000)), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, PIPELINE)
+    bench = spark.createDataFrame([(1, "nothing of this stands anywhere else")], "item_id bigint, text string")
+
+    def run(table, name):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        return corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+
+    plain = run(docs, "plain")
+    clashing = run(docs.select("*", *[F.lit(0.5).alias(c) for c in CLASHING]), "clashing")
+    assert clashing.columns == [*docs.columns, *CLASHING, "__n_tokens", "_ids_sha256", "_round_trip", "_token_ids"]
+    assert clashing.where(" and ".join(f"`{c}` = 0.5" for c in CLASHING)).count() == clashing.count()
+    key = lambda t: sorted(map(str, t))
+    assert key(plain.select("doc_id", "text", "n_chars", "ids_sha256").collect()) == key(clashing.selectExpr("doc_id", "text", "n_chars", "_ids_sha256 ids_sha256").collect())
+    ids = Counter(r.doc_id for r in plain.collect())
+    assert ids[3] == 3 and ids[None] >= 1 and {78, 79} <= set(ids) and not {77} & set(ids)
+    none = run(docs.limit(0), "none")
+    assert none.collect() == [] and none.columns == plain.columns
