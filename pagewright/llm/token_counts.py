@@ -1,15 +1,22 @@
 """Token counts (8): dynamic programming shared along a trie of distinct pre-tokens.
 
 A task puts the distinct pre-tokens of its documents into a trie. A node is a prefix; it holds
-the forward score of the prefix (summed unigram scores along its best path), the last piece of
-that path and the path's length, computed once from its ancestors when the node is made, however
-many pre-tokens run through it. A node where a pre-token ends is its terminal count. The pair
-weights of ``pieces`` hold, so counts equal the model library's. Texts are taken in parts of about
-``PART`` characters; before a part, a trie of over ``MOST_NODES`` nodes starts anew. Pre-tokens longer
-than ``LONGEST`` take the transducer's own pass and become a node of their own for that part.
-
-Null and empty texts have no tokens; rows are counted whole and alone, so repeated rows, ids and
-other columns play no part. Nothing is shuffled.
+
+* the unigram forward score: the logarithm of the summed probability of every way to cut the
+  prefix into pieces, under ``PieceModel.law`` (sum over the pieces that end there of the score
+  of the ancestor where the piece begins, times the piece's probability), and
+* the encoder's own path: its last piece and its length, by the weights of ``pieces``, so counts
+  equal the model library's.
+
+Both are computed once from the node's ancestors when it is made, however many pre-tokens run
+through it. A node where a pre-token ends is its terminal. Texts are taken in parts of about
+``PART`` characters; before a part, a trie of over ``MOST_NODES`` nodes starts anew. A pre-token
+longer than ``LONGEST`` goes through the same recurrences without the trie, and is a node for
+that part alone.
+
+Null and empty texts have no tokens and the score 0; rows are counted whole and alone, so repeated
+rows, ids and other columns play no part. A pre-token without a path is an error, as in encoding.
+Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -17,13 +24,14 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
+from math import exp, log
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from ._common import carry, small_batches
 from .encoding import model_bytes
-from .pieces import PieceModel, Transducer
+from .pieces import ONE, ZERO, PieceModel, Transducer
 
 MOST_NODES, LONGEST, PART = 1_000_000, 64, 1 << 20
 _workers: dict[str, Trie] = {}
@@ -38,19 +46,24 @@ class Terminals(dict):
 
     def __missing__(self, s: str) -> int:
         if len(s) > LONGEST:
-            return self.trie.detached(s)
-        node = self[s] = self.trie.insert(s)
+            node = self.trie.detached(s)
+        else:
+            node = self[s] = self.trie.insert(s)
+        if self.trie.cost[node] == ZERO:
+            raise ValueError(f"no path through {s!r}")
         return node
 
 
 class Trie:
     def __init__(self, machine: Transducer):
         self.machine = machine
+        self.law = machine.model.law()
         self.reset()
 
     def reset(self) -> None:
         self.child: dict[int, int] = {}
         self.last, self.score, self.count, self.state = array("i", [0]), array("d", [0.0]), array("q", [0]), array("i", [0])
+        self.cost = array("d", [0.0])
         self.terminal = Terminals(self)
 
     def totals(self, texts: list[str]) -> Iterator[tuple[int, int, float]]:
@@ -64,51 +77,68 @@ class Trie:
             yield len(at), int(count[at].sum()), float(score[at].sum())
 
     def detached(self, s: str) -> int:
-        ids = self.machine(s)
-        return self._add(-1, sum(self.machine.model.score[k] for k in ids), len(ids), 0)
+        """A node for a long pre-token, whose prefixes are dropped again."""
+        held = len(self.last)
+        self._walk(s, {})
+        kept = [x.pop() for x in (self.last, self.cost, self.score, self.count, self.state)]
+        for x, top in zip((self.last, self.cost, self.score, self.count, self.state), kept, strict=True):
+            del x[held:]
+            x.append(top)
+        return held
 
     def insert(self, s: str) -> int:
-        """The node of ``s``. A new node looks at the arcs that end at it, over the forward values of
-        its ancestors; the first arc that may follow is the path's."""
-        machine, child, last, states = self.machine, self.child, self.last, self.state
-        go, follows, arcs, shift, weight = machine.go.get, machine.follows.get, machine.arcs, machine.shift, machine.model.score
+        """The node of ``s``."""
+        return self._walk(s, self.child)
+
+    def _walk(self, s: str, child: dict[int, int]) -> int:
+        go, step, states = self.machine.lexicon.go.get, self.machine.lexicon.step, self.state
         node, line = 0, [0]
-        for n, c in enumerate(s, 1):
+        for c in s:
             code = ord(c)
             below = child.get(node << 21 | code)
             if below is None:
-                state = go(states[node] << 21 | code)
-                if state is None:
-                    state = machine.step(states[node] << 21 | code)
-                for k, piece in arcs[state]:
-                    at = line[n - k]
-                    before = last[at]
-                    if before >= 0:
-                        ok = follows(before * shift + piece)
-                        if ok is None:
-                            ok = machine.may_follow(before, piece)
-                        if ok:
-                            below = self._add(piece + 1, self.score[at] + weight[piece], self.count[at] + 1, state)
-                            break
-                else:
-                    below = self._fall_back(c, node, state)
-                child[node << 21 | code] = below
+                key = states[node] << 21 | code
+                state = go(key)
+                below = child[node << 21 | code] = self._grow(line, c, step(key) if state is None else state)
             node = below
             line.append(node)
         return node
 
-    def _fall_back(self, c: str, node: int, state: int) -> int:
-        """A node that no arc reaches: byte pieces for a character without a piece, else no path."""
-        model = self.machine.model
-        if c in model.id or self.last[node] < 0:
-            return self._add(-1, 0.0, 0, state)
-        raw = c.encode()
-        return self._add(0, self.score[node] + sum(model.score[model.byte_id[x]] for x in raw), self.count[node] + len(raw), state)
-
-    def _add(self, last: int, score: float, count: int, state: int) -> int:
+    def _grow(self, line: list[int], c: str, state: int) -> int:
+        """A new node below ``line``: both recurrences over the arcs that end at it."""
+        machine, law, score = self.machine, self.law, self.score
+        arcs, n = machine.lexicon.arcs[state], len(line)
+        ways = [score[line[n - k]] + law[piece] for k, piece in arcs]
+        missing = c not in machine.model.id
+        if missing:
+            raw = machine.fallback(c)
+            ways.append(score[line[-1]] + sum(law[x] for x in raw))
+        top = max(ways)
+        forward = top + log(sum([exp(w - top) for w in ways])) if len(ways) > 1 else top
+        last, cost, start, more = -1, ZERO, 0, 0
+        if machine.model.unigram:
+            weight = machine.model.score
+            for k, piece in arcs:
+                here = self.cost[line[n - k]] - weight[piece]
+                if here < cost:
+                    last, cost, start, more = piece + 1, here, line[n - k], 1
+        else:
+            shift, follows = machine.shift, machine.follows.get
+            for k, piece in arcs:
+                before = self.last[line[n - k]]
+                if before >= 0:
+                    ok = follows(before * shift + piece)
+                    if ok is None:
+                        ok = machine.may_follow(before, piece)
+                    if ok:
+                        last, cost, start, more = piece + 1, ONE, line[n - k], 1
+                        break
+        if missing and self.cost[line[-1]] + machine.fallback.cost < cost:
+            last, cost, start, more = 0, self.cost[line[-1]] + machine.fallback.cost, line[-1], len(raw)
         self.last.append(last)
-        self.score.append(score)
-        self.count.append(count)
+        self.cost.append(cost)
+        self.score.append(forward)
+        self.count.append(self.count[start] + more)
         self.state.append(state)
         return len(self.last) - 1
 
@@ -135,7 +165,7 @@ def parts(texts: list[str | None]) -> Iterator[list[str]]:
 
 
 def count_tokens(docs: DataFrame, *, model_path: str | None = None, id_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``id_columns``, n_pretokens, n_tokens and path_score: a row for each document."""
+    """``id_columns``, n_pretokens, n_tokens and forward_score: a row for each document."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model_bytes(model_path))  # the model file: half a MB
@@ -152,7 +182,7 @@ def count_tokens(docs: DataFrame, *, model_path: str | None = None, id_columns:
                     *[batch.column(i) for i in range(k)],
                     *[pa.array([x[i] for x in told], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
                 ],
-                [*id_columns, "n_pretokens", "n_tokens", "path_score"],
+                [*id_columns, "n_pretokens", "n_tokens", "forward_score"],
             )
 
-    return docs.select(*carried).mapInArrow(run, f"{kinds}, n_pretokens bigint, n_tokens bigint, path_score double")
+    return docs.select(*carried).mapInArrow(run, f"{kinds}, n_pretokens bigint, n_tokens bigint, forward_score double")

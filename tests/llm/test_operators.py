@@ -465,3 +465,108 @@ def test_pipeline_odd_tables(spark, tmp_path):
     assert ids[3] == 3 and ids[None] >= 1 and {78, 79} <= set(ids) and not {77} & set(ids)
     none = run(docs.limit(0), "none")
     assert none.collect() == [] and none.columns == plain.columns
+
+
+def proto(*fields):
+    """A protocol buffer message of (number, int, float, str or bytes) fields."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, x in fields:
+        if isinstance(x, int):
+            out += varint(number << 3) + varint(x)
+        elif isinstance(x, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", x)
+        else:
+            x = x.encode() if isinstance(x, str) else x
+            out += varint(number << 3 | 2) + varint(len(x)) + x
+    return out
+
+
+def unigram_model():
+    rng = random.Random(2)
+    texts = sorted({"▁", *"abcde", *("".join(rng.choices("▁abcde", k=1)) + "".join(rng.choices("abcde", k=rng.choice([1, 1, 2, 3]))) for _ in range(60))})
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    pieces += [(t, -rng.uniform(1, 9), 1) for t in texts]
+    return proto(
+        *[(1, proto((1, t), (2, s), (3, k))) for t, s, k in pieces],
+        (2, proto((3, 1), (35, 1))),
+        (3, proto((1, "identity"), (3, 1), (4, 0), (5, 1))),
+    )
+
+
+def test_shortest_path_of_a_unigram_model_equals_the_library(spark, tmp_path):
+    import sentencepiece
+
+    data = unigram_model()
+    (tmp_path / "unigram.model").write_bytes(data)
+    own = sentencepiece.SentencePieceProcessor(model_proto=data)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcde  zç\U0001f600", k=rng.randrange(80))) for _ in range(300)] + ["", None, "".join(rng.choices("abcde", k=400)), " a"]
+    docs = frame(spark, list(enumerate(texts)))
+    coded = encoding.encode(docs, model_path=str(tmp_path / "unigram.model"))
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, model_path=str(tmp_path / "unigram.model")).collect()}
+    cost = lambda ids: -sum(own.get_score(k) for k in ids if not own.is_byte(k))
+    differ = 0
+    for r in coded.collect():
+        want = own.encode(texts[r.doc_id] or "")
+        if r.token_ids != want:  # the same pieces in another order: the library rounds their sum to 32 bits
+            assert sorted(r.token_ids) == sorted(want) and cost(r.token_ids) == pytest.approx(cost(want))
+            differ += 1
+        assert r.round_trip and counts[r.doc_id] == r.n_tokens
+    assert differ <= 5
+
+
+@pytest.mark.parametrize("data", [unigram_model(), None], ids=["unigram", "bpe"])
+def test_forward_scores_sum_over_all_cuts(data):
+    from math import exp, log
+
+    from pagewright.llm import pieces
+
+    machine = pieces.Transducer(pieces.PieceModel(data or encoding.model_bytes(None)))
+    trie, law, ids = token_counts.Trie(machine), machine.model.law(), machine.model.id
+    if data is None:
+        assert sum(map(exp, law)) == pytest.approx(1)
+
+    def brute(s):
+        if not s:
+            return 1.0
+        total = sum(exp(law[ids[s[:k]]]) * brute(s[k:]) for k in range(1, len(s) + 1) if s[:k] in ids)
+        return total if s[0] in ids else exp(sum(law[k] for k in machine.fallback(s[0]))) * brute(s[1:])
+
+    for text in ["abcab", "abcd", "abzçe", "the cab", "a", "abcab abcab", "dead bee"]:
+        words = machine.pretokens(text)
+        [(n, tokens, score)] = trie.totals([text])
+        assert (n, tokens) == (len(words), len(machine.encode(text)))
+        assert score == pytest.approx(sum(log(brute(w)) for w in words))
+    assert "".join(machine.pretokens("a  b c")) == machine.normaliser("a  b c")
+
+
+@pytest.mark.parametrize("n", [63, 64, 65, 300])
+def test_long_pretokens_take_the_same_recurrence(n, monkeypatch):
+    from pagewright.llm import pieces
+
+    machine = pieces.Transducer(pieces.PieceModel(encoding.model_bytes(None)))
+    text = "".join(random.Random(n).choices("abcdefgh", k=n - 1))
+    told = list(token_counts.Trie(machine).totals([text, text + " x", text]))
+    monkeypatch.setattr(token_counts, "LONGEST", 10_000)
+    want = list(token_counts.Trie(machine).totals([text, text + " x", text]))
+    assert told == want and told[0] == told[2] and told[0][1] == len(machine.encode(text))
+
+
+def test_untied_pieces_take_the_fast_pair_check():
+    from pagewright.llm import pieces
+
+    machine = pieces.Transducer(pieces.PieceModel(encoding.model_bytes(None)))
+    assert 0 < len(machine.tied) < 100
+    assert machine.split("▁the") and machine.split("tion")
+    words = ["▁the", "tion", "ing", "▁and", "er", "s", "a"]
+    for x in words:
+        for y in words:
+            assert machine._apart(x, y) == (machine.merged(x + y) == [x, y])
