@@ -8,7 +8,7 @@ context knows, so each context's law sums to one. The trees stay as trained, so
 length depends on its last ``order`` + 1 bytes alone and each distinct such string is priced once.
 
 Training reads a bounded, documented sample of labelled rows: about ``sample_chars`` characters a
-language, drawn by a hash of doc_id, whole texts. Scoring reads every whole text.
+language and ``total_chars`` in all, drawn by a hash of doc_id, whole texts. Scoring reads every whole text.
 
 Null or letterless text: ``und`` with score 0. Texts start in a context of zero bytes. Ties go to
 the language that sorts first. Languages are the non-null labels of training rows; with none,
@@ -102,11 +102,13 @@ class Pricer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.keys = np.full(1 << SLOTS_LOG2, np.iinfo(np.uint64).max, np.uint64)
-        self.values = np.zeros((1 << SLOTS_LOG2, len(model.langs)), np.float32)
+        # 2**22 lengths at most, however many languages
+        self.bits = max(8, SLOTS_LOG2 - max(0, (len(model.langs) - 1).bit_length() - 2))
+        self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
+        self.values = np.zeros((1 << self.bits, len(model.langs)), np.float32)
 
     def __call__(self, g: np.ndarray) -> np.ndarray:
-        slot = ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
+        slot = ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
         out = self.values[slot]
         miss = np.flatnonzero(self.keys[slot] != g)
         if len(miss):
@@ -138,16 +140,19 @@ def pieces(column, limit: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.n
         i = j
 
 
-def train(labelled: DataFrame, *, order: int = 4, sample_chars: int = 2_000_000, seed: int = 11) -> Model:
+def train(labelled: DataFrame, *, order: int = 4, sample_chars: int = 2_000_000, total_chars: int = 32_000_000, seed: int = 11) -> Model:
     """Context trees from (doc_id, text, lang) rows; rows without text or lang are left out.
 
-    ``sample_chars`` bounds the expected characters a language (one text may exceed it).
+    ``sample_chars`` bounds the expected characters a language, ``total_chars`` those of all
+    languages together, which share it evenly (one text may exceed either).
     """
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-    rate = F.lit(float(sample_chars)) / F.greatest(F.col("chars"), F.lit(1))
+    many = rows.select("lang").distinct().count()
+    share = min(sample_chars, total_chars // max(1, many))
+    rate = F.lit(float(share)) / F.greatest(F.col("chars"), F.lit(1))
     drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(F.broadcast(sizes), "lang").where(drawn < rate).select("lang", "text")
 
@@ -175,13 +180,14 @@ def train(labelled: DataFrame, *, order: int = 4, sample_chars: int = 2_000_000,
         .agg(F.sum("n").alias("n"))
         .toArrow()  # distinct grams of the bounded sample
     )
-    lang_column = np.array(table.column("lang").to_pylist(), object)
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    named, lang_column = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     keys = table.column("gram").to_numpy().view(np.uint64) if table.num_rows else np.zeros(0, np.uint64)
     counts = table.column("n").to_numpy()
-    langs = sorted(set(lang_column))
+    langs = sorted(named)
     trees = []
     for lang in langs:
-        mine = lang_column == lang
+        mine = lang_column == named.index(lang)
         trees.append(Tree.grown(keys[mine], counts[mine].astype(np.float64), order))
     return Model(langs, trees, order)
 

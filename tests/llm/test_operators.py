@@ -565,8 +565,80 @@ def test_untied_pieces_take_the_fast_pair_check():
 
     machine = pieces.Transducer(pieces.PieceModel(encoding.model_bytes(None)))
     assert 0 < len(machine.tied) < 100
-    assert machine.split("▁the") and machine.split("tion")
-    words = ["▁the", "tion", "ing", "▁and", "er", "s", "a"]
+    words = ["▁the", *random.Random(1).sample(sorted(machine.model.id), 60)]
+    assert sum(len(w) == 1 or machine.split(w) is not None for w in words) >= 60
     for x in words:
         for y in words:
             assert machine._apart(x, y) == (machine.merged(x + y) == [x, y])
+
+
+def test_scores_of_whole_texts_equal_a_plain_forward_pass(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(WORDS[:25], k=rng.choice([0, 1, 7, 400])))) for i in range(40)] + [(90, None), (91, "never seen words"), (7, "w1 w1")]
+    kept = {}
+    for name in ("baum_welch", "head_of"):
+        true = getattr(lm, name)
+        monkeypatch.setattr(lm, name, lambda *a, true=true, name=name: kept.setdefault(name, true(*a)))
+    got = lm.score(lm.with_fold(frame(spark, rows)), head=12, states=3, rounds=2).collect()
+    model, head = kept["baum_welch"], kept["head_of"]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    c = Counter(w.encode() for i, t in rows if not fold(i) for w in split((t or "").lower()))
+    assert head.words == sorted(c, key=lambda w: (-c[w], w))[:12]
+    want = []
+    for i, t in rows:
+        alpha, total = None, 0.0
+        for w in [*(x.encode() for x in split((t or "").lower())), None]:
+            k = head.words.index(w) if w in head.words else len(head.words) + (w is None)
+            if k == len(head.words):
+                total += log10((c[w] + 0.5) / (head.rare_total + 0.5 * (head.rare_distinct + 1)))
+            alpha = (model.start if alpha is None else alpha @ model.move) * model.emit[k]
+            total += log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        want.append((i, pytest.approx(total, rel=1e-5)))
+    assert sorted((r.doc_id, r.score) for r in got) == sorted(want, key=lambda x: (x[0], x[1].expected))
+
+
+def test_head_is_the_same_however_words_are_dealt(spark):
+    words = [(f"w{i:04}", 1 + (i % 7) * (i % 3)) for i in range(500)]
+    vocab = spark.createDataFrame(words, "word string, c bigint").repartition(16)
+    for head in (1, 3, 250, 499, 600):
+        got = lm.head_of(vocab, 10, head)
+        assert got.words == [w.encode() for w, _ in sorted(words, key=lambda x: (-x[1], x[0]))[:head]]
+
+
+def test_code_lengths_equal_plain_prediction_by_partial_matching():
+    text, order = b"abracadabra abrakadabra barbara", 3
+    seen = defaultdict(Counter)
+    for i, b in enumerate(text):
+        padded = b"\0" * order + text[:i]
+        for k in range(order + 1):
+            seen[padded[len(padded) - k :]][b] += 1
+
+    def p(context, b):
+        """A context's own bytes by their counts; others by the next shorter context, of which it
+        leaves out the bytes it knows."""
+        if context is None:
+            return 1 / 256
+        held, shorter = seen.get(context), context[1:] if context else None
+        if not held:
+            return p(shorter, b)
+        n, t = sum(held.values()), len(held)
+        if b in held:
+            return held[b] / (n + t)
+        return t / (n + t) * p(shorter, b) / (1 - sum(p(shorter, x) for x in held))
+
+    g, n = np.unique(langid.grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]), order), return_counts=True)
+    tree = langid.Tree.grown(g, n.astype(float), order)
+    for context in (b"abr", b"xyz", b"aka", b"\0\0a", b" ab"):
+        keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
+        assert 2.0 ** tree.logs(keys, order + 1) == pytest.approx([p(context, b) for b in range(256)], rel=1e-4)
+
+
+def test_many_languages_share_the_sample(spark):
+    rows = [(i, f"l{i} " * 30, f"lang{i % 40}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs, sample_chars=10_000, total_chars=20_000)
+    assert len(model.langs) <= 40 and all(t.gram for t in model.trees)
+    few = langid.train(docs, sample_chars=10_000)
+    size = lambda m: sum(len(x) for t in m.trees for x in t.gram)
+    assert size(model) < size(few)
