@@ -1,4 +1,4 @@
-"""Lines, cells and tables of a page from its spans; cross-page structure with windows."""
+"""Aggregates and joins over positioned rows: medians, dominant sizes, covered widths, containment."""
 
 from __future__ import annotations
 
@@ -7,107 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def group_rows(spans: Column, span_type: str, tolerance: float = 2.0) -> Column:
-    """array<array<span>>: spans in paint order folded into rows.
-
-    A span joins the current row if its y is near that of the row's first span and it does not
-    step back over the row's last span.
-    """
-    empty = F.array().cast(f"array<array<{span_type}>>")
-
-    def fold(rows: Column, s: Column) -> Column:
-        row = F.element_at(rows, -1)
-        first, last = F.get(row, F.lit(0)), F.element_at(row, -1)
-        joins = (F.abs(first["bounds"]["y"] - s["bounds"]["y"]) <= tolerance) & (
-            s["bounds"]["x"] >= last["bounds"]["x"] - F.greatest(F.lit(tolerance), 0.25 * last["font_size"])
-        )
-        grown = F.concat(F.slice(rows, 1, F.size(rows) - 1), F.array(F.concat(row, F.array(s))))
-        return F.when((F.size(rows) > 0) & joins, grown).otherwise(F.concat(rows, F.array(F.array(s))))
-
-    return F.aggregate(spans, empty, fold)
-
-
-def lines(pages: DataFrame) -> DataFrame:
-    """doc_id, page, line_seq, text, bounds and spans of each reconstructed line."""
-    kind = pages.schema["spans"].dataType.elementType.simpleString()
-    rows = pages.select("doc_id", "page", F.posexplode(group_rows(F.col("spans"), kind)).alias("line_seq", "spans"))
-    x = lambda f: F.transform("spans", f)
-    left, low = F.array_min(x(lambda s: s["bounds"]["x"])), F.array_min(x(lambda s: s["bounds"]["y"]))
-    right = F.array_max(x(lambda s: s["bounds"]["x"] + s["bounds"]["width"]))
-    top = F.array_max(x(lambda s: s["bounds"]["y"] + s["bounds"]["height"]))
-    return rows.select(
-        "doc_id", "page", "line_seq", F.array_join(x(lambda s: s["text"]), " ").alias("text"),
-        F.struct(left.alias("x"), low.alias("y"), (right - left).alias("width"), (top - low).alias("height")).alias("bounds"), "spans",
-    )
-
-
-def line_cells(spans: Column) -> Column:
-    """array<struct<x, text>>: a line's spans cut where a gap exceeds max(18, 2 * size)."""
-
-    def begins(s: Column, i: Column) -> Column:
-        before = F.get(spans, i - 1)["bounds"]
-        gap = s["bounds"]["x"] - (before["x"] + before["width"])
-        return (i == 0) | F.coalesce(gap > F.greatest(F.lit(18.0), 2 * s["font_size"]), F.lit(False))
-
-    starts = F.filter(F.transform(spans, lambda s, i: F.when(begins(s, i), i)), lambda i: i.isNotNull())
-
-    def cell(i: Column, k: Column) -> Column:
-        held = F.slice(spans, i + 1, F.coalesce(F.get(starts, k + 1), F.size(spans)) - i)
-        return F.struct(F.array_min(F.transform(held, lambda s: s["bounds"]["x"])).alias("x"), F.array_join(F.transform(held, lambda s: s["text"]), " ").alias("text"))
-
-    return F.transform(starts, cell)
-
-
-def split_cells(lined: DataFrame) -> DataFrame:
-    """doc_id, page, line_seq, cell, x, text: a row for each cell of each line; nothing is shuffled."""
-    cells = lined.select("doc_id", "page", "line_seq", F.posexplode(line_cells(F.col("spans"))).alias("cell", "c"))
-    return cells.select("doc_id", "page", "line_seq", "cell", "c.x", "c.text")
-
-
-def _runs(rows: Column, kind: str, min_columns: int, min_rows: int, tolerance: float) -> Column:
-    """Runs of a page's ``rows`` (array of line_seq and cells, in order)."""
-    empty = F.array().cast(f"array<array<{kind}>>")
-
-    def fold(runs: Column, r: Column) -> Column:
-        run = F.element_at(runs, -1)
-        anchor, last = F.get(run, F.lit(0)), F.element_at(run, -1)
-        aligned = F.forall(r["cells"], lambda c: F.exists(anchor["cells"], lambda a: F.abs(a["x"] - c["x"]) <= tolerance))
-        joins = (F.size(runs) > 0) & (last["line_seq"] == r["line_seq"] - 1) & aligned
-        grown = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.concat(run, F.array(r))))
-        wide = F.size(r["cells"]) >= min_columns
-        return F.when(wide & joins, grown).when(wide, F.concat(runs, F.array(F.array(r)))).otherwise(runs)
-
-    return F.filter(F.aggregate(rows, empty, fold), lambda run: F.size(run) >= min_rows)
-
-
-def _run_rows(page: DataFrame, min_columns: int, min_rows: int, tolerance: float) -> DataFrame:
-    kind = page.schema["rows"].dataType.elementType.simpleString()
-    runs = _runs(F.col("rows"), kind, min_columns, min_rows, tolerance)
-    return page.select("doc_id", "page", F.posexplode(runs).alias("table_seq", "run")).select(
-        "doc_id", "page", "table_seq", F.posexplode("run").alias("row", "r")
-    ).select("doc_id", "page", "table_seq", "row", "r.line_seq", "r.cells")
-
-
-def table_runs(cells: DataFrame, *, min_columns: int = 2, min_rows: int = 2, tolerance: float = 16.0) -> DataFrame:
-    """doc_id, page, table_seq, line_seq, row and cells: consecutive lines with aligned cells.
-
-    A run goes on while its lines have ``min_columns`` cells, each near one of the first row's.
-    Cells are dealt by page once; ``page_tables`` starts from whole pages and needs no shuffle.
-    """
-    dealt = cells.repartition("doc_id", "page")
-    rows = dealt.groupBy("doc_id", "page", "line_seq").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("cells"))
-    page = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_seq", "cells"))).alias("rows"))
-    return _run_rows(page, min_columns, min_rows, tolerance)
-
-
-def page_tables(pages: DataFrame, *, min_columns: int = 2, min_rows: int = 2, tolerance: float = 16.0) -> DataFrame:
-    """``table_runs`` of the cells of ``lines`` of ``pages``, page by page inside its row."""
-    kind = pages.schema["spans"].dataType.elementType.simpleString()
-    lined = pages.select("doc_id", "page", group_rows(F.col("spans"), kind).alias("lined"))
-    rows = F.transform("lined", lambda spans, i: F.struct(i.alias("line_seq"), F.array_sort(line_cells(spans)).alias("cells")))
-    return _run_rows(lined.select("doc_id", "page", rows.alias("rows")), min_columns, min_rows, tolerance)
-
-
 def upper_median(c: str | Column) -> Column:
     """The upper middle value, never interpolated; null for no values."""
     held = F.array_sort(F.collect_list(c))
@@ -120,25 +19,16 @@ def dominant_size(df: DataFrame, keys: list[str], size: str) -> DataFrame:
     return counted.groupBy(*keys).agg(F.max_by("bucket", F.struct("n", -F.col("bucket"))).alias("body_size"))
 
 
-def repeated_furniture(margin: DataFrame, lookahead: int = 4) -> DataFrame:
-    """``margin`` (doc_id, page, signature, ...) with suppressed: the signature stands on an
-    earlier page, or again within the next ``lookahead`` - 1 pages."""
-    w = W.partitionBy("doc_id", "signature")
-    once = margin.select("doc_id", "signature", "page").distinct()
-    seen = once.select(
-        "doc_id", "signature", "page",
-        (F.coalesce(F.lead("page").over(w.orderBy("page")) <= F.col("page") + lookahead - 1, F.lit(False)) | (F.min("page").over(w) < F.col("page"))).alias("suppressed"),
-    )
-    return margin.join(seen, ["doc_id", "signature", "page"])
-
-
 def continued_tables(tables: DataFrame, *, width: float, share: float = 0.04) -> DataFrame:
-    """``tables`` (doc_id, page, table_seq, columns) with logical_table: a table goes on from the
-    one before it if both have the same number of columns and each starts within ``share``."""
+    """``tables`` (doc_id, page, table_seq, columns; optionally caption) with logical_table: a table goes on
+    from the one before it if both have the same number of columns, each starts within ``share``,
+    and it has no caption or the same. Rows are the surviving blocks: one that is no table (null columns) stands between."""
     w = W.partitionBy("doc_id").orderBy("page", "table_seq")
     before = F.lag("columns").over(w)
     near = F.forall(F.zip_with("columns", before, lambda a, b: F.abs(a - b) <= width * share), lambda x: x)
-    goes_on = F.coalesce((F.size("columns") >= 2) & (F.size("columns") == F.size(before)) & near & (F.lag("page").over(w) == F.col("page") - 1), F.lit(False))
+    goes_on = F.coalesce((F.size("columns") >= 2) & (F.size("columns") == F.size(before)) & near, F.lit(False))
+    if "caption" in tables.columns:
+        goes_on &= F.col("caption").isNull() | F.col("caption").eqNullSafe(F.lag("caption").over(w))
     return tables.withColumn("new", (~goes_on).cast("int")).withColumn("logical_table", F.sum("new").over(w)).drop("new")
 
 
@@ -158,3 +48,40 @@ def smallest_container(inner: DataFrame, outer: DataFrame, keys: list[str]) -> D
     held = inner.join(o, keys).where("ox0 <= x0 and oy0 <= y0 and ox1 >= x1 and oy1 >= y1")
     area = (F.col("ox1") - F.col("ox0")) * (F.col("oy1") - F.col("oy0"))
     return held.groupBy(*keys, "inner_id").agg(F.min_by("outer_id", F.struct(area, F.col("outer_id"))).alias("outer_id"))
+
+
+def weighted_mode(df: DataFrame, keys: list[str], value: str, weight: Column, order: str) -> DataFrame:
+    """The value of most weight in each group (characters of a colour, say); of equals the first seen."""
+    summed = df.groupBy(*keys, value).agg(F.sum(weight).alias("w"), F.min(order).alias("seen"))
+    return summed.groupBy(*keys).agg(F.max_by(value, F.struct("w", -F.col("seen"))).alias(value))
+
+
+def union_box(df: DataFrame, keys: list[str]) -> DataFrame:
+    """x, y, width, height of the least box around each group's (x, y, width, height)."""
+    right, top = F.max(F.col("x") + F.col("width")), F.max(F.col("y") + F.col("height"))
+    return df.groupBy(*keys).agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("width"), (top - F.min("y")).alias("height"))
+
+
+def rotated(x: Column, y: Column, w: Column, h: Column, rotate: Column, page_width: Column, page_height: Column) -> Column:
+    """A box in display space: the page turned clockwise by 0, 90, 180 or 270 degrees."""
+    box = lambda a, b, c, d: F.struct(a.alias("x"), b.alias("y"), c.alias("width"), d.alias("height"))
+    return (
+        F.when(rotate == 90, box(y, page_width - x - w, h, w))
+        .when(rotate == 180, box(page_width - x - w, page_height - y - h, w, h))
+        .when(rotate == 270, box(page_height - y - h, x, h, w))
+        .otherwise(box(x, y, w, h))
+    )
+
+
+def linked_spans(spans: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """``spans`` (x, y, width, height, size) with href: of the page's regions that hold a span's middle and
+    both its ends, within max(0.5, 0.35 * size), the one of the last annotation. Page-local: the join
+    is on the page's keys, and a page has few regions."""
+    near = F.greatest(F.lit(0.5), F.col("size") * 0.35)
+    middle = F.col("y") + F.col("height") / 2
+    inside = (
+        (F.col("lx") - near <= F.col("x")) & (F.col("x") + F.col("width") <= F.col("lx") + F.col("lw") + near)
+        & middle.between(F.col("ly"), F.col("ly") + F.col("lh")) & (F.col("x") + F.col("width") / 2).between(F.col("lx"), F.col("lx") + F.col("lw"))
+    )
+    held = spans.join(links, keys).where(inside).groupBy(*keys, "seq").agg(F.max_by("href", "annot_seq").alias("href"))
+    return spans.join(held, [*keys, "seq"], "left")

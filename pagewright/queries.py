@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import render, structure
-from .plans import layout
+from .operators import document, page, render, structure, verify
+from .plans import layout, write
 from .sources import pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,9 +34,8 @@ _REVENUE = "SELECT l_orderkey::VARCHAR AS doc_id, sum(cast(l_extendedprice AS DE
 
 
 def _revenue(pages: DataFrame) -> DataFrame:
-    rows = structure.page_tables(pages)
-    price = F.get("cells", F.lit(2))["text"]
-    return rows.where(T.is_numeric_field(price)).groupBy("doc_id").agg(F.sum(price.cast("decimal(18,2)")).cast("double").alias("revenue"))
+    price = page.cells(pages).where("column = 2").where(T.is_numeric_field(F.col("text")))
+    return price.groupBy("doc_id").agg(F.sum(F.col("text").cast("decimal(18,2)")).cast("double").alias("revenue"))
 
 
 @_query(_REVENUE)
@@ -69,7 +68,7 @@ SELECT doc_id, page, signature, (f < page OR coalesce(n <= page + 3, FALSE)) AS
 def furniture_suppressed(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.floor(F.col("doc_id") / 4).cast("int").alias("page"), F.explode(F.split("text", "\n")).alias("l"))
     margin = d.select("doc_id", "page", T.furniture_signature(F.col("l")).alias("signature")).distinct()
-    return structure.repeated_furniture(margin).select("doc_id", "page", "signature", "suppressed")
+    return document.repeated_furniture(margin).select("doc_id", "page", "signature", "suppressed")
 
 
 @_query("SELECT l_suppkey, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS m FROM lineitem GROUP BY l_suppkey")
@@ -83,12 +82,15 @@ def dominant_font(spark, sf_dir):
     return structure.dominant_size(_t(spark, sf_dir, "part").withColumn("size", F.col("p_size") * 0.3), ["p_brand"], "size")
 
 
-@_query("""WITH p AS (SELECT p_partkey, p_name, p_size::DOUBLE AS s, 20.0::DOUBLE AS b, 50.0::DOUBLE AS l FROM part)
-SELECT p_partkey, CASE WHEN length(p_name) > 100 THEN NULL WHEN s >= l * 0.94 AND s / b >= 1.35 THEN 1 WHEN s / b >= 1.7 THEN 1 WHEN s / b >= 1.5 THEN 2
-  WHEN s / b >= 1.35 THEN 3 WHEN s / b >= 1.15 THEN 4 END::INT AS level FROM p""")
+@_query("""WITH p AS (SELECT p_partkey, p_size::DOUBLE AS s, (12 + p_partkey % 9)::DOUBLE AS b, (40 + p_partkey % 15)::DOUBLE AS l, p_partkey % 2 = 0 AS bold,
+  CASE WHEN p_partkey % 5 = 0 THEN (p_partkey % 7)::VARCHAR || '.' || p_name ELSE p_name END AS n, p_partkey % 5 = 0 AND p_partkey % 3 = 0 AS numbered FROM part)
+SELECT p_partkey, CASE WHEN s >= l * 0.94 AND s / b >= 1.35 THEN 1 WHEN numbered THEN CASE WHEN s / b >= 1.35 THEN 3 ELSE 4 END
+  WHEN s / b >= 1.7 THEN 1 WHEN s / b >= 1.5 THEN 2 WHEN s / b >= 1.35 THEN 3 WHEN s / b >= 1.15 OR (bold AND s / b >= 1.08) THEN 4 END::INT AS level FROM p""")
 def heading_levels(spark, sf_dir):
-    size = F.col("p_size").cast("double")
-    level = T.heading_level(size, F.lit(20.0), F.lit(50.0), F.lit(False), F.col("p_name"))
+    """Levels from sizes, numbers and weight; body and largest sizes differ by row."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    name = F.when(k % 15 == 0, F.concat((k % 7).cast("string"), F.lit(". "), F.col("p_name"))).otherwise(F.col("p_name"))
+    level = T.heading_level(size, (12 + k % 9).cast("double"), (40 + k % 15).cast("double"), k % 2 == 0, name)
     return _t(spark, sf_dir, "part").select("p_partkey", level.cast("int").alias("level"))
 
 
@@ -149,18 +151,392 @@ def rendered_tables(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", T.html_escape(F.concat("p_name", F.lit('<&">'))).alias("html"), render.table_markdown(rows).alias("md"))
 
 
-@_query("SELECT user_id, arg_min(value, event_id) AS first_value, arg_max(value, event_id) AS last_value FROM events GROUP BY user_id")
-def xref_wins(spark, sf_dir):
-    """First definition for cross-reference sections, last one for recovery."""
-    e = _t(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.min_by("value", "event_id").alias("first_value"), F.max_by("value", "event_id").alias("last_value"))
+# ------------------------------------------------------------------ PDF files
+def _texts(pages: DataFrame) -> DataFrame:
+    return pages.where("error is null").select("doc_id", "page", F.posexplode("spans").alias("seq", "s"))
+
+
+@_query("""SELECT c_custkey::VARCHAR AS doc_id, c_name AS text, CASE c_custkey % 3 WHEN 0 THEN length(c_name) * 6.0 WHEN 1 THEN length(c_name) * 4.0 ELSE length(c_name) * 5.0 END AS width FROM customer""")
+def pdf_encodings(spark, sf_dir):
+    """Names through a composite font (ToUnicode ranges, W), a font with differences by glyph name, and
+    a standard font; widths of the spans at 10 points."""
+
+    def make(key: int, name: str) -> bytes:
+        w = write.Writer()
+        if key % 3 == 0:
+            font, text = w.composite(600), b"<" + b"".join(b"%04X" % (ord(c) + 0x100) for c in name) + b">"
+        elif key % 3 == 1:
+            held = sorted(set(name))
+            names = b"".join(b"/uni%04X" % ord(c) for c in held)
+            widths = b" ".join([b"400"] * len(held))
+            font = w.font(b"/Subtype/Type1/BaseFont/Own/FirstChar 1/Widths[%s]/Encoding<</BaseEncoding/WinAnsiEncoding/Differences[1%s]>>" % (widths, names))
+            text = b"<" + b"".join(b"%02X" % (held.index(c) + 1) for c in name) + b">"
+        else:
+            font, text = w.font(b"/Subtype/Type1/BaseFont/Own/Encoding/MacRomanEncoding/FontDescriptor<</MissingWidth 500>>"), write.literal(name, "mac-roman")
+        w.pages([write.flate(write.show(40, 700, 10, text))], [b"/Resources<</Font<</F1 %d 0 R>>>>" % font])
+        return w.table()
 
-
-@_query("""SELECT n_nationkey, r_name || ' / ' || n_name AS path, 2 AS depth FROM nation JOIN region ON n_regionkey = r_regionkey""")
+    files = write.printed(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_custkey").alias("k"), "c_name"), make)
+    return _texts(pdf.pages_of(files)).select("doc_id", "s.text", F.round("s.bounds.width", 6).alias("width"))
+
+
+@_query("""SELECT p_brand AS doc_id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey))::INT AS page, p_name AS text, 612.0 AS width FROM part""")
+def pdf_containers(spark, sf_dir):
+    """A file a brand and a page a part: objects in object streams, a predicted cross-reference
+    stream, a page tree of two levels with inherited resources and boxes."""
+
+    def make(names: list[str]) -> bytes:
+        w = write.Writer()
+        w.shared = b"/MediaBox[0 0 612 792]/Resources<</Font<</F1 %d 0 R>>>>" % w.font()
+        w.pages([write.flate(write.show(40, 700, 10, write.literal(n))) for n in names], fan=7)
+        return w.packed()
+
+    brands = _t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("n"))
+    files = write.printed(brands.select("doc_id", F.transform("n", lambda x: x["p_name"]).alias("names")), make)
+    return pdf.pages_of(files).select("doc_id", "page", F.get("spans", F.lit(0))["text"].alias("text"), "width")
+
+
+@_query("""SELECT s_suppkey::VARCHAR AS doc_id, s_name || ' (' || s_nationkey || ')' AS text, 40.0 + s_suppkey % 7 AS x FROM supplier""")
+def pdf_filters(spark, sf_dir):
+    """Content through Flate, ASCIIHex, both, LZW and a PNG predictor; every second file has lost its cross references."""
+
+    def make(key: int, text: str) -> bytes:
+        w = write.Writer()
+        w.shared += b"/Resources<</Font<</F1 %d 0 R>>>>" % w.font()
+        w.pages([write.FILTERS[key % len(write.FILTERS)](write.show(40 + key % 7, 700, 10, write.literal(text)))])
+        data = w.table()
+        return data if key % 2 else data[: data.rindex(b"xref\n0")] + b"trailer<</Root 1 0 R>>"
+
+    name = F.concat("s_name", F.lit(" ("), F.col("s_nationkey").cast("string"), F.lit(")"))
+    files = write.printed(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_suppkey").alias("k"), name.alias("text")), make)
+    return _texts(pdf.pages_of(files)).select("doc_id", "s.text", "s.bounds.x")
+
+
+@_query("""SELECT n_nationkey::VARCHAR AS doc_id, n_name AS text, CASE n_nationkey % 3 WHEN 0 THEN 'https://example.org/' || n_nationkey WHEN 1 THEN 'mailto:n' || n_nationkey || '@example.org' END AS href,
+CASE WHEN n_nationkey % 2 = 0 THEN '#ff8000' ELSE '#0000ff' END AS color, 100.0 + n_nationkey AS x, 500.0 AS y, n_nationkey % 2 = 1 AS spaced FROM nation""")
+def pdf_links_and_forms(spark, sf_dir):
+    """Link annotations (unsafe ones are none), text in nested forms with matrices, colours, and spaces in front."""
+
+    def make(key: int, name: str) -> bytes:
+        w = write.Writer()
+        font = w.font()
+        colour = b"1 0.5 0 rg" if key % 2 == 0 else b"1 1 0 0 k"
+        lead = b" " if key % 2 else b""
+        own = b"/Resources<</Font<</F1 %d 0 R>>>>" % font
+        text = b"(" + lead + write.literal(name)[1:]
+        inner = w.add(write.stream(colour + b" " + write.show(-6 if key % 2 else 0, 0, 10, text), b"/Type/XObject/Subtype/Form/Matrix[1 0 0 1 60 400]" + own))
+        outer = w.add(write.stream(b"q 1 0 0 1 %d 0 cm /In Do Q" % key, b"/Type/XObject/Subtype/Form/Matrix[1 0 0 1 40 100]/Resources<</XObject<</In %d 0 R>>>>" % inner))
+        target = (b"https://example.org/%d" % key, b"mailto:n%d@example.org" % key, b"javascript:%d" % key)[key % 3]
+        link = b"<</Type/Annot/Subtype/Link/Rect[90 490 400 520]/A<</S/URI/URI(%s)>>>>" % target
+        w.pages([write.stream(b"/Out Do")], [b"/Annots[%s]/Resources<</XObject<</Out %d 0 R>>>>" % (link, outer)])
+        return w.table()
+
+    files = write.printed(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.col("n_nationkey").alias("k"), "n_name"), make)
+    return _texts(pdf.pages_of(files)).select("doc_id", "s.text", "s.href", "s.color", "s.bounds.x", "s.bounds.y", F.col("s.has_leading_space").alias("spaced"))
+
+
+@_query("""SELECT s_suppkey::VARCHAR AS doc_id, CASE s_suppkey % 5 WHEN 0 THEN 'INVALID_PDF' WHEN 1 THEN 'UNSUPPORTED_FEATURE' WHEN 2 THEN 'RESOURCE_LIMIT' END AS code,
+CASE WHEN s_suppkey % 5 > 2 THEN s_name END AS text FROM supplier""")
+def pdf_errors(spark, sf_dir):
+    """Typed errors a file: no PDF, an encrypted one, a stream beyond the limit; other files are read."""
+
+    def make(key: int, name: str) -> bytes:
+        if key % 5 == 0:
+            return b"no document " + name.encode()
+        w = write.Writer()
+        w.shared += b"/Resources<</Font<</F1 %d 0 R>>>>" % w.font()
+        w.pages([write.flate(write.show(40, 700, 10, write.literal(name)) + b" " * (200_000 if key % 5 == 2 else 0))])
+        data = w.table()
+        return data.replace(b"/Root 1 0 R", b"/Root 1 0 R/Encrypt<</Filter/Standard>>") if key % 5 == 1 else data
+
+    files = write.printed(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_suppkey").alias("k"), "s_name"), make)
+    read = pdf.pages_of(files, max_decoded_stream_bytes=100_000)
+    return read.select("doc_id", "error.code", F.get("spans", F.lit(0))["text"].alias("text"))
+
+
+@_query("""SELECT p_brand AS doc_id, page, text FROM (SELECT p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey))::INT AS page, p_name AS text FROM part) WHERE page BETWEEN 4 AND 9""")
+def pdf_page_window(spark, sf_dir):
+    """Pages 4 to 9 of each file, found by the counts in the page tree."""
+
+    def make(names: list[str]) -> bytes:
+        w = write.Writer()
+        w.shared = b"/MediaBox[0 0 612 792]/Resources<</Font<</F1 %d 0 R>>>>" % w.font()
+        w.pages([write.stream(write.show(40, 700, 10, write.literal(n))) for n in names], fan=3)
+        return w.packed(20)
+
+    brands = _t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("n"))
+    files = write.printed(brands.select("doc_id", F.transform("n", lambda x: x["p_name"]).alias("names")), make)
+    return pdf.pages_of(files, pages=(4, 9)).select("doc_id", "page", F.get("spans", F.lit(0))["text"].alias("text"))
+
+
+_RULED = "SELECT s_nationkey::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey))::INT AS row, s_name AS name, s_suppkey::VARCHAR AS key FROM supplier"
+
+
+@_query(_RULED)
+def pdf_ruled_tables(spark, sf_dir):
+    """Tables drawn with rules (strokes and thin filled boxes), their columns too near for gaps to part them."""
+
+    def make(rows: list[dict]) -> bytes:
+        w = write.Writer()
+        w.shared = b"/MediaBox[0 0 612 %d]/Resources<</Font<</F1 %d 0 R>>>>" % (40 + 20 * (len(rows) + 2), w.font())
+        top, body = 20 * (len(rows) + 2), []
+        for k, (a, b) in enumerate([("Supplier", "Key"), *((r["s_name"], str(r["s_suppkey"])) for r in rows)]):
+            y = top - 20 * (k + 1)
+            body += [write.show(50, y + 6, 10, write.literal(a)), write.show(170, y + 6, 10, write.literal(b))]
+        for k in range(len(rows) + 2):
+            y = top - 20 * k
+            body.append(b"40 %d m 420 %d l S" % (y, y) if k % 2 else b"40 %g 380 1 re f" % (y - 0.5))
+        w.pages([write.flate(b"\n".join(body))])
+        return w.table()
+
+    nations = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("rows"))
+    cells = page.cells(pdf.pages_of(write.printed(nations, make))).where("reason = 'horizontal-row-rules' and row > 0")
+    at = lambda k: F.max(F.when(F.col("column") == k, F.col("text")))
+    return cells.groupBy("doc_id", "row").agg(at(0).alias("name"), at(1).alias("key"))
+
+
+# ------------------------------------------------------------------ lines, tables and columns
+@_query(_REVENUE)
+def invoice_right_aligned(spark, sf_dir):
+    """Numbers that end at one x, so cells of a column begin apart."""
+    return _revenue(layout.invoices(_t(spark, sf_dir, "lineitem"), right=True))
+
+
+@_query("SELECT l_orderkey::VARCHAR AS doc_id, count(*)::BIGINT AS n, sum(l_quantity)::BIGINT AS quantity FROM lineitem GROUP BY 1")
+def invoice_ruled(spark, sf_dir):
+    """Rows between rules across the page; gaps alone would not part their cells."""
+    rows = page.cells(layout.invoices(_t(spark, sf_dir, "lineitem"), ruled=True)).where("reason = 'horizontal-row-rules' and row > 0 and column = 1")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").cast("bigint")).alias("quantity"))
+
+
+@_query("""SELECT p_brand AS doc_id, string_agg(p_name, '|' ORDER BY k % 3, k) AS text FROM (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part) WHERE k < 36 GROUP BY 1 HAVING count(*) >= 18""")
+def reading_columns(spark, sf_dir):
+    """Three columns painted row by row, a little apart in height: read column by column."""
+    n = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    parts = _t(spark, sf_dir, "part").select("p_brand", "p_name", n.alias("k")).where("k < 36")
+    k = F.col("s.k")
+    at = layout.span(k, F.col("s.p_name"), 40 + (k % 3) * 190, 740 - F.floor(k / 3) * 15 - (k % 3) * 4, size=8.0, width=F.lit(100.0) + F.length("s.p_name"))
+    whole = parts.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("k", "p_name"))).alias("s")).where("size(s) >= 18")
+    spans = whole.select("p_brand", F.posexplode("s").alias("i", "s")).select("p_brand", at.alias("span")).groupBy("p_brand").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    pages = spans.select(*layout.page_of(F.col("p_brand"), F.lit(1), F.col("spans")))
+    ordered = F.array_sort(F.collect_list(F.struct("line_seq", "text")))
+    return page.lines(pages).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "|").alias("text"))
+
+
+@_query("""SELECT p_partkey::VARCHAR AS doc_id, replace(p_name, ' ', '') || (p_size % 10) || ' ' || p_brand || CASE WHEN p_size % 3 = 0 THEN '.' ELSE ' .' END AS text FROM part""")
+def superscript_lines(spark, sf_dir):
+    """A word, a raised figure, and more of the line: one line, spaced by gaps, marks closed up."""
+    name, figure = F.replace("p_name", F.lit(" "), F.lit("")), (F.col("p_size") % 10).cast("string")
+    w = F.length(name) * 5.0
+    last = F.when(F.col("p_size") % 3 == 0, ".").otherwise(" .")
+    spans = F.array(
+        layout.span(F.lit(0), name, F.lit(40.0), F.lit(700.0)),
+        layout.span(F.lit(1), figure, 40.0 + w, F.lit(705.0), size=5.0),
+        layout.span(F.lit(2), F.col("p_brand"), 40.0 + w + 6.0, F.lit(700.0)),
+        layout.span(F.lit(3), F.ltrim(last), 40.0 + w + 6.0 + F.length("p_brand") * 5.0 + 3.0, F.lit(700.0), spaced=F.col("p_size") % 3 != 0),
+    )
+    return page.lines(_t(spark, sf_dir, "part").select(*layout.page_of(F.col("p_partkey"), F.lit(1), spans))).select("doc_id", "text")
+
+
+def _lines_down(rows, at, step: float = 13.0, size=10.0, family="Body"):
+    """Spans of an array of struct<text, x, size, family>, one below the other."""
+    return F.transform(rows, lambda r, i: layout.span(i, r["text"], r["x"], at - i * step, size=r["size"], family=r["family"]))
+
+
+def _row(text, x: float = 40.0, size: float = 10.0, family: str = "Body"):
+    return F.struct(text.alias("text"), F.lit(x).alias("x"), F.lit(size).alias("size"), F.lit(family).alias("family"))
+
+
+@_query("""SELECT p_partkey::VARCHAR AS doc_id, p_name || ' is of ' || p_type || ' kind, an exam' || 'ple of the well-known ' || p_brand || ' line.' AS text FROM part""")
+def wrapped_paragraphs(spark, sf_dir):
+    """Paragraph lines joined: a hyphen at a line's end goes, unless its word has another."""
+    rows = F.array(_row(F.concat("p_name", F.lit(" is of"))), _row(F.concat("p_type", F.lit(" kind, an exam-"))), _row(F.lit("ple of the")), _row(F.concat(F.lit("well-known "), F.col("p_brand"))), _row(F.lit("line.")))
+    pages = _t(spark, sf_dir, "part").select(*layout.page_of(F.col("p_partkey"), F.lit(1), _lines_down(rows, 700.0)))
+    return page.blocks(pages).where("block_type = 'paragraph'").select("doc_id", "text")
+
+
+@_query("""SELECT s_suppkey::VARCHAR AS doc_id, u.i::INT AS item, CASE u.i WHEN 0 THEN s_name WHEN 1 THEN 'second of ' || s_nationkey || ' going on' ELSE 'third' END AS text, s_suppkey % 2 = 1 AS ordered FROM supplier, (SELECT unnest([0, 1, 2]) AS i) u""")
+def lists_found(spark, sf_dir):
+    """Items by bullets or numbers, one of them over two lines; other marks are no items."""
+    even = F.col("s_suppkey") % 2 == 0
+    mark = lambda n: F.when(even, F.lit("• ")).otherwise(F.lit(f"{n}) "))
+    rows = F.array(
+        _row(F.concat(mark(1), F.col("s_name"))), _row(F.concat(mark(2), F.lit("second of "), F.col("s_nationkey").cast("string"))), _row(F.lit("going on"), 46.0),
+        _row(F.concat(mark(3), F.lit("third"))),
+    )
+    pages = _t(spark, sf_dir, "supplier").select(*layout.page_of(F.col("s_suppkey"), F.lit(1), _lines_down(rows, 700.0)))
+    return page.blocks(pages).where("block_type = 'list'").select("doc_id", "ordered", F.posexplode("items").alias("item", "i")).select("doc_id", "item", "i.text", "ordered")
+
+
+@_query("""SELECT s_suppkey::VARCHAR AS doc_id, block_type, text FROM (SELECT s_suppkey, unnest(['preformatted', 'definitionList', 'employment']) AS block_type,
+unnest([s_name || chr(10) || '    indented', 'NAME=' || s_name || ';KEY=' || s_suppkey, 'Keeper ' || s_suppkey || ';organization=' || s_name || ';date=2019']) AS text FROM supplier)""")
+def blocks_found(spark, sf_dir):
+    """Monospaced runs, label and value pairs, and a bold title with its place and date, told apart."""
+    place = lambda n, t, x, y, f="Body": layout.span(F.lit(n), t, F.lit(float(x)), F.lit(float(y)), family=f)
+    name, key = F.col("s_name"), F.col("s_suppkey").cast("string")
+    spans = F.array(
+        place(0, name, 40, 700, "Courier"), place(1, F.lit("indented"), 60, 688, "Courier"),
+        place(2, F.lit("NAME"), 40, 650), place(3, name, 40, 637), place(4, F.lit("KEY"), 40, 624), place(5, key, 40, 611),
+        place(6, F.concat(F.lit("Keeper "), key), 40, 500, "Body-Bold"), place(7, name, 40, 487), place(8, F.lit("2019"), 400, 500),
+        place(9, F.lit("plain text"), 40, 400), place(10, F.lit("more plain text"), 40, 300), place(11, F.lit("and more"), 40, 200),
+    )
+    found = page.blocks(_t(spark, sf_dir, "supplier").select(*layout.page_of(F.col("s_suppkey"), F.lit(1), spans))).where("block_type != 'paragraph'")
+    items = F.array_join(F.transform("items", lambda x: F.concat(x["term"], F.lit("="), x["text"])), ";")
+    return found.select("doc_id", "block_type", F.concat_ws(";", F.when(F.col("text") != "", F.col("text")), F.when(items != "", items)).alias("text"))
+
+
+# ------------------------------------------------------------------ documents over pages
+def _atlas(spark, sf_dir) -> DataFrame:
+    """A document a region: a title page, then a page a nation with furniture, a heading, a sentence and a table."""
+    nation, region, supplier = (_t(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    first = region.select(
+        *layout.page_of(F.col("r_regionkey"), F.lit(1), F.array(
+            layout.span(F.lit(0), F.col("r_name"), F.lit(40.0), F.lit(660.0), size=24.0),
+            layout.span(F.lit(1), F.lit("All nations of the region."), F.lit(40.0), F.lit(630.0)),
+            layout.span(F.lit(2), F.lit("page 1"), F.lit(300.0), F.lit(20.0)),
+        ))
+    )
+    held = nation.join(supplier.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("s")), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    number = F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) + 1
+    held = held.withColumn("number", number).withColumn("s", F.slice(F.coalesce("s", F.array().cast("array<struct<s_suppkey: bigint, s_name: string>>")), 1, 20))
+    rows = F.concat(F.array(F.struct(F.lit("Key").alias("a"), F.lit("Name").alias("b"))), F.transform("s", lambda x: F.struct(x["s_suppkey"].cast("string").alias("a"), x["s_name"].alias("b"))))
+    cells = F.flatten(F.transform(rows, lambda r, i: F.array(layout.span(3 + 2 * i, r["a"], F.lit(40.0), 600 - 15 * i), layout.span(4 + 2 * i, r["b"], F.lit(200.0), 600 - 15 * i))))
+    spans = F.concat(
+        F.array(
+            layout.span(F.lit(0), F.concat(F.lit("page "), F.col("number").cast("string")), F.lit(300.0), F.lit(20.0)),
+            layout.span(F.lit(1), F.col("n_name"), F.lit(40.0), F.lit(660.0), size=16.0),
+            layout.span(F.lit(2), F.concat(F.lit("Suppliers of "), F.col("n_name"), F.lit(" & others.")), F.lit(40.0), F.lit(630.0)),
+        ),
+        cells,
+    )
+    return first.unionByName(held.select(*layout.page_of(F.col("n_regionkey"), F.col("number"), spans)))
+
+
+_ATLAS = """WITH s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier),
+n AS (SELECT n_regionkey, n_nationkey, n_name, coalesce(string_agg({row}, '' ORDER BY s_suppkey) FILTER (WHERE s_suppkey IS NOT NULL), '') AS rows, count(s_suppkey) AS many
+  FROM nation LEFT JOIN s ON s_nationkey = n_nationkey AND k <= 20 GROUP BY ALL)"""
+
+
+@_query(_ATLAS.format(row="'<tr><td>' || s_suppkey || '</td><td>' || s_name || '</td></tr>'") + """
+SELECT r_regionkey::VARCHAR AS doc_id, '<article class="pdf-semantic-document"><header><h1>' || r_name || '</h1><p>All nations of the region.</p></header>' || string_agg(
+  CASE WHEN n.n_nationkey = f.least THEN '' ELSE '</section>' END || '<section data-level="2"><h2>' || n_name || '</h2><p>Suppliers of ' || n_name || ' &amp; others.</p>' ||
+  CASE WHEN many > 0 THEN '<table><tr><th scope="col">Key</th><th scope="col">Name</th></tr>' || rows || '</table>' ELSE '<p>Key Name</p>' END, '' ORDER BY n.n_nationkey) || '</section></article>' AS text
+FROM n JOIN region ON n_regionkey = r_regionkey JOIN (SELECT n_regionkey, min(n_nationkey) AS least FROM nation GROUP BY 1) f ON f.n_regionkey = n.n_regionkey GROUP BY r_regionkey, r_name""")
+def document_html(spark, sf_dir):
+    """Whole documents as HTML: page numbers left out, sections opened and closed, tables with headers."""
+    return document.whole(document.html(document.assemble(page.blocks(_atlas(spark, sf_dir)))))
+
+
+@_query(_ATLAS.format(row="'| ' || s_suppkey || ' | ' || replace(s_name, '_', chr(92) || '_') || ' |' || chr(10)") + """
+SELECT r_regionkey::VARCHAR AS doc_id, '# ' || r_name || chr(10) || chr(10) || 'All nations of the region.' || chr(10) || chr(10) || string_agg(
+  '## ' || replace(n_name, '_', chr(92) || '_') || chr(10) || chr(10) || 'Suppliers of ' || replace(n_name, '_', chr(92) || '_') || ' & others.' || chr(10) || chr(10) ||
+  CASE WHEN many > 0 THEN '| Key | Name |' || chr(10) || '| --- | --- |' || chr(10) || rows || chr(10) ELSE 'Key Name' || chr(10) || chr(10) END, '' ORDER BY n_nationkey) AS text
+FROM n JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""")
+def document_markdown(spark, sf_dir):
+    return document.whole(document.markdown(document.assemble(page.blocks(_atlas(spark, sf_dir)))))
+
+
+@_query("""SELECT r_regionkey::VARCHAR AS doc_id, 1 + count(n_nationkey)::BIGINT AS pages_processed, 1 + count(n_nationkey)::BIGINT AS suppressed_furniture, 0::BIGINT AS merged_tables FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1""")
+def document_stats(spark, sf_dir):
+    blocks = page.blocks(_atlas(spark, sf_dir))
+    return document.stats(blocks, document.assemble(blocks)).select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("pages_processed", "suppressed_furniture", "merged_tables")])
+
+
+@_query("""SELECT l_suppkey::VARCHAR AS doc_id, count(*)::BIGINT AS rows, sum(l_quantity)::BIGINT AS quantity, ceil(count(*) / 40.0)::BIGINT AS parts FROM lineitem GROUP BY 1""")
+def tables_over_pages(spark, sf_dir):
+    """A table over as many pages as it needs, with its header on each: one table, one header."""
+    w = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    items = _t(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w) - 1)
+    items = items.select("l_suppkey", F.floor(F.col("k") / 40).alias("p"), (F.col("k") % 40 + 1).alias("i"), F.col("l_orderkey").cast("string").alias("a"), F.col("l_quantity").cast("int").cast("string").alias("b"))
+    held = items.groupBy("l_suppkey", "p").agg(F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("r"))
+    rows = F.concat(F.array(F.struct(F.lit(0).cast("bigint").alias("i"), F.lit("Order").alias("a"), F.lit("Quantity").alias("b"))), F.col("r"))
+    spans = F.flatten(F.transform(rows, lambda r: F.array(layout.span(2 * r["i"], r["a"], F.lit(40.0), 690 - 14 * r["i"]), layout.span(2 * r["i"] + 1, r["b"], F.lit(300.0), 690 - 14 * r["i"]))))
+    pages = held.select(*layout.page_of(F.col("l_suppkey"), F.col("p") + 1, spans))
+    whole = document.assemble(page.blocks(pages)).where("block_type = 'table'").select("doc_id", F.size("tables").alias("parts"), F.slice(document.merged_rows(F.col("tables")), 2, 1_000_000).alias("rows"))
+    amount = F.aggregate("rows", F.lit(0).cast("bigint"), lambda s, r: s + F.get(r["cells"], F.lit(1)).cast("bigint"))
+    return whole.groupBy("doc_id").agg(F.sum(F.size("rows")).cast("bigint").alias("rows"), F.sum(amount).alias("quantity"), F.sum("parts").cast("bigint").alias("parts"))
+
+
+@_query("""SELECT c_custkey::VARCHAR AS doc_id, 'The account of ' || c_name || ' is kept in the segment of ' || lower(c_mktsegment) || ', a well-known one.' AS text, 2::BIGINT AS pages FROM customer""")
+def paragraphs_over_pages(spark, sf_dir):
+    """A paragraph over a page break, with a compound that lost its hyphen there and is seen whole on the next page."""
+    c = _t(spark, sf_dir, "customer")
+    one = F.array(layout.span(F.lit(0), F.concat(F.lit("The account of "), F.col("c_name"), F.lit(" is kept")), F.lit(40.0), F.lit(100.0)))
+    two = F.array(
+        layout.span(F.lit(0), F.concat(F.lit("in the segment of "), F.lower("c_mktsegment"), F.lit(", a wellknown one.")), F.lit(40.0), F.lit(690.0)),
+        layout.span(F.lit(1), F.lit("A well-known end."), F.lit(40.0), F.lit(400.0)),
+    )
+    pages = c.select(*layout.page_of(F.col("c_custkey"), F.lit(1), one)).unionByName(c.select(*layout.page_of(F.col("c_custkey"), F.lit(2), two)))
+    out = document.continued(document.restored_hyphens(document.without_furniture(page.blocks(pages))))
+    return out.where("run = 1").select("doc_id", "text", F.lit(2).cast("bigint").alias("pages"))
+
+
+@_query("""WITH h AS (SELECT p_brand, p_partkey, 1 + (p_size % 4) AS level, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS run FROM part),
+t AS (SELECT *, min(CASE WHEN level = 1 THEN run END) OVER (PARTITION BY p_brand) AS opens FROM h),
+b AS (SELECT *, coalesce(max(CASE WHEN run > opens AND level <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY run), 0) AS broken FROM t),
+s AS (SELECT *, run >= opens AND broken = 0 AS header, CASE WHEN level = 1 AND run > opens AND broken = 1 THEN 2 ELSE level END AS shown FROM b),
+a AS (SELECT x.p_brand, x.run, count(y.run) AS closes FROM s x JOIN s y ON x.p_brand = y.p_brand AND y.run < x.run AND y.shown >= x.shown AND NOT coalesce(y.header, FALSE) AND NOT coalesce(x.header, FALSE)
+  WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.p_brand = x.p_brand AND z.run > y.run AND z.run < x.run AND z.shown <= y.shown AND NOT coalesce(z.header, FALSE)) GROUP BY 1, 2)
+SELECT s.p_brand AS doc_id, s.run::BIGINT AS run, CASE WHEN coalesce(header, FALSE) THEN 'header' ELSE 'body' END AS place, shown::INT AS shown, coalesce(closes, 0)::INT AS closes FROM s LEFT JOIN a ON a.p_brand = s.p_brand AND a.run = s.run""")
 def section_nesting(spark, sf_dir):
-    """Levels of a heading stream folded into paths: the last heading of each smaller level."""
-    r = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("a"), F.lit(-1).alias("b"), F.lit(1).alias("level"), F.col("r_name").alias("text"))
-    n = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("a"), F.col("n_nationkey").alias("b"), F.lit(2).alias("level"), F.col("n_name").alias("text"))
-    w = W.partitionBy("a").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
-    top = F.last(F.when(F.col("level") == 1, F.col("text")), ignorenulls=True).over(w)
-    return r.union(n).withColumn("top", top).where("level = 2").select(F.col("b").alias("n_nationkey"), F.concat_ws(" / ", "top", "text").alias("path"), F.col("level").alias("depth"))
+    """Headings of a document: which stand in its header, the level shown, and the sections each closes."""
+    heads = _t(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("doc_id"), F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")).cast("bigint").alias("run"), F.lit("heading").alias("block_type"),
+        (1 + F.col("p_size") % 4).alias("level"), F.col("p_name").alias("text"), F.lit(792.0).alias("height"),
+        F.array(F.struct(F.lit(700.0).alias("y"))).alias("lines"),
+    )
+    return document.nested(heads).select("doc_id", "run", "place", F.col("shown").cast("int").alias("shown"), F.col("closes").cast("int").alias("closes"))
+
+
+# ------------------------------------------------------------------ text
+@_query(r"""SELECT p_partkey, p_name || ' final flow' AS plain, len(regexp_extract_all(p_name || ' a-b, ' || p_brand, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'))::INT AS tokens,
+upper(left(lower(p_type), 1)) || substr(lower(p_type), 2) AS title, 'x\_' || p_brand AS marked, CASE WHEN p_size % 3 = 0 THEN 'https://example.org/' || p_partkey END AS uri,
+CASE p_size % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS ordered, '#' || printf('%02x%02x%02x', (floor((1 - least(1.0, 0.2 + (p_size % 5) / 10.0)) * 255 + 0.5))::INT,
+(floor((1 - (p_size % 5) / 10.0) * 255 + 0.5))::INT, (floor((1 - (p_size % 5) / 10.0) * 255 + 0.5))::INT) AS color FROM part""")
+def text_functions(spark, sf_dir):
+    """Clean text, tokens, title case, safe addresses, list markers and colours as column expressions."""
+    size = F.col("p_size")
+    uri = F.when(size % 3 == 0, F.concat(F.lit(" https://example.org/"), F.col("p_partkey").cast("string"), F.lit(" "))).otherwise(F.when(size % 3 == 1, F.lit("javascript:x")).otherwise(F.lit("https://a b")))
+    item = F.when(size % 4 == 0, "12) x").when(size % 4 == 1, "▪x").otherwise("- x")
+    ink = ((size % 5) / 10.0).cast("double")
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey", T.compatible(F.concat("p_name", F.lit("\x01ﬁnal ﬂow"))).alias("plain"), F.size(T.tokens(F.concat("p_name", F.lit(" a-b, "), F.col("p_brand")))).alias("tokens"),
+        T.title_case(F.col("p_type")).alias("title"), T.markdown_escape(F.concat(F.lit("x_"), F.col("p_brand"))).alias("marked"), T.safe_uri(uri).alias("uri"),
+        T.list_marker(item)["ordered"].alias("ordered"), T.cmyk_hex(F.lit(0.2), F.lit(0.0), F.lit(0.0), ink).alias("color"),
+    )
+
+
+# ------------------------------------------------------------------ verification
+@_query("""SELECT page_id, len(regexp_extract_all(html, '<h[1-6][^>]*>'))::INT AS headings, len(regexp_extract_all(html, '<(?:ul|ol)[ >]'))::INT AS lists, len(regexp_extract_all(html, '<li[ >]'))::INT AS items,
+len(regexp_extract_all(html, '<table[ >]'))::INT AS tables, len(regexp_extract_all(html, '<a [^>]*href="[^"]*"'))::INT AS links, len(regexp_extract_all(html, '<pre[ >]'))::INT AS code FROM pages""")
+def inspected_pages(spark, sf_dir):
+    """How many headings, lists, items, tables, links and code blocks a page has."""
+    seen = verify.inspect(_t(spark, sf_dir, "pages"), "page_id", "html")
+    return seen.select("page_id", *[F.size(c).alias(c) for c in ("headings", "lists", "items", "tables", "links", "code")])
+
+
+@_query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents WHERE source IS NOT NULL),
+a AS (SELECT doc_id - doc_id % 2 AS pair, w, count(*) FILTER (WHERE doc_id % 2 = 0) AS l, count(*) FILTER (WHERE doc_id % 2 = 1) AS r FROM t GROUP BY 1, 2)
+SELECT pair, sum(greatest(l - r, 0))::BIGINT AS missing, sum(greatest(r - l, 0))::BIGINT AS added FROM a GROUP BY 1""")
+def document_diffs(spark, sf_dir):
+    """Words that the second document of each pair lacks or has beyond the first, as multisets."""
+    d = _t(spark, sf_dir, "documents").where("source is not null").select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), 0)).alias("w"))
+    pair = F.col("doc_id") - F.col("doc_id") % 2
+    side = lambda k: d.where(F.col("doc_id") % 2 == k).select(pair.alias("pair"), "w")
+    return verify.multiset_difference(side(0), side(1), ["pair"], "w")
+
+
+@_query("""SELECT doc_id, check_id, passed, blocks FROM (SELECT c_custkey::VARCHAR AS doc_id, unnest(['name', 'order', 'none', 'draft']) AS check_id,
+unnest([TRUE, TRUE, c_custkey % 2 = 0, FALSE]) AS passed, unnest([FALSE, FALSE, c_custkey % 2 = 1, FALSE]) AS blocks FROM customer)""")
+def contracts_held(spark, sf_dir):
+    """Checks of texts: contains, sequence and absence; only verified checks block."""
+    c = _t(spark, sf_dir, "customer")
+    texts = c.select(F.col("c_custkey").cast("string").alias("doc_id"), F.concat(F.lit("The "), F.col("c_name"), F.lit(" of "), F.col("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 1, " draft").otherwise("")).alias("text"))
+    checks = c.select(
+        F.col("c_custkey").cast("string").alias("doc_id"),
+        F.explode(F.array(
+            verify.check("name", "contains", F.array("c_name"), True), verify.check("order", "sequence", F.array(F.lit("The"), F.col("c_name"), F.col("c_mktsegment")), True),
+            verify.check("none", "absent", F.array(F.lit("draft")), True), verify.check("draft", "contains", F.array(F.lit("never said")), False),
+        )).alias("c"),
+    ).select("doc_id", "c.*")
+    return verify.judged(texts, checks).select("doc_id", "check_id", "passed", "blocks")

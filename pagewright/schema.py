@@ -2,8 +2,18 @@
 
 RECT = "struct<x: double, y: double, width: double, height: double>"
 SPAN = (
-    f"struct<seq: int, text: string, bounds: {RECT}, direction: string, font_name: string, font_family: string, "
-    "color: string, rendering_mode: int, font_size: double, transform: array<double>>"
+    f"struct<seq: int, text: string, href: string, has_leading_space: boolean, text_adjustment_before: double, natural_width: double, "
+    f"character_spacing: double, word_spacing: double, bounds: {RECT}, direction: string, font_name: string, font_family: string, "
+    "color: string, fill_opacity: double, stroke_color: string, rendering_mode: int, font_size: double, transform: array<double>>"
 )
+FILL = "struct<points: array<struct<x: double, y: double>>, color: string, opacity: double>"
+PATH = (
+    "struct<d: string, fill: string, stroke: string, stroke_width: double, fill_opacity: double, stroke_opacity: double, "
+    "dasharray: array<double>, dashoffset: double, linecap: string, linejoin: string, fill_rule: string>"
+)
+IMAGE = "struct<width: int, height: int, format: string, data: binary, transform: array<double>, opacity: double>"
 ERROR = "struct<code: string, message: string>"
-PAGES = f"doc_id string, page int, width double, height double, rotate int, spans array<{SPAN}>, error {ERROR}"
+PAGES = (
+    f"doc_id string, page int, width double, height double, rotate int, spans array<{SPAN}>, "
+    f"fills array<{FILL}>, paths array<{PATH}>, images array<{IMAGE}>, error {ERROR}"
+)

@@ -1,20 +1,49 @@
-"""PDF bytes to pages of positioned spans.
+"""PDF bytes to pages of positioned spans, fills, paths and images.
 
-``read_pages`` maps files (path, content) to page rows; a broken file gives one row with a typed
-error and does not fail the job. The parser keeps to limits: nesting, filters' output, tree depth.
+``pages_of`` maps files (doc_id, content) to page rows, ``read_pages`` reads a path; ``datasource``
+has the random-access form. A broken file gives one row with a typed error and does not fail the
+job (``mode``: PERMISSIVE; DROPMALFORMED leaves it out, FAILFAST raises).
+
+A ``Document`` reads ranges of a source: the tail with the cross references, then each object
+between its offset and the next one's. Objects and decoded containers are kept in caches bounded
+by number and bytes. What goes over a limit is a RESOURCE_LIMIT error, which starts no recovery.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
+from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import PAGES
+from .content import Interpreter, attach_links, links_of
+
+MAX_NESTING = 128
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a reader may take; each is an option of the sources by its name."""
+
+    max_object_bytes: int = 16 << 20
+    max_decoded_stream_bytes: int = 32 << 20
+    max_object_stream_decoded_bytes: int = 64 << 20
+    max_xref_bytes: int = 8 << 20
+    max_page_tree_depth: int = 128
+    max_form_depth: int = 32
+    max_cached_objects: int = 256
+    max_object_cache_bytes: int = 16 << 20
+    max_xref_cache_bytes: int = 16 << 20
 
-MAX_NESTING, MAX_DECODED, MAX_DEPTH = 128, 64 << 20, 128
+    @staticmethod
+    def of(options: dict) -> Limits:
+        low = {k.lower().replace("_", ""): v for k, v in options.items()}
+        return Limits(**{f.name: int(low[k]) for f in fields(Limits) if (k := f.name.replace("_", "")) in low})
 
 
 class PdfError(Exception):
@@ -58,7 +87,7 @@ class Lexer:
 
     def value(self, depth: int = 0):
         if depth > MAX_NESTING:
-            raise PdfError("RESOURCE_LIMIT", "values are nested too deeply")
+            raise PdfError("INVALID_PDF", "values are nested too deeply")
         self.skip()
         d = self.data
         if self.at >= len(d):
@@ -138,12 +167,14 @@ class Lexer:
         return bytes(out)
 
 
-def inflate(raw: bytes) -> bytes:
-    for bits in (15, -15):
+def inflate(raw: bytes, most: int = Limits.max_decoded_stream_bytes) -> bytes:
+    """zlib, else raw deflate, else raw deflate between what looks like zlib's header and checksum."""
+    tries = [(15, raw), (-15, raw)] + ([(-15, raw[2:-4])] if len(raw) > 6 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0 else [])
+    for bits, data in tries:
         try:
             z = zlib.decompressobj(bits)
-            out = z.decompress(raw, MAX_DECODED)
-            if z.unconsumed_tail:
+            out = z.decompress(data, most)
+            if z.unconsumed_tail and z.decompress(z.unconsumed_tail, 1):
                 raise PdfError("RESOURCE_LIMIT", "a stream decodes to too many bytes")
             return out
         except zlib.error:
@@ -151,7 +182,7 @@ def inflate(raw: bytes) -> bytes:
     raise PdfError("INVALID_PDF", "a Flate stream is damaged")
 
 
-def lzw(raw: bytes, early: int = 1) -> bytes:
+def lzw(raw: bytes, early: int = 1, most: int = Limits.max_decoded_stream_bytes) -> bytes:
     out, table, width, held, bits, last = bytearray(), {}, 9, 0, 0, b""
     nxt = 258
     for byte in raw:
@@ -167,7 +198,7 @@ def lzw(raw: bytes, early: int = 1) -> bytes:
                 return bytes(out)
             now = bytes([code]) if code < 256 else table.get(code, last + last[:1])
             out += now
-            if len(out) > MAX_DECODED:
+            if len(out) > most:
                 raise PdfError("RESOURCE_LIMIT", "a stream decodes to too many bytes")
             if last:
                 table[nxt] = last + now[:1]
@@ -178,85 +209,157 @@ def lzw(raw: bytes, early: int = 1) -> bytes:
 
 
 def unpredict(data: bytes, parms: dict) -> bytes:
+    """Undoes the TIFF predictor (2) and PNG's (10 to 15), row by row."""
+    import numpy as np
+
     kind = parms.get("Predictor", 1)
-    if kind == 1:
+    if kind == 1 or not data:
         return data
     colors, depth, columns = parms.get("Colors", 1), parms.get("BitsPerComponent", 8), parms.get("Columns", 1)
     step, size = max(1, colors * depth // 8), (colors * depth * columns + 7) // 8
-    out = bytearray()
     if kind == 2:
-        for k in range(0, len(data), size):
-            row = bytearray(data[k : k + size])
-            for i in range(step, len(row)):
-                row[i] = (row[i] + row[i - step]) & 255
-            out += row
-        return bytes(out)
-    above = bytearray(size)
+        rows = np.frombuffer(data + bytes(-len(data) % size), np.uint8).reshape(-1, size)
+        if depth == 8:
+            out = np.cumsum(rows.reshape(len(rows), -1, colors), axis=1, dtype=np.uint8)
+        elif depth == 16:
+            out = np.cumsum(rows.copy().view(">u2").astype(np.uint16).reshape(len(rows), -1, colors), axis=1, dtype=np.uint16).astype(">u2").view(np.uint8)
+        else:  # several samples a byte
+            bits = np.unpackbits(rows, axis=1)[:, : colors * depth * columns].reshape(len(rows), columns, colors, depth)
+            value = np.cumsum(bits @ (1 << np.arange(depth)[::-1]), axis=1) & ((1 << depth) - 1)
+            out = np.packbits(((value[..., None] >> np.arange(depth)[::-1]) & 1).reshape(len(rows), -1).astype(np.uint8), axis=1)
+        return out.tobytes()[: len(data)]
+    out, above = bytearray(), np.zeros(size, np.uint8)
     for k in range(0, len(data), size + 1):
-        mode, row = data[k], bytearray(data[k + 1 : k + 1 + size])
-        for i in range(len(row)):
-            a, b, c = (row[i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
-            if mode == 4:
-                p = a + b - c
-                add = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-            else:
-                add = (0, a, b, (a + b) // 2)[mode] if mode < 4 else 0
-            row[i] = (row[i] + add) & 255
-        out += row
+        mode, raw = data[k], data[k + 1 : k + 1 + size]
+        row = np.frombuffer(raw + bytes(size - len(raw)), np.uint8).copy()
+        if mode == 1:
+            row = np.cumsum(np.pad(row, (0, -size % step)).reshape(-1, step), axis=0, dtype=np.uint8).ravel()[:size]
+        elif mode == 2:
+            row += above
+        elif mode in (3, 4):
+            now, up = row.tolist(), above.tolist()
+            for i in range(size):
+                a, b, c = (now[i - step] if i >= step else 0), up[i], (up[i - step] if i >= step else 0)
+                if mode == 3:
+                    add = (a + b) // 2
+                else:
+                    p = a + b - c
+                    add = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                now[i] = (now[i] + add) & 255
+            row = np.array(now, np.uint8)
+        out += row[: len(raw)].tobytes()
         above = row
     return bytes(out)
 
 
-def decoded(s: Stream, doc: Document) -> bytes:
-    names = doc.resolve(s.head.get("Filter", s.head.get("F"))) or []
-    parms = doc.resolve(s.head.get("DecodeParms", s.head.get("DP"))) or []
-    names = names if isinstance(names, list) else [names]
-    parms = parms if isinstance(parms, list) else [parms]
-    data = s.raw
-    for k, name in enumerate(names):
-        p = (doc.resolve(parms[k]) if k < len(parms) else None) or {}
-        if name in ("FlateDecode", "Fl"):
-            data = unpredict(inflate(data), p)
-        elif name in ("LZWDecode", "LZW"):
-            data = unpredict(lzw(data, p.get("EarlyChange", 1)), p)
-        elif name in ("ASCIIHexDecode", "AHx"):
-            digits = re.sub(rb"\s", b"", data.split(b">")[0])
-            data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-        else:
-            raise PdfError("UNSUPPORTED_FEATURE", f"filter {name}")
-    return data
+class MemorySource:
+    """Ranges of bytes at hand."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def read(self, offset: int, length: int) -> bytes:
+        if offset < 0 or length < 0 or offset + length > self.size:
+            raise ValueError("a range outside the source")
+        return bytes(self.data[offset : offset + length])
+
+
+class Cache:
+    """The values used last, bounded by their number and their bytes."""
+
+    def __init__(self, most: int, most_bytes: int):
+        self.most, self.most_bytes, self.held, self.bytes = most, most_bytes, OrderedDict(), 0
+
+    def get(self, key):
+        if key in self.held:
+            self.held.move_to_end(key)
+            return self.held[key][0]
+        return None
+
+    def put(self, key, value, size: int) -> None:
+        if size > self.most_bytes:
+            return
+        self.held[key] = (value, size)
+        self.bytes += size
+        while len(self.held) > self.most or self.bytes > self.most_bytes:
+            _, (_, gone) = self.held.popitem(last=False)
+            self.bytes -= gone
+
+    def clear(self) -> None:
+        self.held.clear()
+        self.bytes = 0
+
+
+def value_size(value) -> int:
+    """About how many bytes a value takes."""
+    todo, total = [value], 0
+    while todo:
+        v = todo.pop()
+        total += 16
+        if isinstance(v, Stream):
+            total += len(v.raw)
+            todo.append(v.head)
+        elif isinstance(v, (bytes, str)):
+            total += len(v)
+        elif isinstance(v, dict):
+            todo += [*v, *v.values()]
+        elif isinstance(v, list):
+            todo += v
+    return total
 
 
 class Document:
     """Cross references, objects and the page tree of one file."""
 
-    def __init__(self, data: bytes):
-        if b"%PDF-" not in data[:1024]:
+    def __init__(self, source, limits: Limits | None = None):
+        self.source = MemorySource(source) if isinstance(source, (bytes, bytearray, memoryview)) else source
+        self.limits = limits = limits or Limits()
+        size = self.source.size
+        if b"%PDF-" not in self.source.read(0, min(1024, size)):
             raise PdfError("INVALID_PDF", "no header")
-        self.data, self.xref, self.trailer, self.cache = data, {}, {}, {}
+        self.xref, self.trailer, self.sections = {}, {}, []
+        self.cache = Cache(limits.max_cached_objects, limits.max_object_cache_bytes)
+        self.boxes = Cache(64, limits.max_object_cache_bytes)
+        self.recovered, self.stops = False, []
         try:
-            at = int(re.findall(rb"startxref\s+(\d+)", data)[-1])
-            seen: set[int] = set()
-            todo = [at]
+            # as a rule the last kilobyte holds the place; more is read only where it does not
+            for tail in (1024, limits.max_xref_bytes):
+                found = re.findall(rb"startxref\s+(\d+)", self.source.read(size - min(size, tail), min(size, tail)))
+                if found:
+                    break
+            todo, seen = [int(found[-1])], set()
             while todo:
                 at = todo.pop(0)
                 if at in seen:
                     continue
                 seen.add(at)
-                todo += self._section(at)
+                todo = self._section(at) + todo
+            self.sections = sorted(seen)
+            self._order()
             if not isinstance(self.resolve(self.trailer.get("Root")), dict):
-                raise ValueError
+                raise ValueError("no root")
         except PdfError as e:
-            if e.code == "UNSUPPORTED_FEATURE":
+            if e.code != "INVALID_PDF":
                 raise
             self._recover()
-        except (EOFError, ValueError, IndexError, KeyError, TypeError):
+        except (EOFError, ValueError, IndexError, KeyError, TypeError, AttributeError):
             self._recover()
 
+    def _order(self) -> None:
+        """Where an object's bytes end at the latest: the next object or section."""
+        self.stops = sorted({x[1] for x in self.xref.values() if not x[0]} | set(self.sections)) + [self.source.size]
+
+    def _window(self, at: int, most: int | None = None) -> bytes:
+        if not 0 <= at < self.source.size:
+            raise ValueError("an offset outside the file")
+        end = self.stops[bisect_right(self.stops, at)] if self.stops and at < self.stops[-1] else self.source.size
+        return self.source.read(at, min(end - at, most or self.limits.max_object_bytes))
+
     def _section(self, at: int) -> list[int]:
-        lex = Lexer(self.data, at)
+        data = self.source.read(at, min(self.source.size - at, self.limits.max_xref_bytes))
+        lex = Lexer(data)
         lex.skip()
-        if self.data[lex.at : lex.at + 4] == b"xref":
+        if data[lex.at : lex.at + 4] == b"xref":
             lex.at += 4
             while isinstance(first := lex.value(), int):
                 for k in range(lex.value()):
@@ -265,14 +368,18 @@ class Document:
                         self.xref.setdefault(first + k, (0, offset))
             head = lex.value()
         else:
-            s = self._object(at)[1]
+            s = self._parse(data)[1]
             head, (a, b, c) = s.head, s.head["W"]
-            rows, index = decoded(s, self), s.head.get("Index") or [0, s.head["Size"]]
+            rows, index = self.decoded(s), s.head.get("Index") or [0, s.head["Size"]]
+            if len(rows) > self.limits.max_xref_cache_bytes:
+                raise PdfError("RESOURCE_LIMIT", "the cross references take too many bytes")
             k = 0
             for first, n in zip(index[::2], index[1::2], strict=True):
                 for number in range(first, first + n):
                     row = rows[k : k + a + b + c]
                     k += a + b + c
+                    if len(row) < a + b + c:
+                        break
                     kind = int.from_bytes(row[:a]) if a else 1
                     x, y = int.from_bytes(row[a : a + b]), int.from_bytes(row[a + b :])
                     if kind in (1, 2):
@@ -284,39 +391,67 @@ class Document:
         return [head[k] for k in ("XRefStm", "Prev") if isinstance(head.get(k), int)]
 
     def _recover(self) -> None:
-        """Objects as they stand in the file; the last definition of a number wins."""
+        """Objects as they stand in the last ``max_xref_bytes``; the last definition of a number wins."""
+        size = self.source.size
+        n = min(size, self.limits.max_xref_bytes)
+        data, base = self.source.read(size - n, n), size - n
         self.cache.clear()
-        self.xref = {int(m[1]): (0, m.start(1)) for m in re.finditer(rb"(?:^|[\r\n])\s*(\d+)\s+\d+\s+obj\b", self.data)}
-        roots = re.findall(rb"/Root\s+(\d+)\s+(\d+)\s+R", self.data)
+        self.boxes.clear()
+        self.recovered, self.sections = True, []
+        self.xref = {int(m[1]): (0, base + m.start(1)) for m in re.finditer(rb"(?:^|[\r\n])[ \t]*(\d+)[ \t]+\d+[ \t]+obj\b", data)}
+        roots = re.findall(rb"/Root\s+(\d+)\s+(\d+)\s+R", data)
         if not roots:
             raise PdfError("INVALID_PDF", "no cross references and no root")
         self.trailer = {"Root": Ref((int(roots[-1][0]), 0))}
+        self._order()
 
-    def _object(self, at: int):
-        lex = Lexer(self.data, at)
+    def _parse(self, data: bytes):
+        """(number, value) of an indirect object at the start of ``data``."""
+        lex = Lexer(data)
         number, _, word = lex.value(), lex.value(), lex.value()
         if word != "obj":
             raise PdfError("INVALID_PDF", "no object at its offset")
         value = lex.value()
         lex.skip()
-        if isinstance(value, dict) and self.data[lex.at : lex.at + 6] == b"stream":
-            start = re.compile(rb"stream(\r\n|\n|\r)?").match(self.data, lex.at).end()
+        if isinstance(value, dict) and data[lex.at : lex.at + 6] == b"stream":
+            start = _STREAM.match(data, lex.at).end()
             size = self.resolve(value.get("Length"))
-            if not isinstance(size, int) or not re.compile(rb"\s*endstream").match(self.data, start + size):
-                size = self.data.index(b"endstream", start) - start
-                while size and self.data[start + size - 1] in b"\r\n":
+            if not isinstance(size, int) or size < 0 or not _ENDS.match(data, start + size):
+                end = data.find(b"endstream", start)
+                if end < 0:
+                    full = len(data) >= self.limits.max_object_bytes
+                    raise PdfError("RESOURCE_LIMIT" if full else "INVALID_PDF", "a stream without an end")
+                size = end - start
+                while size and data[start + size - 1] in b"\r\n":
                     size -= 1
-            value = Stream(value, self.data[start : start + size])
+            value = Stream(value, data[start : start + size])
         return number, value
 
     def resolve(self, value, depth: int = 0):
         while isinstance(value, Ref):
             if depth > 32:
                 raise PdfError("INVALID_PDF", "a chain of references")
-            number = value[0]
-            if number not in self.cache:
-                self.cache[number] = self._load(number)
-            value, depth = self.cache[number], depth + 1
+            value, depth = self.object(value[0]), depth + 1
+        return value
+
+    def object(self, number: int):
+        held = self.cache.get(number)
+        if held is not None:
+            return held
+        try:
+            value = self._load(number)
+        except PdfError as e:
+            if e.code != "INVALID_PDF" or self.recovered:
+                raise
+            self._recover()
+            value = self._load(number)
+        except (EOFError, ValueError, KeyError, IndexError, AttributeError):
+            if self.recovered:
+                raise
+            self._recover()
+            value = self._load(number)
+        if value is not None:
+            self.cache.put(number, value, value_size(value))
         return value
 
     def _load(self, number: int):
@@ -324,194 +459,160 @@ class Document:
         if where is None:
             return None
         if not where[0]:
-            got, value = self._object(where[1])
+            got, value = self._parse(self._window(where[1]))
             if got != number:
                 raise PdfError("INVALID_PDF", "another object at its offset")
             return value
-        box = self.resolve(Ref((where[0], 0)))
-        body = decoded(box, self)
-        lex = Lexer(body)
-        pairs = [(lex.value(), lex.value()) for _ in range(box.head["N"])]
-        number_at = pairs[where[1]] if where[1] < len(pairs) and pairs[where[1]][0] == number else next(p for p in pairs if p[0] == number)
-        return Lexer(body, box.head["First"] + number_at[1]).value()
-
-    def pages(self) -> Iterator[dict]:
-        root = self.resolve(self.trailer["Root"])
-        yield from self._walk(root.get("Pages"), {}, 0, set())
-
-    def _walk(self, ref, inherited: dict, depth: int, seen: set) -> Iterator[dict]:
-        if depth > MAX_DEPTH or (isinstance(ref, Ref) and ref in seen):
+        body, first, offsets, order = self._box(where[0])
+        at = offsets.get(number)
+        if at is None or (where[1] < len(order) and order[where[1]] != number and number not in offsets):
+            raise PdfError("INVALID_PDF", "an object is not in its container")
+        return Lexer(body, first + at).value()
+
+    def _box(self, number: int):
+        """An object stream, decoded once: its bytes, where objects begin, and their places."""
+        held = self.boxes.get(number)
+        if held is None:
+            box = self.object(number)
+            if not isinstance(box, Stream):
+                raise PdfError("INVALID_PDF", "an object stream is missing")
+            body = self.decoded(box, self.limits.max_object_stream_decoded_bytes)
+            first, n = self.resolve(box.head["First"]), self.resolve(box.head["N"])
+            header = list(map(int, body[:first].split()[: 2 * n]))
+            offsets: dict[int, int] = {}
+            for k, at in zip(header[::2], header[1::2], strict=True):
+                offsets.setdefault(k, at)
+            held = body, first, offsets, header[::2]
+            self.boxes.put(number, held, len(body) + 64 * len(offsets))
+        return held
+
+    def decoded(self, s: Stream, most: int | None = None, until: str | None = None) -> bytes:
+        """A stream's bytes after its filters; ``until`` names a filter whose input is wanted."""
+        most = most or self.limits.max_decoded_stream_bytes
+        names = self.resolve(s.head.get("Filter", s.head.get("F"))) or []
+        parms = self.resolve(s.head.get("DecodeParms", s.head.get("DP"))) or []
+        names = names if isinstance(names, list) else [names]
+        parms = parms if isinstance(parms, list) else [parms]
+        data = s.raw
+        for k, name in enumerate(map(self.resolve, names)):
+            if until and name in (until, until.removesuffix("Decode")):
+                return data
+            p = {a: self.resolve(b) for a, b in ((self.resolve(parms[k]) if k < len(parms) else None) or {}).items()}
+            if name in ("FlateDecode", "Fl"):
+                data = unpredict(inflate(data, most), p)
+            elif name in ("LZWDecode", "LZW"):
+                data = unpredict(lzw(data, p.get("EarlyChange", 1), most), p)
+            elif name in ("ASCIIHexDecode", "AHx"):
+                digits = re.sub(rb"\s", b"", data.split(b">")[0])
+                data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+            else:
+                raise PdfError("UNSUPPORTED_FEATURE", f"filter {name}")
+        return data
+
+    # -- pages
+    def _root(self):
+        return self.resolve(self.trailer["Root"]).get("Pages")
+
+    def page_count(self) -> int:
+        n = self.resolve(self.resolve(self._root()).get("Count"))
+        return n if isinstance(n, int) else sum(1 for _ in self.pages())
+
+    def _node(self, ref, inherited: dict, depth: int) -> tuple[dict, dict]:
+        if depth > self.limits.max_page_tree_depth:
             raise PdfError("INVALID_PDF", "the page tree is too deep or has a cycle")
         node = self.resolve(ref)
-        own = inherited | {k: node[k] for k in ("Resources", "MediaBox", "CropBox", "Rotate") if k in node}
-        if "Kids" in node:
-            for kid in self.resolve(node["Kids"]):
-                yield from self._walk(kid, own, depth + 1, seen | {ref} if isinstance(ref, Ref) else seen)
-        else:
-            yield node | own
-
-
-def to_unicode(cmap: bytes) -> dict[int, str]:
-    """Code -> text of a ToUnicode map: single characters and ranges."""
-    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
-    out: dict[int, str] = {}
-    for body in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
-        for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", body):
-            out[int(a, 16)] = text(b)
-    for body in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
-        for a, b, c, many in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", body, re.S):
-            first, last = int(a, 16), min(int(b, 16), int(a, 16) + 65535)
-            if c:
-                for k in range(first, last + 1):
-                    out[k] = text(b"%0*X" % (len(c), int(c, 16) + k - first))
-            else:
-                out |= {first + k: text(h) for k, h in enumerate(re.findall(rb"<([0-9A-Fa-f]+)>", many))}
-    return out
-
-
-class Font:
-    """Decodes shown strings and measures them in thousandths of the size."""
-
-    def __init__(self, head: dict, doc: Document):
-        get = lambda k: doc.resolve(head.get(k))
-        self.family = str(get("BaseFont") or "")
-        self.wide = get("Subtype") == "Type0"
-        cmap = get("ToUnicode")
-        self.map = to_unicode(decoded(cmap, doc)) if isinstance(cmap, Stream) else {}
-        self.first, self.widths = get("FirstChar") or 0, [doc.resolve(w) for w in get("Widths") or []]
-        self.codec = "mac-roman" if get("Encoding") == "MacRomanEncoding" else "cp1252"
-
-    def glyphs(self, raw: bytes) -> Iterator[tuple[str, float, bool]]:
-        """(text, width, is a one-byte space) of each code."""
-        step = 2 if self.wide else 1
-        for k in range(0, len(raw) - step + 1, step):
-            code = int.from_bytes(raw[k : k + step])
-            text = self.map.get(code)
-            if text is None:
-                text = chr(code) if self.wide else raw[k : k + 1].decode(self.codec, "replace")
-            i = code - self.first
-            width = self.widths[i] if not self.wide and 0 <= i < len(self.widths) else (278 if text in " ilI.,:;'|!" else 500)
-            yield text, float(width), step == 1 and code == 32
-
-
-def _times(a, b):
-    return [
-        a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3],
-        a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5],
-    ]
-
-
-def _hex(parts) -> str:
-    if len(parts) == 4:
-        parts = [1 - min(1.0, x + parts[3]) for x in parts[:3]]
-    if len(parts) == 1:
-        parts = list(parts) * 3
-    return "#" + "".join(f"{int(min(1, max(0, x)) * 255 + 0.5):02x}" for x in parts)
-
-
-class TextInterpreter:
-    """Positioned spans of a content stream."""
-
-    def __init__(self, doc: Document):
-        self.doc, self.spans, self.fonts = doc, [], {}
-
-    def run(self, data: bytes, resources: dict, ctm: list[float], depth: int = 0) -> None:
-        doc, lex, args, stack = self.doc, Lexer(data), [], []
-        g = {"ctm": ctm, "font": None, "size": 0.0, "tc": 0.0, "tw": 0.0, "tz": 1.0, "tl": 0.0, "ts": 0.0, "tr": 0, "color": "#000000"}
-        tm = line = [1, 0, 0, 1, 0, 0]
-        fonts = doc.resolve(resources.get("Font")) or {}
-        while True:
-            try:
-                v = lex.value()
-            except EOFError:
-                return
-            if not isinstance(v, Operator):
-                args.append(v)
+        if not isinstance(node, dict):
+            raise PdfError("INVALID_PDF", "a page-tree object is missing")
+        return node, inherited | {k: node[k] for k in ("Resources", "MediaBox", "CropBox", "Rotate") if k in node}
+
+    def pages(self, first: int = 0, last: int | None = None) -> Iterator[dict]:
+        """Page dictionaries ``first`` to ``last`` (not included), with what they inherit; whole
+        branches before the first are stepped over by their counts."""
+        stack, skip, left = [(self._root(), {}, 0)], first, float("inf") if last is None else last - first
+        while stack and left > 0:
+            ref, inherited, depth = stack.pop()
+            node, own = self._node(ref, inherited, depth)
+            kids = self.resolve(node.get("Kids"))
+            if not isinstance(kids, list):
+                if skip:
+                    skip -= 1
+                    continue
+                left -= 1
+                yield node | own
                 continue
-            op, a, args = str(v), args, []
-            if op == "q":
-                stack.append(dict(g))
-            elif op == "Q":
-                g = stack.pop() if stack else g | {"ctm": [1, 0, 0, 1, 0, 0]}
-            elif op == "cm":
-                g["ctm"] = _times(a, g["ctm"])
-            elif op == "BT":
-                tm = line = [1, 0, 0, 1, 0, 0]
-            elif op == "Tf":
-                head = doc.resolve(fonts.get(a[0])) or {}
-                key = id(head)
-                if key not in self.fonts:
-                    self.fonts[key] = Font(head, doc)
-                g["font"], g["name"], g["size"] = self.fonts[key], str(a[0]), float(a[1])
-            elif op in ("Tc", "Tw", "TL", "Ts", "Tr"):
-                g[op.lower()] = a[0]
-            elif op == "Tz":
-                g["tz"] = a[0] / 100
-            elif op == "Tm":
-                tm = line = list(a)
-            elif op in ("Td", "TD"):
-                if op == "TD":
-                    g["tl"] = -a[1]
-                tm = line = _times([1, 0, 0, 1, *a], line)
-            elif op in ("g", "rg", "k", "sc", "scn") and a and all(isinstance(x, (int, float)) for x in a):
-                g["color"] = _hex(a)
-            elif op == "Do":
-                x = doc.resolve((doc.resolve(resources.get("XObject")) or {}).get(a[0]))
-                if isinstance(x, Stream) and x.head.get("Subtype") == "Form" and depth < 32:
-                    own = doc.resolve(x.head.get("Resources")) or resources
-                    self.run(decoded(x, doc), own, _times(x.head.get("Matrix") or [1, 0, 0, 1, 0, 0], g["ctm"]), depth + 1)
-            if op in ("T*", "'", '"'):
-                tm = line = _times([1, 0, 0, 1, 0, -g["tl"]], line)
-            if op == '"':
-                g["tw"], g["tc"] = a[0], a[1]
-            if op in ("Tj", "TJ", "'", '"') and g["font"]:
-                for part in a[-1] if op == "TJ" else [a[-1]]:
-                    if isinstance(part, bytes):
-                        tm = self.show(part, g, tm)
-                    elif isinstance(part, (int, float)):
-                        tm = _times([1, 0, 0, 1, -part / 1000 * g["size"] * g["tz"], 0], tm)
-
-    def show(self, raw: bytes, g: dict, tm):
-        text, along = "", 0.0
-        for t, w, space in g["font"].glyphs(raw):
-            text += t
-            along += (w / 1000 * g["size"] + g["tc"] + g["tw"] * space) * g["tz"]
-        at = _times([1, 0, 0, 1, 0, g["ts"]], _times(tm, g["ctm"]))
-        size = g["size"] * (at[2] ** 2 + at[3] ** 2) ** 0.5
-        if text.strip():
-            self.spans.append({
-                "seq": len(self.spans), "text": text.strip(),
-                "bounds": {"x": at[4], "y": at[5], "width": along * (at[0] ** 2 + at[1] ** 2) ** 0.5, "height": size},
-                "direction": "ltr", "font_name": g.get("name"), "font_family": g["font"].family, "color": g["color"],
-                "rendering_mode": int(g["tr"]), "font_size": size, "transform": [float(x) for x in at],
-            })
-        return _times([1, 0, 0, 1, along, 0], tm)
-
-
-def extract(data: bytes) -> Iterator[dict]:
-    """Page dictionaries (page, width, height, rotate, spans) of a file."""
-    doc = Document(data)
-    for number, node in enumerate(doc.pages(), 1):
-        x0, y0, x1, y1 = [float(doc.resolve(v)) for v in doc.resolve(node.get("CropBox") or node.get("MediaBox") or [0, 0, 612, 792])]
+            count = self.resolve(node.get("Count"))
+            if depth and isinstance(count, int) and 0 <= count <= skip:
+                skip -= count
+                continue
+            stack += [(k, own, depth + 1) for k in reversed(kids)]
+
+
+_STREAM, _ENDS = re.compile(rb"stream(\r\n|\n|\r)?"), re.compile(rb"\s*endstream")
+
+
+def extract(source, limits: Limits | None = None, first: int = 0, last: int | None = None) -> Iterator[dict]:
+    """Page dictionaries of a file (bytes or a source), pages ``first`` to ``last`` (not included)."""
+    doc = Document(source, limits)
+    for number, node in enumerate(doc.pages(first, last), first + 1):
+        raw = doc.resolve(node.get("CropBox") or node.get("MediaBox"))
+        if not isinstance(raw, list):
+            raise PdfError("INVALID_PDF", "a page without a MediaBox")
+        a = [float(doc.resolve(v)) for v in raw]
+        box = (min(a[0], a[2]), min(a[1], a[3]), max(a[0], a[2]), max(a[1], a[3]))
         contents = doc.resolve(node.get("Contents")) or []
         parts = contents if isinstance(contents, list) else [contents]
-        body = b"\n".join(decoded(s, doc) for p in parts if isinstance(s := doc.resolve(p), Stream))
-        text = TextInterpreter(doc)
-        text.run(body, doc.resolve(node.get("Resources")) or {}, [1, 0, 0, 1, -x0, -y0])
-        yield {"page": number, "width": x1 - x0, "height": y1 - y0, "rotate": int(doc.resolve(node.get("Rotate")) or 0) % 360, "spans": text.spans, "error": None}
+        body, room = [], doc.limits.max_decoded_stream_bytes
+        for p in parts:
+            if isinstance(s := doc.resolve(p), Stream):
+                body.append(doc.decoded(s))
+                room -= len(body[-1])
+                if room < 0:
+                    raise PdfError("RESOURCE_LIMIT", "a page's content is too long")
+        page = Interpreter(doc, box, doc.limits.max_form_depth)
+        page.run(b"\n".join(body), doc.resolve(node.get("Resources")) or {}, (1.0, 0.0, 0.0, 1.0, -box[0], -box[1]))
+        if links := links_of(doc, node, box):
+            attach_links(page.spans, links)
+        rotate = int(doc.resolve(node.get("Rotate")) or 0) % 360
+        yield {
+            "page": number, "width": box[2] - box[0], "height": box[3] - box[1], "rotate": rotate if rotate % 90 == 0 else 0,
+            "spans": page.spans, "fills": page.fills, "paths": page.paths, "images": page.images, "error": None,
+        }
+
+
+def error_of(e: Exception) -> dict:
+    """The typed error of any exception."""
+    if isinstance(e, PdfError):
+        return {"code": e.code, "message": str(e)}
+    return {"code": "INVALID_PDF", "message": repr(e)[:200]}
+
+
+def rows_of(name: str, source, limits: Limits, mode: str = "PERMISSIVE", first: int = 0, last: int | None = None) -> Iterator[dict]:
+    """Page rows of one file; by ``mode`` an error is a row, nothing, or raised."""
+    try:
+        for p in extract(source, limits, first, last):
+            yield {"doc_id": name} | p
+    except Exception as e:  # noqa: BLE001  damaged input shows in many ways
+        if mode == "FAILFAST":
+            raise
+        if mode != "DROPMALFORMED":
+            yield {"doc_id": name, "error": error_of(e)}
 
 
 #: A batch ends with the file that brings its pages and spans to this number.
 BATCH_WEIGHT = 5000
 
 
-def pages_of(files: DataFrame) -> DataFrame:
-    """Page rows of (doc_id, content) rows; a file that fails gives one row with its error."""
-
+def pages_of(files: DataFrame, mode: str = "PERMISSIVE", pages: tuple[int, int] | None = None, **limits: int) -> DataFrame:
+    """Page rows of (doc_id, content) rows, all or those from the first to the last of ``pages``
+    (from 1); ``limits`` by their names in ``Limits``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(PAGES))
+    if mode not in ("PERMISSIVE", "DROPMALFORMED", "FAILFAST"):
+        raise ValueError("mode: PERMISSIVE, DROPMALFORMED or FAILFAST")
+    bounds = Limits(**limits)
+    first, last = (pages[0] - 1, pages[1]) if pages else (0, None)
 
     def run(batches):
         import pyarrow as pa
@@ -520,23 +621,18 @@ def pages_of(files: DataFrame) -> DataFrame:
             out: list[dict] = []
             weight = 0
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = len(out)
-                try:
-                    out += ({"doc_id": name} | p for p in extract(content or b""))
-                except PdfError as e:
-                    out.append({"doc_id": name, "error": {"code": e.code, "message": str(e)}})
-                except Exception as e:  # noqa: BLE001  damaged input shows in many ways
-                    out.append({"doc_id": name, "error": {"code": "INVALID_PDF", "message": repr(e)[:200]}})
-                weight += sum(len(p.get("spans") or ()) + 1 for p in out[held:])
-                if weight >= BATCH_WEIGHT:
-                    yield pa.RecordBatch.from_pylist(out, schema)
-                    out, weight = [], 0
+                for row in rows_of(name, content or b"", bounds, mode, first, last):
+                    out.append(row)
+                    weight += len(row.get("spans") or ()) + 1
+                    if weight >= BATCH_WEIGHT:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, weight = [], 0
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     return files.select("doc_id", "content").mapInArrow(run, PAGES)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of the PDF files at a path or glob."""
-    return pages_of(spark.read.format("binaryFile").load(path).selectExpr("path as doc_id", "content"))
+def read_pages(spark: SparkSession, path: str, mode: str = "PERMISSIVE", pages: tuple[int, int] | None = None, **limits: int) -> DataFrame:
+    """Pages of the PDF files at a path or glob of any file system that Spark reads."""
+    return pages_of(spark.read.format("binaryFile").load(path).selectExpr("path as doc_id", "content"), mode, pages, **limits)

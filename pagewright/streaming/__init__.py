@@ -1 +1 @@
-"""Part of the document engine."""
+"""Streaming forms: see ``furniture``, and ``sources.datasource`` for files as they arrive."""
