@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import document, page, render, structure, verify
+from .operators import document, media, page, render, structure, verify
 from .plans import layout, write
 from .sources import pdf
 
@@ -540,3 +540,70 @@ def contracts_held(spark, sf_dir):
         )).alias("c"),
     ).select("doc_id", "c.*")
     return verify.judged(texts, checks).select("doc_id", "check_id", "passed", "blocks")
+
+
+# ------------------------------------------------------------------ drawings, scripts and styles
+@_query("""SELECT s_suppkey::VARCHAR AS doc_id, 'vector' AS kind, 100.0 AS x, 300.0 + s_suppkey % 50 AS y, 120.0 AS width, 80.0 AS height, 2 AS parts,
+'Figure ' || s_suppkey || ': ' || s_name AS caption FROM supplier""")
+def captioned_drawings(spark, sf_dir):
+    """Two boxes near each other are one drawing; of the texts around it, the small one just below is its caption."""
+    k = F.col("s_suppkey")
+    y = 300 + k % 50
+
+    def box(x, low, w, h):
+        corner = lambda a, b: F.struct(F.lit(a).cast("double").alias("x"), b.cast("double").alias("y"))
+        points = F.array(corner(x, low), corner(x + w, low), corner(x + w, low + h), corner(x, low + h))
+        return F.struct(points.alias("points"), F.lit("#336699").alias("color"), F.lit(1.0).alias("opacity"))
+
+    fills = F.array(box(100.0, y, 50.0, 80.0), box(170.0, y + 10, 50.0, 40.0))
+    words = [layout.span(F.lit(n), F.lit("Words of the body that fill a line of it."), F.lit(100.0), F.lit(600.0 - 13 * n)) for n in range(4)]
+    caption = layout.span(F.lit(4), F.concat(F.lit("Figure "), k.cast("string"), F.lit(": "), F.col("s_name")), F.lit(100.0), y - 12, size=8.0, family="Body-Italic", width=F.lit(118.0))
+    pages = _t(spark, sf_dir, "supplier").select(*layout.page_of(k, F.lit(1), F.array(*words, caption), fills.alias("fills")))
+    return media.media(pages).select("doc_id", "kind", "bounds.x", "bounds.y", "bounds.width", "bounds.height", "parts", "caption")
+
+
+@_query("""SELECT n_nationkey::VARCHAR AS doc_id, 'page-1-vector-1.svg' AS name, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="50 ' || (792 - 150 - n_nationkey) || ' 100 ' || (50 + n_nationkey) ||
+'"><g transform="translate(0 792) scale(1 -1)"><path d="M 50 100 L 150 100" fill="none" stroke="#000000" stroke-width="1"/><path d="M 50 100 L 50 ' || (150 + n_nationkey) || '" fill="none" stroke="#000000" stroke-width="1"/></g></svg>' AS svg FROM nation""")
+def drawn_assets(spark, sf_dir):
+    """Strokes that meet, as one SVG file a page."""
+    line = lambda d: F.struct(d.alias("d"), F.lit("#000000").alias("stroke"), F.lit(1.0).alias("stroke_width"))
+    up = F.concat(F.lit("M 50 100 L 50 "), (150 + F.col("n_nationkey")).cast("string"))
+    pages = _t(spark, sf_dir, "nation").select(*layout.page_of(F.col("n_nationkey"), F.lit(1), F.array(layout.span(F.lit(0), F.lit("x"), F.lit(300.0), F.lit(300.0))), F.array(line(F.lit("M 50 100 L 150 100")), line(up)).alias("paths")))
+    return media.assets(pages).select("doc_id", "name", F.decode("data", "utf-8").alias("svg"))
+
+
+@_query("""SELECT p_partkey::VARCHAR AS doc_id, u.k::INT AS seq, CASE WHEN p_size % 2 = 0 THEN CASE u.k WHEN 0 THEN 'שלום' WHEN 1 THEN p_brand ELSE 'עולם' END ELSE CASE u.k WHEN 0 THEN 'abc' WHEN 1 THEN p_brand ELSE 'xyz' END END AS text,
+CASE WHEN p_size % 2 = 0 THEN 'rtl' ELSE 'ltr' END AS direction FROM part, (SELECT unnest([0, 1, 2]) AS k) u""")
+def scripts_in_order(spark, sf_dir):
+    """Hebrew painted from the left with its letters in visual order is put in reading order; Latin lines stay."""
+    even = F.col("p_size") % 2 == 0
+    text = lambda a, b: F.when(even, F.lit(a)).otherwise(F.lit(b))
+    spans = F.array(
+        layout.span(F.lit(0), text("םלוע", "abc"), F.lit(40.0), F.lit(700.0)), layout.span(F.lit(1), F.col("p_brand"), F.lit(90.0), F.lit(700.0)),
+        layout.span(F.lit(2), text("םולש", "xyz"), F.lit(160.0), F.lit(700.0)),
+    )
+    found = media.in_reading_direction(_t(spark, sf_dir, "part").select(*layout.page_of(F.col("p_partkey"), F.lit(1), spans)))
+    return found.select("doc_id", "seq", "text", "direction")
+
+
+@_query("""SELECT s_suppkey::VARCHAR AS doc_id, '<p>Sold by <strong>' || s_name || '</strong> in <em>nation ' || s_nationkey || '</em>, <span style="color:#ff0000">now</span>.</p>' AS html,
+'Sold by **' || s_name || '** in _nation ' || s_nationkey || '_, <span style="color:#ff0000">now</span>.' || chr(10) || chr(10) AS md FROM supplier""")
+def inline_styles(spark, sf_dir):
+    """Weight, slant and colour of spans as markup of a paragraph."""
+    pieces = [("Sold by ", "Body"), (F.col("s_name"), "Body-Bold"), (" in ", "Body"), (F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")), "Body-Italic"), (", ", "Body"), ("now", "Red"), (".", "Body")]
+    spans, x = [], F.lit(40.0)
+    for k, (text, family) in enumerate(pieces):
+        text = text if not isinstance(text, str) else F.lit(text)
+        s = layout.span(F.lit(k), text, x, F.lit(300.0), family="Body" if family == "Red" else family)
+        spans.append(s.withField("color", F.lit("#ff0000")) if family == "Red" else s)
+        x = x + F.length(text) * 5.0
+    blocks = page.blocks(_t(spark, sf_dir, "supplier").select(*layout.page_of(F.col("s_suppkey"), F.lit(1), F.array(*spans))))
+    out = document.assemble(blocks).withColumn("style", F.lit(None).cast("string"))
+    return out.select("doc_id", document.block_html().alias("html"), document.block_markdown().alias("md"))
+
+
+@_query("""SELECT n_nationkey::VARCHAR AS doc_id, '<section class="pdf-page" style="position:relative;width:612px;height:792px"><span style="position:absolute;left:40px;bottom:700px;font:10px sans-serif;color:#000000;white-space:pre">' || n_name || ' &amp; co</span></section>' AS html FROM nation""")
+def positioned_pages(spark, sf_dir):
+    """Pages with their text in place; spans of one look that touch are one."""
+    spans = F.array(layout.span(F.lit(0), F.col("n_name"), F.lit(40.0), F.lit(700.0)), layout.span(F.lit(1), F.lit(" & co"), 40.0 + F.length("n_name") * 5.0, F.lit(700.0)))
+    return media.positioned(_t(spark, sf_dir, "nation").select(*layout.page_of(F.col("n_nationkey"), F.lit(1), spans))).select("doc_id", "html")

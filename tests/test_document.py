@@ -480,3 +480,52 @@ def test_structure_helpers(spark):
     spans = spark.createDataFrame([(1, 0, 10.0, 10.0, 20.0, 10.0, 10.0), (1, 1, 100.0, 10.0, 20.0, 10.0, 10.0)], "page int, seq int, x double, y double, width double, height double, size double")
     links = spark.createDataFrame([(1, 0, "a", 5.0, 5.0, 40.0, 20.0), (1, 1, "b", 5.0, 5.0, 40.0, 20.0)], "page int, annot_seq int, href string, lx double, ly double, lw double, lh double")
     assert sorted((r.seq, r.href) for r in structure.linked_spans(spans, links, ["page"]).collect()) == [(0, "b"), (1, None)]
+
+
+# ------------------------------------------------------------------ media
+from pagewright.operators import media as M  # noqa: E402
+
+
+def test_png_of_samples():
+    import struct
+
+    raw = bytes(range(18))
+    data = M.png(3, 2, raw)
+    assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == (3, 2)
+    at = data.index(b"IDAT")
+    n = struct.unpack(">I", data[at - 4 : at])[0]
+    assert zlib.decompress(data[at + 4 : at + 4 + n]) == b"\0" + raw[:9] + b"\0" + raw[9:]
+
+
+def test_media_touch_and_backdrops_stay_alone():
+    image = lambda x, y, w, h: {"width": 1, "height": 1, "format": "rgb", "data": b"abc", "transform": [w, 0, 0, h, x, y], "opacity": 1.0}
+    held = M.media_of(600, 800, [], [], [image(0, 0, 600, 800), image(10, 10, 50, 50), image(61, 12, 50, 50), image(300, 300, 50, 50)])
+    assert sorted(len(m.parts) for m in held) == [1, 1, 2]
+    assert [n for n, _, _ in M.files_of(held[-1], 1, 3, 800)] and M.touch(P.Box(0, 0, 10, 10), P.Box(11, 0, 10, 10)) and not M.touch(P.Box(0, 0, 10, 10), P.Box(13, 0, 10, 10))
+    white = {"points": [{"x": x, "y": y} for x, y in ((0, 0), (600, 0), (600, 800), (0, 800))], "color": "#FFFFFF", "opacity": 1.0}
+    assert M.drawings(600, 800, [white], []) == []
+    assert "script" not in M.svg(M.Media(P.Box(0, 0, 1, 1), "vector", [("path", {"d": "M 0 0<script>"})]), 10)
+
+
+def test_one_caption_for_one_picture():
+    body = [P.as_line([sp(f"Some words of the body, line {k}.", 50, 700 - 13 * k, 300)]) for k in range(5)]
+    caption = P.as_line([sp("Figure 1", 100, 385, 120, size=8.0, family="Cap")])
+    far = P.as_line([sp("A later text", 100, 200, 120)])
+    blocks = [P.Block("paragraph", x.text, lines=[x]) for x in (*body, caption, far)]
+    held = [M.Media(P.Box(90, 400, 140, 100), "raster")]
+    M.attach_captions(held, blocks, 600, 800, [*body, caption, far])
+    assert held[0].caption == "Figure 1"
+
+
+def test_scripts():
+    s = lambda t, x: {"text": t, "bounds": {"x": float(x), "y": 10.0, "width": 10.0, "height": 10.0}, "font_size": 10.0, "direction": "ltr"}
+    assert [x["text"] for x in M.in_script_order([s("םלוע", 10), s(" ", 20), s("םולש", 30)])] == ["שלום", " ", "עולם"]
+    assert [x["text"] for x in M.in_script_order([s("سلام"[::-1], 10), s("ab", 20)])][0] == "سلام"
+    assert [x["text"] for x in M.in_script_order([s("abc", 10), s("ם", 20)])] == ["abc", "ם"]
+    assert M.citation(") אב12(גד()34הו") == "הו34(גד)(12) אב"
+
+
+def test_coalesced_spans():
+    s = lambda t, x, w, **k: {"text": t, "bounds": {"x": x, "y": 0.0, "width": w, "height": 10.0}, "font_size": 10.0, "direction": "ltr", "color": "#000000"} | k
+    assert [x["text"] for x in M.coalesced([s("a", 0.0, 5.0), s("b", 5.0, 5.0), s("c", 12.0, 5.0), s("d", 17.0, 5.0, color="#ff0000"), s("e", 22.0, 5.0, has_leading_space=True)])] == ["ab", "c", "d", "e"]
+    assert [M.fallback_family(f) for f in ("Courier", "Times New Roman", "Arial")] == ["monospace", "serif", "sans-serif"]
