@@ -1,15 +1,18 @@
-"""Line dedup (7, native): windows of line hashes compared whole; later repeated runs of lines go.
+"""Line dedup (7, native): winnowing over line hashes; later repeated runs of lines go.
 
 A document's lines are its text cut at newlines; lines of white space alone are never counted
 and always stay. A run is ``min_lines`` consecutive counted lines. A line is removed when a run
 that covers it also starts earlier (smaller doc_id, or same document and earlier line).
 
-1. *Windows.* Every window of ``min_lines`` lines is a row; the least of its lines' hashes is its
-   fingerprint, so equal windows have equal fingerprints.
-2. *Filter.* Windows whose fingerprint no other window has are dropped. Positions are not
-   joined and matches are not extended.
-3. *Compare.* Windows meet by a 128-bit hash of their lines; the earliest stays. Overlapping
-   later windows are one longer removed run.
+1. *Select.* Of every ``min_lines`` consecutive lines the one of least hash (the leftmost of
+   equals) is selected, once however many windows select it. Two texts that share a run select
+   the same line in it, so selected lines are guaranteed fingerprints of every run. A row holds a
+   fingerprint, its place, and the lines around it that its windows reach.
+2. *Join positions.* Places of one fingerprint meet by it; a fingerprint that stands once in the
+   corpus has no match and goes, with its context.
+3. *Extend.* From the places that are left, matches are extended to both sides: every window
+   around the fingerprint that selected it is compared by a 128-bit hash of its lines, and the
+   earliest of equal ones stays. Overlapping later windows are one longer removed run.
 
 Rows that share a doc_id count as one document (a null id comes first); rows are told apart by a
 hash of their text. Null text has no lines and stays null. Documents with fewer lines than a run
@@ -40,28 +43,44 @@ def _lines() -> Column:
 
 
 def winnowed(docs: DataFrame, w: int) -> DataFrame:
-    """A row for each window: id, mark, at and lines (its lines' places), fp, run (128-bit hash)."""
+    """A row for each fingerprint: id, mark, fp and around, the lines that its windows reach."""
     lined = docs.where(F.col("text").contains("\n") | F.lit(w == 1)).select(
         F.coalesce(F.col("doc_id"), F.lit(FIRST)).alias("id"), F.xxhash64("text").alias("mark"), _lines().alias("l")
     )
     lined = lined.where(F.size("l") >= w)
-    windows = F.transform(F.sequence(F.lit(1), F.size("l") - (w - 1)), lambda i: F.struct(i.alias("i"), F.slice("l", i, w).alias("w")))
-    return lined.select("id", "mark", F.explode(windows).alias("x")).select(
-        "id",
-        "mark",
-        F.get("x.w.i", F.lit(0)).alias("at"),
-        F.col("x.w.i").alias("lines"),
-        F.array_min("x.w.h").alias("fp"),
-        F.xxhash64("x.w.h").alias("run_h"),
-        F.xxhash64("x.w.g").alias("run_g"),
+
+    def selected(first: Column) -> Column:
+        """The place of the least hash of the window that begins at ``first``."""
+        best, place = F.get("l", first)["h"], first
+        for k in range(1, w):
+            now = F.get("l", first + k)["h"]
+            place, best = F.when(now < best, first + k).otherwise(place), F.least(best, now)
+        return place
+
+    # in steps, so that each array is made once
+    windows = lined.withColumn("n", F.size("l") - w).withColumn("at", F.transform(F.sequence(F.lit(0), F.col("n")), selected))
+    begins = F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: (i == 0) | (F.get("at", i) != F.get("at", i - 1)))
+    placed = windows.withColumn("first", begins)
+
+    def row(i: Column, k: Column) -> Column:
+        many = F.coalesce(F.get("first", k + 1), F.col("n") + 1) - i
+        return F.struct(F.get("l", F.get("at", i))["h"].alias("fp"), F.slice("l", i + 1, many + (w - 1)).alias("around"))
+
+    return placed.select("id", "mark", F.explode(F.transform("first", row)).alias("x")).select("id", "mark", "x.fp", "x.around")
+
+
+def extended(places: DataFrame, w: int) -> DataFrame:
+    """Every window around the fingerprints of ``places``: id, mark, at, lines, run_h, run_g."""
+    windows = F.transform(F.sequence(F.lit(1), F.size("around") - (w - 1)), lambda i: F.slice("around", i, w))
+    return places.select("id", "mark", F.explode(windows).alias("w")).select(
+        "id", "mark", F.get("w.i", F.lit(0)).alias("at"), F.col("w.i").alias("lines"), F.xxhash64("w.h").alias("run_h"), F.xxhash64("w.g").alias("run_g")
     )
 
 
-def repeated_runs(seen: DataFrame) -> DataFrame:
-    """id, mark, lines of every window of ``seen`` whose run also starts earlier."""
-    # a window alone with its fingerprint has no match
+def repeated_runs(seen: DataFrame, w: int) -> DataFrame:
+    """id, mark, lines of every run of ``w`` lines around the fingerprints ``seen`` that also starts earlier."""
     shared = seen.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    near = seen.join(shared.hint("merge"), "fp", "left_semi")
+    near = extended(seen.join(shared.hint("merge"), "fp", "left_semi"), w)
     first = near.groupBy("run_h", "run_g").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.where("n > 1").drop("n")
     return near.join(first.hint("merge"), ["run_h", "run_g"]).where(F.struct("id", "at") > F.col("first")).select("id", "mark", "lines")
@@ -73,8 +92,8 @@ def dedup_lines(docs: DataFrame, *, min_lines: int = 2, keep: tuple[str, ...] =
     The joins are partitioned at every size: what meets in them grows with the corpus.
     """
     shelf = Shelf(docs.sparkSession, "lines")
-    seen = shelf.put(winnowed(docs.select("doc_id", "text"), min_lines), "windows")
-    found = repeated_runs(seen).groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lost"))
+    seen = shelf.put(winnowed(docs.select("doc_id", "text"), min_lines), "fingerprints")
+    found = repeated_runs(seen, min_lines).groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lost"))
     lost = shelf.put(found, "lost")
     shelf.drop(seen)
     joined = docs.select(

@@ -1,23 +1,24 @@
-"""Substring dedup (3): equal blocks of words, and single windows beside them, against an index of every document.
+"""Substring dedup (3): documents as factors of an index of every document's blocks.
 
-This takes the place of a relative Lempel-Ziv parse: no longest match is sought and no factor
-(source, position, length) is made. Blocks are cut by their content alone, so equal texts meet by
-a key, with no reference shared by all tasks.
-
-A window is ``window`` consecutive words. A word goes when a window that covers it has the words
-of a window that starts earlier (smaller doc_id, or same document and earlier start).
+This is a relative Lempel-Ziv parse whose letters are blocks of text, not words: a longest match
+over words would need the whole reference at hand in each task. A window is ``window`` consecutive
+words. A word goes when a window that covers it has the words of a window that starts earlier
+(smaller doc_id, or same document and earlier start).
 
 *Reference index.* Every window chooses one phrase of ``phrase`` words in it, the leftmost of
 least hash, so equal windows choose equal phrases at equal offsets. The windows that choose one
 occurrence of a phrase are consecutive; together they are a *block* of text around it, and a
-document is its sequence of blocks. The index holds, for each phrase, the blocks around it.
+document is its sequence of blocks. The index holds, for each phrase, the blocks around it and
+where each content stands first.
 
-*Equal blocks.* Every word of a block whose whole content has an earlier block goes. A block that
-has no equal, but whose phrase also stands in other blocks, is where repeats may begin or end.
+*Parse.* From left to right, a factor is as many blocks as stand in one source one after another
+as they do here; it is (start, end, source, source start). A block that has no equal, but whose
+phrase also stands in other blocks, is where factors may begin or end.
 
-*Checks at their edges.* Only those blocks' windows are compared one by one, by a 128-bit
-hash. That is exact: the earliest start of a window lies in the earliest block of its content,
-and equal windows choose equal phrases.
+*Checks at factor boundaries.* Those blocks' windows are compared one by one, by a 128-bit
+hash, and lengthen the factor they join, or are factors of their own. That is exact: the earliest
+start of a window lies in the earliest block of its content, and equal windows choose equal phrases.
+A factor is as long as a window or longer; its words go.
 
 A task reports one block or window of a kind for each batch of documents, the earliest, so copies
 meet as one row a batch, however many there are. Documents meet their spans by (doc_id, hash of
@@ -113,7 +114,7 @@ def _keyed(batch_rows: list[tuple[np.ndarray, ...]]):
 
 
 def repeated_spans(docs: DataFrame, shelf: Shelf, *, window: int, phrase: int) -> tuple[DataFrame, DataFrame]:
-    """(text rows, spans): spans has id, mark and the word ranges [at, at + n) that go."""
+    """(text rows, spans): spans has id, mark, the word ranges [at, at + n) that go, and their first place."""
     small_batches(docs.sparkSession)
     rows = docs.select(
         F.coalesce(F.col("doc_id"), F.lit(FIRST)).alias("id"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text")
@@ -138,14 +139,14 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, *, window: int, phrase: int) -
         .withColumn("first", F.min(F.struct("id", "at")).over(by_content))
         .withColumn("kinds", F.min("key_b").over(by_phrase) != F.max("key_b").over(by_phrase))
         .select(
-            "id", "mark", "at", "n",
+            "id", "mark", "at", "n", "first",
             ((F.col("n") < 0) | (F.struct("id", "at") > F.col("first"))).alias("gone"), "kinds",
         )
         .where("gone or kinds")
         .withColumn("n", F.abs("n"))
     )
     told = shelf.put(told, "blocks")
-    whole = told.where("gone").select("id", "mark", "at", (F.col("n") + (window - 1)).alias("n"))
+    whole = told.where("gone").select("id", "mark", "at", (F.col("n") + (window - 1)).alias("n"), "first")
     edges = told.where("not gone").groupBy("id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("edges"))
 
     def compare(batches):
@@ -177,16 +178,17 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, *, window: int, phrase: int) -
         bounded.mapInArrow(compare, _SPAN)
         .withColumn("first", F.min(F.struct("id", "at")).over(W.partitionBy("key_a", "key_b")))
         .where((F.col("n") < 0) | (F.struct("id", "at") > F.col("first")))
-        .select("id", "mark", "at", F.lit(window).cast("bigint").alias("n"))
+        .select("id", "mark", "at", F.lit(window).cast("bigint").alias("n"), "first")
     )
     return rows, whole.unionByName(single)
 
 
 def dedup_substrings(docs: DataFrame, *, window: int = 20, phrase: int = 6) -> DataFrame:
-    """doc_id, n_words, n_removed, text (kept words joined by one space), spans: a row a document."""
+    """doc_id, n_words, n_removed, text (kept words joined by one space), spans (the words that went) and
+    factors (each with its source: a doc_id and the word it starts at there): a row a document."""
     shelf = Shelf(docs.sparkSession, "substrings")
     rows, spans = repeated_spans(docs, shelf, window=window, phrase=phrase)
-    spans = shelf.put(spans.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
+    spans = shelf.put(spans.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "n", F.col("first.id").alias("source"), F.col("first.at").alias("begin"))).alias("spans")), "spans")
     wanted = docs.select(
         "doc_id", F.coalesce(F.col("doc_id"), F.lit(FIRST)).alias("id"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text")
     ).join(spans, ["id", "mark"], "left").select("doc_id", "text", "spans")
@@ -195,13 +197,18 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, phrase: int = 6) -> D
         import pyarrow as pa
 
         for batch in batches:
-            total, gone, texts, ranges = [], [], [], []
+            total, gone, texts, ranges, parsed = [], [], [], [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = text.encode().split()
                 total.append(len(words))
-                kept, at, out = [], 0, []
-                for x in sorted(spans or (), key=lambda s: s["at"]):
+                kept, at, out, factors = [], 0, [], []
+                for x in sorted(spans or (), key=lambda s: (s["at"], -s["n"])):
                     a, b = x["at"], x["at"] + x["n"]
+                    last = factors[-1] if factors else None
+                    if last and a <= last["end"] and (x["source"], x["begin"] - a) == (last["source"], last["source_start"] - last["start"]):
+                        last["end"] = max(b, last["end"])
+                    else:
+                        factors.append({"start": a, "end": b, "source": x["source"], "source_start": x["begin"]})
                     if out and a <= out[-1]["end"]:
                         out[-1]["end"] = max(b, out[-1]["end"])
                     else:
@@ -213,13 +220,15 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, phrase: int = 6) -> D
                 gone.append(len(words) - len(kept))
                 texts.append(b" ".join(kept).decode())
                 ranges.append(out)
+                parsed.append([f | {"source": None if f["source"] == FIRST else f["source"]} for f in factors])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string()),
-                 pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["doc_id", "n_words", "n_removed", "text", "spans"],
+                 pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                 pa.array(parsed, pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "source", "source_start")])))],
+                ["doc_id", "n_words", "n_removed", "text", "spans", "factors"],
             )
 
-    return wanted.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, text string, spans array<struct<start: bigint, end: bigint>>")
+    return wanted.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, text string, spans array<struct<start: bigint, end: bigint>>, factors array<struct<start: bigint, end: bigint, source: bigint, source_start: bigint>>")
 
 
 SQL = r"""

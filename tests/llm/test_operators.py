@@ -159,6 +159,21 @@ def test_substrings(spark, docs, rows, window, phrase):
         w = split(texts[r.doc_id])
         assert (r.n_words, r.n_removed) == (len(w), len(gone[r.doc_id]))
         assert r.text == " ".join(x for k, x in enumerate(w) if k not in gone[r.doc_id])
+        covered = set()
+        for f in r.factors:  # each has its words at its source, no shorter than a window, and starts later
+            source = split(texts[f.source])
+            assert w[f.start : f.end] == source[f.source_start : f.source_start + f.end - f.start] and f.end - f.start >= window
+            assert (f.source, f.source_start) < (r.doc_id, f.start)
+            covered |= set(range(f.start, f.end))
+        assert covered == gone[r.doc_id]
+
+
+def test_factors_are_as_long_as_they_can_be(spark):
+    rng = random.Random(12)
+    base = [f"u{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join(["own"] + base[40:290] + ["words"])), (3, " ".join(base[10:60] + base[200:260]))]
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect()}
+    assert got == {1: [], 2: [(1, 251, 1, 40)], 3: [(0, 50, 1, 10), (50, 110, 1, 200)]}
 
 
 def test_substrings_odd_tables(spark, empty):
@@ -308,6 +323,34 @@ def test_lines(spark, docs, rows, empty):
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
+@pytest.mark.parametrize("w", [1, 2, 3, 5])
+def test_lines_of_any_run_length(spark, w):
+    rng = random.Random(w)
+    texts = {i: "\n".join(rng.choice(["a", "b", "c", "d", " ", "e f"]) for _ in range(rng.choice([1, 3, 8, 30]))) for i in range(40)}
+    seen, gone = {}, defaultdict(set)
+    for i, t in texts.items():
+        lines = t.split("\n")
+        held = [k for k, x in enumerate(lines) if split(x)]
+        for k in range(len(held) - w + 1):
+            run = tuple(lines[j] for j in held[k : k + w])
+            if seen.setdefault(run, (i, k)) != (i, k):
+                gone[i].update(held[k : k + w])
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, list(texts.items())), min_lines=w).collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in texts.items()}
+
+
+def test_fingerprints_are_thinned(spark):
+    text = "\n".join(f"line {k}" for k in range(400))
+    for w, most in ((2, 0.75), (8, 0.35)):
+        n = line_dedup.winnowed(frame(spark, [(1, text)]).select("doc_id", "text"), w).count()
+        assert 0 < n <= most * 400
+    # without its fingerprints a repeated run is not found: every removal comes through them
+    docs = frame(spark, [(1, text), (2, text)]).select("doc_id", "text")
+    seen = line_dedup.winnowed(docs, 2)
+    assert line_dedup.repeated_runs(seen, 2).count() == 399
+    assert line_dedup.repeated_runs(seen.where("id = 1 or fp % 2 = 0"), 2).count() < 399
+
+
 def test_token_counts_and_encoding_equal_the_library(spark, docs, rows, empty):
     import sentencepiece
 
