@@ -80,6 +80,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_minhash": minhash.SQL,
     "op3_substrings": substring_dedup.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op7_lines": line_dedup.SQL,
