@@ -83,6 +83,11 @@ def title_case(c: Column) -> Column:
     return F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1_000_000))
 
 
+def is_financial(items: Column) -> Column:
+    """Entries that all read as numbers, some with a currency or a percent sign."""
+    return (F.size(items) > 0) & F.forall(items, lambda x: is_numeric_field(x["text"])) & F.exists(items, lambda x: x["text"].rlike(r"\p{Sc}|%"))
+
+
 def is_contact(c: Column) -> Column:
     """Two of: an at sign, a telephone number, a web address, a domain."""
     signs = (r"@", r"\+?\d[\d().\s-]{7,}", r"(?i)\bhttps?://", r"(?i)\b\w+\.\w{2,}\b")

@@ -607,3 +607,16 @@ def positioned_pages(spark, sf_dir):
     """Pages with their text in place; spans of one look that touch are one."""
     spans = F.array(layout.span(F.lit(0), F.col("n_name"), F.lit(40.0), F.lit(700.0)), layout.span(F.lit(1), F.lit(" & co"), 40.0 + F.length("n_name") * 5.0, F.lit(700.0)))
     return media.positioned(_t(spark, sf_dir, "nation").select(*layout.page_of(F.col("n_nationkey"), F.lit(1), spans))).select("doc_id", "html")
+
+
+@_query("""SELECT s_nationkey::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey))::INT AS page,
+'<h1>' || s_name || '</h1><p>In nation ' || s_nationkey || '.</p><section><dl><div><dt>Balance</dt><dd>$' || s_suppkey || '.50</dd></div><div><dt>Share</dt><dd>7%</dd></div></dl></section>' AS html FROM supplier""")
+def pages_alone(spark, sf_dir):
+    """Each page's blocks as HTML by themselves: a title, a sentence, and amounts by name."""
+    n = F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    spans = F.array(
+        layout.span(F.lit(0), F.col("s_name"), F.lit(40.0), F.lit(700.0), size=20.0), layout.span(F.lit(1), F.concat(F.lit("In nation "), F.col("s_nationkey").cast("string"), F.lit(".")), F.lit(40.0), F.lit(660.0)),
+        layout.span(F.lit(2), F.lit("Balance"), F.lit(40.0), F.lit(600.0), family="Body-Bold"), layout.span(F.lit(3), F.concat(F.lit("$"), F.col("s_suppkey").cast("string"), F.lit(".50")), F.lit(200.0), F.lit(600.0)),
+        layout.span(F.lit(4), F.lit("Share"), F.lit(40.0), F.lit(585.0), family="Body-Bold"), layout.span(F.lit(5), F.lit("7%"), F.lit(200.0), F.lit(585.0)),
+    )
+    return document.page_flow(page.blocks(_t(spark, sf_dir, "supplier").select(*layout.page_of(F.col("s_nationkey"), n, spans)))).select("doc_id", "page", "html")

@@ -221,6 +221,66 @@ def type1_decrypt(data: bytes, key: int, skip: int) -> bytes:
     return bytes(out[skip:])
 
 
+class Type1:
+    """Advances by glyph name of a Type 1 program: the private part is decrypted, and each charstring
+    run up to its ``hsbw`` or ``sbw``, which tells the width."""
+
+    def __init__(self, data: bytes):
+        if data[:1] == b"\x80":  # segments with headers
+            parts, at = [], 0
+            while data[at : at + 1] == b"\x80" and data[at + 1] in (1, 2):
+                n = int.from_bytes(data[at + 2 : at + 6], "little")
+                parts.append(data[at + 6 : at + 6 + n])
+                at += 6 + n
+            data = b"".join(parts)
+        at = data.index(b"eexec") + 5
+        while data[at : at + 1] in (b" ", b"\r", b"\n", b"\t"):
+            at += 1
+        raw = data[at:]
+        if re.match(rb"[0-9A-Fa-f\s]{8}", raw):
+            digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw)
+            raw = bytes.fromhex(digits[: len(digits) // 2 * 2].decode())
+        private = type1_decrypt(raw, 55665, 4)
+        skip = int(m[1]) if (m := re.search(rb"/lenIV\s+(\d+)", private)) else 4
+        self.widths: dict[str, float] = {}
+        at = private.index(b"/CharStrings")
+        entry = re.compile(rb"/([^\s/]+)\s+(\d+)\s+(?:RD|-\|)\s")
+        while m := entry.search(private, at):
+            code = type1_decrypt(private[m.end() : m.end() + int(m[2])], 4330, skip)
+            at = m.end() + int(m[2])
+            if (w := self._width(code)) is not None:
+                self.widths[m[1].decode("latin-1")] = w
+
+    @staticmethod
+    def _width(code: bytes) -> float | None:
+        stack, k = [], 0
+        while k < len(code):
+            b, k = code[k], k + 1
+            if b >= 32:
+                if b <= 246:
+                    stack.append(b - 139)
+                elif b <= 250:
+                    stack.append((b - 247) * 256 + code[k] + 108)
+                    k += 1
+                elif b <= 254:
+                    stack.append(-(b - 251) * 256 - code[k] - 108)
+                    k += 1
+                else:
+                    stack.append(int.from_bytes(code[k : k + 4], signed=True))
+                    k += 4
+            elif b == 13 and len(stack) >= 2:  # hsbw
+                return float(stack[1])
+            elif b == 12 and k < len(code) and code[k] == 7 and len(stack) >= 4:  # sbw
+                return float(stack[2])
+            elif b == 12 and k < len(code) and code[k] == 12 and len(stack) >= 2:  # div
+                top = stack.pop()
+                stack[-1] = stack[-1] / top if top else 0
+                k += 1
+            else:
+                return None
+        return None
+
+
 class Font:
     """Decodes shown strings and measures them in thousandths of the size."""
 
@@ -248,11 +308,13 @@ class Font:
             self.widths = {first + k: w for k, w in enumerate(map(doc.resolve, get("Widths") or [])) if isinstance(w, (int, float))}
             name = encoding if isinstance(encoding, str) else get("BaseEncoding", encoding) if isinstance(encoding, dict) else None
             self.codes = base_encoding(name)
+            self.names: dict[int, str] = {}
             at = 0
             for x in map(doc.resolve, get("Differences", encoding) or []) if isinstance(encoding, dict) else ():
                 if isinstance(x, Name):
                     if at < 256:
                         self.codes[at] = glyph_text(x) or ""
+                        self.names[at] = str(x)
                     at += 1
                 elif isinstance(x, int):
                     at = x
@@ -260,12 +322,21 @@ class Font:
             self.default = doc.resolve(self.descriptor.get("MissingWidth"))
             self.standard = standard_widths(self.family)
             self.step = 1
+        self.type1: Type1 | None = None
         program = doc.resolve(self.descriptor.get("FontFile2"))
-        if isinstance(program, Stream) and not self.widths:
+        if isinstance(program, Stream) and (not self.widths or (self.wide and self.map is None)):
             try:
                 self.embedded = TrueType(doc.decoded(program))
             except (struct.error, KeyError, IndexError, PdfError):
                 self.embedded = None
+        program = doc.resolve(self.descriptor.get("FontFile"))
+        if isinstance(program, Stream) and not self.wide and not self.widths:
+            try:
+                self.type1 = Type1(doc.decoded(program))
+            except (ValueError, IndexError, PdfError):
+                self.type1 = None
+        #: characters by glyph, for composite fonts that say no text
+        self.drawn = {g: chr(c) for c, g in sorted(self.embedded.glyph.items(), reverse=True)} if self.embedded and self.wide and self.map is None else {}
 
     @staticmethod
     def _ranges(doc, w: list) -> Iterator[tuple[int, float]]:
@@ -292,7 +363,7 @@ class Font:
             code = int.from_bytes(raw[at : at + size])
             text = self.map.text.get(code) if self.map else None
             if text is None:
-                text = self.codes[code] if not self.wide and code < 256 else _point(code) or ""
+                text = self.codes[code] if not self.wide and code < 256 else self.drawn.get(code) or _point(code) or ""
             out.append((compatible_text(text), self.advance(code, text), text == " "))
             at += size
         return out
@@ -300,8 +371,11 @@ class Font:
     def advance(self, code: int, text: str) -> float:
         if (w := self.widths.get(code)) is not None:
             return float(w)
-        if self.embedded and (w := self.embedded.width(text)) is not None:
+        if self.embedded and not self.wide and (w := self.embedded.width(text)) is not None:
             return w
+        if self.type1:
+            name = self.names.get(code) or next((n for n in self.type1.widths if glyph_text(n) == text), None)
+            return self.type1.widths.get(name, 500.0)
         if not self.wide and self.standard and text in self.standard:
             return float(self.standard[text])
         if self.default is not None:

@@ -529,3 +529,29 @@ def test_coalesced_spans():
     s = lambda t, x, w, **k: {"text": t, "bounds": {"x": x, "y": 0.0, "width": w, "height": 10.0}, "font_size": 10.0, "direction": "ltr", "color": "#000000"} | k
     assert [x["text"] for x in M.coalesced([s("a", 0.0, 5.0), s("b", 5.0, 5.0), s("c", 12.0, 5.0), s("d", 17.0, 5.0, color="#ff0000"), s("e", 22.0, 5.0, has_leading_space=True)])] == ["ab", "c", "d", "e"]
     assert [M.fallback_family(f) for f in ("Courier", "Times New Roman", "Arial")] == ["monospace", "serif", "sans-serif"]
+
+
+def test_type1_widths():
+    from pagewright.sources.fonts import Type1
+
+    def lock(plain, key):
+        out = bytearray()
+        for b in plain:
+            x = b ^ key >> 8
+            out.append(x)
+            key = (x + key) * 52845 + 22719 & 0xFFFF
+        return bytes(out)
+
+    number = lambda n: bytes([n + 139]) if abs(n) <= 107 else bytes([247 + (n - 108) // 256, (n - 108) % 256])
+    glyph = lambda name, w: b"/%s %d RD " % (name, 4 + len(number(0) + number(w)) + 1) + lock(b"0000" + number(0) + number(w) + bytes([13]), 4330) + b" ND\n"
+    private = b"0000dup /Private 8 dict /lenIV 4 def 2 index /CharStrings 2 dict dup begin\n" + glyph(b"A", 722) + glyph(b"space", 50) + b"end"
+    program = b"%!PS-AdobeFont-1.0\ncurrentfile eexec\n" + lock(private, 55665)
+    assert Type1(program).widths == {"A": 722.0, "space": 50.0}
+    assert Type1(b"x eexec " + lock(private, 55665).hex().encode()).widths == {"A": 722.0, "space": 50.0}
+
+
+def test_html_files(spark):
+    from pagewright.operators import document
+
+    got = document.html_files(spark.createDataFrame([("a", "<p>x</p>", "A & B")], "doc_id string, text string, title string"), language="de", styles=False).first().text
+    assert got == '<!doctype html><html lang="de"><head><meta charset="utf-8"><title>A &amp; B</title></head><body><p>x</p></body></html>'
