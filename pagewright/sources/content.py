@@ -96,7 +96,7 @@ class Interpreter:
     def run(self, data: bytes, resources: dict, ctm, depth: int = 0, inside: tuple = ()) -> None:
         from .pdf import Lexer, Operator, PdfError
 
-        doc, lex = self.doc, Lexer(data)
+        doc, lex = self.doc, Lexer(data, refs=False)
         part = lambda name: doc.resolve(resources.get(name)) or {}
         fonts, objects, states, spaces, shadings = (part(n) for n in ("Font", "XObject", "ExtGState", "ColorSpace", "Shading"))
         g, stack, args = State.new(ctm), [], []
@@ -292,9 +292,11 @@ class Interpreter:
         advances = [along(w, t, s) for t, w, s in glyphs]
         after = step(sum(advances), tm)
         first, last = 0, len(glyphs)
-        while first < last and not self.on_page(point(g.ctm, *step(sum(advances[: first + 1]), tm)[4:6])) and not self.on_page(point(g.ctm, *step(sum(advances[:first]), tm)[4:6])):
+        # a straight run with both ends on the page has no glyph outside it
+        inside = self.on_page(point(g.ctm, tm[4], tm[5])) and self.on_page(point(g.ctm, after[4], after[5]))
+        while not inside and first < last and not self.on_page(point(g.ctm, *step(sum(advances[: first + 1]), tm)[4:6])) and not self.on_page(point(g.ctm, *step(sum(advances[:first]), tm)[4:6])):
             first += 1
-        while last > first and not self.on_page(point(g.ctm, *step(sum(advances[: last - 1]), tm)[4:6])) and not self.on_page(point(g.ctm, *step(sum(advances[:last]), tm)[4:6])):
+        while not inside and last > first and not self.on_page(point(g.ctm, *step(sum(advances[: last - 1]), tm)[4:6])) and not self.on_page(point(g.ctm, *step(sum(advances[:last]), tm)[4:6])):
             last -= 1
         if first == last:
             return after

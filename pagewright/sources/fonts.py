@@ -12,6 +12,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 from ..functions.text import compatible_text
 
@@ -63,6 +64,7 @@ _TIMES = (
 MOST_CODES = 65_536
 
 
+@lru_cache(64)
 def standard_widths(name: str) -> dict[str, int] | None:
     """Advances of a standard font's printable ASCII characters; obliques are as wide as uprights."""
     plain = name.split("+")[-1]
@@ -75,6 +77,11 @@ def standard_widths(name: str) -> dict[str, int] | None:
 
 def base_encoding(name: str | None) -> list[str]:
     """Text of each of the 256 codes; undefined codes are empty."""
+    return list(_encoding(name))
+
+
+@lru_cache(8)
+def _encoding(name: str | None) -> list[str]:
     if name == "StandardEncoding":
         return [_STANDARD.get(c, chr(c) if 32 <= c < 127 else "") for c in range(256)]
     codec = "mac-roman" if name == "MacRomanEncoding" else "cp1252"
@@ -336,6 +343,7 @@ class Font:
             except (ValueError, IndexError, PdfError):
                 self.type1 = None
         #: characters by glyph, for composite fonts that say no text
+        self.seen: dict[tuple[int, int], tuple[str, float, bool]] = {}
         self.drawn = {g: chr(c) for c, g in sorted(self.embedded.glyph.items(), reverse=True)} if self.embedded and self.wide and self.map is None else {}
 
     @staticmethod
@@ -360,11 +368,16 @@ class Font:
         out, at = [], 0
         while at < len(raw):
             size = (self.map.size_at(raw, at) if self.map and self.map.spaces else None) or self.step
-            code = int.from_bytes(raw[at : at + size])
+            code = raw[at] if size == 1 else int.from_bytes(raw[at : at + size])
+            if (known := self.seen.get((size, code))) is not None:
+                out.append(known)
+                at += size
+                continue
             text = self.map.text.get(code) if self.map else None
             if text is None:
                 text = self.codes[code] if not self.wide and code < 256 else self.drawn.get(code) or _point(code) or ""
-            out.append((compatible_text(text), self.advance(code, text), text == " "))
+            known = self.seen[size, code] = (compatible_text(text), self.advance(code, text), text == " ")
+            out.append(known)
             at += size
         return out
 

@@ -76,16 +76,39 @@ _NUMBER = re.compile(rb"[+-]?(?=\.?\d)\d*(\.\d*)?")
 _REFERENCE = re.compile(rb"\s+(\d+)\s+R(?![A-Za-z0-9])")
 
 
+#: The common tokens in one look: an integer, a real, a name, a plain string, a word.
+_TOKEN = re.compile(
+    rb"[\x00\t\n\x0c\r ]*(?:([+-]?\d+)|([+-]?(?:\d+\.\d*|\.\d+))|/([^\x00\t\n\x0c\r ()<>\[\]{}/%#]*)|\(([^()\\]*)\)|([A-Za-z'\"][A-Za-z0-9'\"*]*))"
+    rb"(?:(?<=\))|(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|\Z))"
+)
+_WORDS = {b"true": True, b"false": False, b"null": None}
+
+
 class Lexer:
-    """Values of the PDF syntax from a byte string."""
+    """Values of the PDF syntax from a byte string; without ``refs`` (content) ``N G R`` is no reference."""
 
-    def __init__(self, data: bytes, at: int = 0):
-        self.data, self.at = data, at
+    def __init__(self, data: bytes, at: int = 0, refs: bool = True):
+        self.data, self.at, self.refs = data, at, refs
 
     def skip(self) -> None:
         self.at = _GAP.match(self.data, self.at).end()
 
     def value(self, depth: int = 0):
+        if m := _TOKEN.match(self.data, self.at):
+            self.at, kind = m.end(), m.lastindex
+            if kind == 1:
+                if self.refs and (r := _REFERENCE.match(self.data, self.at)):
+                    self.at = r.end()
+                    return Ref((int(m[1]), int(r[1])))
+                return int(m[1])
+            if kind == 2:
+                return float(m[2])
+            if kind == 3:
+                return Name(m[3].decode("latin-1"))
+            if kind == 4:
+                return m[4]
+            word = m[5]
+            return _WORDS[word] if word in _WORDS else Operator(word.decode("latin-1"))
         if depth > MAX_NESTING:
             raise PdfError("INVALID_PDF", "values are nested too deeply")
         self.skip()
@@ -129,7 +152,7 @@ class Lexer:
         if m := _NUMBER.fullmatch(word):
             if m[1]:
                 return float(word)
-            if m := _REFERENCE.match(d, self.at):
+            if self.refs and (m := _REFERENCE.match(d, self.at)):
                 self.at = m.end()
                 return Ref((int(word), int(m[1])))
             return int(word)
