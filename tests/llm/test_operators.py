@@ -685,3 +685,36 @@ def test_many_languages_share_the_sample(spark):
     few = langid.train(docs, sample_chars=10_000)
     size = lambda m: sum(len(x) for t in m.trees for x in t.gram)
     assert size(model) < size(few)
+
+
+def test_index_is_stored_and_searched_alone(spark, docs, rows):
+    """Hits come from the postings: a segment that loses a word's list loses the windows with it."""
+    texts = dict(rows)
+    source = max((t for t in texts.values() if t), key=lambda t: len(split(t)))
+    [part] = list(decontaminate.slices(__import__("pyarrow").array([source, "w1 other words", ""]), lower=True, gaps=decontaminate.GAPS))
+    segment = decontaminate.Segment.loaded(decontaminate.Segment.of(part).stored())
+    words = decontaminate.words_of(source)
+    windows = decontaminate.Windows([(1, words[2:15]), (2, words[5:9]), (3, [b"absent", *words[:3]])], 13)
+    got = sorted((int(k), int(x)) for w, start in segment.phrases(windows) for k, x in zip(w, start, strict=True))
+    want = sorted((k, x) for k, t in enumerate([words[2:15], words[5:9]]) for x in range(len(words) - len(t) + 1) if words[x : x + len(t)] == t)
+    assert got == want and want
+    for number in range(len(segment.one)):  # every list ascends and holds its word's places
+        places = segment.postings(number)
+        assert (np.diff(places) > 0).all() and len({[*words, b"w1", b"other", b"words"][p] for p in places}) == 1
+    lost = int(segment.numbers(windows.one, windows.two)[windows.terms[0, 4]])
+    segment.two = segment.two.copy()
+    segment.two[lost] += np.uint64(1)
+    assert not any((w == 0).any() for w, _ in segment.phrases(windows))
+
+
+def test_decontamination_of_empty_tables(spark, empty, docs):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    assert decontaminate.find_hits(empty, bench).collect() == []
+    none = decontaminate.find_hits(docs, bench.limit(0), id_columns=("doc_id", "node", "text"))
+    assert none.columns[:3] == ["doc_id", "node", "text"] and none.where("size(spans) > 0").count() == 0 and none.count() == docs.count()
+    one = spark.createDataFrame([(1, "Word word")], "doc_id bigint, text string")
+    bench1 = spark.createDataFrame([(1, "word"), (2, "word word"), (3, "word x")], "item_id bigint, text string")
+    assert [(r.item_ids, [tuple(x) for x in r.spans]) for r in decontaminate.find_hits(one, bench1).collect()] == [([1, 2], [(0, 2)])]
+    long = spark.createDataFrame([(1, "q " * 400_000 + "a b c"), (None, "x" * 1_500_000), (2, None), (2, "a b c"), (2, "a b c")], "doc_id bigint, text string")
+    got = sorted(((r.doc_id or 0, r.n_words, r.item_ids) for r in decontaminate.find_hits(long, bench).collect()), key=str)
+    assert got == [(0, 1, []), (1, 400_003, [1]), (2, 0, []), (2, 3, [1]), (2, 3, [1])]
