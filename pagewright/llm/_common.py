@@ -53,7 +53,8 @@ class Shelf:
     def put(self, df: DataFrame, name: str = "t", collect_garbage: bool = True) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}-{name}"
-        df.write.parquet(path)
+        # small row groups: a task holds one in memory while it writes
+        df.write.option("parquet.block.size", 32 << 20).parquet(path)
         if collect_garbage:
             # shuffle files of the finished job go once their plan is unreachable
             self.spark._jvm.System.gc()

@@ -1,7 +1,7 @@
 """Benchmark decontamination (6): a positional inverted index of all document words, searched for test windows.
 
 *Index.* Documents go into segments of about 1 MB, each made whole by one task: its distinct words
-(two 64-bit hashes, sorted), every word's ascending positions, where documents begin, and the
+(by 96 bits of two hashes, sorted), every word's ascending positions, where documents begin, and the
 carried columns as stored fields. Segments are rows of a table in the shared folder, so the index is
 spread as its documents are, nothing is shuffled, and no word, source or group of copies is hot.
 *Search.* In each segment a window's words are looked up and its rarest one gives its starts:
@@ -60,7 +60,8 @@ class Windows:
         number = {w: k for k, w in enumerate(vocabulary)}
         joined = np.frombuffer(b"".join(vocabulary), np.uint8)
         at = np.cumsum([0, *map(len, vocabulary)]).astype(np.int64)
-        self.one, self.two = (hash_words(joined, at[:-1], at[1:], second) for second in (False, True))
+        self.one, two = (hash_words(joined, at[:-1], at[1:], second) for second in (False, True))
+        self.two = (two & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         self.size = np.array([len(t) for t in seen], np.int64)
         self.terms = np.full((len(seen), n), -1, np.int64)
         for k, t in enumerate(seen):
@@ -77,22 +78,29 @@ class Segment:
 
     @staticmethod
     def of(part: Slice) -> Segment:
-        h, g = part.hashes(), part.hashes(second=True)
+        h, g = part.hashes(), part.hashes(second=True) & np.uint64(0xFFFFFFFF)
         order = np.lexsort((g, h)).astype(np.int64)  # stable, so positions of a word ascend
         h, g = h[order], g[order]
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        new[1:] = (h[1:] != h[:-1]) | (g[1:].astype(np.uint32) != g[:-1].astype(np.uint32))
         at = np.flatnonzero(new)
-        return Segment(h[at], g[at], np.append(at, len(h)), order, part.word_at)
+        return Segment(h[at], g[at].astype(np.uint32), np.append(at, len(h)), order, part.word_at)
 
     def stored(self) -> list[bytes]:
-        kinds = (np.uint64, np.uint64, np.int32, np.int32, np.int32)
-        return [x.astype(k).tobytes() for x, k in zip((self.one, self.two, self.first, self.positions, self.word_at), kinds, strict=True)]
+        """Hashes, counts in place of ends, positions in three bytes while they fit, and documents."""
+        positions = self.positions.astype("<u4").view(np.uint8).reshape(-1, 4)
+        if len(positions) < 1 << 24:
+            positions = positions[:, :3]
+        return [self.one.tobytes(), self.two.tobytes(), np.diff(self.first).astype("<u4").tobytes(), positions.tobytes(), self.word_at.astype("<i4").tobytes()]
 
     @staticmethod
     def loaded(parts: list[bytes]) -> Segment:
-        kinds = (np.uint64, np.uint64, np.int32, np.int32, np.int32)
-        return Segment(*(x if x.dtype == np.uint64 else x.astype(np.int64) for x in (np.frombuffer(b, k) for b, k in zip(parts, kinds, strict=True))))
+        one, two, count = np.frombuffer(parts[0], np.uint64), np.frombuffer(parts[1], np.uint32), np.frombuffer(parts[2], "<u4")
+        first = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+        wide = np.zeros((int(first[-1]), 4), np.uint8)
+        size = len(parts[3]) // len(wide) if len(wide) else 4
+        wide[:, :size] = np.frombuffer(parts[3], np.uint8).reshape(-1, size)
+        return Segment(one, two, first, wide.view("<u4").ravel().astype(np.int64), np.frombuffer(parts[4], "<i4").astype(np.int64))
 
     def numbers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The segment's number of each asked word, -1 for words that it lacks."""

@@ -703,7 +703,7 @@ def test_index_is_stored_and_searched_alone(spark, docs, rows):
         assert (np.diff(places) > 0).all() and len({[*words, b"w1", b"other", b"words"][p] for p in places}) == 1
     lost = int(segment.numbers(windows.one, windows.two)[windows.terms[0, 4]])
     segment.two = segment.two.copy()
-    segment.two[lost] += np.uint64(1)
+    segment.two[lost] += np.uint32(1)
     assert not any((w == 0).any() for w, _ in segment.phrases(windows))
 
 
