@@ -79,9 +79,32 @@ class Shelf:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows, so that a batch of long texts fits a Python worker."""
+    """Arrow batches of at most 2,000 rows and 8 MB, so that a batch of long texts or index segments
+    fits a Python worker. The session keeps the lower setting: plans read it when they run."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == "67108864b":  # its default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def tidy(run):
+    """An Arrow stage that gives its memory back to the system when a task ends: workers live on, and
+    the allocator would keep what the last stage's tables took while other stages run."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return inner
 
 
 def fold_of(doc_id: str | Column, k: int = 5) -> Column:

@@ -1,6 +1,6 @@
 """Benchmark decontamination (6): a positional inverted index of all document words, searched for test windows.
 
-*Index.* Documents go into segments of about 1 MB, each made whole by one task: its distinct words
+*Index.* Documents go into segments of about 256 KB, each made whole by one task: its distinct words
 (by 96 bits of two hashes, sorted), every word's ascending positions, where documents begin, and the
 carried columns as stored fields. Segments are rows of a table in the shared folder, so the index is
 spread as its documents are, nothing is shuffled, and no word, source or group of copies is hot.
@@ -29,13 +29,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, Shelf, Slice, carry, hash_words, slices, small_batches
+from ._common import LOWER, Shelf, Slice, carry, hash_words, slices, small_batches, tidy
 
 GAPS = np.ones(256, bool)
 GAPS[0x30:0x3A] = GAPS[0x61:0x7B] = GAPS[0x80:] = False
 _TABLE = bytes(0x20 if GAPS[LOWER[b]] else int(LOWER[b]) for b in range(256))
 _EXPAND = 2_000_000
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -221,7 +221,7 @@ def build_index(docs: DataFrame, id_columns: tuple[str, ...] = ("doc_id",)) -> D
                     [pa.array([number]), rows, *[pa.array([x], pa.binary()) for x in Segment.of(part).stored()]], ["segment", "docs", *_PARTS]
                 )
 
-    return docs.select(*carried).mapInArrow(run, schema)
+    return docs.select(*carried).mapInArrow(tidy(run), schema)
 
 
 def _found(segment: Segment, windows: Windows) -> dict[int, tuple[list[tuple[int, int]], set]]:
@@ -255,15 +255,15 @@ def find_hits(
     first, second = next(blocks, None), next(blocks, None)
     if second is None:  # one block, as a rule: search and rows in one pass
         shared = spark.sparkContext.broadcast(Windows(first, n)) if first else None
-        return index.select("docs", *_PARTS).mapInArrow(_rows_of(shared), out)
+        return index.select("docs", *_PARTS).mapInArrow(tidy(_rows_of(shared)), out)
     hits = None
     for block in chain((first, second), blocks):
         shared = spark.sparkContext.broadcast(Windows(block, n))
-        told = shelf.put(index.select("segment", *_PARTS).mapInArrow(_hits_of(shared), _HITS), "hits")
+        told = shelf.put(index.select("segment", *_PARTS).mapInArrow(tidy(_hits_of(shared)), _HITS), "hits")
         shared.destroy()
         hits = told if hits is None else hits.unionByName(told)
     by_segment = hits.groupBy("segment").agg(F.collect_list(F.struct("document", "spans", "item_ids")).alias("hits"))
-    return index.join(by_segment, "segment", "left").select("docs", *_PARTS, "hits").mapInArrow(_rows_of(None), out)
+    return index.join(by_segment, "segment", "left").select("docs", *_PARTS, "hits").mapInArrow(tidy(_rows_of(None)), out)
 
 
 def _hits_of(shared):
@@ -348,7 +348,7 @@ def proximity_matches(docs: DataFrame, query: str, within: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([held.field("doc_id").take(pa.array(ids, pa.int64())), pa.array(at, pa.int64())], ["doc_id", "at"])
 
     index = Shelf(docs.sparkSession, "proximity").put(build_index(docs), "index")
-    return index.select("docs", *_PARTS).mapInArrow(run, "doc_id bigint, at bigint")
+    return index.select("docs", *_PARTS).mapInArrow(tidy(run), "doc_id bigint, at bigint")
 
 
 SQL = r"""

@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._common import carry, small_batches
+from ._common import carry, small_batches, tidy
 from .pieces import PieceModel, Transducer, default_model_path
 
 MOST_PATHS = 400_000
@@ -82,7 +82,7 @@ def encode(docs: DataFrame, *, model_path: str | None = None, ids: bool = True,
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, [*id_columns, "n_tokens", "ids_sha256", "round_trip", *["token_ids"] * ids])
 
-    return docs.select(*carried).mapInArrow(run, schema)
+    return docs.select(*carried).mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, *, model_path: str | None = None, id_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -100,4 +100,4 @@ def decode(encoded: DataFrame, *, model_path: str | None = None, id_columns: tup
             texts = [machine.decode(x or []) for x in batch.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(k)], pa.array(texts, pa.string())], [*id_columns, "text"])
 
-    return encoded.select(*id_columns, "token_ids").mapInArrow(run, f"{kinds}, text string")
+    return encoded.select(*id_columns, "token_ids").mapInArrow(tidy(run), f"{kinds}, text string")

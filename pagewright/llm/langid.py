@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buffers, carry, fold_of, small_batches
+from ._common import buffers, carry, fold_of, small_batches, tidy
 
 SLOTS_LOG2 = 20
 TRAIN_SLICE = 1 << 22
@@ -175,7 +175,7 @@ def train(labelled: DataFrame, *, order: int = 4, sample_chars: int = 2_000_000,
                     )
 
     table = (
-        sample.mapInArrow(count, "lang string, gram bigint, n bigint")
+        sample.mapInArrow(tidy(count), "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .toArrow()  # distinct grams of the bounded sample
@@ -225,7 +225,7 @@ def predict(docs: DataFrame, model: Model, *, id_columns: tuple[str, ...] = ("do
                 [*id_columns, "lang_pred", "score", "bits_per_byte"],
             )
 
-    return told.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    return told.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double, bits_per_byte double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Shelf, fold_of, small_batches
+from ._common import Shelf, fold_of, small_batches, tidy
 
 STRETCH = 256
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -59,7 +59,7 @@ def vocabulary(training: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return training.select("text").mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(tidy(count), "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -146,7 +146,7 @@ def encode(docs: DataFrame, head: Head) -> DataFrame:
 
     rows = docs.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("row"))
     return rows.mapInArrow(
-        run, "doc_id bigint, held_out boolean, symbols binary, rare array<string>, times array<int>, known bigint, base double, row bigint"
+        tidy(run), "doc_id bigint, held_out boolean, symbols binary, rare array<string>, times array<int>, known bigint, base double, row bigint"
     )
 
 
@@ -286,7 +286,7 @@ def neighbour_pairs(encoded: DataFrame, most: int) -> np.ndarray:
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["k", "n"])
 
-    got = encoded.select("symbols").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    got = encoded.select("symbols").mapInArrow(tidy(run), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(most * most)
     out[got.column("k").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(most, most)
@@ -317,7 +317,7 @@ def baum_welch(encoded: DataFrame, model: HMM, head: Head, rounds: int) -> HMM:
                 [pa.array(np.concatenate([held, symbols + np.arange(s + 1)]).astype(np.int32)), *[pa.array(every[:, k]) for k in range(s)]], ["k", *names]
             )
 
-        sums = encoded.select("symbols").mapInArrow(run, schema).groupBy("k").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+        sums = encoded.select("symbols").mapInArrow(tidy(run), schema).groupBy("k").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
         shared.destroy()
         every = np.zeros((symbols + s + 1, s))
         every[sums.column("k").to_numpy()] = np.stack([sums.column(x).to_numpy() for x in names], axis=1)
@@ -357,7 +357,7 @@ def score(docs: DataFrame, *, states: int = 8, head: int = 20_000, rounds: int =
             )
 
     scored = encoded.select("row", "symbols", "doc_id", "held_out", "known", "base").mapInArrow(
-        run, "row bigint, hmm double, n_tokens bigint, doc_id bigint, held_out boolean, known bigint, base double"
+        tidy(run), "row bigint, hmm double, n_tokens bigint, doc_id bigint, held_out boolean, known bigint, base double"
     )
     asked = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
     half = F.coalesce("c", F.lit(0)) + F.lit(0.5)

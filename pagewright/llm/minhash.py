@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Shelf, mix64, signed, slices, small_batches
+from ._common import Shelf, mix64, signed, slices, small_batches, tidy
 from .graph import components
 
 _NEXT, _ALONE = np.uint64(0x9FB21C651E98DF25), np.uint64(0x5851F42D4C957F2D)
@@ -132,7 +132,7 @@ def sketch(docs: DataFrame, *, shingle: int, bands: int, rows: int) -> DataFrame
                 )
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, buckets array<bigint>"
+        tidy(run), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, buckets array<bigint>"
     )
 
 
@@ -158,7 +158,7 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
                     ["node", "set_a", "n", "set"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node bigint, set_a bigint, n bigint, set array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "node bigint, set_a bigint, n bigint, set array<bigint>")
 
 
 def star_pairs(members: DataFrame, stars: int) -> DataFrame:

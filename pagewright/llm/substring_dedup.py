@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import Poly, Shelf, mix64, signed, slices, small_batches
+from ._common import Poly, Shelf, mix64, signed, slices, small_batches, tidy
 
 _PHRASE, _RUN, _RUN2 = Poly(303), Poly(404), Poly(505)
 FIRST = -(1 << 63)
@@ -132,7 +132,7 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, *, window: int, phrase: int) -
             if found:
                 yield _keyed(found)
 
-    placed = rows.mapInArrow(parse, _SPAN)
+    placed = rows.mapInArrow(tidy(parse), _SPAN)
     by_phrase, by_content = W.partitionBy("key_a"), W.partitionBy("key_a", "key_b")
     told = (
         placed.repartition("key_a")
@@ -175,7 +175,7 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, *, window: int, phrase: int) -
 
     bounded = rows.join(edges, ["id", "mark"]).select("id", "mark", "text", "edges")
     single = (
-        bounded.mapInArrow(compare, _SPAN)
+        bounded.mapInArrow(tidy(compare), _SPAN)
         .withColumn("first", F.min(F.struct("id", "at")).over(W.partitionBy("key_a", "key_b")))
         .where((F.col("n") < 0) | (F.struct("id", "at") > F.col("first")))
         .select("id", "mark", "at", F.lit(window).cast("bigint").alias("n"), "first")
@@ -228,7 +228,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, phrase: int = 6) -> D
                 ["doc_id", "n_words", "n_removed", "text", "spans", "factors"],
             )
 
-    return wanted.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, text string, spans array<struct<start: bigint, end: bigint>>, factors array<struct<start: bigint, end: bigint, source: bigint, source_start: bigint>>")
+    return wanted.mapInArrow(tidy(cut), "doc_id bigint, n_words bigint, n_removed bigint, text string, spans array<struct<start: bigint, end: bigint>>, factors array<struct<start: bigint, end: bigint, source: bigint, source_start: bigint>>")
 
 
 SQL = r"""

@@ -29,7 +29,7 @@ from math import exp, log
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._common import carry, small_batches
+from ._common import carry, small_batches, tidy
 from .encoding import model_bytes
 from .pieces import ONE, ZERO, PieceModel, Transducer
 
@@ -185,4 +185,4 @@ def count_tokens(docs: DataFrame, *, model_path: str | None = None, id_columns:
                 [*id_columns, "n_pretokens", "n_tokens", "forward_score"],
             )
 
-    return docs.select(*carried).mapInArrow(run, f"{kinds}, n_pretokens bigint, n_tokens bigint, forward_score double")
+    return docs.select(*carried).mapInArrow(tidy(run), f"{kinds}, n_pretokens bigint, n_tokens bigint, forward_score double")
