@@ -83,7 +83,7 @@ def small_batches(spark: SparkSession) -> None:
     fits a Python worker. The session keeps the lower setting: plans read it when they run."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == "67108864b":  # its default
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == "67108864b":  # its default
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
