@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, encoding, exact_dedup, langid, line_dedup, lm, minhash, sharding, substring_dedup, token_counts
+from . import centroids, decontaminate, encoding, exact_dedup, langid, line_dedup, lm, minhash, sharding, simhash, substring_dedup, token_counts, vector_codes
 from ._common import documents, fold_of
+from .vectors import embeddings
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +73,23 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(documents(spark, sf_dir).select("doc_id", "text"), ids=False)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(*centroids.cluster(embeddings(spark, sf_dir)))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(*vector_codes.encode(embeddings(spark, sf_dir)))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash, op2_langid, op3_substrings, op4_lm, op5_sharding, op6_decontaminate, op7_lines, op8_token_counts, op9_exact, op10_sentencepiece,
+        op11_centroids, op12_vector_codes, op13_simhash,
     )
 }
 
@@ -85,4 +99,6 @@ ORACLES = {
     "op6_decontaminate": decontaminate.SQL,
     "op7_lines": line_dedup.SQL,
     "op9_exact": exact_dedup.SQL,
+    "op11_centroids": centroids.sql(),
+    "op12_vector_codes": vector_codes.sql(),
 }
