@@ -21,6 +21,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import PAGES
+from .containers import Container, Damaged, TooLarge
 from .content import Interpreter, attach_links, links_of
 
 MAX_NESTING = 128
@@ -342,7 +343,7 @@ class Document:
             raise PdfError("INVALID_PDF", "no header")
         self.xref, self.trailer, self.sections = {}, {}, []
         self.cache = Cache(limits.max_cached_objects, limits.max_object_cache_bytes)
-        self.boxes = Cache(64, limits.max_object_cache_bytes)
+        self.boxes, self.box = Cache(64, limits.max_object_cache_bytes), None
         self.recovered, self.stops = False, []
         try:
             # as a rule the last kilobyte holds the place; more is read only where it does not
@@ -365,7 +366,7 @@ class Document:
             if e.code != "INVALID_PDF":
                 raise
             self._recover()
-        except (EOFError, ValueError, IndexError, KeyError, TypeError, AttributeError):
+        except (EOFError, ValueError, IndexError, KeyError, TypeError, AttributeError, Damaged):
             self._recover()
 
     def _order(self) -> None:
@@ -420,6 +421,7 @@ class Document:
         data, base = self.source.read(size - n, n), size - n
         self.cache.clear()
         self.boxes.clear()
+        self.box = None
         self.recovered, self.sections = True, []
         self.xref = {int(m[1]): (0, base + m.start(1)) for m in re.finditer(rb"(?:^|[\r\n])[ \t]*(\d+)[ \t]+\d+[ \t]+obj\b", data)}
         roots = re.findall(rb"/Root\s+(\d+)\s+(\d+)\s+R", data)
@@ -468,7 +470,7 @@ class Document:
                 raise
             self._recover()
             value = self._load(number)
-        except (EOFError, ValueError, KeyError, IndexError, AttributeError):
+        except (EOFError, ValueError, KeyError, IndexError, AttributeError, Damaged):
             if self.recovered:
                 raise
             self._recover()
@@ -486,29 +488,39 @@ class Document:
             if got != number:
                 raise PdfError("INVALID_PDF", "another object at its offset")
             return value
-        body, first, offsets, order = self._box(where[0])
-        at = offsets.get(number)
-        if at is None or (where[1] < len(order) and order[where[1]] != number and number not in offsets):
-            raise PdfError("INVALID_PDF", "an object is not in its container")
-        return Lexer(body, first + at).value()
-
-    def _box(self, number: int):
-        """An object stream, decoded once: its bytes, where objects begin, and their places."""
-        held = self.boxes.get(number)
+        try:
+            held = self._container(where[0]).object(number, where[1])
+        except Damaged as e:
+            raise PdfError("INVALID_PDF", str(e)) from e
+        except TooLarge as e:
+            raise PdfError("RESOURCE_LIMIT", str(e)) from e
+        return Lexer(held).value()
+
+    def _container(self, number: int) -> Container:
+        """An object stream. One whose filters are more than Flate is decoded whole, and the one used last is kept, whatever its size."""
+        held = self.boxes.get(number) or (self.box if self.box and self.box[0] == number else (0, None))[1]
         if held is None:
             box = self.object(number)
             if not isinstance(box, Stream):
                 raise PdfError("INVALID_PDF", "an object stream is missing")
-            body = self.decoded(box, self.limits.max_object_stream_decoded_bytes)
-            first, n = self.resolve(box.head["First"]), self.resolve(box.head["N"])
-            header = list(map(int, body[:first].split()[: 2 * n]))
-            offsets: dict[int, int] = {}
-            for k, at in zip(header[::2], header[1::2], strict=True):
-                offsets.setdefault(k, at)
-            held = body, first, offsets, header[::2]
-            self.boxes.put(number, held, len(body) + 64 * len(offsets))
+            n, first = self.resolve(box.head.get("N")), self.resolve(box.head.get("First"))
+            if not isinstance(n, int) or not isinstance(first, int):
+                raise PdfError("INVALID_PDF", "an object stream without its numbers")
+            most, flate = self.limits.max_object_stream_decoded_bytes, self._only_flate(box.head)
+            raw = box.raw if flate or not box.head.get("Filter") else self.decoded(box, most)
+            bounds = {"most": most, "object_bytes": self.limits.max_object_bytes, "index_bytes": self.limits.max_object_cache_bytes}
+            held = Container(raw, flate, n, first, **bounds)
+            self.box = number, held
+            self.boxes.put(number, held, len(raw) + held.held())
         return held
 
+    def _only_flate(self, head: dict) -> bool:
+        """Whether a stream's one filter is Flate without a predictor."""
+        names, parms = self.resolve(head.get("Filter")), self.resolve(head.get("DecodeParms", head.get("DP")))
+        name = names[0] if isinstance(names, list) and len(names) == 1 else names
+        parms = self.resolve(parms[0]) if isinstance(parms, list) and parms else parms
+        return self.resolve(name) in ("FlateDecode", "Fl") and (not isinstance(parms, dict) or self.resolve(parms.get("Predictor", 1)) == 1)
+
     def decoded(self, s: Stream, most: int | None = None, until: str | None = None) -> bytes:
         """A stream's bytes after its filters; ``until`` names a filter whose input is wanted."""
         most = most or self.limits.max_decoded_stream_bytes
