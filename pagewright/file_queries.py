@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .operators import page
 from .plans import write
-from .queries import _query, _t
-from .sources import pdf
+from .queries import SQL, _accounts, _ledger_sums, _ledgers, _query, _t
+from .sources import datasource, pdf
+from .streaming import flow, run
 
 
 @_query("""SELECT s_nationkey::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey))::INT AS page, s_name AS text FROM supplier""")
@@ -24,3 +27,66 @@ def pdf_large_containers(spark, sf_dir):
     nations = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("s"))
     files = write.printed(nations.select("doc_id", F.transform("s", lambda x: x["s_name"]).alias("names")), make)
     return pdf.pages_of(files, max_object_cache_bytes=256 << 10).select("doc_id", "page", F.get("spans", F.lit(0))["text"].alias("text"))
+
+
+def _flowing(pages: DataFrame, cuts: list[int], name: str) -> DataFrame:
+    """The runs of documents whose pages arrive batch by batch; the last batch says that they end."""
+    folder = run.shared_folder(pages.sparkSession, name)
+    blocks = page.blocks(pages)
+    ends = pages.select("doc_id").distinct()
+    stream = run.in_batches(blocks.unionByName(ends, allowMissingColumns=True), "page", cuts, f"{folder}/in")
+    return run.to_end(flow.assembled(stream), f"{folder}/out")
+
+
+@_query(SQL["tables_over_pages"])
+def stream_tables_over_pages(spark, sf_dir):
+    """Tables that go on from batch to batch of a stream of pages, put together by state; sums of their rows."""
+    return _ledger_sums(_flowing(_ledgers(spark, sf_dir), [4, 9], "ledgers"))
+
+
+@_query(SQL["paragraphs_over_pages"])
+def stream_paragraphs_over_pages(spark, sf_dir):
+    """Paragraphs over a page break that is a batch's end too; the page after gives a hyphen back."""
+    runs = _flowing(_accounts(spark, sf_dir), [1], "accounts")
+    return runs.where("run = 1").select("doc_id", "text", F.lit(2).cast("bigint").alias("pages"))
+
+
+def _named(path: str) -> Column:
+    """A file's name without folder and ending."""
+    return F.regexp_extract(path, r"([^/]+)\.pdf$", 1)
+
+
+def _brands(spark, sf_dir) -> DataFrame:
+    """(path, size) of PDF files in the shared folder: a file a brand, a page a part."""
+
+    def make(names: list[str]) -> bytes:
+        w = write.Writer()
+        w.shared = b"/MediaBox[0 0 612 792]/Resources<</Font<</F1 %d 0 R>>>>" % w.font()
+        w.pages([write.flate(write.show(40, 700, 10, write.literal(n))) for n in names], fan=7)
+        return w.packed()
+
+    brands = _t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("n"))
+    files = write.printed(brands.select("doc_id", F.transform("n", lambda x: x["p_name"]).alias("names")), make)
+    return write.to_folder(files, run.shared_folder(spark, "brands"))
+
+
+@_query("""SELECT p_brand AS name, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey))::INT AS page, p_name AS text FROM part""")
+def pdf_stream(spark, sf_dir):
+    """Files of a folder as a stream, read on executors by parts, to the end of what is there."""
+    datasource.register(spark)
+    folder = run.shared_folder(spark, "stream")
+    path = _folder_of(_brands(spark, sf_dir))
+    pages = spark.readStream.format("pdf").options(path=path, partitionBytes=20_000).load()
+    return run.to_end(pages.select(_named("doc_id").alias("name"), "page", F.get("spans", F.lit(0))["text"].alias("text")), folder)
+
+
+@_query("""SELECT name, page, text FROM (SELECT p_brand AS name, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey))::INT AS page, p_name AS text FROM part) WHERE page BETWEEN 3 AND 5 AND name LIKE '%2'""")
+def pdf_pushed_pages(spark, sf_dir):
+    """Conditions on pages and files that reach the reader: other files stay shut, other pages unread."""
+    pages = datasource.pages_where(spark, _folder_of(_brands(spark, sf_dir)), "page >= 3 and page <= 5 and doc_id like '%2.pdf'")
+    return pages.select(_named("doc_id").alias("name"), "page", F.get("spans", F.lit(0))["text"].alias("text"))
+
+
+def _folder_of(files: DataFrame) -> str:
+    """The folder of written files; running the plan writes them."""
+    return files.agg(F.min(F.regexp_extract("path", r"^(.*)/", 1)).alias("f")).first()["f"]

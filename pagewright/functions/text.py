@@ -80,7 +80,7 @@ def restore_hyphens(c: Column, terms: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     low = F.lower(F.trim(c))
-    return F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(low, 1, 1)), F.substr(low, F.lit(2)))
 
 
 def is_financial(items: Column) -> Column:

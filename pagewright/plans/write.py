@@ -148,3 +148,29 @@ def printed(df, make: Callable[..., bytes]):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(*r) for r in rows], pa.binary())], ["doc_id", "content"])
 
     return df.selectExpr("cast(doc_id as string) as doc_id", *[f"`{c}`" for c in names]).mapInArrow(run, "doc_id string, content binary")
+
+
+def to_folder(files, folder: str):
+    """``files`` (doc_id, content) written as ``folder``/doc_id.pdf on storage that every executor mounts: (path, size).
+
+    A file appears whole, by renaming, so that a task may run twice and a stream may look on."""
+    import os
+
+    folder = folder.removeprefix("file://").removeprefix("file:")
+
+    def run(batches):
+        import pyarrow as pa
+
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            paths, sizes = [], []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                paths.append(os.path.join(folder, f"{name.replace('/', '_')}.pdf"))
+                sizes.append(len(content or b""))
+                part = f"{paths[-1]}.{os.getpid()}.part"
+                with open(part, "wb") as f:
+                    f.write(content or b"")
+                os.replace(part, paths[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    return files.select("doc_id", "content").mapInArrow(run, "path string, size bigint")

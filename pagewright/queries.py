@@ -442,31 +442,45 @@ def document_stats(spark, sf_dir):
     return document.stats(blocks, document.assemble(blocks)).select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("pages_processed", "suppressed_furniture", "merged_tables")])
 
 
-@_query("""SELECT l_suppkey::VARCHAR AS doc_id, count(*)::BIGINT AS rows, sum(l_quantity)::BIGINT AS quantity, ceil(count(*) / 40.0)::BIGINT AS parts FROM lineitem GROUP BY 1""")
-def tables_over_pages(spark, sf_dir):
-    """A table over as many pages as it needs, with its header on each: one table, one header."""
+def _ledgers(spark, sf_dir) -> DataFrame:
+    """A document a supplier: its line items as a table over as many pages as it needs."""
     w = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
     items = _t(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w) - 1)
     items = items.select("l_suppkey", F.floor(F.col("k") / 40).alias("p"), (F.col("k") % 40 + 1).alias("i"), F.col("l_orderkey").cast("string").alias("a"), F.col("l_quantity").cast("int").cast("string").alias("b"))
     held = items.groupBy("l_suppkey", "p").agg(F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("r"))
     rows = F.concat(F.array(F.struct(F.lit(0).cast("bigint").alias("i"), F.lit("Order").alias("a"), F.lit("Quantity").alias("b"))), F.col("r"))
     spans = F.flatten(F.transform(rows, lambda r: F.array(layout.span(2 * r["i"], r["a"], F.lit(40.0), 690 - 14 * r["i"]), layout.span(2 * r["i"] + 1, r["b"], F.lit(300.0), 690 - 14 * r["i"]))))
-    pages = held.select(*layout.page_of(F.col("l_suppkey"), F.col("p") + 1, spans))
-    whole = document.assemble(page.blocks(pages)).where("block_type = 'table'").select("doc_id", F.size("tables").alias("parts"), F.slice(document.merged_rows(F.col("tables")), 2, 1_000_000).alias("rows"))
+    return held.select(*layout.page_of(F.col("l_suppkey"), F.col("p") + 1, spans))
+
+
+def _ledger_sums(runs: DataFrame) -> DataFrame:
+    whole = runs.where("block_type = 'table'").select("doc_id", F.size("tables").alias("parts"), document.body_rows(F.col("tables")).alias("rows"))
     amount = F.aggregate("rows", F.lit(0).cast("bigint"), lambda s, r: s + F.get(r["cells"], F.lit(1)).cast("bigint"))
     return whole.groupBy("doc_id").agg(F.sum(F.size("rows")).cast("bigint").alias("rows"), F.sum(amount).alias("quantity"), F.sum("parts").cast("bigint").alias("parts"))
 
 
-@_query("""SELECT c_custkey::VARCHAR AS doc_id, 'The account of ' || c_name || ' is kept in the segment of ' || lower(c_mktsegment) || ', a well-known one.' AS text, 2::BIGINT AS pages FROM customer""")
-def paragraphs_over_pages(spark, sf_dir):
-    """A paragraph over a page break, with a compound that lost its hyphen there and is seen whole on the next page."""
+@_query("""SELECT l_suppkey::VARCHAR AS doc_id, count(*)::BIGINT AS rows, sum(l_quantity)::BIGINT AS quantity, ceil(count(*) / 40.0)::BIGINT AS parts FROM lineitem GROUP BY 1""")
+def tables_over_pages(spark, sf_dir):
+    """A table over as many pages as it needs, with its header on each: one table, one header."""
+    whole = document.assemble(page.blocks(_ledgers(spark, sf_dir)))
+    return _ledger_sums(whole)
+
+
+def _accounts(spark, sf_dir) -> DataFrame:
+    """A document of two pages a customer: a paragraph over the page break."""
     c = _t(spark, sf_dir, "customer")
     one = F.array(layout.span(F.lit(0), F.concat(F.lit("The account of "), F.col("c_name"), F.lit(" is kept")), F.lit(40.0), F.lit(100.0)))
     two = F.array(
         layout.span(F.lit(0), F.concat(F.lit("in the segment of "), F.lower("c_mktsegment"), F.lit(", a wellknown one.")), F.lit(40.0), F.lit(690.0)),
         layout.span(F.lit(1), F.lit("A well-known end."), F.lit(40.0), F.lit(400.0)),
     )
-    pages = c.select(*layout.page_of(F.col("c_custkey"), F.lit(1), one)).unionByName(c.select(*layout.page_of(F.col("c_custkey"), F.lit(2), two)))
+    return c.select(*layout.page_of(F.col("c_custkey"), F.lit(1), one)).unionByName(c.select(*layout.page_of(F.col("c_custkey"), F.lit(2), two)))
+
+
+@_query("""SELECT c_custkey::VARCHAR AS doc_id, 'The account of ' || c_name || ' is kept in the segment of ' || lower(c_mktsegment) || ', a well-known one.' AS text, 2::BIGINT AS pages FROM customer""")
+def paragraphs_over_pages(spark, sf_dir):
+    """A paragraph over a page break, with a compound that lost its hyphen there and is seen whole on the next page."""
+    pages = _accounts(spark, sf_dir)
     out = document.continued(document.restored_hyphens(document.without_furniture(page.blocks(pages))))
     return out.where("run = 1").select("doc_id", "text", F.lit(2).cast("bigint").alias("pages"))
 
