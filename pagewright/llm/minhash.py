@@ -12,12 +12,9 @@ text in the middle of its group). A node is compared on full sets with the ``sta
 shares most buckets with, at most, so there are ``stars`` pairs a node however large a bucket
 is. Confirmed pairs are components.
 *The rest.* Stars leave out links between two spokes. Where a bucket still holds more than one
-component, its nodes meet once more, exactly: elements of their sets are ordered by how few of
-these nodes hold them, and two sets of the asked similarity share an element among the first
-n - ceil(percent * n / 100) + 1 of each (a prefix filter with places). An element in one
-component alone makes no pair; otherwise nodes outside its largest component meet the others.
-Elements that many nodes hold come last, so a text that a third of all rows vary makes pairs
-only where their variations agree. Every pair is confirmed on full sets.
+component, all its pairs are decided: parity bitmaps (``parity``) rule out what cannot be similar without
+making the pair, and of what is left only pairs that join components are confirmed on full sets, again
+without those that failed. So every pair that shares a bucket ends in one component or is not similar.
 
 Null and wordless texts have empty sets, linked with nothing. Rows that share a doc_id are one
 node; rows of null doc_id are linked with nothing, and stay. Repeated rows are equal sets. Empty
@@ -30,6 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import parity
 from ._common import Shelf, mix64, signed, slices, small_batches, tidy
 from .graph import components
 
@@ -172,41 +170,6 @@ def star_pairs(members: DataFrame, stars: int) -> DataFrame:
     return rays.groupBy("node").agg(best.alias("best")).select("node", F.explode("best.hub").alias("hub"))
 
 
-def prefix_pairs(open_nodes: DataFrame, sets: DataFrame, shelf: Shelf, percent: int) -> DataFrame:
-    """(node, hub): pairs of ``open_nodes`` (node, root) of different roots that may be similar.
-
-    No pair of the asked similarity is left out.
-    """
-    held = open_nodes.join(sets, "node")
-    parts = held.select("node", "root", "set_a", "n", F.explode("set").alias("e"))
-    often = parts.groupBy("e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    # elements of one node alone come first in its order and make no pair; only their number counts
-    listed = (
-        parts.join(often, "e")
-        .groupBy("node", "root", "set_a", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("l"))
-        .withColumn("alone", F.col("n") - F.size("l"))
-    )
-    prefix = F.expr(f"n - cast((n * {percent} + 99) div 100 as bigint) + 1")
-    postings = shelf.put(
-        listed.select("node", "root", "n", "alone", F.posexplode(F.slice("l", F.lit(1), F.greatest(F.lit(0), prefix - F.col("alone")).cast("int"))).alias("k", "x")).select(
-            "node", "root", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("x.e").alias("e")
-        ),
-        "postings",
-    )
-    by_root = postings.groupBy("e", "root").agg(F.count(F.lit(1)).alias("c"))
-    shared = by_root.groupBy("e").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    met = shelf.put(postings.join(shared.select("e", "major"), "e"), "met")
-    shelf.drop(postings)
-    one = met.where("root != major").select("e", "node", F.col("root").alias("r1"), F.col("n").alias("n1"), F.col("at").alias("at1"))
-    two = met.select("e", F.col("node").alias("hub"), F.col("root").alias("r2"), F.col("n").alias("n2"), F.col("at").alias("at2"), "major")
-    meets = (
-        f"r1 != r2 and (r2 = major or node < hub) and least(n1, n2) * 100 >= greatest(n1, n2) * {percent}"
-        f" and least(n1 - at1, n2 - at2) * {100 + percent} >= {percent} * (n1 + n2)"
-    )
-    return one.join(two, "e").where(meets).select("node", "hub").distinct()
-
-
 def _joined(roots: DataFrame, links: DataFrame, shelf: Shelf) -> DataFrame:
     """``roots`` (node, root) after ``links`` (a, b) have joined their components."""
     if links.isEmpty():
@@ -255,12 +218,7 @@ def near_duplicates(
         roots = _joined(roots, ends.where("a != b").select("a", "b"), shelf)
     roots = _joined(roots, shelf.put(_confirmed(star_pairs(members, stars), sets, percent), "stars"), shelf)
 
-    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    left = shelf.put(placed.join(mixed, "bucket").select("node", "root").distinct(), "open")
-    shelf.drop(members)
-    rest = shelf.put(prefix_pairs(left, sets, shelf, percent), "rest")
-    roots = _joined(roots, shelf.put(_confirmed(rest, sets, percent), "confirmed"), shelf)
+    roots = _decided(members, sets, roots, shelf, percent)
     found = drawn_nodes.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
     return (
         drawn.select("doc_id", "n_shingles")
@@ -270,6 +228,36 @@ def near_duplicates(
     )
 
 
+def _decided(members: DataFrame, sets: DataFrame, roots: DataFrame, shelf: Shelf, percent: int) -> DataFrame:
+    """``roots`` after every pair of a bucket of ``members`` (bucket, node, n: the bucket's size) is in one component or known not to be similar."""
+    key = ["bucket", "bi", "bj"]
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    rows = placed(members.select("bucket", "node", F.col("n").alias("size")))
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    blocks = shelf.put(parity.in_blocks(rows.join(mixed, "bucket")).drop("root"), "blocks")
+    if blocks.isEmpty():
+        return roots
+    maps = shelf.put(parity.bitmaps(sets.join(blocks.select("node").distinct(), "node", "left_semi")), "bitmaps")
+    rejected, tries = None, 1
+    while True:
+        asked = shelf.put(parity.forests(placed(blocks), maps, rejected, percent, tries), "asked")
+        pairs = asked.select("node", "hub").distinct()
+        links = shelf.put(_confirmed(pairs, sets, percent), "links")
+        roots = _joined(roots, links, shelf)
+        failed = asked.join(links.select(F.col("b").alias("node"), F.col("a").alias("hub")), ["node", "hub"], "left_anti").select(*key, "node", "hub")
+        more = shelf.put(failed, "failed")
+        if more.isEmpty():
+            return roots
+        rejected = more if rejected is None else rejected.union(more)
+        # only blocks where a pair failed are asked again
+        blocks = blocks.join(more.select(*key).distinct(), key, "left_semi")
+        rejected = rejected.join(more.select(*key).distinct(), key, "left_semi")
+        tries *= 4
+
+
 def _repeated_ids(drawn: DataFrame) -> bool:
     return not drawn.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 

@@ -444,18 +444,77 @@ def test_minhash_of_a_large_group_makes_few_pairs(spark, monkeypatch):
     assert pairs[0] <= 3 * len(rows) and sum(pairs) < len(rows) ** 2 / 10
 
 
-def test_prefix_filter_alone_finds_every_link(spark):
+def in_one_bucket(spark, rows, k, monkeypatch=None):
+    """Components that parity bitmaps and confirmation find where all texts share one bucket, and how many pairs were confirmed."""
     from pagewright.llm._common import Shelf
 
-    rows = varied(120)
     shelf = Shelf(spark, "test")
-    sets = minhash.full_sets(frame(spark, rows).select("doc_id", "text"), 2).cache()
-    alone = sets.selectExpr("node", "node as root")
-    links = minhash._confirmed(minhash.prefix_pairs(alone, sets, shelf, 80), sets, 80)
-    got = {tuple(sorted(r)) for r in links.collect()}
-    held = sets_of(rows, 2)
-    want = {(i, j) for i, _ in rows for j, _ in rows if i < j and 100 * len(held[i] & held[j]) >= 80 * len(held[i] | held[j])}
-    assert got == want and len(want) > 100
+    sets = shelf.put(minhash.full_sets(frame(spark, rows).select("doc_id", "text"), k).where("n > 0"), "sets")
+    members = sets.selectExpr("7L as bucket", "node", f"{len(rows)}L as n")
+    pairs, true = [], minhash._confirmed
+    if monkeypatch:
+        monkeypatch.setattr(minhash, "_confirmed", lambda p, *a: pairs.append(p.count()) or true(p, *a))
+    roots = minhash._decided(members, sets, spark.createDataFrame([], "node bigint, root bigint"), shelf, 80)
+    got = {i: i for i, _ in rows} | {r.node: r.root for r in roots.collect()}
+    return got, sum(pairs)
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_parity_alone_finds_every_component(spark, monkeypatch, block):
+    from pagewright.llm import parity
+
+    monkeypatch.setattr(parity.in_blocks, "__defaults__", (block,))
+    rows = varied(120)
+    got, _ = in_one_bucket(spark, rows, 2)
+    want = brute_components(sets_of(rows, 2))
+    assert got == want and 1 < len(set(want.values())) < 120
+
+
+def template(n, seed, places):
+    """Texts of 200 words, some places of which are each one of three words."""
+    rng = random.Random(seed)
+    words, at = rng.sample([f"v{k}" for k in range(3000)], 200), list(range(5, 200, 200 // places))[:places]
+    rows = []
+    for i in range(n):
+        own = list(words)
+        for k in at:
+            own[k] = f"p{k}x{rng.randrange(3)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("places", "n"), [(10, 200), (10, 800), (20, 400), (20, 800)])
+def test_pairs_of_a_template_grow_with_its_texts(spark, monkeypatch, places, n):
+    rows = template(n, 4, places)
+    got, pairs = in_one_bucket(spark, rows, 5, monkeypatch)
+    assert got == brute_components(sets_of(rows, 5))
+    assert pairs < 20 * n
+    if places == 20:
+        assert len(set(got.values())) > 0.95 * n  # almost none is linked
+
+
+@pytest.mark.parametrize("places", [10, 20])
+def test_a_template_through_all_stages(spark, monkeypatch, places):
+    rows = template(400, 5, places)
+    pairs, true = [], minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda p, *a: pairs.append(p.count()) or true(p, *a))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_components(sets_of(rows, 5))
+    assert sum(pairs) < 20 * len(rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 500, 2049, 9000])
+def test_parity_never_overstates_a_difference(n):
+    from pagewright.llm import parity
+
+    rng = np.random.default_rng(n)
+    a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+    b = np.concatenate((a[: n // 2], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)))
+    x, y = parity.bits_of(a), parity.bits_of(b)
+    words = min(len(x), len(y))
+    ones = [int(np.bitwise_count(parity.folded(x[None], w) ^ parity.folded(y[None], w)).sum()) for w in (8, words)]
+    assert ones[0] <= ones[1] <= len(set(a.tolist()) ^ set(b.tolist()))
+    assert len(x) * 64 >= max(2048, n) and parity.bits_of(np.concatenate((a, a))[: 2 * n]).sum() == 0
 
 
 def thue_morse(n, flip=0):
