@@ -6,12 +6,15 @@ SPAN = (
     f"character_spacing: double, word_spacing: double, bounds: {RECT}, direction: string, font_name: string, font_family: string, "
     "color: string, fill_opacity: double, stroke_color: string, rendering_mode: int, font_size: double, transform: array<double>>"
 )
-FILL = "struct<points: array<struct<x: double, y: double>>, color: string, opacity: double>"
+#: Clips are the paths that bound what is painted, outermost first.
+CLIPS = "array<struct<d: string, fill_rule: string>>"
+#: ``visible``: the area inside the clips, where there are any.
+FILL = "struct<points: array<struct<x: double, y: double>>, color: string, opacity: double, visible: double>"
 PATH = (
     "struct<d: string, fill: string, stroke: string, stroke_width: double, fill_opacity: double, stroke_opacity: double, "
-    "dasharray: array<double>, dashoffset: double, linecap: string, linejoin: string, fill_rule: string>"
+    f"dasharray: array<double>, dashoffset: double, linecap: string, linejoin: string, fill_rule: string, clips: {CLIPS}>"
 )
-IMAGE = "struct<width: int, height: int, format: string, data: binary, transform: array<double>, opacity: double>"
+IMAGE = f"struct<width: int, height: int, format: string, data: binary, transform: array<double>, opacity: double, clips: {CLIPS}>"
 ERROR = "struct<code: string, message: string>"
 PAGES = (
     f"doc_id string, page int, width double, height double, rotate int, spans array<{SPAN}>, "

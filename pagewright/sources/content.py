@@ -5,6 +5,7 @@ from __future__ import annotations
 from math import hypot
 
 from .fonts import Font, pdf_string
+from .geometry import common_area, convex, flattened, inside_convex
 
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 TAIL = 64
@@ -63,14 +64,36 @@ def axial_colour(doc, shading: dict) -> str | None:
     return hex_colour([x + share * (y - x) for x, y in zip(a, b, strict=True)])
 
 
+def path_data(path: list[list]) -> str:
+    n = lambda v: f"{round(v, 3):g}"
+    return " ".join("Z" if k == "Z" else f"{k} " + " ".join(f"{n(x)} {n(y)}" for x, y in p) for sub in path for k, p in sub)
+
+
+class Clip:
+    """A path that bounds what is painted after it."""
+
+    def __init__(self, path: list[list], rule: str):
+        self.d, self.rule, self.shape = path_data(path), rule, flattened(path)
+
+
+def told(clips: tuple[Clip, ...]) -> list[dict] | None:
+    """Clips as rows, outermost first; null for none."""
+    return [{"d": c.d, "fill_rule": c.rule} for c in clips] or None
+
+
+def visible(shape: list, rule: str, clips: tuple[Clip, ...]) -> float:
+    """The area of a shape inside all clips."""
+    return common_area([(shape, rule == "evenodd"), *((c.shape, c.rule == "evenodd") for c in clips)])
+
+
 class State(dict):
     __getattr__ = dict.__getitem__
 
     @classmethod
-    def new(cls, ctm):
+    def new(cls, ctm, clips: tuple = ()):
         return cls(
             ctm=ctm, font=None, name=None, size=0.0, Tc=0.0, Tw=0.0, Tz=1.0, TL=0.0, Ts=0.0, Tr=0, fill="#000000", stroke="#000000",
-            fill_n=None, stroke_n=None, ca=1.0, CA=1.0, width=1.0, cap=0, join=0, dash=([], 0.0),
+            fill_n=None, stroke_n=None, ca=1.0, CA=1.0, width=1.0, cap=0, join=0, dash=([], 0.0), clips=clips,
         )
 
 
@@ -93,13 +116,13 @@ class Interpreter:
             self.fonts[id(head)] = Font(head, self.doc)
         return self.fonts[id(head)]
 
-    def run(self, data: bytes, resources: dict, ctm, depth: int = 0, inside: tuple = ()) -> None:
+    def run(self, data: bytes, resources: dict, ctm, depth: int = 0, inside: tuple = (), clips: tuple = ()) -> None:
         from .pdf import Lexer, Operator, PdfError
 
         doc, lex = self.doc, Lexer(data, refs=False)
         part = lambda name: doc.resolve(resources.get(name)) or {}
         fonts, objects, states, spaces, shadings = (part(n) for n in ("Font", "XObject", "ExtGState", "ColorSpace", "Shading"))
-        g, stack, args = State.new(ctm), [], []
+        g, stack, args, clipping = State.new(ctm, clips), [], [], None
         tm = line = IDENTITY
         path: list[list] = []
         while True:
@@ -120,7 +143,7 @@ class Interpreter:
                 if op == "q":
                     stack.append(State(g))
                 elif op == "Q":
-                    g = stack.pop() if stack else State(g, ctm=IDENTITY)
+                    g, clipping = stack.pop() if stack else State(g, ctm=IDENTITY, clips=()), None
                 elif op == "cm":
                     g["ctm"] = times(a[-6:], g.ctm)
                 elif op == "BT":
@@ -163,8 +186,9 @@ class Interpreter:
                 elif op == "Do":
                     self.do(a[-1], objects, resources, g, depth, inside)
                 elif op == "sh":
-                    if colour := axial_colour(doc, doc.resolve(shadings.get(a[-1])) or {}):
-                        self.fills.append({"points": self.corners(self.box), "color": colour, "opacity": g.ca})
+                    colour = axial_colour(doc, doc.resolve(shadings.get(a[-1])) or {})
+                    if colour and g.clips:  # a shading paints what its innermost clip bounds, and nothing without one
+                        self.shade(colour, g)
                 elif op in ("m", "l"):
                     if op == "m" or not path:
                         path.append([])
@@ -185,8 +209,13 @@ class Interpreter:
                 elif op in ("f", "F", "f*", "B", "B*", "b", "b*", "S", "s", "n"):
                     if op in ("b", "b*", "s") and path:
                         path[-1].append(("Z", [path[-1][0][1][0]]))
+                    if clipping and path:
+                        g["clips"] = (*g.clips, Clip(path, clipping))
+                    clipping = None
                     self.paint(path, g, op)
                     path = []
+                elif op in ("W", "W*"):
+                    clipping = "evenodd" if op == "W*" else "nonzero"
                 if op in ("T*", "'", '"'):
                     tm = line = moved(0, -g.TL, line)
                 if op == '"':
@@ -231,7 +260,7 @@ class Interpreter:
         if kind == "Form" and depth < self.form_depth and ref not in inside:
             own = self.doc.resolve(x.head.get("Resources")) or resources
             matrix = tuple(map(float, self.doc.resolve(x.head.get("Matrix")) or IDENTITY))
-            self.run(self.doc.decoded(x), own, times(matrix, g.ctm), depth + 1, (*inside, ref))
+            self.run(self.doc.decoded(x), own, times(matrix, g.ctm), depth + 1, (*inside, ref), g.clips)
         elif kind == "Image":
             self.image(x, g)
 
@@ -245,28 +274,31 @@ class Interpreter:
             return
         data = self.doc.decoded(x, until="DCTDecode") if jpeg else self.doc.decoded(x)
         self.images.append(
-            {"width": get("Width"), "height": get("Height"), "format": "jpeg" if jpeg else "rgb", "data": data, "transform": list(map(float, g.ctm)), "opacity": g.ca}
+            {"width": get("Width"), "height": get("Height"), "format": "jpeg" if jpeg else "rgb", "data": data, "transform": list(map(float, g.ctm)), "opacity": g.ca, "clips": told(g.clips)}
         )
 
-    @staticmethod
-    def corners(box) -> list[dict]:
-        x0, y0, x1, y1 = box
-        return [{"x": x, "y": y} for x, y in ((0.0, 0.0), (x1 - x0, 0.0), (x1 - x0, y1 - y0), (0.0, y1 - y0))]
+    def shade(self, colour: str, g: State) -> None:
+        """The innermost clip filled with a colour, inside the clips around it."""
+        inner, around = g.clips[-1], g.clips[:-1]
+        for part in inner.shape:
+            self.fills.append({"points": [{"x": x, "y": y} for x, y in part], "color": colour, "opacity": g.ca, "visible": visible([part], inner.rule, around)})
+        self.paths.append({"d": inner.d, "fill": colour, "fill_opacity": g.ca, "fill_rule": inner.rule, "clips": told(around)})
 
     def paint(self, path: list[list], g: State, op: str) -> None:
         if not path or op == "n":
             return
         filled, stroked = op[0] in "fFBb", op[0] in "BbSs"
-        n = lambda v: f"{round(v, 3):g}"
-        d = " ".join("Z" if k == "Z" else f"{k} " + " ".join(f"{n(x)} {n(y)}" for x, y in p) for sub in path for k, p in sub)
+        d = path_data(path)
+        rule = "evenodd" if op.endswith("*") else "nonzero"
         if filled:
             for sub in path:
-                self.fills.append({"points": [{"x": p[-1][0], "y": p[-1][1]} for k, p in sub if k != "Z"], "color": g.fill, "opacity": g.ca})
+                inside = visible(flattened([sub]), rule, g.clips) if g.clips else None
+                self.fills.append({"points": [{"x": p[-1][0], "y": p[-1][1]} for k, p in sub if k != "Z"], "color": g.fill, "opacity": g.ca, "visible": inside})
         scale = hypot(g.ctm[0], g.ctm[1])
         self.paths.append({
             "d": d, "fill": g.fill if filled else None, "stroke": g.stroke if stroked else None, "stroke_width": g.width * scale, "fill_opacity": g.ca,
             "stroke_opacity": g.CA, "dasharray": list(map(float, g.dash[0])), "dashoffset": g.dash[1], "linecap": ("butt", "round", "square")[g.cap % 3],
-            "linejoin": ("miter", "round", "bevel")[g.join % 3], "fill_rule": "evenodd" if op.endswith("*") else "nonzero",
+            "linejoin": ("miter", "round", "bevel")[g.join % 3], "fill_rule": rule, "clips": told(g.clips),
         })
 
     def show(self, raw: bytes, g: State, tm):
@@ -324,8 +356,12 @@ class Interpreter:
         return 0 <= p[0] <= x1 - x0 and 0 <= p[1] <= y1 - y0
 
 
+#: Quadrilaterals of one annotation that are looked at; with more, its rectangle counts.
+MOST_QUADS = 1024
+
+
 def links_of(doc, page: dict, box) -> list[dict]:
-    """Regions (boxes of quads or of the annotation) and targets of a page's safe links, in order."""
+    """Regions (corners of convex quadrilaterals, or of the annotation's rectangle) and targets of a page's safe links, in order."""
     out = []
     for k, ref in enumerate(doc.resolve(page.get("Annots")) or []):
         annotation = doc.resolve(ref)
@@ -334,26 +370,38 @@ def links_of(doc, page: dict, box) -> list[dict]:
         href = pdf_string(uri).strip() if isinstance(uri, bytes) else ""
         if not href.lower().startswith(("http:", "https:", "mailto:")) or any(ord(c) <= 32 or ord(c) == 127 for c in href):
             continue
-        quads = doc.resolve(annotation.get("QuadPoints")) or []
-        rects = [quads[i : i + 8] for i in range(0, len(quads) - 7, 8)] or [doc.resolve(annotation.get("Rect")) or []]
-        for r in rects:
-            xs, ys = list(map(float, r[::2])), list(map(float, r[1::2]))
-            if xs:
-                out.append({"annot_seq": k, "href": href, "x0": min(xs) - box[0], "x1": max(xs) - box[0], "y0": min(ys) - box[1], "y1": max(ys) - box[1]})
+        numbers = lambda v: [float(x) for x in map(doc.resolve, v) if isinstance(x, (int, float))] if isinstance(v, list) else []
+        quads, rect = numbers(doc.resolve(annotation.get("QuadPoints"))), numbers(doc.resolve(annotation.get("Rect")))
+        regions = [quads[i : i + 8] for i in range(0, len(quads), 8)] if quads and len(quads) % 8 == 0 and len(quads) <= 8 * MOST_QUADS else []
+        if not regions and len(rect) == 4:
+            x0, y0, x1, y1 = rect
+            regions = [[x0, y0, x1, y0, x1, y1, x0, y1]]
+        for r in regions:
+            corners = convex([(x - box[0], y - box[1]) for x, y in zip(r[::2], r[1::2], strict=True)])
+            out.append({"annot_seq": k, "href": href, "corners": corners})
     return out
 
 
 def attach_links(spans: list[dict], links: list[dict]) -> None:
     """A span whose middle and both ends lie in one region takes its target; later annotations win."""
+    import numpy as np
+
+    rows = []
     for s in spans:
         a, b, c, d = s["transform"] or (1, 0, 0, 1)
-        r, near = s["bounds"], max(0.5, 0.35 * s["font_size"])
+        r = s["bounds"]
         if s["direction"] == "ttb":
             x, y, dx, dy = r["x"] + r["width"] / 2, r["y"] - r["height"] / 2, 0.0, -r["height"] / 2
         else:
             dx, dy = a * r["width"] / 2, -b * r["width"] / 2
             x, y = r["x"] + dx - c * r["height"] / 2, r["y"] + dy + d * r["height"] / 2
-        for k in links:
-            holds = lambda px, py, t, k=k: k["x0"] - t <= px <= k["x1"] + t and k["y0"] - t <= py <= k["y1"] + t
-            if holds(x, y, 0) and holds(x - dx, y - dy, near) and holds(x + dx, y + dy, near):
-                s["href"] = k["href"]
+        rows.append((x, y, dx, dy, max(0.5, 0.35 * s["font_size"])))
+    if not rows:
+        return
+    at = np.array(rows, float)
+    middle, half, near = at[:, :2], at[:, 2:4], at[:, 4]
+    for k in links:
+        region = np.array(k["corners"])
+        held = inside_convex(region, middle, 0 * near) & inside_convex(region, middle - half, near) & inside_convex(region, middle + half, near)
+        for i in np.flatnonzero(held).tolist():
+            spans[i]["href"] = k["href"]

@@ -62,6 +62,8 @@ _TIMES = (
     "444 500 444 500 444 333 500 500 278 278 500 278 778 500 500 500 500 333 389 278 500 500 722 500 500 444 480 200 480 541"
 )
 MOST_CODES = 65_536
+#: Characters of a font's own map: all that there are.
+MOST_GLYPH_CODES = 0x110000
 
 
 @lru_cache(64)
@@ -115,13 +117,16 @@ def glyph_text(name: str) -> str | None:
     if re.fullmatch(r"[A-Za-z](?:_[A-Za-z])+", plain):
         return plain.replace("_", "")
     if m := re.fullmatch(r"(?i)uni((?:[0-9a-f]{4})+)", plain):
-        return "".join(chr(int(m[1][k : k + 4], 16)) for k in range(0, len(m[1]), 4))
+        return bytes.fromhex(m[1]).decode("utf-16-be", "replace")  # pairs of surrogates are one character
     if m := re.fullmatch(r"(?i)u([0-9a-f]{4,6})", plain):
         return _point(int(m[1], 16))
     return None
 
 
 def _point(n: int) -> str | None:
+    """The character of a code point; half of a surrogate pair is none and reads as U+FFFD."""
+    if 0xD800 <= n <= 0xDFFF:
+        return "\ufffd"
     return chr(n) if n <= 0x10FFFF else None
 
 
@@ -167,6 +172,56 @@ class CMap:
         return None
 
 
+class CidMap:
+    """Codes to CIDs of an encoding CMap; of entries that overlap the last one counts.
+
+    Only codes that are asked for get a CID: entries are taken from the last back, and each gives its CIDs to the codes
+    in its interval that have none yet. A union-find over the sorted codes leaps over those that have one, so that
+    the work is that of the codes and entries, however much they overlap. At most ``MOST_CODES`` entries are read."""
+
+    def __init__(self, data: bytes):
+        entries: list[tuple[int, int, int]] = []
+        for kind, body in re.findall(rb"begincid(char|range)(.*?)endcid\1", data, re.S):
+            pattern = rb"<([0-9A-Fa-f]{1,8})>\s*<([0-9A-Fa-f]{1,8})>\s+(\d+)" if kind == b"range" else rb"<([0-9A-Fa-f]{1,8})>()\s+(\d+)"
+            for a, b, c in re.findall(pattern, body):
+                first, cid = int(a, 16), int(c)
+                last = int(b, 16) if b else first
+                if last < first or cid + last - first > 0xFFFF:
+                    continue  # no such CIDs
+                entries.append((first, last, cid))
+        #: over the bound no entry counts, rather than some
+        self.entries = entries if len(entries) <= MOST_CODES else []
+
+    def cids(self, codes) -> dict[int, int]:
+        """The CID of each of ``codes`` that has one."""
+        import bisect
+
+        order = sorted(set(codes))
+        free = list(range(len(order) + 1))  # the next code without a CID, by path halving
+
+        def next_free(k: int) -> int:
+            while free[k] != k:
+                free[k] = k = free[free[k]]
+            return k
+
+        out: dict[int, int] = {}
+        for first, last, cid in reversed(self.entries):
+            k = next_free(bisect.bisect_left(order, first))
+            while k < len(order) and order[k] <= last:
+                out[order[k]] = cid + order[k] - first
+                free[k] = k + 1
+                k = next_free(k)
+        return out
+
+
+def glyphs_by_character(to_unicode: CMap, encoding: CidMap | None) -> dict[int, int]:
+    """Code point -> CID: a ToUnicode map joined with an encoding CMap by code (None: codes are CIDs). A code without text or
+    CID is left out; of a text the first character counts, and of codes with the same one the last."""
+    codes = {code: text for code, text in to_unicode.text.items() if text}
+    cids = {code: code for code in codes} if encoding is None else encoding.cids(codes)
+    return {ord(text[0]): cids[code] for code, text in codes.items() if code in cids}
+
+
 class TrueType:
     """Advances by character of a TrueType program: cmap formats 4, 6 and 12, and hmtx."""
 
@@ -203,9 +258,15 @@ class TrueType:
             for k, g in enumerate(struct.unpack_from(f">{n}H", d, at + 10)):
                 self.glyph.setdefault(first + k, g)
         elif form == 12:
+            from .pdf import PdfError
+
+            room = MOST_GLYPH_CODES
             for k in range(struct.unpack_from(">I", d, at + 12)[0]):
                 first, last, g = struct.unpack_from(">III", d, at + 16 + 12 * k)
-                for c in range(first, min(last, first + MOST_CODES) + 1):
+                room -= max(0, last - first + 1)
+                if room < 0:
+                    raise PdfError("RESOURCE_LIMIT", "a font's character map holds too many codes")
+                for c in range(first, last + 1):
                     self.glyph.setdefault(c, g + c - first)
 
     def width(self, text: str) -> float | None:
@@ -301,7 +362,8 @@ class Font:
         cmap = get("ToUnicode")
         self.map = CMap(doc.decoded(cmap)) if isinstance(cmap, Stream) else None
         self.vertical = isinstance(encoding, str) and encoding.endswith("-V")
-        self.utf16 = isinstance(encoding, str) and re.search(r"UTF16-[HV]$", encoding) is not None
+        #: codes are UTF-16, where no map says otherwise
+        self.utf16 = self.wide and self.map is None and isinstance(encoding, str) and re.search(r"UTF16-[HV]$", encoding) is not None
         self.embedded: TrueType | None = None
         if self.wide:
             below = get("DescendantFonts")
@@ -310,6 +372,10 @@ class Font:
             self.widths = dict(self._ranges(doc, doc.resolve(below.get("W")) or []))
             self.step = 2
             self.descriptor = doc.resolve(below.get("FontDescriptor")) or {}
+            #: an encoding CMap tells CIDs, by which widths go
+            self.cid_map = CidMap(doc.decoded(encoding)) if isinstance(encoding, Stream) else None
+            #: CIDs of the codes seen
+            self.cid: dict[int, int] = {}
         else:
             first = get("FirstChar") or 0
             self.widths = {first + k: w for k, w in enumerate(map(doc.resolve, get("Widths") or [])) if isinstance(w, (int, float))}
@@ -334,7 +400,11 @@ class Font:
         if isinstance(program, Stream) and (not self.widths or (self.wide and self.map is None)):
             try:
                 self.embedded = TrueType(doc.decoded(program))
-            except (struct.error, KeyError, IndexError, PdfError):
+            except (struct.error, KeyError, IndexError):
+                self.embedded = None
+            except PdfError as e:
+                if e.code == "RESOURCE_LIMIT":
+                    raise
                 self.embedded = None
         program = doc.resolve(self.descriptor.get("FontFile"))
         if isinstance(program, Stream) and not self.wide and not self.widths:
@@ -349,6 +419,8 @@ class Font:
     @staticmethod
     def _ranges(doc, w: list) -> Iterator[tuple[int, float]]:
         """(code, width) of a W array: ``c [w ...]`` and ``first last w``."""
+        from .pdf import PdfError
+
         k = 0
         while k + 1 < len(w):
             first, next_ = doc.resolve(w[k]), doc.resolve(w[k + 1])
@@ -358,7 +430,9 @@ class Font:
             else:
                 if k + 2 < len(w):
                     width = doc.resolve(w[k + 2])
-                    yield from ((c, width) for c in range(first, min(next_, first + MOST_CODES) + 1))
+                    if next_ - first >= MOST_CODES:
+                        raise PdfError("RESOURCE_LIMIT", "a range of widths holds too many codes")
+                    yield from ((c, width) for c in range(first, next_ + 1))
                 k += 3
 
     def glyphs(self, raw: bytes) -> list[tuple[str, float, bool]]:
@@ -368,12 +442,14 @@ class Font:
         out, at = [], 0
         while at < len(raw):
             size = (self.map.size_at(raw, at) if self.map and self.map.spaces else None) or self.step
+            if self.utf16 and raw[at] & 0xFC == 0xD8 and at + 4 <= len(raw) and raw[at + 2] & 0xFC == 0xDC:
+                size = 4  # a pair of surrogates is one character
             code = raw[at] if size == 1 else int.from_bytes(raw[at : at + size])
             if (known := self.seen.get((size, code))) is not None:
                 out.append(known)
                 at += size
                 continue
-            text = self.map.text.get(code) if self.map else None
+            text = self.map.text.get(code) if self.map else raw[at : at + size].decode("utf-16-be", "replace") if self.utf16 else None
             if text is None:
                 text = self.codes[code] if not self.wide and code < 256 else self.drawn.get(code) or _point(code) or ""
             known = self.seen[size, code] = (compatible_text(text), self.advance(code, text), text == " ")
@@ -381,7 +457,15 @@ class Font:
             at += size
         return out
 
+    def characters(self) -> dict[int, int]:
+        """Code point -> CID of a composite font that says both, else empty."""
+        return glyphs_by_character(self.map, self.cid_map) if self.wide and self.map else {}
+
     def advance(self, code: int, text: str) -> float:
+        if self.wide and self.cid_map:
+            if code not in self.cid:
+                self.cid |= {code: 0} | self.cid_map.cids([code])
+            code = self.cid[code]
         if (w := self.widths.get(code)) is not None:
             return float(w)
         if self.embedded and not self.wide and (w := self.embedded.width(text)) is not None:

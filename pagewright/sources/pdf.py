@@ -637,6 +637,23 @@ def rows_of(name: str, source, limits: Limits, mode: str = "PERMISSIVE", first:
 BATCH_WEIGHT = 5000
 
 
+def batch_of(rows: list[dict], schema, mode: str = "PERMISSIVE"):
+    """Page rows as an Arrow batch. If one can't be told in Arrow, each file's rows go by themselves, and
+    those of a file that still fails are its error, by ``mode``."""
+    import pyarrow as pa
+
+    try:
+        return pa.RecordBatch.from_pylist(rows, schema)
+    except (pa.ArrowException, ValueError, TypeError, OverflowError) as e:
+        if mode == "FAILFAST":
+            raise
+        names = list(dict.fromkeys(r["doc_id"] for r in rows))
+        if len(names) > 1:
+            parts = [batch_of([r for r in rows if r["doc_id"] == n], schema, mode) for n in names]
+            return pa.Table.from_batches(parts, schema).combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_pylist([{"doc_id": names[0], "error": error_of(e)}] if mode == "PERMISSIVE" else [], schema)
+
+
 def pages_of(files: DataFrame, mode: str = "PERMISSIVE", pages: tuple[int, int] | None = None, **limits: int) -> DataFrame:
     """Page rows of (doc_id, content) rows, all or those from the first to the last of ``pages``
     (from 1); ``limits`` by their names in ``Limits``."""
@@ -650,8 +667,6 @@ def pages_of(files: DataFrame, mode: str = "PERMISSIVE", pages: tuple[int, int]
     first, last = (pages[0] - 1, pages[1]) if pages else (0, None)
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             out: list[dict] = []
             weight = 0
@@ -660,10 +675,10 @@ def pages_of(files: DataFrame, mode: str = "PERMISSIVE", pages: tuple[int, int]
                     out.append(row)
                     weight += len(row.get("spans") or ()) + 1
                     if weight >= BATCH_WEIGHT:
-                        yield pa.RecordBatch.from_pylist(out, schema)
+                        yield batch_of(out, schema, mode)
                         out, weight = [], 0
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                yield batch_of(out, schema, mode)
 
     return files.select("doc_id", "content").mapInArrow(run, PAGES)
 

@@ -328,9 +328,10 @@ def test_images_shadings_and_a_damaged_tail():
     raw = w.add(write.stream(b"\x01\x02\x03", b"/Type/XObject/Subtype/Image/Width 1/Height 1/BitsPerComponent 8/ColorSpace/DeviceRGB"))
     jpeg = w.add(write.stream(b"\xff\xd8".hex().encode() + b">", b"/Type/XObject/Subtype/Image/Width 1/Height 1/Filter[/AHx/DCTDecode]"))
     extra = b"/XObject<</A %d 0 R/B %d 0 R>>/Shading<</S<</ShadingType 2/Function<</FunctionType 2/C0[1 0 0]/C1[0 0 1]/N 1>>>>>>" % (raw, jpeg)
-    [p] = pdf.extract(one_page(b"/A Do /B Do /S sh " + write.show(10, 10, 10, b"(x)") + b" (cut", extra, w=w).table())
+    [p] = pdf.extract(one_page(b"/A Do /B Do q 5 5 50 40 re W n /S sh Q /S sh " + write.show(10, 10, 10, b"(x)") + b" (cut", extra, w=w).table())
     assert [(i["format"], i["data"]) for i in p["images"]] == [("rgb", b"\x01\x02\x03"), ("jpeg", b"\xff\xd8")]
-    assert p["fills"][0]["color"] == "#800080" and p["spans"][0]["text"] == "x"
+    [shade] = p["fills"]  # inside its clip; without one nothing is painted
+    assert shade["color"] == "#800080" and shade["visible"] == 2000 and p["spans"][0]["text"] == "x"
 
 
 def test_truetype_widths():
