@@ -90,3 +90,90 @@ def pdf_pushed_pages(spark, sf_dir):
 def _folder_of(files: DataFrame) -> str:
     """The folder of written files; running the plan writes them."""
     return files.agg(F.min(F.regexp_extract("path", r"^(.*)/", 1)).alias("f")).first()["f"]
+
+
+# ------------------------------------------------------------------ content
+@_query("""SELECT s_suppkey::VARCHAR AS doc_id, u.seq::INT AS seq, CASE u.seq WHEN 0 THEN '#336699' ELSE '#800080' END AS color,
+(CASE u.seq WHEN 0 THEN (50.0 + s_suppkey % 20) * 50.0 ELSE 30.0 * (20.0 + s_suppkey % 10) - 100.0 END)::DOUBLE AS visible, 2::INT AS clips FROM supplier, (SELECT unnest([0, 1]) AS seq) u""")
+def pdf_clips(spark, sf_dir):
+    """Fills and shadings inside nested clips: the area that shows, and how many clips bound each."""
+
+    def make(key: int) -> bytes:
+        w = write.Writer()
+        w.shared += b"/Resources<</Shading<</S<</ShadingType 2/Function<</FunctionType 2/C0[1 0 0]/C1[0 0 1]/N 1>>>>>>>>"
+        nested = b"q 0 0 %d 100 re W n q 50 50 200 200 re W n 0.2 0.4 0.6 rg 0 0 400 400 re f Q Q " % (100 + key % 20)
+        # an even-odd ring inside two clips, filled by a shading
+        ring = b"q 0 0 300 300 re W n q 0 0 200 200 re W n q 10 10 30 %d re 20 20 10 10 re W* n /S sh Q Q Q" % (20 + key % 10)
+        w.pages([write.stream(nested + ring)])
+        return w.table()
+
+    files = write.printed(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_suppkey").alias("k")), make)
+    pages = pdf.pages_of(files)
+    paths = pages.select("doc_id", F.posexplode("paths").alias("seq", "p")).select("doc_id", "seq", (F.size(F.coalesce("p.clips", F.array()))).alias("n"))
+    # a shading's ring is two polygons; what shows of it is their difference
+    fills = pages.select("doc_id", F.posexplode("fills").alias("k", "f")).groupBy("doc_id", F.least("k", F.lit(1)).alias("seq")).agg(
+        F.first("f.color").alias("color"), F.sum(F.when(F.col("k") < 2, F.col("f.visible")).otherwise(-F.col("f.visible"))).alias("visible")
+    )
+    met = fills.join(paths, ["doc_id", "seq"])
+    return met.select("doc_id", F.col("seq").cast("int").alias("seq"), "color", F.round("visible", 6).alias("visible"), F.col("n").alias("clips"))
+
+
+@_query("""SELECT c_custkey::VARCHAR AS doc_id, c_name || CASE c_custkey % 4 WHEN 0 THEN chr(65533) WHEN 1 THEN chr(128512) WHEN 2 THEN chr(65533) ELSE '' END AS text FROM customer""")
+def pdf_odd_codes(spark, sf_dir):
+    """Composite fonts without a map of their own: codes that are half a surrogate pair, and pairs under a UTF-16 encoding."""
+
+    def make(key: int, name: str) -> bytes:
+        w = write.Writer()
+        below = w.add(b"<</Type/Font/Subtype/CIDFontType2/BaseFont/B/DW 500>>")
+        tail = (b"D83D", b"D83DDE00", b"D800", b"")[key % 4]
+        encoding = b"/UniJIS-UTF16-H" if key % 4 == 1 else b"/Identity-H"
+        font = w.font(b"/Subtype/Type0/BaseFont/B/Encoding%s/DescendantFonts[%d 0 R]" % (encoding, below))
+        text = b"<" + b"".join(b"%04X" % ord(c) for c in name) + tail + b">"
+        w.pages([write.stream(write.show(40, 700, 10, text))], [b"/Resources<</Font<</F1 %d 0 R>>>>" % font])
+        return w.table()
+
+    files = write.printed(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_custkey").alias("k"), "c_name"), make)
+    return pdf.pages_of(files).select("doc_id", F.get("spans", F.lit(0))["text"].alias("text"))
+
+
+@_query("""SELECT s_suppkey::VARCHAR AS doc_id, 'along' AS text, CASE s_suppkey % 3 WHEN 0 THEN 'https://example.org/' || s_suppkey WHEN 1 THEN 'https://example.org/' || s_suppkey END AS href FROM supplier
+UNION ALL SELECT s_suppkey::VARCHAR, 'beside', CASE WHEN s_suppkey % 3 = 1 THEN 'https://example.org/' || s_suppkey END FROM supplier""")
+def pdf_turned_links(spark, sf_dir):
+    """Link regions: a turned quadrilateral takes only the text inside it, its rectangle the text beside it too; scripts are no links."""
+
+    def make(key: int) -> bytes:
+        w = write.Writer()
+        w.shared += b"/Resources<</Font<</F1 %d 0 R>>>>" % w.font()
+        body = b"BT /F1 10 Tf 0.7071 0.7071 -0.7071 0.7071 110 105 Tm (along) Tj ET " + write.show(150, 105, 10, b"(beside)")
+        where = b"/Rect[90 90 220 220]" + (b"" if key % 3 == 1 else b"/QuadPoints[100 90 210 200 90 105 200 215]")
+        to = b"javascript:x" if key % 3 == 2 else b"https://example.org/%d" % key
+        w.pages([write.stream(body)], [b"/Annots[<</Subtype/Link/A<</S/URI/URI(%s)>>%s>>]" % (to, where)])
+        return w.table()
+
+    files = write.printed(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_suppkey").alias("k")), make)
+    return pdf.pages_of(files).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.text", "s.href")
+
+
+@_query("""SELECT p_partkey::VARCHAR AS doc_id, upper(p_brand) AS text, (SELECT sum(CASE WHEN c BETWEEN 'A' AND 'M' THEN 2.0 WHEN c BETWEEN 'N' AND 'Z' THEN 7.0 ELSE 5.0 END)
+FROM (SELECT unnest(string_split(upper(p_brand), '')) AS c))::DOUBLE AS width FROM part""")
+def pdf_cid_maps(spark, sf_dir):
+    """An encoding CMap whose ranges overlap (the last counts) joined with ToUnicode by code: text by one, widths by the other."""
+
+    def make(text: str) -> bytes:
+        w = write.Writer()
+        n = len(text)
+        # codes 1, 2, ... in the order of the text; a range over all of them, then one entry a code
+        cid = lambda c: 10 if "A" <= c <= "M" else 20 if "N" <= c <= "Z" else 30
+        entries = b" ".join(b"<%04X> %d" % (k + 1, cid(c)) for k, c in enumerate(text))
+        enc = w.add(write.flate(b"1 begincidrange <0000> <FFFF> 0 endcidrange %d begincidchar %s endcidchar" % (n, entries)))
+        chars = b" ".join(b"<%04X> <%04X>" % (k + 1, ord(c)) for k, c in enumerate(text))
+        to = w.add(write.flate(b"1 begincodespacerange <0000> <FFFF> endcodespacerange %d beginbfchar %s endbfchar" % (n, chars)))
+        below = w.add(b"<</Type/Font/Subtype/CIDFontType2/BaseFont/B/DW 1000/W[10[200] 20[700] 30[500]]>>")
+        font = w.font(b"/Subtype/Type0/BaseFont/B/Encoding %d 0 R/ToUnicode %d 0 R/DescendantFonts[%d 0 R]" % (enc, to, below))
+        shown = b"<" + b"".join(b"%04X" % (k + 1) for k in range(n)) + b">"
+        w.pages([write.stream(write.show(40, 700, 10, shown))], [b"/Resources<</Font<</F1 %d 0 R>>>>" % font])
+        return w.table()
+
+    files = write.printed(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.upper("p_brand").alias("text")), make)
+    pages = pdf.pages_of(files).select("doc_id", F.get("spans", F.lit(0)).alias("s"))
+    return pages.select("doc_id", "s.text", F.round("s.bounds.width", 6).alias("width"))
