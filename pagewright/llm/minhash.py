@@ -228,6 +228,10 @@ def near_duplicates(
     )
 
 
+#: How many pairs two components get by round; 0: all that bitmaps leave, after which nothing is open.
+ROUNDS = (1, 8, 64, 0)
+
+
 def _decided(members: DataFrame, sets: DataFrame, roots: DataFrame, shelf: Shelf, percent: int) -> DataFrame:
     """``roots`` after every pair of a bucket of ``members`` (bucket, node, n: the bucket's size) is in one component or known not to be similar."""
     key = ["bucket", "bi", "bj"]
@@ -241,8 +245,8 @@ def _decided(members: DataFrame, sets: DataFrame, roots: DataFrame, shelf: Shelf
     if blocks.isEmpty():
         return roots
     maps = shelf.put(parity.bitmaps(sets.join(blocks.select("node").distinct(), "node", "left_semi")), "bitmaps")
-    rejected, tries = None, 1
-    while True:
+    rejected = None
+    for tries in ROUNDS:
         asked = shelf.put(parity.forests(placed(blocks), maps, rejected, percent, tries), "asked")
         pairs = asked.select("node", "hub").distinct()
         links = shelf.put(_confirmed(pairs, sets, percent), "links")
@@ -255,7 +259,7 @@ def _decided(members: DataFrame, sets: DataFrame, roots: DataFrame, shelf: Shelf
         # only blocks where a pair failed are asked again
         blocks = blocks.join(more.select(*key).distinct(), key, "left_semi")
         rejected = rejected.join(more.select(*key).distinct(), key, "left_semi")
-        tries *= 4
+    return roots
 
 
 def _repeated_ids(drawn: DataFrame) -> bool:

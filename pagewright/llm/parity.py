@@ -8,8 +8,8 @@ certain. Texts of one template share most of their elements, and only what they
 
 A task compares bitmaps of up to ``BLOCK`` nodes of a bucket with as many others; larger buckets are cut into blocks,
 and tasks take pairs of blocks. What leaves is a forest: of the pairs that may be similar, the closest
-ones that join components not joined yet. If all of these prove similar on full sets, the bucket is done;
-if some do not, their buckets are asked again without them, each time with more pairs for each two components.
+ones that join components not joined yet. If all of these prove similar on full sets, the bucket is done; if
+some do not, their buckets are asked again without them, for more pairs of each two components, and at last for all.
 """
 
 from __future__ import annotations
@@ -65,46 +65,53 @@ class Group:
     def __init__(self, node: np.ndarray, root: np.ndarray, n: np.ndarray, bits: list[bytes], side: np.ndarray, percent: int):
         order = np.lexsort((node, n))  # by size, so that those near in size stand together
         self.node, self.root, self.n, self.side, self.percent = node[order], root[order], n[order], side[order], percent
-        raw = [np.frombuffer(bits[k], "<u8") for k in order.tolist()]
-        self.words = np.array([len(r) for r in raw])
-        self.bits = raw
-        self.first = np.stack([folded(r[None], FIRST // 64)[0] for r in raw])
+        self.raw = [np.frombuffer(bits[k], "<u8") for k in order.tolist()]
+        self.words = np.array([len(r) for r in self.raw])
+        self.folds: dict[int, np.ndarray] = {}
+
+    def fold(self, words: int) -> np.ndarray:
+        """The bitmaps of ``words`` by node; zeros where a node has fewer."""
+        if words not in self.folds:
+            held = np.zeros((len(self.raw), words), np.uint64)
+            for k in np.flatnonzero(self.words >= words).tolist():
+                held[k] = folded(self.raw[k][None], words)[0]
+            self.folds[words] = held
+        return self.folds[words]
 
     def _most(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The greatest difference of two similar sets of these sizes."""
         return (self.n[a] + self.n[b]) * (100 - self.percent) // (100 + self.percent)
 
-    def _pairs(self, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(a, b, ones) of the pairs that the bitmaps leave, by some rows of the first at a time."""
-        across = self.side.min() != self.side.max()
-        for at in range(0, len(self.node), rows):
-            q = np.arange(at, min(at + rows, len(self.node)))
-            # sizes rise: only up to where the greater size still fits the least of these
-            end = np.searchsorted(self.n * self.percent, self.n[q[-1]] * 100, side="right")
-            other = np.arange(at + 1, max(at + 1, end))
-            if not len(other):
-                continue
-            ones = np.bitwise_count(self.first[q][:, None] ^ self.first[other][None]).sum(axis=2, dtype=np.int64)
-            fits = (ones <= self._most(q[:, None], other[None])) & (other[None] > q[:, None]) & (self.n[other][None] * self.percent <= self.n[q][:, None] * 100)
-            if across:
-                fits &= self.side[q][:, None] != self.side[other][None]
-            i, j = np.nonzero(fits)
-            a, b = q[i], other[j]
-            ones = ones[i, j]
-            full = np.minimum(self.words[a], self.words[b])
-            for words in np.unique(full[full > FIRST // 64]).tolist():
-                some = np.flatnonzero(full == words)
-                for k in range(0, len(some), 4096):
-                    s = some[k : k + 4096]
-                    x, y = (np.concatenate([folded(self.bits[v][None], words) for v in side]) for side in (a[s].tolist(), b[s].tolist()))
-                    ones[s] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            left = ones <= self._most(a, b)
-            yield a[left], b[left], ones[left]
+    def _left(self, q: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, ones) of pairs of ``q`` with later nodes of other trees that the bitmaps leave."""
+        # sizes rise: only up to where the greater size still fits the least of these
+        end = int(np.searchsorted(self.n * self.percent, self.n[q[-1]] * 100, side="right"))
+        other = np.arange(q[0] + 1, max(q[0] + 1, end))
+        fits = (other[None] > q[:, None]) & (tree[q][:, None] != tree[other][None]) & (self.n[other][None] * self.percent <= self.n[q][:, None] * 100)
+        if self.side.min() != self.side.max():
+            fits &= self.side[q][:, None] != self.side[other][None]
+        some = np.flatnonzero(fits.any(axis=0))  # columns that are asked at all
+        if not len(some):
+            return (np.zeros(0, np.int64),) * 3
+        first = self.fold(FIRST // 64)
+        ones = np.bitwise_count(first[q][:, None] ^ first[other[some]][None]).sum(axis=2, dtype=np.int64)
+        i, j = np.nonzero(fits[:, some] & (ones <= self._most(q[:, None], other[some][None])))
+        a, b, ones = q[i], other[some[j]], ones[i, j]
+        full = np.minimum(self.words[a], self.words[b])
+        for words in np.unique(full[full > FIRST // 64]).tolist():
+            pairs, bits = np.flatnonzero(full == words), self.fold(words)
+            for k in range(0, len(pairs), 4096):
+                s = pairs[k : k + 4096]
+                ones[s] = np.bitwise_count(bits[a[s]] ^ bits[b[s]]).sum(axis=1, dtype=np.int64)
+        left = ones <= self._most(a, b)
+        return a[left], b[left], ones[left]
 
     def forest(self, rejected: set[tuple[int, int]], tries: int, rows: int = 32) -> list[tuple[int, int]]:
-        """Pairs of nodes that join components along what may be similar: the ``tries`` closest of two components."""
+        """Pairs of nodes that may be similar, closest first, until two components have ``tries`` of them: then they count as
+        one. 0: all such pairs."""
         _, tree = np.unique(self.root, return_inverse=True)
         up = np.arange(tree.max() + 1)
+        asked: dict[tuple[int, int], int] = {}
         out = []
 
         def top(t: int) -> int:
@@ -112,30 +119,22 @@ class Group:
                 up[t] = t = up[up[t]]
             return t
 
-        for a, b, ones in self._pairs(rows):
-            one, two = up[tree[a]], up[tree[b]]
-            keep = one != two
-            a, b, ones, one, two = a[keep], b[keep], ones[keep], one[keep], two[keep]
-            left = {}
+        for at in range(0, len(self.node), rows):
+            while (up[up] != up).any():
+                up = up[up]
+            a, b, ones = self._left(np.arange(at, min(at + rows, len(self.node))), up[tree])
             for k in np.argsort(ones, kind="stable").tolist():
-                s, t = top(int(one[k])), top(int(two[k]))
-                if s == t:
-                    continue
+                s, t = top(int(tree[a[k]])), top(int(tree[b[k]]))
                 x, y = int(self.node[a[k]]), int(self.node[b[k]])
-                x, y = min(x, y), max(x, y)
-                if (x, y) in rejected:
+                pair = (min(x, y), max(x, y))
+                if s == t or pair in rejected:
                     continue
-                key = (min(s, t), max(s, t))
-                left[key] = left.get(key, 0) + 1
-                out.append((x, y))
-                if left[key] >= tries:
-                    up[max(s, t)] = min(s, t)
-            for s, t in left:
-                s, t = top(s), top(t)
-                if s != t:
-                    up[max(s, t)] = min(s, t)
-            while (up[up] != up).any():
-                up = up[up]
+                out.append(pair)
+                if tries:
+                    key = (min(s, t), max(s, t))
+                    asked[key] = asked.get(key, 0) + 1
+                    if asked[key] >= tries:
+                        up[key[1]] = key[0]
         return out
 
 
@@ -194,5 +193,7 @@ def forests(blocks: DataFrame, maps: DataFrame, rejected: DataFrame | None, perc
             yield from told(held)
 
     small_batches(blocks.sparkSession)
-    ordered = rows.repartition(*key).sortWithinPartitions(*key, "kind", "node")
+    # as many tasks as the session's shuffles have: comparing costs more than the few bytes let the optimiser expect
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, *key).sortWithinPartitions(*key, "kind", "node")
     return ordered.mapInArrow(tidy(run), "bucket bigint, bi int, bj int, node bigint, hub bigint")
