@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators import page
-from .plans import write
+from .plans import layout, write
 from .queries import SQL, _accounts, _ledger_sums, _ledgers, _query, _t
 from .sources import datasource, pdf
 from .streaming import flow, run
@@ -177,3 +177,42 @@ def pdf_cid_maps(spark, sf_dir):
     files = write.printed(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.upper("p_brand").alias("text")), make)
     pages = pdf.pages_of(files).select("doc_id", F.get("spans", F.lit(0)).alias("s"))
     return pages.select("doc_id", "s.text", F.round("s.bounds.width", 6).alias("width"))
+
+
+# ------------------------------------------------------------------ pages as they are read
+@_query("""SELECT p_partkey::VARCHAR AS doc_id, CASE p_size % 2 WHEN 0 THEN 'שלום עולם ' || p_size ELSE 'name ' || p_name END AS text,
+'paragraph' AS block_type FROM part UNION ALL SELECT p_partkey::VARCHAR, 'שורה שנייה', 'paragraph' FROM part""")
+def blocks_right_to_left(spark, sf_dir):
+    """Paragraphs whose letters are painted from the left in visual order: text of blocks in reading order."""
+    even = F.col("p_size") % 2 == 0
+    shown = F.when(even, F.concat(F.reverse(F.col("p_size").cast("string")), F.lit(" םלוע םולש"))).otherwise(F.concat(F.lit("name "), F.col("p_name")))
+    spans = F.array(layout.span(F.lit(0), shown, F.lit(40.0), F.lit(700.0)), layout.span(F.lit(1), F.lit("היינש הרוש"), F.lit(40.0), F.lit(500.0)))
+    return page.blocks(_t(spark, sf_dir, "part").select(*layout.page_of(F.col("p_partkey"), F.lit(1), spans))).select("doc_id", "text", "block_type")
+
+
+@_query("""SELECT s_suppkey::VARCHAR AS doc_id, s_name AS title, 'Key=' || s_suppkey || ' Nation=' || s_nationkey AS items, CASE WHEN s_suppkey % 4 IN (1, 3) THEN 792.0 ELSE 612.0 END AS width FROM supplier""")
+def blocks_of_turned_pages(spark, sf_dir):
+    """Pages with a rotation, their text turned the other way so that it reads upright when shown: rows, a heading and a table as on an upright page."""
+
+    def make(key: int, name: str, nation: int) -> bytes:
+        turn = 90 * (key % 4)
+        wide, high = (792, 612) if turn in (90, 270) else (612, 792)  # as shown
+        back = {0: lambda x, y: (x, y), 90: lambda x, y: (612 - y, x), 180: lambda x, y: (612 - x, 792 - y), 270: lambda x, y: (y, 792 - x)}[turn]
+        matrix = {0: b"1 0 0 1", 90: b"0 1 -1 0", 180: b"-1 0 0 -1", 270: b"0 -1 1 0"}[turn]
+        w = write.Writer()
+        font = w.font(b"/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding")
+        w.shared += b"/Rotate %d/Resources<</Font<</F1 %d 0 R>>>>" % (turn, font)
+        out = []
+        for x, y, size, text in [(40, high - 60, 20, name), *[(40 + 160 * c, high - 120 - 15 * r, 10, t) for r, row in enumerate((("Key", "Nation"), (str(key), str(nation)))) for c, t in enumerate(row)]]:
+            px, py = back(x, y)
+            out.append(b"BT /F1 %d Tf %s %g %g Tm %s Tj ET" % (size, matrix, px, py, write.literal(text)))
+        w.pages([write.stream(b" ".join(out))])
+        return w.table()
+
+    files = write.printed(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), "s_suppkey", "s_name", "s_nationkey"), make)
+    pages = pdf.pages_of(files)
+    blocks = page.blocks(pages)
+    title = F.max(F.when(F.col("block_type") == "heading", F.col("text")))
+    cell = lambda r, c: F.get(F.get(F.col("table.rows"), F.lit(r))["cells"], F.lit(c))
+    items = F.max(F.when(F.col("block_type") == "table", F.concat(cell(0, 0), F.lit("="), cell(1, 0), F.lit(" "), cell(0, 1), F.lit("="), cell(1, 1))))
+    return blocks.groupBy("doc_id").agg(title.alias("title"), items.alias("items"), F.max("width").alias("width"))

@@ -20,6 +20,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.scripts import RIGHT_TO_LEFT, in_script_order
 from ..schema import PAGES
 from .containers import Container, Damaged, TooLarge
 from .content import Interpreter, attach_links, links_of
@@ -607,6 +608,8 @@ def extract(source, limits: Limits | None = None, first: int = 0, last: int | No
         page.run(b"\n".join(body), doc.resolve(node.get("Resources")) or {}, (1.0, 0.0, 0.0, 1.0, -box[0], -box[1]))
         if links := links_of(doc, node, box):
             attach_links(page.spans, links)
+        if any(RIGHT_TO_LEFT.search(s["text"]) for s in page.spans):
+            page.spans = [s | {"seq": k} for k, s in enumerate(in_script_order(page.spans))]
         rotate = int(doc.resolve(node.get("Rotate")) or 0) % 360
         yield {
             "page": number, "width": box[2] - box[0], "height": box[3] - box[1], "rotate": rotate if rotate % 90 == 0 else 0,
