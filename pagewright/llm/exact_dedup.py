@@ -15,7 +15,9 @@ Only DataFrame functions. Three steps:
    copies, so none is one task's.
 
 Null texts count as empty; repeated rows and ties follow "most code points, then smallest
-doc_id" (a null doc_id is last). Other columns are not read.
+doc_id" (a null doc_id is last, after every number). Of rows that share the doc_id that stays in a
+group, null ids too, all are ``kept``; so a repeated id stays once in each group whose row of that id is
+best. Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -79,8 +81,9 @@ def exact_duplicates(docs: DataFrame, *, bucket_rows: int = 1_000_000, max_depth
     shelf = Shelf(spark, "exact")
     # "most code points, then smallest id" as one number: points * 2**64 - doc_id
     high = F.expr("cast(points as decimal(15,0)) * cast('18446744073709551616' as decimal(20,0))")
-    unknown = F.lit((1 << 63) - 1)
-    rank = high - F.coalesce(F.col("doc_id"), unknown).cast("decimal(19,0)")
+    unknown = F.expr("cast('9223372036854775808' as decimal(20,0))")  # over every id
+    rank = high - F.coalesce(F.col("doc_id").cast("decimal(20,0)"), unknown)
+    stays = high - F.col("best")
     chained = (
         _entries(docs)
         .groupBy("key", "norm")
@@ -92,7 +95,7 @@ def exact_duplicates(docs: DataFrame, *, bucket_rows: int = 1_000_000, max_depth
         .select(
             "key",
             F.sha2("norm", 256).alias("text_sha256"),
-            (high - F.col("best")).cast("long").alias("keep_id"),
+            F.when(stays < unknown, stays.cast("long")).alias("keep_id"),
             "group_size",
         )
     )
@@ -115,7 +118,7 @@ def exact_duplicates(docs: DataFrame, *, bucket_rows: int = 1_000_000, max_depth
         F.xxhash64(normalised(F.col("text"))).alias("key"),
     )
     asked = asked.withColumn("cell", cell).join(owned.select("cell", "bucket"), "cell")
-    keep = F.when(F.col("keep_id") == unknown, F.lit(None)).otherwise(F.col("keep_id"))
+    keep = F.col("keep_id")
     return asked.join(index, ["bucket", "key", "text_sha256"]).select(
         "doc_id",
         keep.cast("long").alias("keep_id"),

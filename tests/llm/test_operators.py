@@ -777,3 +777,12 @@ def test_decontamination_of_empty_tables(spark, empty, docs):
     long = spark.createDataFrame([(1, "q " * 400_000 + "a b c"), (None, "x" * 1_500_000), (2, None), (2, "a b c"), (2, "a b c")], "doc_id bigint, text string")
     got = sorted(((r.doc_id or 0, r.n_words, r.item_ids) for r in decontaminate.find_hits(long, bench).collect()), key=str)
     assert got == [(0, 1, []), (1, 400_003, [1]), (2, 0, []), (2, 3, [1]), (2, 3, [1])]
+
+
+def test_exact_of_the_greatest_id_and_of_none(spark):
+    most = (1 << 63) - 1
+    rows = [(most, "a b"), (None, "ab"), (most, "c"), (None, "d"), (None, "d "), (-(1 << 63), "e"), (most, "e"), (7, "f"), (7, "f"), (8, " f")]
+    got = exact_dedup.exact_duplicates(frame(spark, rows)).select("doc_id", "keep_id", "group_size", "kept").collect()
+    want = [(most, most, 2, True), (None, most, 2, False), (most, most, 1, True), (None, None, 2, True), (None, None, 2, True), (-(1 << 63), -(1 << 63), 2, True),
+            (most, -(1 << 63), 2, False), (7, 8, 3, False), (7, 8, 3, False), (8, 8, 3, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
