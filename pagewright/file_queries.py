@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import page
+from .operators import document, page, verify
 from .plans import layout, write
 from .queries import SQL, _accounts, _ledger_sums, _ledgers, _query, _t
 from .sources import datasource, pdf
@@ -216,3 +216,24 @@ def blocks_of_turned_pages(spark, sf_dir):
     cell = lambda r, c: F.get(F.get(F.col("table.rows"), F.lit(r))["cells"], F.lit(c))
     items = F.max(F.when(F.col("block_type") == "table", F.concat(cell(0, 0), F.lit("="), cell(1, 0), F.lit(" "), cell(0, 1), F.lit("="), cell(1, 1))))
     return blocks.groupBy("doc_id").agg(title.alias("title"), items.alias("items"), F.max("width").alias("width"))
+
+
+@_query("""SELECT count(DISTINCT (l_suppkey, p))::BIGINT AS pages_processed, 0::BIGINT AS suppressed_furniture, sum(CASE WHEN p > 0 AND k = 0 THEN 1 ELSE 0 END)::BIGINT AS merged_tables,
+count(DISTINCT l_suppkey)::BIGINT AS runs, (SELECT max(n) FROM (SELECT ceil(count(*) / 40.0)::BIGINT AS n FROM lineitem GROUP BY l_suppkey)) AS most_parts
+FROM (SELECT l_suppkey, (row_number() OVER w - 1) // 40 AS p, (row_number() OVER w - 1) % 40 AS k FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber))""")
+def observed_documents(spark, sf_dir):
+    """Counts of an assembly, observed while its chunks are written; no row is read again for them."""
+    seen = document.Observed()
+    runs = document.assemble(page.blocks(_ledgers(spark, sf_dir)), observed=seen)
+    document.html(runs).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get().values())], "pages_processed bigint, suppressed_furniture bigint, merged_tables bigint, runs bigint, most_parts bigint")
+
+
+@_query("""SELECT doc_id::VARCHAR AS doc_id, n AS expected, n AS actual, n AS common, 1.0::DOUBLE AS kept FROM (
+SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+'))::INT AS n FROM documents)""")
+def reading_order_kept(spark, sf_dir):
+    """The words of a document and of the same text with marks put between them: all in the same order."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), 0)
+    marked = F.regexp_replace("text", r"([^\p{L}\p{N}]+)", " — $1")
+    return verify.order_kept(d.select("doc_id", words("text").alias("w")), d.select("doc_id", words(marked).alias("w")), "doc_id", "w")

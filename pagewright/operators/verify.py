@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,19 +45,41 @@ def multiset_difference(expected: DataFrame, actual: DataFrame, keys: list[str],
     return net.groupBy(*keys).agg(F.sum(F.greatest("n", F.lit(0))).alias("missing"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("added"))
 
 
+def _common_length(one: list, two: list) -> int:
+    """Length of the longest common subsequence, a row of the usual table at a time as one whole number.
+
+    Bit i of the row is 0 where the table grows at place i of ``two``; a sum's carries move the growths, so a value
+    costs a few operations on len(two) bits."""
+    places: dict = {}
+    for i, v in enumerate(two):
+        places[v] = places.get(v, 0) | 1 << i
+    full = (1 << len(two)) - 1
+    row = full
+    for v in one:
+        met = row & places.get(v, 0)
+        row = (row + met | row - met) & full
+    return len(two) - row.bit_count()
+
+
 def longest_common(expected: Column, actual: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, by a row of lengths a value."""
-    start = F.transform(F.concat(F.array(F.lit("")), actual), lambda _: F.lit(0))
+    """Length of the longest common subsequence of two arrays; null if one of them is."""
+
+    @F.pandas_udf("int")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else _common_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    return common(expected, actual)
 
-    def line(row: Column, x: Column) -> Column:
-        def cell(now: Column, i: Column) -> Column:
-            met = F.when(F.element_at(actual, i) == x, F.element_at(row, i) + 1).otherwise(F.greatest(F.element_at(row, i + 1), F.element_at(now, -1)))
-            return F.concat(now, F.array(met))
 
-        places = F.filter(F.sequence(F.lit(0), F.size(actual)), lambda i: i > 0)
-        return F.aggregate(places, F.array(F.lit(0)), cell)
+def order_kept(expected: DataFrame, actual: DataFrame, key: str, tokens: str) -> DataFrame:
+    """``key``, expected, actual (how many tokens), common and kept: the share of the expected tokens that stand in the same order.
 
-    return F.element_at(F.aggregate(expected, start, line), -1)
+    A side that is missing has no tokens; of none expected all are kept."""
+    one, two = expected.select(key, F.col(tokens).alias("one")), actual.select(key, F.col(tokens).alias("two"))
+    none = F.array().cast(expected.schema[tokens].dataType)
+    met = one.join(two, key, "full").select(key, F.coalesce("one", none).alias("one"), F.coalesce("two", none).alias("two"))
+    told = met.select(key, F.size("one").alias("expected"), F.size("two").alias("actual"), longest_common(F.col("one"), F.col("two")).alias("common"))
+    return told.withColumn("kept", F.when(F.col("expected") == 0, 1.0).otherwise(F.col("common") / F.col("expected")))
 
 
 def check(check_id: str, kind: str, values: Column, verified: bool) -> Column:
