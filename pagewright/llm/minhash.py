@@ -257,8 +257,8 @@ def _decided(members: DataFrame, sets: DataFrame, roots: DataFrame, shelf: Shelf
             return roots
         rejected = more if rejected is None else rejected.union(more)
         # only blocks where a pair failed are asked again
-        blocks = blocks.join(more.select(*key).distinct(), key, "left_semi")
-        rejected = rejected.join(more.select(*key).distinct(), key, "left_semi")
+        blocks = shelf.put(blocks.join(more.select(*key).distinct(), key, "left_semi"), "blocks")
+        rejected = shelf.put(rejected.join(more.select(*key).distinct(), key, "left_semi"), "rejected")
     return roots
 
 
