@@ -20,3 +20,7 @@ PAGES = (
     f"doc_id string, page int, width double, height double, rotate int, spans array<{SPAN}>, "
     f"fills array<{FILL}>, paths array<{PATH}>, images array<{IMAGE}>, error {ERROR}"
 )
+FONTS = (
+    "doc_id string, page int, font_name string, font_id string, family string, format string, data binary, "
+    f"glyphs array<struct<code: int, advance: double, own_colour: boolean, fills: array<{FILL}>, paths: array<{PATH}>>>, error {ERROR}"
+)

@@ -9,6 +9,8 @@ from .geometry import common_area, convex, flattened, inside_convex
 
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 TAIL = 64
+# fixed values: short keys of inline images
+INLINE = {"W": "Width", "H": "Height", "IM": "ImageMask", "F": "Filter", "DP": "DecodeParms", "D": "Decode", "BPC": "BitsPerComponent", "CS": "ColorSpace", "I": "Interpolate"}
 
 
 def times(a, b):
@@ -99,10 +101,10 @@ class State(dict):
 
 class Interpreter:
     """Runs content streams of one page. Forms are run in place; one inside itself, or beyond
-    ``form_depth``, is left out, as its reader would."""
+    ``form_depth``, is left out, as its reader would. With ``masks``, inline masks are fills: a box a run."""
 
-    def __init__(self, doc, box: tuple[float, float, float, float], form_depth: int = 32):
-        self.doc, self.box, self.form_depth = doc, box, form_depth
+    def __init__(self, doc, box: tuple[float, float, float, float], form_depth: int = 32, masks: bool = False):
+        self.doc, self.box, self.form_depth, self.masks = doc, box, form_depth, masks
         self.spans: list[dict] = []
         self.fills: list[dict] = []
         self.paths: list[dict] = []
@@ -182,7 +184,9 @@ class Interpreter:
                 elif op == "gs":
                     self.ext(g, doc.resolve(states.get(a[-1])) or {})
                 elif op == "BI":
-                    lex.at = self.inline_end(data, lex.at)
+                    begun, lex.at = lex.at, self.inline_end(data, lex.at)
+                    if self.masks:
+                        self.mask(data[begun : lex.at], g)
                 elif op == "Do":
                     self.do(a[-1], objects, resources, g, depth, inside)
                 elif op == "sh":
@@ -240,6 +244,34 @@ class Interpreter:
         m = re.compile(rb"\sEI(?=[\s]|$)").search(data, max(at, data.find(b"ID", at)))
         return m.end() if m else len(data)
 
+    def mask(self, data: bytes, g: State) -> None:
+        """An inline image mask as boxes: those of each row's painted pixels that stand together."""
+        import numpy as np
+
+        from .pdf import Lexer, Operator, Stream
+
+        lex, head = Lexer(data, refs=False), {}
+        while not isinstance(key := lex.value(), Operator):
+            head[INLINE.get(str(key), str(key))] = lex.value()
+        if not head.get("ImageMask") or key != "ID":
+            return
+        width, height = int(head["Width"]), int(head["Height"])
+        filters, parms = head.get("Filter"), head.get("DecodeParms") or {}
+        last = (filters[-1] if isinstance(filters, list) else filters) if filters else None
+        if last in ("CCF", "CCITTFaxDecode"):
+            own = parms[-1] if isinstance(parms, list) else parms
+            own = {"Columns": width, "Rows": height} | (own if isinstance(own, dict) else {})
+            head["DecodeParms"] = [*parms[:-1], own] if isinstance(parms, list) else own
+        raw = self.doc.decoded(Stream(head, data[lex.at + 1 : len(data) - 3]))
+        step = -(-width // 8)
+        bits = np.unpackbits(np.frombuffer(raw[: step * height].ljust(step * height, b"\xff"), np.uint8).reshape(height, step), axis=1)[:, :width]
+        painted = bits == (1 if (head.get("Decode") or [0])[0] == 1 else 0)
+        turns = np.diff(np.pad(painted, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        for (r, a), (_, b) in zip(np.argwhere(turns > 0).tolist(), np.argwhere(turns < 0).tolist(), strict=True):
+            top, low = 1 - r / height, 1 - (r + 1) / height
+            corners = [point(g.ctm, x, y) for x, y in ((a / width, low), (b / width, low), (b / width, top), (a / width, top))]
+            self.fills.append({"points": [{"x": x, "y": y} for x, y in corners], "color": g.fill, "opacity": g.ca, "visible": None})
+
     def ext(self, g: State, e: dict) -> None:
         for key, to in (("LW", "width"), ("LC", "cap"), ("LJ", "join"), ("ca", "ca"), ("CA", "CA")):
             if isinstance(v := self.doc.resolve(e.get(key)), (int, float)):

@@ -379,6 +379,9 @@ class Font:
         else:
             first = get("FirstChar") or 0
             self.widths = {first + k: w for k, w in enumerate(map(doc.resolve, get("Widths") or [])) if isinstance(w, (int, float))}
+            matrix = get("FontMatrix")
+            if get("Subtype") == "Type3" and isinstance(matrix, list) and matrix:  # widths are in glyph space
+                self.widths = {k: 1000 * abs(w * float(doc.resolve(matrix[0]))) for k, w in self.widths.items()}
             name = encoding if isinstance(encoding, str) else get("BaseEncoding", encoding) if isinstance(encoding, dict) else None
             self.codes = base_encoding(name)
             self.names: dict[int, str] = {}

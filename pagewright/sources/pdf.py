@@ -19,11 +19,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.scripts import RIGHT_TO_LEFT, in_script_order
-from ..schema import PAGES
+from ..schema import FONTS, PAGES
+from .ccitt import group4
 from .containers import Container, Damaged, TooLarge
 from .content import Interpreter, attach_links, links_of
+from .fontassets import asset_of
 
 MAX_NESTING = 128
 
@@ -538,6 +541,8 @@ class Document:
                 data = unpredict(inflate(data, most), p)
             elif name in ("LZWDecode", "LZW"):
                 data = unpredict(lzw(data, p.get("EarlyChange", 1), most), p)
+            elif name in ("CCITTFaxDecode", "CCF") and p.get("K", 0) < 0:
+                data = group4(data, p.get("Columns", 1728), p.get("Rows") or None, bool(p.get("BlackIs1")))
             elif name in ("ASCIIHexDecode", "AHx"):
                 digits = re.sub(rb"\s", b"", data.split(b">")[0])
                 data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
@@ -689,3 +694,56 @@ def pages_of(files: DataFrame, mode: str = "PERMISSIVE", pages: tuple[int, int]
 def read_pages(spark: SparkSession, path: str, mode: str = "PERMISSIVE", pages: tuple[int, int] | None = None, **limits: int) -> DataFrame:
     """Pages of the PDF files at a path or glob of any file system that Spark reads."""
     return pages_of(spark.read.format("binaryFile").load(path).selectExpr("path as doc_id", "content"), mode, pages, **limits)
+
+
+# ---------------------------------------------------------------- fonts
+def fonts_in(name: str, source, limits: Limits | None = None) -> Iterator[dict]:
+    """A row for each font that a file's pages name: once by its object and name, from the first page that has it."""
+    doc, seen = Document(source, limits), set()
+    for number, node in enumerate(doc.pages(), 1):
+        fonts = doc.resolve((doc.resolve(node.get("Resources")) or {}).get("Font")) or {}
+        for key, ref in fonts.items():
+            mark = (key, ref if isinstance(ref, Ref) else id(ref))
+            head = doc.resolve(ref)
+            if mark in seen or not isinstance(head, dict):
+                continue
+            seen.add(mark)
+            yield {"doc_id": name, "page": number, "font_name": key, "error": None} | asset_of(head, doc)
+
+
+def fonts_of(files: DataFrame, mode: str = "PERMISSIVE", **limits: int) -> DataFrame:
+    """The fonts of (doc_id, content) rows; a broken file is a row with its error, by ``mode``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema, bounds = to_arrow_schema(StructType.fromDDL(FONTS)), Limits(**limits)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows = list(fonts_in(name, content or b"", bounds))
+                except Exception as e:  # noqa: BLE001  damaged input shows in many ways
+                    if mode == "FAILFAST":
+                        raise
+                    rows = [{"doc_id": name, "error": error_of(e)}] if mode == "PERMISSIVE" else []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.select("doc_id", "content").mapInArrow(run, FONTS)
+
+
+def font_assets(fonts: DataFrame) -> DataFrame:
+    """One row a distinct program over all files, by its content: where it is first seen, its format, bytes and glyphs."""
+    held = fonts.where("font_id is not null")
+    first = F.struct("doc_id", "page", "font_name")
+    return held.groupBy("font_id").agg(*[F.min_by(c, first).alias(c) for c in ("doc_id", "page", "family", "format", "data", "glyphs")])
+
+
+def spans_with_fonts(spans: DataFrame, fonts: DataFrame) -> DataFrame:
+    """``spans`` (doc_id, page, font_name, ...) with font_id: of the fonts that the file has by that name, the one of the last page up to theirs."""
+    named = fonts.where("font_id is not null").groupBy("doc_id", "font_name").agg(F.array_sort(F.collect_list(F.struct("page", "font_id"))).alias("has"))
+    met = spans.join(named, ["doc_id", "font_name"], "left")
+    return met.withColumn("font_id", F.element_at(F.filter("has", lambda x: x["page"] <= F.col("page")), -1)["font_id"]).drop("has")
