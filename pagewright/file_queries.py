@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import document, page, verify
 from .plans import layout, write
 from .queries import SQL, _accounts, _ledger_sums, _ledgers, _query, _t
-from .sources import datasource, pdf
+from .sources import ccitt, datasource, pdf
 from .streaming import flow, run
 
 
@@ -237,3 +237,51 @@ def reading_order_kept(spark, sf_dir):
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), 0)
     marked = F.regexp_replace("text", r"([^\p{L}\p{N}]+)", " — $1")
     return verify.order_kept(d.select("doc_id", words("text").alias("w")), d.select("doc_id", words(marked).alias("w")), "doc_id", "w")
+
+
+# ------------------------------------------------------------------ fonts
+def _drawn_font(w: write.Writer, key: int) -> int:
+    """A Type 3 font: a is a box of some size, b a Group 4 mask of four rows."""
+    import numpy as np
+
+    side = 100 + 10 * (key % 5)
+    image = np.array([[x < 1 + (key % 5 + r) % 8 for x in range(8)] for r in range(4)], np.uint8)
+    mask = b"750 0 0 0 8 4 d1 8 0 0 4 0 0 cm BI /W 8 /H 4 /IM true /F /CCF /DP <</K -1>> ID %s EI" % ccitt.encoded(image)
+    a, b = w.add(write.stream(b"500 0 0 0 500 500 d1 0 0 %d %d re f" % (side, side))), w.add(write.stream(mask))
+    return w.add(
+        b"<</Type/Font/Subtype/Type3/FontMatrix[0.001 0 0 0.001 0 0]/FontBBox[0 0 9 9]/FirstChar 97/LastChar 98/Widths[500 750]"
+        b"/CharProcs<</a %d 0 R/b %d 0 R>>/Encoding<</Differences[97/a/b]>>>>" % (a, b)
+    )
+
+
+def _drawn_files(spark, sf_dir) -> DataFrame:
+    """A file a supplier, of one to three pages set in a font of drawings."""
+
+    def make(key: int) -> bytes:
+        w = write.Writer()
+        w.shared += b"/Resources<</Font<</F1 %d 0 R>>>>" % _drawn_font(w, key)
+        w.pages([write.stream(write.show(40, 700, 10, b"(ab)")) for _ in range(1 + key % 3)])
+        return w.table()
+
+    return write.printed(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_suppkey").alias("k")), make)
+
+
+@_query("""SELECT s_suppkey::VARCHAR AS doc_id, u.code::INT AS code, CASE u.code WHEN 97 THEN 0.5 ELSE 0.75 END::DOUBLE AS advance,
+(CASE u.code WHEN 97 THEN (100 + 10 * (s_suppkey % 5)) * (100 + 10 * (s_suppkey % 5)) ELSE (SELECT sum(1 + (s_suppkey % 5 + r) % 8) FROM (SELECT unnest([0, 1, 2, 3]) AS r)) END)::DOUBLE AS painted
+FROM supplier, (SELECT unnest([97, 98]) AS code) u""")
+def type3_glyphs(spark, sf_dir):
+    """Glyphs that are drawings, one of them a Group 4 mask: advances, and how much of a thousandth grid they paint."""
+    glyphs = pdf.fonts_of(_drawn_files(spark, sf_dir)).select("doc_id", F.explode("glyphs").alias("g"))
+    side = lambda f, c: F.array_max(F.transform(f["points"], lambda p: p[c])) - F.array_min(F.transform(f["points"], lambda p: p[c]))
+    area = F.aggregate("g.fills", F.lit(0.0), lambda s, f: s + side(f, "x") * side(f, "y"))
+    return glyphs.select("doc_id", "g.code", F.round("g.advance", 9).alias("advance"), F.round(area * 1e6, 6).alias("painted"))
+
+
+@_query("""SELECT min(s_suppkey::VARCHAR) AS doc_id, 1::INT AS page, 'type3' AS format, 2::INT AS glyphs, count(*)::BIGINT AS files, sum(1 + s_suppkey % 3)::BIGINT AS spans FROM supplier GROUP BY s_suppkey % 5""")
+def font_assets(spark, sf_dir):
+    """Fonts by their content: one row for all files that have the same one, and the spans that are set in it."""
+    files = _drawn_files(spark, sf_dir)
+    fonts = pdf.fonts_of(files)
+    spans = pdf.pages_of(files).select("doc_id", "page", F.explode("spans").alias("s")).select("doc_id", "page", "s.font_name")
+    used = pdf.spans_with_fonts(spans, fonts).groupBy("font_id").agg(F.countDistinct("doc_id").alias("files"), F.count(F.lit(1)).alias("spans"))
+    return pdf.font_assets(fonts).join(used, "font_id").select("doc_id", "page", "format", F.size("glyphs").alias("glyphs"), "files", "spans")
