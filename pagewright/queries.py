@@ -309,17 +309,22 @@ def invoice_ruled(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").cast("bigint")).alias("quantity"))
 
 
-@_query("""SELECT p_brand AS doc_id, string_agg(p_name, '|' ORDER BY k % 3, k) AS text FROM (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part) WHERE k < 36 GROUP BY 1 HAVING count(*) >= 18""")
+@_query("""WITH k AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+p AS (SELECT *, k * greatest(n // 18, 1) // n AS page FROM k), i AS (SELECT *, row_number() OVER (PARTITION BY p_brand, page ORDER BY k) - 1 AS i FROM p)
+SELECT p_brand AS doc_id, string_agg(p_name, '|' ORDER BY page, CASE WHEN n < 18 THEN 0 ELSE i % 3 END, i) AS text FROM i GROUP BY 1""")
 def reading_columns(spark, sf_dir):
-    """Three columns painted row by row, a little apart in height: read column by column."""
-    n = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    parts = _t(spark, sf_dir, "part").select("p_brand", "p_name", n.alias("k")).where("k < 36")
-    k = F.col("s.k")
-    at = layout.span(k, F.col("s.p_name"), 40 + (k % 3) * 190, 740 - F.floor(k / 3) * 15 - (k % 3) * 4, size=8.0, width=F.lit(100.0) + F.length("s.p_name"))
-    whole = parts.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("k", "p_name"))).alias("s")).where("size(s) >= 18")
-    spans = whole.select("p_brand", F.posexplode("s").alias("i", "s")).select("p_brand", at.alias("span")).groupBy("p_brand").agg(F.array_sort(F.collect_list("span")).alias("spans"))
-    pages = spans.select(*layout.page_of(F.col("p_brand"), F.lit(1), F.col("spans")))
-    ordered = F.array_sort(F.collect_list(F.struct("line_seq", "text")))
+    """Three columns painted row by row, a little apart in height: read column by column. A page holds 18 to 35 parts of a
+    brand; fewer make no columns, and stay as painted."""
+    w = W.partitionBy("p_brand")
+    k, n = F.row_number().over(w.orderBy("p_partkey")) - 1, F.count(F.lit(1)).over(w)
+    parts = _t(spark, sf_dir, "part").select("p_brand", "p_name", k.alias("k"), n.alias("n"))
+    parts = parts.withColumn("page", F.floor(F.col("k") * F.greatest(F.floor(F.col("n") / 18), F.lit(1)) / F.col("n")))
+    parts = parts.withColumn("i", F.row_number().over(W.partitionBy("p_brand", "page").orderBy("k")) - 1)
+    i = F.col("i")
+    at = layout.span(i, F.col("p_name"), 40 + (i % 3) * 190, 740 - F.floor(i / 3) * 15 - (i % 3) * 4, size=8.0, width=F.lit(100.0) + F.length("p_name"))
+    spans = parts.select("p_brand", "page", at.alias("span")).groupBy("p_brand", "page").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    pages = spans.select(*layout.page_of(F.col("p_brand"), F.col("page") + 1, F.col("spans")))
+    ordered = F.array_sort(F.collect_list(F.struct("page", "line_seq", "text")))
     return page.lines(pages).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "|").alias("text"))
 
 
@@ -387,7 +392,8 @@ def blocks_found(spark, sf_dir):
 
 # ------------------------------------------------------------------ documents over pages
 def _atlas(spark, sf_dir) -> DataFrame:
-    """A document a region: a title page, then a page a nation with furniture, a heading, a sentence and a table."""
+    """A document a region: a title page, then pages by nation with furniture, a heading, a sentence and a table of its
+    suppliers, twenty a page; on later pages the table goes on under its header."""
     nation, region, supplier = (_t(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
     first = region.select(
         *layout.page_of(F.col("r_regionkey"), F.lit(1), F.array(
@@ -397,24 +403,24 @@ def _atlas(spark, sf_dir) -> DataFrame:
         ))
     )
     held = nation.join(supplier.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("s")), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    number = F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) + 1
-    held = held.withColumn("number", number).withColumn("s", F.slice(F.coalesce("s", F.array().cast("array<struct<s_suppkey: bigint, s_name: string>>")), 1, 20))
+    held = held.withColumn("s", F.coalesce("s", F.array().cast("array<struct<s_suppkey: bigint, s_name: string>>")))
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.size("s") - 1) / 20), F.lit(0)).cast("int"))))
+    number = F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey", "part")) + 1
+    held = held.withColumn("number", number).withColumn("s", F.slice("s", F.col("part") * 20 + 1, F.lit(20)))
     rows = F.concat(F.array(F.struct(F.lit("Key").alias("a"), F.lit("Name").alias("b"))), F.transform("s", lambda x: F.struct(x["s_suppkey"].cast("string").alias("a"), x["s_name"].alias("b"))))
     cells = F.flatten(F.transform(rows, lambda r, i: F.array(layout.span(3 + 2 * i, r["a"], F.lit(40.0), 600 - 15 * i), layout.span(4 + 2 * i, r["b"], F.lit(200.0), 600 - 15 * i))))
-    spans = F.concat(
-        F.array(
-            layout.span(F.lit(0), F.concat(F.lit("page "), F.col("number").cast("string")), F.lit(300.0), F.lit(20.0)),
-            layout.span(F.lit(1), F.col("n_name"), F.lit(40.0), F.lit(660.0), size=16.0),
-            layout.span(F.lit(2), F.concat(F.lit("Suppliers of "), F.col("n_name"), F.lit(" & others.")), F.lit(40.0), F.lit(630.0)),
-        ),
-        cells,
+    foot = layout.span(F.lit(0), F.concat(F.lit("page "), F.col("number").cast("string")), F.lit(300.0), F.lit(20.0))
+    opening = F.array(
+        layout.span(F.lit(1), F.col("n_name"), F.lit(40.0), F.lit(660.0), size=16.0),
+        layout.span(F.lit(2), F.concat(F.lit("Suppliers of "), F.col("n_name"), F.lit(" & others.")), F.lit(40.0), F.lit(630.0)),
     )
+    spans = F.concat(F.array(foot), F.when(F.col("part") == 0, opening).otherwise(F.slice(opening, F.lit(1), F.lit(0))), cells)
     return first.unionByName(held.select(*layout.page_of(F.col("n_regionkey"), F.col("number"), spans)))
 
 
-_ATLAS = """WITH s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier),
+_ATLAS = """WITH s AS (SELECT * FROM supplier),
 n AS (SELECT n_regionkey, n_nationkey, n_name, coalesce(string_agg({row}, '' ORDER BY s_suppkey) FILTER (WHERE s_suppkey IS NOT NULL), '') AS rows, count(s_suppkey) AS many
-  FROM nation LEFT JOIN s ON s_nationkey = n_nationkey AND k <= 20 GROUP BY ALL)"""
+  FROM nation LEFT JOIN s ON s_nationkey = n_nationkey GROUP BY ALL)"""
 
 
 @_query(_ATLAS.format(row="'<tr><td>' || s_suppkey || '</td><td>' || s_name || '</td></tr>'") + """
@@ -436,7 +442,9 @@ def document_markdown(spark, sf_dir):
     return document.whole(document.markdown(document.assemble(page.blocks(_atlas(spark, sf_dir)))))
 
 
-@_query("""SELECT r_regionkey::VARCHAR AS doc_id, 1 + count(n_nationkey)::BIGINT AS pages_processed, 1 + count(n_nationkey)::BIGINT AS suppressed_furniture, 0::BIGINT AS merged_tables FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1""")
+@_query("""WITH n AS (SELECT n_regionkey, n_nationkey, greatest(ceil(count(s_suppkey) / 20.0), 1)::BIGINT AS parts FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT r_regionkey::VARCHAR AS doc_id, (1 + coalesce(sum(parts), 0))::BIGINT AS pages_processed, (1 + coalesce(sum(parts), 0))::BIGINT AS suppressed_furniture,
+coalesce(sum(parts - 1), 0)::BIGINT AS merged_tables FROM region LEFT JOIN n ON n_regionkey = r_regionkey GROUP BY 1""")
 def document_stats(spark, sf_dir):
     blocks = page.blocks(_atlas(spark, sf_dir))
     return document.stats(blocks, document.assemble(blocks)).select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("pages_processed", "suppressed_furniture", "merged_tables")])
@@ -529,12 +537,12 @@ def inspected_pages(spark, sf_dir):
     return seen.select("page_id", *[F.size(c).alias(c) for c in ("headings", "lists", "items", "tables", "links", "code")])
 
 
-@_query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents WHERE source IS NOT NULL),
+@_query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS w FROM documents),
 a AS (SELECT doc_id - doc_id % 2 AS pair, w, count(*) FILTER (WHERE doc_id % 2 = 0) AS l, count(*) FILTER (WHERE doc_id % 2 = 1) AS r FROM t GROUP BY 1, 2)
 SELECT pair, sum(greatest(l - r, 0))::BIGINT AS missing, sum(greatest(r - l, 0))::BIGINT AS added FROM a GROUP BY 1""")
 def document_diffs(spark, sf_dir):
     """Words that the second document of each pair lacks or has beyond the first, as multisets."""
-    d = _t(spark, sf_dir, "documents").where("source is not null").select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), 0)).alias("w"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("w"))
     pair = F.col("doc_id") - F.col("doc_id") % 2
     side = lambda k: d.where(F.col("doc_id") % 2 == k).select(pair.alias("pair"), "w")
     return verify.multiset_difference(side(0), side(1), ["pair"], "w")
