@@ -136,12 +136,14 @@ def panel_smallest(spark, sf_dir):
 
 @_query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def html_links(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
+    """Targets of links, as the inspection of pages finds them."""
+    return verify.inspect(_t(spark, sf_dir, "pages"), "page_id", "html").select("page_id", F.explode("links").alias("href"))
 
 
-@_query("SELECT page_id, unnest(regexp_extract_all(html, '<h1[^>]*>([^<]*)</h1>', 1)) AS heading FROM pages")
+@_query("SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS heading FROM pages")
 def html_headings(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h1[^>]*>([^<]*)</h1>"), 1)).alias("heading"))
+    """Headings of all levels, as the inspection of pages finds them."""
+    return verify.inspect(_t(spark, sf_dir, "pages"), "page_id", "html").select("page_id", F.explode("headings").alias("heading"))
 
 
 @_query("""SELECT p_partkey, replace(replace(replace(replace(p_name || '<&">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html,
@@ -311,10 +313,10 @@ def invoice_ruled(spark, sf_dir):
 
 @_query("""WITH k AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
 p AS (SELECT *, k * greatest(n // 18, 1) // n AS page FROM k), i AS (SELECT *, row_number() OVER (PARTITION BY p_brand, page ORDER BY k) - 1 AS i FROM p)
-SELECT p_brand AS doc_id, string_agg(p_name, '|' ORDER BY page, CASE WHEN n < 18 THEN 0 ELSE i % 3 END, i) AS text FROM i GROUP BY 1""")
+SELECT p_brand AS doc_id, string_agg(p_name, '|' ORDER BY page, CASE WHEN n < 12 THEN 0 ELSE i % 3 END, i) AS text FROM i GROUP BY 1""")
 def reading_columns(spark, sf_dir):
     """Three columns painted row by row, a little apart in height: read column by column. A page holds 18 to 35 parts of a
-    brand; fewer make no columns, and stay as painted."""
+    brand, or all that it has; fewer than four a column make none, and stay as painted."""
     w = W.partitionBy("p_brand")
     k, n = F.row_number().over(w.orderBy("p_partkey")) - 1, F.count(F.lit(1)).over(w)
     parts = _t(spark, sf_dir, "part").select("p_brand", "p_name", k.alias("k"), n.alias("n"))
