@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import document, page, verify
 from .plans import layout, write
-from .queries import SQL, _accounts, _ledger_sums, _ledgers, _query, _t
+from .queries import QUERIES, SQL, _accounts, _ledger_sums, _ledgers, _query, _t  # noqa: F401  QUERIES is this module's too
 from .sources import ccitt, datasource, pdf
 from .streaming import flow, run
 
