@@ -201,3 +201,15 @@ def test_widths_go_by_cid():
     w.pages([write.stream(write.show(40, 700, 10, b"<00410042>"))], [b"/Resources<</Font<</F1 %d 0 R>>>>" % font])
     [p] = pdf.extract(w.table())
     assert p["spans"][0]["bounds"]["width"] == 10
+
+
+def test_drawings_keep_their_clips():
+    from pagewright.operators import media
+
+    p = page(b"q 0 0 100 100 re W n q 20 20 300 300 re W* n 10 10 200 200 re f Q 0 0 50 50 re S Q q 0 0 5 5 re W n 40 40 9 9 re f Q")
+    parts = [("path", x) for x in p["paths"]] + [("fill", f) for f in p["fills"]]
+    drawn = media.svg(media.Media(media.Box(0.0, 0.0, 210.0, 210.0), "vector", parts), 792.0)
+    assert '<defs><clipPath id="c0-0"><path d="M 0 0 L 100 0 L 100 100 L 0 100 Z"/></clipPath><clipPath id="c0-1"><path d="M 20 20 L 320 20 L 320 320 L 20 320 Z" clip-rule="evenodd"/></clipPath></defs>' in drawn
+    assert '<g clip-path="url(#c0-0)"><g clip-path="url(#c0-1)"><path d="M 10 10' in drawn and drawn.count("<polygon") == 1  # of the last fill nothing shows
+    bad = media._clipped("<path/>", [{"d": 'M 0 0"/><script>', "fill_rule": "nonzero"}], 1)
+    assert bad == "<path/>"
