@@ -61,6 +61,21 @@ _TIMES = (
     "722 667 667 722 611 556 722 722 333 389 722 611 889 722 722 556 722 667 556 611 722 722 944 722 722 611 333 278 333 469 500 333 "
     "444 500 444 500 444 333 500 500 278 278 500 278 778 500 500 500 500 333 389 278 500 500 722 500 500 444 480 200 480 541"
 )
+_TIMES_BOLD = (
+    "250 333 555 500 500 1000 833 278 333 333 500 570 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 570 570 570 500 930 "
+    "722 667 722 722 667 611 778 778 389 500 778 667 944 722 778 611 778 722 556 667 722 722 1000 722 722 667 333 278 333 581 500 333 "
+    "500 556 444 556 444 333 500 556 278 333 556 278 833 556 500 556 556 444 389 333 556 500 722 500 500 444 394 220 394 520"
+)
+_TIMES_ITALIC = (
+    "250 333 420 500 500 833 778 214 333 333 500 675 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 675 675 675 500 920 "
+    "611 611 667 722 611 611 722 722 333 444 667 556 833 667 722 611 722 611 500 556 722 611 833 611 556 556 389 278 389 422 500 333 "
+    "500 500 444 500 444 278 500 500 278 278 444 278 722 500 500 500 500 389 389 278 500 444 667 444 444 389 400 275 400 541"
+)
+_TIMES_BOLD_ITALIC = (
+    "250 389 555 500 500 833 778 278 333 333 500 570 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 570 570 570 500 832 "
+    "667 667 667 722 667 667 722 778 389 500 667 611 889 722 722 611 722 667 556 611 722 667 889 667 611 611 333 278 333 570 500 333 "
+    "500 500 444 500 444 333 500 556 278 278 500 278 778 556 500 500 500 389 389 278 556 444 667 500 444 389 348 220 348 570"
+)
 MOST_CODES = 65_536
 #: Characters of a font's own map: all that there are.
 MOST_GLYPH_CODES = 0x110000
@@ -73,7 +88,8 @@ def standard_widths(name: str) -> dict[str, int] | None:
     if plain.startswith("Courier"):
         return {chr(c): 600 for c in range(32, 127)}
     table = {"Helvetica": _HELVETICA, "Helvetica-Oblique": _HELVETICA, "Helvetica-Bold": _HELVETICA_BOLD,
-             "Helvetica-BoldOblique": _HELVETICA_BOLD, "Times-Roman": _TIMES}.get(plain)
+             "Helvetica-BoldOblique": _HELVETICA_BOLD, "Times-Roman": _TIMES,
+             "Times-Bold": _TIMES_BOLD, "Times-Italic": _TIMES_ITALIC, "Times-BoldItalic": _TIMES_BOLD_ITALIC}.get(plain)
     return {chr(32 + k): int(w) for k, w in enumerate(table.split())} if table else None
 
 

@@ -213,3 +213,12 @@ def test_drawings_keep_their_clips():
     assert '<g clip-path="url(#c0-0)"><g clip-path="url(#c0-1)"><path d="M 10 10' in drawn and drawn.count("<polygon") == 1  # of the last fill nothing shows
     bad = media._clipped("<path/>", [{"d": 'M 0 0"/><script>', "fill_rule": "nonzero"}], 1)
     assert bad == "<path/>"
+
+
+@pytest.mark.parametrize(("face", "text", "width"), [
+    ("Times-Roman", "Wi.", 1472), ("Times-Bold", "Wi.", 1528), ("Times-Italic", "Wi.", 1361), ("Times-BoldItalic", "Wi.", 1417), ("Helvetica", "Wi.", 1444),
+    ("Helvetica-BoldOblique", "Wi.", 1500), ("Courier-BoldOblique", "Wi.", 1800),
+])
+def test_widths_of_standard_faces(face, text, width):
+    held = fonts.standard_widths(face)
+    assert len(held) == 95 and sum(held[c] for c in text) == width
