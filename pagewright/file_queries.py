@@ -285,3 +285,28 @@ def font_assets(spark, sf_dir):
     spans = pdf.pages_of(files).select("doc_id", "page", F.explode("spans").alias("s")).select("doc_id", "page", "s.font_name")
     used = pdf.spans_with_fonts(spans, fonts).groupBy("font_id").agg(F.countDistinct("doc_id").alias("files"), F.count(F.lit(1)).alias("spans"))
     return pdf.font_assets(fonts).join(used, "font_id").select("doc_id", "page", "format", F.size("glyphs").alias("glyphs"), "files", "spans")
+
+
+#: A kind for each check of the query below.
+_CHECKS = "row row rowContains tableRows tableRows flowParagraph flowParagraph group group labelValue labelValue mediaCaption mediaCaption noControls sequence".split()
+
+
+@_query("SELECT c_custkey::VARCHAR AS doc_id, 'c' || lpad(k::VARCHAR, 2, '0') AS check_id, CASE WHEN k = 13 THEN c_custkey % 2 = 0 ELSE k IN (0, 2, 3, 5, 7, 9, 11, 14) END AS passed "
+"FROM customer, (SELECT unnest(range(15)) AS k)")
+def page_contracts(spark, sf_dir):
+    """Contracts of all kinds on pages made of customers: those that hold, and beside each one that does not."""
+    c = _t(spark, sf_dir, "customer")
+    name, segment, key = F.col("c_name"), F.lower("c_mktsegment"), F.col("c_custkey").cast("string")
+    html = F.concat(
+        F.lit("<h2>"), name, F.lit("</h2><p>Account <b>"), key, F.lit("</b> of "), segment, F.lit("</p><table><tr><th>Name</th><th>Kind</th></tr><tr><td>"), name, F.lit("</td><td> "), segment,
+        F.lit("</td></tr><tr><td>in a cell</td><td>"), key, F.lit("</td></tr></table><div>Key: <i>"), key, F.lit("</i></div><p>Label</p><p>Value</p><figure><img src='x'><figcaption>Picture of "), name,
+        F.lit("</figcaption></figure>"),
+    )
+    texts = c.select(key.alias("doc_id"), html.alias("html"), F.concat(verify.plain_text(html), F.when(F.col("c_custkey") % 2 == 1, F.lit("\x07")).otherwise("")).alias("text"))
+    values = {
+        0: F.array(name, segment), 1: F.array(segment, name), 2: F.array(F.lit("a cell"), key), 3: F.array(F.lit("3")), 4: F.array(F.lit("4")), 5: F.array(F.lit("Account"), segment),
+        6: F.array(F.lit("in a cell")), 7: F.array(F.lit("h2"), name), 8: F.array(F.lit("h3"), name), 9: F.array(F.lit("Key:"), key), 10: F.array(F.lit("Label"), F.lit("Value")),
+        11: F.array(F.lit("img"), name), 12: F.array(F.lit("svg"), name), 13: F.array().cast("array<string>"), 14: F.array(name, segment, F.lit("Picture of")),
+    }
+    checks = F.array(*[verify.check(f"c{k:02}", kind, values[k], True) for k, kind in enumerate(_CHECKS)])
+    return verify.judged(texts, c.select(key.alias("doc_id"), F.explode(checks).alias("c")).select("doc_id", "c.*")).select("doc_id", "check_id", "passed")

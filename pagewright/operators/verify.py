@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,19 +85,62 @@ def order_kept(expected: DataFrame, actual: DataFrame, key: str, tokens: str) ->
 
 
 def check(check_id: str, kind: str, values: Column, verified: bool) -> Column:
-    """A contract: ``contains`` all values, holds them in ``sequence``, or all are ``absent``."""
+    """A contract of one of the kinds that ``judged`` knows."""
     return F.struct(F.lit(check_id).alias("check_id"), F.lit(kind).alias("kind"), values.alias("values"), F.lit(verified).alias("verified"))
 
 
+def in_sequence(text: Column, parts: Column) -> Column:
+    """Whether ``parts`` stand in ``text`` one after another."""
+    place = lambda v, at: F.position(v, text, at)
+    return F.aggregate(parts, F.lit(1), lambda at, v: F.when((at == 0) | (place(v, at) == 0), 0).otherwise(place(v, at) + F.length(v))) > 0
+
+
+def _inner(html: Column, tag: str) -> Column:
+    """What stands inside each element of a name (a pattern)."""
+    return F.coalesce(F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tag})(?:\s[^>]*)?>(.*?)</(?:{tag})>"), 1), F.array().cast("array<string>"))
+
+
+_BLOCKS = "section|article|table|div|p|li|tr"
+
+
 def judged(texts: DataFrame, checks: DataFrame) -> DataFrame:
     """``checks`` (doc_id, check_id, kind, values, verified) with passed, and blocks: verified and failed.
-    A check of a document that is not there fails."""
+    A check of a document that is not there fails, and so does one of an unknown kind.
+
+    Kinds over ``text``: contains, sequence, absent, noControls. Over ``html``, if ``texts`` has it: row (its cells, token by token),
+    rowContains (cells in order), tableRows (at least so many in one table), flowParagraph (parts in a paragraph outside tables), group
+    (an element's name, then parts in it), labelValue (both in one innermost block), mediaCaption (an element's name and the caption of its figure)."""
     met = checks.join(texts, "doc_id", "left")
+    values, kind = F.col("values"), F.col("kind")
     text = F.coalesce("text", F.lit(""))
-    every = F.forall("values", lambda v: text.contains(v))
-    place = lambda v, at: F.position(v, text, at)
-    after = F.aggregate("values", F.lit(1), lambda at, v: F.when((at == 0) | (place(v, at) == 0), 0).otherwise(place(v, at) + F.length(v)))
-    none = ~F.exists("values", lambda v: text.contains(v))
-    passed = F.when(F.col("kind") == "contains", every).when(F.col("kind") == "sequence", after > 0).when(F.col("kind") == "absent", none).otherwise(F.lit(False))
+    rules = {
+        "contains": F.forall(values, lambda v: text.contains(v)),
+        "sequence": in_sequence(text, values),
+        "absent": ~F.exists(values, lambda v: text.contains(v)),
+        "noControls": ~text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"),
+    }
+    if "html" in texts.columns:
+        html = F.coalesce("html", F.lit(""))
+        rows = F.transform(_inner(html, "tr"), lambda r: F.transform(_inner(r, "t[hd]"), plain_text))
+        same = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: T.tokens(x) == T.tokens(y)), lambda ok: F.coalesce(ok, F.lit(False)))
+        # the next cell that holds a value stands behind the one before
+        after = lambda row, v, at: F.array_min(F.filter(F.transform(row, lambda c, i: F.when((i >= at) & c.contains(v), i + 1)), lambda i: i.isNotNull()))
+        ordered = lambda row: F.aggregate(values, F.lit(0), lambda at, v: F.when(at < 0, -1).otherwise(F.coalesce(after(row, v, at), F.lit(-1)))) >= 0
+        flow = F.regexp_replace(html, r"(?is)<table[ >].*?</table>", "")
+        first, rest = F.get(values, F.lit(0)), F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
+        tagged = lambda x, name: F.rlike(F.lower(x), F.concat(F.lit("<"), F.lower(name), F.lit(r"[\s>/]")))
+        groups = F.filter(F.split(html, r"(?=<[a-zA-Z])"), lambda x: F.lower(x).startswith(F.concat(F.lit("<"), F.lower(first))))
+        leaf = rf"(?is)<(p|tr|li|div)(?:\s[^>]*)?>([^<]*(?:<(?!(?:{_BLOCKS})[\s>])[^<]*)*?)</\1>"
+        named = F.expr(r"regexp_extract_all(coalesce(html, ''), concat('(?is)<', values[0], '(?:\\s[^>]*)?>(.*?)</', values[0], '>'), 1)")
+        rules |= {
+            "row": F.exists(rows, lambda r: (F.size(r) == F.size(values)) & same(r, values)),
+            "rowContains": F.exists(rows, ordered),
+            "tableRows": F.exists(_inner(html, "table"), lambda t: F.size(_inner(t, "tr")) >= first.try_cast("int")),
+            "flowParagraph": F.exists(_inner(flow, "p"), lambda x: in_sequence(plain_text(x), values)),
+            "group": (F.size(groups) > 0) & F.exists(named, lambda x: in_sequence(plain_text(x), rest)),
+            "labelValue": F.exists(F.regexp_extract_all(html, F.lit(leaf), 2), lambda x: in_sequence(plain_text(x), values)),
+            "mediaCaption": F.exists(_inner(html, "figure"), lambda x: tagged(x, first) & in_sequence(plain_text(x), rest)),
+        }
+    passed = reduce(lambda w, k: w.when(kind == k, rules[k]), rules, F.when(F.lit(False), F.lit(False))).otherwise(F.lit(False))
     passed = F.coalesce(passed & F.col("text").isNotNull(), F.lit(False))
     return met.withColumn("passed", passed).withColumn("blocks", F.col("verified") & ~F.col("passed"))
