@@ -43,11 +43,16 @@ def covered_width(intervals: DataFrame, keys: list[str], bridge: float = 2.0) ->
 
 
 def smallest_container(inner: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame:
-    """Each inner rect (inner_id, x0, y0, x1, y1) with the least outer rect that holds it."""
-    o = outer.select(*keys, "outer_id", *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
-    held = inner.join(o, keys).where("ox0 <= x0 and oy0 <= y0 and ox1 >= x1 and oy1 >= y1")
+    """Each inner rect (inner_id, x0, y0, x1, y1) with the least outer rect that holds it, of equals the first by id.
+
+    Places meet, not rows: pairs are made of the distinct rects of each group, however many rows stand at one."""
+    rect = ["x0", "y0", "x1", "y1"]
     area = (F.col("ox1") - F.col("ox0")) * (F.col("oy1") - F.col("oy0"))
-    return held.groupBy(*keys, "inner_id").agg(F.min_by("outer_id", F.struct(area, F.col("outer_id"))).alias("outer_id"))
+    at = [F.col(c).alias(f"o{c}") for c in rect]
+    o = outer.groupBy(*keys, *at).agg(F.min(F.struct("outer_id")).alias("o"))
+    held = inner.select(*keys, *rect).distinct().join(o, keys).where("ox0 <= x0 and oy0 <= y0 and ox1 >= x1 and oy1 >= y1")
+    least = held.groupBy(*keys, *rect).agg(F.min(F.struct(area.alias("area"), F.col("o.outer_id").alias("outer_id"))).alias("least"))
+    return inner.join(least, [*keys, *rect]).groupBy(*keys, "inner_id").agg(F.min("least")["outer_id"].alias("outer_id"))
 
 
 def weighted_mode(df: DataFrame, keys: list[str], value: str, weight: Column, order: str) -> DataFrame:
