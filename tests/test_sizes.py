@@ -16,3 +16,44 @@ def test_rects_at_one_place_meet_once(spark):
     found = structure.smallest_container(inner, outer, ["k"]).agg(F.count(F.lit(1)), F.max("outer_id")).first()
     assert tuple(found) == (200_000, 0)
     assert time.time() - began < 60  # pairs of rows would be 40,000,000,000
+
+
+def _equals_sql(spark, name, folder, tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    want = con.execute(queries.SQL[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(tuple, queries.QUERIES[name](spark, str(folder)).select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_ruled_tables_of_many_rows(spark, tmp_path):
+    supplier = spark.range(1, 902).select(F.col("id").alias("s_suppkey"), F.format_string("Supplier#%09d", "id").alias("s_name"), F.when(F.col("id") < 900, 3).otherwise(4).alias("s_nationkey"))
+    supplier.write.parquet(str(tmp_path / "supplier.parquet"))
+    _equals_sql(spark, "pdf_ruled_tables", tmp_path, ["supplier"])
+
+
+@pytest.mark.parametrize("name", ["pdf_encodings", "wrapped_paragraphs", "superscript_lines", "scripts_in_order"])
+def test_small_tables_are_dealt_over_tasks(spark, name):
+    """A page or file a row is more work than its bytes say: one task a shuffle partition."""
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_files_leave_as_they_are_made():
+    import pyarrow as pa
+
+    from pagewright.plans import write
+
+    rows = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(11)]), pa.array(range(11))], ["doc_id", "k"])
+    made = list(write.made_of([rows], lambda k: bytes([k]) * (3 << 20)))
+    assert [len(b) for b in made] == [2, 2, 2, 2, 2, 1]
+    assert [(x, y[0]) for b in made for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True)] == [(str(k), k) for k in range(11)]
+
+
+def test_parts_of_a_file_are_bounded():
+    from pagewright.sources import datasource
+
+    assert len(datasource.planned([("a.pdf", 40 << 20)], 20_000)) == datasource.PARTS
+    assert len(datasource.planned([("a.pdf", 100_000)], 20_000)) == 5
