@@ -9,7 +9,7 @@ Options:
   read in the same way: other files are not opened, other pages not read. Off by default, as Spark 4.1 keeps a
   loaded frame's last pushed conditions for all queries of that frame, also for those that push none: with it,
   load anew for each condition, as ``pages_where`` does.
-- ``partitionBytes`` (32 MiB): larger files are cut into as many partitions of their pages, smaller ones
+- ``partitionBytes`` (32 MiB): larger files are cut into as many partitions of their pages, ``PARTS`` at most, smaller ones
   share a partition. No file is opened for that: a partition is "part i of n", and an executor finds the
   pages. ``pagesPerPartition`` asks for ranges of so many pages; then the driver reads the page counts.
 - ``headers`` (a JSON object), ``timeout`` (seconds) and ``full`` (``false``: no whole bodies where ranges are
@@ -38,9 +38,11 @@ from pyspark.sql.datasource import (
 )
 
 from ..schema import PAGES
-from .pdf import Document, Limits, PdfError, error_of, rows_of
+from .pdf import BATCH_WEIGHT, Document, Limits, PdfError, batch_of, error_of, rows_of
 
 PARTITION_BYTES = 32 << 20
+#: A part reads its file's cross references and the page tree's root, so parts of one file must not grow with it.
+PARTS = 32
 #: A web address is not asked for its size before it is read.
 UNKNOWN = -1
 
@@ -167,7 +169,7 @@ def planned(sizes: list[tuple[str, int]], step: int, first: int = 0, last: int |
     out, some, held = [], [], 0
     for path, size in sizes:
         if size > step and (last is None or last - first > 64):
-            n = -(-size // step)
+            n = min(PARTS, -(-size // step))
             out += [Pages([path], (i, n), first, last) for i in range(n)]
             continue
         cost = step if size == UNKNOWN else min(size, step)
@@ -219,6 +221,23 @@ class _Reading:
         return max(low, count * i // n), min(high, count * (i + 1) // n)
 
     def read(self, partition: Pages) -> Iterator[tuple]:
+        return (_values(row, self.schema) for row in self.rows(partition))
+
+    def batches(self, partition: Pages) -> Iterator:
+        """The same as Arrow batches: a page's spans are told at once, not value by value."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, held, weight = to_arrow_schema(self.schema), [], 0
+        for row in self.rows(partition):
+            held.append(row)
+            weight += len(row.get("spans") or ()) + 1
+            if weight >= BATCH_WEIGHT:
+                yield batch_of(held, schema, self.mode)
+                held, weight = [], 0
+        if held:
+            yield batch_of(held, schema, self.mode)
+
+    def rows(self, partition: Pages) -> Iterator[dict]:
         for path in partition.paths:
             try:
                 source = open_source(path, self.own)
@@ -227,11 +246,10 @@ class _Reading:
                 if self.mode == "FAILFAST":
                     raise
                 if self.mode == "PERMISSIVE" and partition.part[0] == 0:  # a file's error is one row
-                    yield _values({"doc_id": path, "error": error_of(e)}, self.schema)
+                    yield {"doc_id": path, "error": error_of(e)}
                 continue
             if last is None or first < last:
-                for row in rows_of(path, source, self.limits, self.mode, first, last):
-                    yield _values(row, self.schema)
+                yield from rows_of(path, source, self.limits, self.mode, first, last)
 
 
 class PdfReader(_Reading, DataSourceReader):
@@ -372,6 +390,14 @@ class PdfStream(_Reading, DataSourceStreamReader):
         return planned([(p, x[1]) for p, x in sorted(new.items())], self.bytes)
 
 
+class BatchReader(PdfReader):
+    read = _Reading.batches
+
+
+class BatchStream(PdfStream):
+    read = _Reading.batches
+
+
 class PdfSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -381,10 +407,10 @@ class PdfSource(DataSource):
         return PAGES
 
     def reader(self, schema) -> PdfReader:
-        return PdfReader(self.options, schema)
+        return BatchReader(self.options, schema)
 
     def streamReader(self, schema) -> PdfStream:
-        return PdfStream(self.options, schema)
+        return BatchStream(self.options, schema)
 
 
 def pages_where(spark: SparkSession, path: str, condition: str | Column, **options) -> DataFrame:
