@@ -57,3 +57,21 @@ def test_parts_of_a_file_are_bounded():
 
     assert len(datasource.planned([("a.pdf", 40 << 20)], 20_000)) == datasource.PARTS
     assert len(datasource.planned([("a.pdf", 100_000)], 20_000)) == 5
+
+
+def test_rows_of_a_stream_are_made_once(spark, tmp_path):
+    """By all tasks, however many batches they arrive in."""
+    from pagewright.streaming import run
+
+    def noted(batches):
+        import os
+        import uuid
+
+        for batch in batches:
+            open(os.path.join(str(tmp_path), f"{uuid.uuid4().hex}.task"), "w").close()
+            yield batch
+
+    rows = spark.range(0, 40, 1, 4).mapInArrow(noted, "id bigint")
+    out = run.by_batches(rows, "id", [10, 20], lambda stream: stream, f"file://{tmp_path}/flow")
+    assert sorted(r["id"] for r in out.collect()) == list(range(40))
+    assert len(list(tmp_path.glob("*.task"))) == 4
