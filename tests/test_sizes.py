@@ -75,3 +75,26 @@ def test_rows_of_a_stream_are_made_once(spark, tmp_path):
     out = run.by_batches(rows, "id", [10, 20], lambda stream: stream, f"file://{tmp_path}/flow")
     assert sorted(r["id"] for r in out.collect()) == list(range(40))
     assert len(list(tmp_path.glob("*.task"))) == 4
+
+
+def test_counts_of_kept_rows_on_several_executors():
+    """Executors that ask for the same kept rows at once each make them: an observation counted those twice."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = """
+import duckdb, tempfile
+from pyspark.sql import SparkSession
+from pagewright.file_queries import QUERIES, SQL
+sf = "/root/testdata/sf0.01"
+base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+spark = SparkSession.builder.master("local-cluster[3,2,2048]").config("spark.sql.shuffle.partitions", "6").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", base).config("spark.local.dir", base).getOrCreate()
+got = tuple(QUERIES["observed_documents"](spark, sf).first())
+want = duckdb.sql(SQL["observed_documents"].replace("FROM lineitem", f"FROM read_parquet('{sf}/lineitem.parquet')")).fetchall()[0]
+assert got == want, (got, want)
+print("equal")
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=170)
+    assert "equal" in done.stdout, done.stderr[-2000:]
