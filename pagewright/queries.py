@@ -37,7 +37,7 @@ _REVENUE = "SELECT l_orderkey::VARCHAR AS doc_id, sum(cast(l_extendedprice AS DE
 
 
 def _revenue(pages: DataFrame) -> DataFrame:
-    price = page.cells(pages).where("column = 2").where(T.is_numeric_field(F.col("text")))
+    price = page.cells(pages, only=("doc_id", "column", "text")).where("column = 2").where(T.is_numeric_field(F.col("text")))
     return price.groupBy("doc_id").agg(F.sum(F.col("text").cast("decimal(18,2)")).cast("double").alias("revenue"))
 
 
