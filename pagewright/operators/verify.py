@@ -43,7 +43,13 @@ def multiset_difference(expected: DataFrame, actual: DataFrame, keys: list[str],
     """``keys``, missing and added: how many values one side has beyond the other. Values are counted
     on each side before they meet, so a frequent value is one row a side."""
     count = lambda df, sign: df.groupBy(*keys, value).agg((F.count(F.lit(1)) * sign).alias("n"))
-    net = count(expected, 1).unionByName(count(actual, -1)).groupBy(*keys, value).agg(F.sum("n").alias("n"))
+    return net_difference(count(expected, 1).unionByName(count(actual, -1)), keys, value, "n")
+
+
+def net_difference(signed: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
+    """``multiset_difference`` of one relation whose ``n`` is positive for one side and negative for the other. Where it is dealt
+    by ``keys`` already, it isn't shuffled again, and a task holds the values of its own keys alone."""
+    net = signed.groupBy(*keys, value).agg(F.sum(n).alias("n"))
     return net.groupBy(*keys).agg(F.sum(F.greatest("n", F.lit(0))).alias("missing"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("added"))
 
 

@@ -98,3 +98,11 @@ print("equal")
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=170)
     assert "equal" in done.stdout, done.stderr[-2000:]
+
+
+def test_words_of_pairs_are_counted_by_pair(spark):
+    """One shuffle, of texts by pair: no task of the reader holds the words of its whole split, and parts grow with the splits."""
+    diffs = queries.QUERIES["document_diffs"](spark, "/root/testdata/sf0.001")
+    plan = diffs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert diffs.rdd.getNumPartitions() >= queries.PARTS_A_SPLIT
