@@ -126,3 +126,18 @@ def test_plain_fonts_are_made_once():
     doc = SimpleNamespace(resolve=lambda v: v)
     one, two = ({"Subtype": "Type1", "BaseFont": "Helvetica"} for _ in range(2))
     assert fonts.font_of(one, doc) is fonts.font_of(two, doc)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_blocks_of_plain_pages(spark, seed, monkeypatch):
+    """Pages that are one table, against all pages taken one by one."""
+    r = random.Random(seed)
+    pages = [_page(r, ["12", "3.5", "Item", "abc def", "7,000", "Qty"]) for _ in range(400)]
+    schema = "doc_id string, page int, width double, height double, spans array<struct<bounds: struct<x: double, y: double, width: double, height: double>, text: string, font_size: double, font_family: string, direction: string, has_leading_space: boolean, color: string, href: string>>"
+    rows = [(f"d{k}", 1, 612.0, 792.0, [{"bounds": {c: s[c] for c in NUMBERS[:4]}, **{c: s[c] for c in s if c not in NUMBERS[:4]}} for s in p]) for k, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    told = sorted(map(repr, page.blocks(df).collect()))
+    plainly = page._mapped
+    monkeypatch.setattr(page, "_mapped", lambda *a, plain_rows=None, **more: plainly(*a, **more))
+    assert told == sorted(map(repr, page.blocks(df).collect()))
+    assert sum("block_type='table'" in t for t in told) > 40
