@@ -141,3 +141,19 @@ def test_blocks_of_plain_pages(spark, seed, monkeypatch):
     monkeypatch.setattr(page, "_mapped", lambda *a, plain_rows=None, **more: plainly(*a, **more))
     assert told == sorted(map(repr, page.blocks(df).collect()))
     assert sum("block_type='table'" in t for t in told) > 40
+
+
+def test_drawings_go_to_python_without_inner_lists(spark):
+    """Clips are null as a rule: each row would fill the offsets of all clips of its batch anew."""
+    from pagewright.schema import PAGES
+
+    pages = spark.createDataFrame([], PAGES)
+    sent = pages.select(page._drawn(pages, "paths")).schema["paths"].dataType.elementType
+    assert sent.names == ["d", "stroke", "stroke_opacity"]
+
+
+def test_a_line_is_read_once(monkeypatch):
+    page._ends_of.cache_clear()
+    paths = [{"d": "M 30.0 762 L 400.0 762", "stroke": "#000000", "stroke_opacity": 1.0}] * 50
+    assert list(page._strokes(paths)) == [(30.0, 762.0, 400.0, 762.0)] * 50
+    assert page._ends_of.cache_info().misses == 1
