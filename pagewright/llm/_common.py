@@ -50,11 +50,16 @@ class Shelf:
         self._n = 0
         atexit.register(self.close)
 
-    def put(self, df: DataFrame, name: str = "t", collect_garbage: bool = True) -> DataFrame:
+    def put(self, df: DataFrame, name: str = "t", collect_garbage: bool = True, group_rows: int | None = None) -> DataFrame:
+        """``group_rows``: most rows of a row group. Parquet looks at a group's size only after 100 rows, and
+        a reader takes up to 4,096 rows of a group at once, so tables of large rows need such a bound."""
         self._n += 1
         path = f"{self.root}/{self._n}-{name}"
         # small row groups: a task holds one in memory while it writes
-        df.write.option("parquet.block.size", 32 << 20).parquet(path)
+        write = df.write.option("parquet.block.size", 32 << 20)
+        if group_rows:
+            write = write.option("parquet.block.row.count.limit", group_rows)
+        write.parquet(path)
         if collect_garbage:
             # shuffle files of the finished job go once their plan is unreachable
             self.spark._jvm.System.gc()
@@ -79,30 +84,62 @@ class Shelf:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows and 8 MB, so that a batch of long texts or index segments
-    fits a Python worker. The session keeps the lower setting: plans read it when they run."""
+    """Arrow batches of at most 2,000 rows and 2 MB, so that a batch of long texts or index segments
+    fits a Python worker, and the JVM's buffers, which are copied as they grow, stay small outside its
+    heap. The session keeps the lower setting: plans read it when they run."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == "67108864b":  # its default
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    # asked without a default: with one, Spark gives that and not its own for a setting that is not set
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
-def tidy(run):
+#: What stages keep in a worker between their tasks: a name and a key, with the table.
+_kept: dict[tuple[str, str], object] = {}
+
+
+def kept(name: str, key: str, make):
+    """The worker's table of ``key``, made by ``make`` on first use. One table stays between tasks, and it
+    goes when a task of a stage without tables begins (``tidy``)."""
+    if (name, key) not in _kept:
+        _kept.clear()
+        _kept[name, key] = make()
+    return _kept[name, key]
+
+
+def give_back() -> None:
+    """Free memory of this worker goes back to the system: Arrow's, and the C library's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def forget() -> None:
+    if _kept:
+        _kept.clear()
+        give_back()
+
+
+def tidy(run, tables: bool = False):
     """An Arrow stage that gives its memory back to the system when a task ends: workers live on, and
-    the allocator would keep what the last stage's tables took while other stages run."""
+    the allocator would keep what the last stage's tables took while other stages run. Tables that
+    another stage kept in the worker go first, unless this one has ``tables`` of its own."""
 
     def inner(batches):
+        if not tables:
+            forget()
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            give_back()
 
     return inner
 

@@ -36,6 +36,8 @@ GAPS[0x30:0x3A] = GAPS[0x61:0x7B] = GAPS[0x80:] = False
 _TABLE = bytes(0x20 if GAPS[LOWER[b]] else int(LOWER[b]) for b in range(256))
 _EXPAND = 2_000_000
 SEGMENT_BYTES = 1 << 18
+#: Segments of a row group of the index: about 5 MB, which a task holds while it writes or reads.
+GROUP_SEGMENTS = 8
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -250,7 +252,7 @@ def find_hits(
     shelf = Shelf(spark, "hits")
     id_columns, kinds, _, _, _ = carry(docs, id_columns)
     out = f"{kinds}, n_words bigint, spans {_SPANS}, item_ids array<bigint>"
-    index = shelf.put(build_index(docs, id_columns), "index")
+    index = shelf.put(build_index(docs, id_columns), "index", group_rows=GROUP_SEGMENTS)
     blocks = item_blocks(benchmark, block_words, block_bytes)
     first, second = next(blocks, None), next(blocks, None)
     if second is None:  # one block, as a rule: search and rows in one pass
@@ -347,7 +349,7 @@ def proximity_matches(docs: DataFrame, query: str, within: int) -> DataFrame:
                 ids, at = [d for d, _ in found], [x for _, x in found]
                 yield pa.RecordBatch.from_arrays([held.field("doc_id").take(pa.array(ids, pa.int64())), pa.array(at, pa.int64())], ["doc_id", "at"])
 
-    index = Shelf(docs.sparkSession, "proximity").put(build_index(docs), "index")
+    index = Shelf(docs.sparkSession, "proximity").put(build_index(docs), "index", group_rows=GROUP_SEGMENTS)
     return index.select("docs", *_PARTS).mapInArrow(tidy(run), "doc_id bigint, at bigint")
 
 

@@ -14,11 +14,11 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._common import carry, small_batches, tidy
+from ._common import carry, kept, small_batches, tidy
 from .pieces import PieceModel, Transducer, default_model_path
 
-MOST_PATHS = 400_000
-_workers: dict[str, Paths] = {}
+#: Of a worker's table, about 240 bytes each; a table that is full begins anew, as most words beyond it come once.
+MOST_PATHS = 100_000
 
 
 class Paths(dict):
@@ -39,11 +39,7 @@ class Paths(dict):
     @staticmethod
     def of(data: bytes) -> Paths:
         """A worker's own table, kept between tasks for the model in use."""
-        key = hashlib.sha256(data).hexdigest()
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = Paths(Transducer(PieceModel(data)))
-        return _workers[key]
+        return kept("paths", hashlib.sha256(data).hexdigest(), lambda: Paths(Transducer(PieceModel(data))))
 
 
 def model_bytes(path: str | None) -> bytes:
@@ -82,7 +78,7 @@ def encode(docs: DataFrame, *, model_path: str | None = None, ids: bool = True,
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, [*id_columns, "n_tokens", "ids_sha256", "round_trip", *["token_ids"] * ids])
 
-    return docs.select(*carried).mapInArrow(tidy(run), schema)
+    return docs.select(*carried).mapInArrow(tidy(run, tables=True), schema)
 
 
 def decode(encoded: DataFrame, *, model_path: str | None = None, id_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -100,4 +96,4 @@ def decode(encoded: DataFrame, *, model_path: str | None = None, id_columns: tup
             texts = [machine.decode(x or []) for x in batch.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(k)], pa.array(texts, pa.string())], [*id_columns, "text"])
 
-    return encoded.select(*id_columns, "token_ids").mapInArrow(tidy(run), f"{kinds}, text string")
+    return encoded.select(*id_columns, "token_ids").mapInArrow(tidy(run, tables=True), f"{kinds}, text string")

@@ -212,7 +212,8 @@ def near_duplicates(
         made = made.join(asked.select("node", "set_a"), ["node", "set_a"]).dropDuplicates(["node", "set_a"])
     sets = shelf.put(made, "sets")
 
-    roots = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
+    # none yet; not made of a list, which Spark would read through a Python worker in each task
+    roots = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
     if repeated:  # rows of one doc_id with different sets: their nodes are one document
         ends = drawn_nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
         roots = _joined(roots, ends.where("a != b").select("a", "b"), shelf)

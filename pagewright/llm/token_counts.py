@@ -29,12 +29,11 @@ from math import exp, log
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._common import carry, small_batches, tidy
+from ._common import carry, kept, small_batches, tidy
 from .encoding import model_bytes
 from .pieces import ONE, ZERO, PieceModel, Transducer
 
 MOST_NODES, LONGEST, PART = 1_000_000, 64, 1 << 20
-_workers: dict[str, Trie] = {}
 
 
 class Terminals(dict):
@@ -144,11 +143,7 @@ class Trie:
 
     @staticmethod
     def of(data: bytes) -> Trie:
-        key = hashlib.sha256(data).hexdigest()
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = Trie(Transducer(PieceModel(data)))
-        return _workers[key]
+        return kept("trie", hashlib.sha256(data).hexdigest(), lambda: Trie(Transducer(PieceModel(data))))
 
 
 def parts(texts: list[str | None]) -> Iterator[list[str]]:
@@ -185,4 +180,4 @@ def count_tokens(docs: DataFrame, *, model_path: str | None = None, id_columns:
                 [*id_columns, "n_pretokens", "n_tokens", "forward_score"],
             )
 
-    return docs.select(*carried).mapInArrow(tidy(run), f"{kinds}, n_pretokens bigint, n_tokens bigint, forward_score double")
+    return docs.select(*carried).mapInArrow(tidy(run, tables=True), f"{kinds}, n_pretokens bigint, n_tokens bigint, forward_score double")

@@ -10,7 +10,7 @@ from math import log10
 import numpy as np
 import pytest
 
-from pagewright.llm import decontaminate, encoding, exact_dedup, langid, line_dedup, lm, minhash, sharding, substring_dedup, token_counts
+from pagewright.llm import _common, decontaminate, encoding, exact_dedup, langid, line_dedup, lm, minhash, sharding, substring_dedup, token_counts
 
 WORDS = [f"w{i}" for i in range(60)]
 SCHEMA = "doc_id bigint, text string, lang string, node string, id int, bucket string, at string"
@@ -786,3 +786,47 @@ def test_exact_of_the_greatest_id_and_of_none(spark):
     want = [(most, most, 2, True), (None, most, 2, False), (most, most, 1, True), (None, None, 2, True), (None, None, 2, True), (-(1 << 63), -(1 << 63), 2, True),
             (most, -(1 << 63), 2, False), (7, 8, 3, False), (7, 8, 3, False), (8, 8, 3, True)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_index_row_groups_are_small(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    paths = []
+    put = _common.Shelf.put
+    monkeypatch.setattr(_common.Shelf, "put", lambda *a, **b: paths.append((out := put(*a, **b))._shelf_path) or out)
+    texts = [(i, f"w{i} " * 60_000) for i in range(20)]  # a segment each
+    bench = spark.createDataFrame([(1, "w7 w7 w7")], "item_id bigint, text string")
+    told = decontaminate.find_hits(spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1), bench).collect()
+    assert sorted((r.doc_id, r.n_words, r.item_ids) for r in told) == [(i, 60_000, [1] * (i == 7)) for i in range(20)]
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(paths[0].removeprefix("file:") + "/*.parquet")]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) == 20 and max(groups) <= 8
+
+
+def test_tables_of_a_worker_go_when_another_stage_begins():
+    import gc
+    import weakref
+
+    held = weakref.ref(encoding.Paths.of(encoding.model_bytes(None)))
+    list(_common.tidy(lambda batches: iter(batches), tables=True)([1]))
+    gc.collect()
+    assert held() is not None
+    assert list(_common.tidy(lambda batches: iter(batches))([1, 2])) == [1, 2]
+    gc.collect()
+    assert held() is None
+
+
+def test_batches_of_long_texts_are_small(spark):
+    docs = spark.createDataFrame([(i, "x" * 500_000) for i in range(40)], "doc_id bigint, text string").coalesce(1)
+    _common.small_batches(spark)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    sizes = [r.n for r in docs.mapInArrow(run, "n bigint").collect()]
+    assert sum(sizes) == 40 and max(sizes) <= 6
