@@ -287,11 +287,14 @@ class Transducer:
         """Whether a piece costs 0 after ``before``: a piece + 1, or 0 for a start or a fallback character."""
         if len(self.follows) > 400_000:
             self.follows.clear()
-        y = self.model.text[piece]
-        ok = self._apart(self.model.text[before - 1], y) if before else self.merged(y) == [y]
-        self.follows[before * self.shift + piece] = ok
+        ok = self.follows[before * self.shift + piece] = self.judge(before, piece)
         return ok
 
+    def judge(self, before: int, piece: int) -> bool:
+        """``may_follow`` without a table."""
+        y = self.model.text[piece]
+        return self._apart(self.model.text[before - 1], y) if before else self.merged(y) == [y]
+
     def _by_rank(self, s: str) -> tuple[list[int], list[int]]:
         """Of each place: the piece + 1 of the least-cost path's last arc (0: a fallback; -1: no
         path), and where that arc begins. Costs are 0 or infinity, so the first path of cost 0

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ._common import carry, kept, small_batches, tidy
-from .encoding import model_bytes
+from .encoding import model_bytes, parts
 from .pieces import ONE, ZERO, PieceModel, Transducer
 
 MOST_NODES, LONGEST, PART = 1_000_000, 64, 1 << 20
@@ -146,19 +146,6 @@ class Trie:
         return kept("trie", hashlib.sha256(data).hexdigest(), lambda: Trie(Transducer(PieceModel(data))))
 
 
-def parts(texts: list[str | None]) -> Iterator[list[str]]:
-    """Texts, nulls as empty ones, in runs of about ``PART`` characters; a longer text is a run of its own."""
-    held, size = [], 0
-    for text in texts:
-        if held and size + len(text or "") > PART:
-            yield held
-            held, size = [], 0
-        held.append(text or "")
-        size += len(held[-1])
-    if held:
-        yield held
-
-
 def count_tokens(docs: DataFrame, *, model_path: str | None = None, id_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``id_columns``, n_pretokens, n_tokens and forward_score: a row for each document."""
     spark = docs.sparkSession
@@ -171,7 +158,7 @@ def count_tokens(docs: DataFrame, *, model_path: str | None = None, id_columns:
 
         trie = Trie.of(shared.value)
         for batch in batches:
-            told = [x for part in parts(batch.column(at_text).to_pylist()) for x in trie.totals(part)]
+            told = [x for part in parts(batch.column(at_text).to_pylist(), PART) for x in trie.totals(part)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(i) for i in range(k)],

@@ -662,6 +662,64 @@ def test_long_pretokens_take_the_same_recurrence(n, monkeypatch):
     assert told == want and told[0] == told[2] and told[0][1] == len(machine.encode(text))
 
 
+@pytest.mark.parametrize("data", [unigram_model(), None], ids=["unigram", "bpe"])
+def test_pretokens_of_texts_are_encoded_together(data, monkeypatch):
+    from pagewright.llm import lockstep, pieces
+
+    machine = pieces.Transducer(pieces.PieceModel(data or encoding.model_bytes(None)))
+    rng = random.Random(12)
+    letters = "abcde zç\U0001f600" if data else "abcdeéstng \n1,.漢\U0001f600\u0378"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(200))) for _ in range(150)] + ["", None, "e" * 64 + " " + "e" * 65 + " a", "漢" * 70, "▁ ▁"]
+    want = [machine.encode(t or "") for t in texts]
+    words = list(dict.fromkeys(w for t in texts for w in machine.pretokens(t or "") if len(w) <= 64))
+    ids, ends = lockstep.Lockstep(machine)(words)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [machine(w) for w in words]
+    # with room in the table and without; only long pre-tokens are taken one by one
+    alone = []
+    one = pieces.Transducer.__call__
+    monkeypatch.setattr(pieces.Transducer, "__call__", lambda self, s: alone.append(s) or one(self, s))
+    for most in (encoding.MOST_PATHS, 40):
+        monkeypatch.setattr(encoding, "MOST_PATHS", most)
+        monkeypatch.setattr(encoding, "TOGETHER", 16)
+        paths = encoding.Paths(machine)
+        for _ in range(2):
+            got = [list(memoryview(raw).cast("i")) for raw in paths.encode(texts)]
+            assert got == want and len(paths) <= most
+    assert alone and all(len(s) > 64 for s in alone)
+    assert list(encoding.Paths(machine).encode([])) == []
+
+
+def test_a_full_table_keeps_what_is_asked_for_again(monkeypatch):
+    from pagewright.llm import lockstep, pieces
+
+    monkeypatch.setattr(encoding, "MOST_PATHS", 50)
+    paths = encoding.Paths(pieces.Transducer(pieces.PieceModel(encoding.model_bytes(None))))
+    made = Counter()
+    one = lockstep.Lockstep.__call__
+    monkeypatch.setattr(lockstep.Lockstep, "__call__", lambda self, words: made.update(words) or one(self, words))
+    for k in range(60):
+        list(paths.encode([" ".join(["the same few", *(f"once{chr(97 + j)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for j in range(8))])]))
+    assert made["▁the"] == made["▁same"] == made["▁few"] == 1 and made["▁onceaaa"] == 1 and len(paths) <= 50
+
+
+def test_pairs_are_judged_alike_in_arrays():
+    from pagewright.llm import lockstep, pieces
+
+    machine = pieces.Transducer(pieces.PieceModel(encoding.model_bytes(None)))
+    steps, ids, rng = lockstep.Lockstep(machine), machine.model.id, random.Random(3)
+    some = [ids[t] for t in (*sorted(machine.tied)[:20], *rng.sample(sorted(ids), 120), *(c for c in "aest▁" if c in ids))]
+    # halves of pieces as well: pairs that merge
+    halves = [machine.split(t) for t in rng.sample(sorted(ids), 400) if len(t) > 1]
+    pairs = [(a + 1, b) for a in some for b in some] + [(0, b) for b in some] + [(ids[a] + 1, ids[b]) for a, b in filter(None, halves)]
+    want = [machine.judge(a, b) for a, b in pairs]
+    before, piece = np.array(pairs, np.int64).T
+    assert steps._judge(before, piece).tolist() == want and {True, False} <= set(want)
+    steps.MOST_PAIRS = 100
+    for _ in range(2):
+        got = [steps._may_follow(before[i : i + 64].copy(), piece[i : i + 64].copy()).tolist() for i in range(0, len(pairs), 64)]
+        assert [x for some in got for x in some] == want and steps.follows.size <= 100
+
+
 def test_untied_pieces_take_the_fast_pair_check():
     from pagewright.llm import pieces
 
