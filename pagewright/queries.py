@@ -58,7 +58,10 @@ def invoice_revenue_pdf(spark, sf_dir):
         import pyarrow as pa
 
         for batch in batches:
-            out = [layout.pdf_bytes([[tuple(x.values()) for x in page]]) for page in batch.column(1).to_pylist()]
+            page = batch.column(1)
+            ends, flat = page.offsets.to_pylist(), page.flatten()
+            lines = list(zip(*(c.to_pylist() for c in flat.flatten()), strict=True))
+            out = [layout.pdf_bytes([lines[a - ends[0] : b - ends[0]]]) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "content"])
 
     named = spans.select("doc_id", F.col("s").cast("array<struct<x: double, y: double, size: double, text: string>>").alias("s"))
