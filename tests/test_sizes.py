@@ -106,3 +106,28 @@ def test_words_of_pairs_are_counted_by_pair(spark):
     plan = diffs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
     assert diffs.rdd.getNumPartitions() >= queries.PARTS_A_SPLIT
+
+
+def test_rules_of_equal_drawings_are_told_once(monkeypatch):
+    """Ruled pages of one layout have the same strokes; each page told its rules anew, with the square of their number."""
+    from pagewright.operators import page
+
+    told, across = [], page._across
+    monkeypatch.setattr(page, "_across", lambda *a: told.append(a) or across(*a))
+    page._rules_kept.cache_clear()
+
+    def ruled(k, upright):
+        spans = [page.Span(x, 740.0 - 15 * r, 20.0, 10.0, 3 * r + c, f"{k}.{r}.{c}", 10.0, "Body") for r in range(4) for c, x in enumerate((40.0, 100.0, 130.0))]
+        paths = [{"d": f"M 30 {752 - 15 * r} L 400 {752 - 15 * r}", "stroke": "#000000", "stroke_opacity": 1.0} for r in range(5)]
+        paths += [{"d": f"M {x} 600 L {x} 752", "stroke": "#000000", "stroke_opacity": 1.0} for x in ((30, 90, 400) if upright else ())]
+        return page.structure(612.0, 792.0, spans, [], paths, page.Options(), 0, "cells")[1]
+
+    fill = {"points": [{"x": 0.0, "y": 10.0}, {"x": 1.0, "y": 10.0}, {"x": 1.0, "y": 11.0}]}
+    for k in range(20):
+        for upright in (False, True):
+            (table,) = ruled(k, upright)
+            assert table.reason == "horizontal-row-rules" and table.columns == ([30.0, 90.0] if upright else [40.0, 100.0, 130.0])
+            assert [(c.row, c.column, c.text) for c in table.cells][:2] == [(0, 0, f"{k}.0.0"), (0, 1, f"{k}.0.1 {k}.0.2" if upright else f"{k}.0.1")]
+            table.columns.append(0.0)  # a table's columns are its own
+    assert len(told) == 2
+    assert page.horizontal_rules(612.0, 792.0, [fill], []) == []
